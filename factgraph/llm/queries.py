@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factgraph.llm import decontaminate
+from factgraph.llm.decontaminate import op10_decontamination
 from factgraph.llm.token_blocks import op1_token_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_decontamination": decontaminate.ORACLE_SQL,
+    }
