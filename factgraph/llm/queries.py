@@ -6,19 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import decontaminate
+from factgraph.llm import decontaminate, mixing, warc_store
 from factgraph.llm.decontaminate import op10_decontamination
+from factgraph.llm.mixing import op4_mixing
 from factgraph.llm.token_blocks import op1_token_blocks
+from factgraph.llm.warc_store import op9_warc_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
+        "op4_mixing": op4_mixing,
+        "op9_warc_store": op9_warc_store,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing": mixing.ORACLE_SQL,
+        "op9_warc_store": warc_store.ORACLE_SQL,
         "op10_decontamination": decontaminate.ORACLE_SQL,
     }
