@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factgraph.llm import decontaminate, mixing, warc_store
 from factgraph.llm.decontaminate import op10_decontamination
+from factgraph.llm.language import op7_language
 from factgraph.llm.mixing import op4_mixing
 from factgraph.llm.token_blocks import op1_token_blocks
 from factgraph.llm.warc_store import op9_warc_store
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
         "op4_mixing": op4_mixing,
+        "op7_language": op7_language,
         "op9_warc_store": op9_warc_store,
         "op10_decontamination": op10_decontamination,
     }
