@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import decontaminate, mixing, warc_store
+from factgraph.llm import decontaminate, jaccard_join, mixing, warc_store
 from factgraph.llm.decontaminate import op10_decontamination
+from factgraph.llm.jaccard_join import op2_jaccard_join
 from factgraph.llm.language import op7_language
 from factgraph.llm.mixing import op4_mixing
 from factgraph.llm.token_blocks import op1_token_blocks
@@ -17,6 +18,7 @@ from factgraph.llm.warc_store import op9_warc_store
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
+        "op2_jaccard_join": op2_jaccard_join,
         "op4_mixing": op4_mixing,
         "op7_language": op7_language,
         "op9_warc_store": op9_warc_store,
@@ -26,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_join": jaccard_join.ORACLE_SQL,
         "op4_mixing": mixing.ORACLE_SQL,
         "op9_warc_store": warc_store.ORACLE_SQL,
         "op10_decontamination": decontaminate.ORACLE_SQL,
