@@ -33,20 +33,37 @@ BLOCK = 128
 PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 16
 MAGIC = b"PFB1"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 SEPARATOR = "¶"
 
 
 # ---- encoding -------------------------------------------------------------------------------------------------
 
 
+class _Recent(dict):
+    """Values by word; beyond CACHED_WORDS those not asked for since the last renewal go."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self.older.pop(word)
+        return found
+
+    def renew(self) -> None:
+        if len(self) > CACHED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordEncoder:
     """The ids a tokenizers file gives to whole texts, with the ids of each blank-separated word kept in memory.
 
     Sound for tokenizers whose pieces never span white space and do not depend on what stands before or behind a
-    blank, as word BPE with word ends: the ids of a text are then those of its words in turn. Unknown words are
-    encoded many at a time, divided by a separator word whose ids occur nowhere else; where that division does
-    not come out, each is encoded alone.
+    blank, as word BPE with word ends: the ids of a text are then those of its words in turn. The unknown words of a
+    batch are encoded many at a time, divided by a separator word whose ids occur nowhere else; where that division
+    does not come out, each is encoded alone.
     """
 
     def __init__(self, path: str):
@@ -55,17 +72,16 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = np.array(self._ids(SEPARATOR), dtype=np.uint32)
-        self.words: dict[str, bytes] = {}
+        self.words = _Recent()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
         plain = [w for w in new if SEPARATOR not in w and len(w) < 1000]
-        for w in set(new) - set(plain):
-            self.words[w] = np.array(self._ids(w), dtype="<u4").tobytes()
+        if len(plain) < len(new):
+            for w in set(new).difference(plain):
+                self.words[w] = np.array(self._ids(w), dtype="<u4").tobytes()
         k = len(self.separator)
         for i in range(0, len(plain), 500):
             part = plain[i : i + 500]
@@ -83,21 +99,16 @@ class WordEncoder:
                 for w in part:
                     self.words[w] = np.array(self._ids(w), dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian u32."""
-        words = text.replace("\n", " ").split(" ")
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian u32. All words of the batch stay known until it is done."""
         known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        step = CACHED_WORDS // 4
-        for i in range(0, len(words), step):
-            if new := [w for w in dict.fromkeys(words[i : i + step]) if w not in known]:
-                self._learn(new)
-        if all(w in known for w in words):
-            return b"".join([known[w] for w in words])
-        return np.array(self._ids(text), dtype="<u4").tobytes()  # a text of more different words than are kept
+        known.renew()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        older = known.older
+        new = {w for words in split for w in words if w not in known and w not in older}
+        if new:
+            self._learn(list(new))
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -216,7 +227,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
                 part = batch.slice(at, 256)
                 ids, texts = part.column(0), part.column(1)
                 key = np.searchsorted(cuts, np.array([float("-inf") if x is None else x for x in ids.to_pylist()], np.float64), side="left")
-                values = [words.encode(t or "") + end for t in texts.to_pylist()]
+                values = [v + end for v in words.encode_batch([t or "" for t in texts.to_pylist()])]
                 short = [np.frombuffer(v, "<u4") for v in values]
                 wide = [len(v) > 0 and int(v.max()) > 0xFFFF for v in short]
                 yield pa.RecordBatch.from_arrays(
