@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import decontaminate, jaccard_join, mixing, warc_store
+from factgraph.llm import decontaminate, embedding_groups, jaccard_join, mixing, warc_store
 from factgraph.llm.decontaminate import op10_decontamination
+from factgraph.llm.embedding_groups import op8_embedding_groups
 from factgraph.llm.jaccard_join import op2_jaccard_join
 from factgraph.llm.language import op7_language
 from factgraph.llm.mixing import op4_mixing
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": op2_jaccard_join,
         "op4_mixing": op4_mixing,
         "op7_language": op7_language,
+        "op8_embedding_groups": op8_embedding_groups,
         "op9_warc_store": op9_warc_store,
         "op10_decontamination": op10_decontamination,
     }
@@ -30,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_jaccard_join": jaccard_join.ORACLE_SQL,
         "op4_mixing": mixing.ORACLE_SQL,
+        "op8_embedding_groups": embedding_groups.ORACLE_SQL,
         "op9_warc_store": warc_store.ORACLE_SQL,
         "op10_decontamination": decontaminate.ORACLE_SQL,
     }
