@@ -11,6 +11,7 @@ from factgraph.llm.decontaminate import op10_decontamination
 from factgraph.llm.embedding_groups import op8_embedding_groups
 from factgraph.llm.jaccard_join import op2_jaccard_join
 from factgraph.llm.language import op7_language
+from factgraph.llm.main_text import op3_main_text
 from factgraph.llm.mixing import op4_mixing
 from factgraph.llm.token_blocks import op1_token_blocks
 from factgraph.llm.warc_store import op9_warc_store
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_blocks": op1_token_blocks,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_main_text": op3_main_text,
         "op4_mixing": op4_mixing,
         "op7_language": op7_language,
         "op8_embedding_groups": op8_embedding_groups,
