@@ -13,6 +13,7 @@ from factgraph.llm.jaccard_join import op2_jaccard_join
 from factgraph.llm.language import op7_language
 from factgraph.llm.main_text import op3_main_text
 from factgraph.llm.mixing import op4_mixing
+from factgraph.llm.quality_rules import op6_quality_rules
 from factgraph.llm.token_blocks import op1_token_blocks
 from factgraph.llm.warc_store import op9_warc_store
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_main_text": op3_main_text,
         "op4_mixing": op4_mixing,
+        "op6_quality_rules": op6_quality_rules,
         "op7_language": op7_language,
         "op8_embedding_groups": op8_embedding_groups,
         "op9_warc_store": op9_warc_store,
