@@ -14,9 +14,11 @@ size of the sets, by powers of two; a head whose smaller partners may stand in t
 too. Shingles of a single head lengthen the prefix but need no index, and most heads end there.
 
 Verification. Within an index key, pairs pass if a histogram of their hashes allows the overlap they need, an exact
-upper bound. Keys of up to ``SMALL`` heads compare all pairs. Larger keys first compare every head with one pivot;
-what is linked is united, and only heads of different components are then compared, block by block. Pairs that
-passed are checked on the full sets, and connected components give the groups.
+upper bound. Keys of up to ``SMALL`` heads compare all pairs; larger keys compare every head with one pivot. Pairs
+that passed are checked on the full sets and what is linked is united. Larger keys that still hold several components
+are united into clusters by the heads they share, and each cluster compares its heads of different components once:
+by blocks of near sizes, exact overlaps by a product over the words the blocks share, giving out a star for each
+linked part and never the pairs. Connected components of all links give the groups.
 
 Rows: null or empty texts have no shingles and link with nothing; texts of fewer words than a shingle make one
 shingle; repeated rows are copies of each other; a row with null doc_id links with nothing and has a null component.
@@ -38,6 +40,8 @@ from factgraph.llm.common import Workspace, connected_components, table
 RARE = 16
 SMALL = 32
 BLOCK = 512
+#: So many ids of 8 bytes may be broadcast.
+SENT_IDS = 2_000_000
 CACHED_WORDS = 300_000
 
 _U = np.uint64
@@ -289,25 +293,77 @@ def _near_pivot(scheme: Scheme):
     return run
 
 
+def overlaps(one: list[np.ndarray], two: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, by products over at most ``width`` shared elements at a time."""
+    flat, other = np.concatenate(one), np.concatenate(two)
+    shared = np.intersect1d(flat, other)
+    total = np.zeros((len(one), len(two)), np.float64)
+    rows = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (one, two)]
+    for a in range(0, len(shared), width):
+        part = shared[a : a + width]
+        sides = []
+        for values, row, count in ((flat, rows[0], len(one)), (other, rows[1], len(two))):
+            at = np.searchsorted(part, values)
+            at[at == len(part)] = 0
+            hit = part[at] == values
+            side = np.zeros((count, len(part)), np.float32)
+            side[row[hit], at[hit]] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total.astype(np.int64)
+
+
+def linked_parts(scheme: Scheme, one: tuple, two: tuple, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(head, smallest head of its part) of the links between two blocks (heads, components, sets), components apart."""
+    (ha, ca, sa), (hb, cb, sb) = one, two
+    na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
+    both = overlaps(sa, sb)
+    link = (scheme.den * both >= scheme.num * (na[:, None] + nb[None, :] - both)) & (ca[:, None] != cb[None, :])
+    x, y = ha.copy(), hb.copy()
+    none = np.iinfo(np.int64).max
+    while True:
+        nx = np.minimum(x, np.where(link, y[None, :], none).min(axis=1))
+        ny = np.minimum(y, np.where(link, nx[:, None], none).min(axis=0))
+        if (nx == x).all() and (ny == y).all():
+            break
+        x, y = nx, ny
+    node, part = (ha, x) if same else (np.concatenate([ha, hb]), np.concatenate([x, y]))
+    return node[node != part], part[node != part]
+
+
 def _across(scheme: Scheme):
-    """From rows (key, left, right, block, doc_id, n, cells, component), sorted: pairs of the two blocks in different components."""
+    """From rows (cluster, left, right, block, doc_id, component, set), sorted by the first three: links as stars (a, b)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs()
-        for (_, left, right), (block, ids, sizes, cells, parts) in _grouped(batches, 3):
-            held, parts, block = _Held(ids, sizes, cells), np.array(parts, np.int64), np.array(block)
-            ours, theirs = np.flatnonzero(block == left), np.flatnonzero(block == right)
-            for k, i in enumerate(ours.tolist()):
-                others = theirs[k + 1 :] if left == right else theirs
-                far = held.may_link(scheme, i, others[parts[others] != parts[i]], held)
-                pairs.add(0, np.full(len(far), held.ids[i]), held.ids[far])
-                if pairs.size > 200_000:
-                    yield pairs.out()
-        yield pairs.out()
+        for (_, left, right), (block, ids, parts, sets) in _grouped(batches, 3):
+            block, ids, parts = np.array(block), np.array(ids, np.int64), np.array(parts, np.int64)
+            sides = []
+            for side in (left, right):
+                at = np.flatnonzero(block == side)
+                sides.append((ids[at], parts[at], [np.frombuffer(sets[i], np.uint64) for i in at.tolist()]))
+            if len(sides[0][0]) and len(sides[1][0]):
+                a, b = linked_parts(scheme, sides[0], sides[1], left == right)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
+def _compared(members: DataFrame, docs: DataFrame, scheme: Scheme, work: Workspace) -> DataFrame:
+    """Links (a, b) between members(cluster, doc_id, n, component) of one cluster and different components."""
+    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(scheme.den / scheme.num)) * (1 + 1e-9))).cast("int")  # linked sets stand in one band or in neighbouring ones
+    members = members.withColumn("band", band)
+    sizes = members.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    around = sizes.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    around = around.select("cluster", (F.col("band") + F.col("step")).alias("band"), F.col("band").alias("other_band"), F.col("blocks").alias("other_blocks"))
+    rows = members.join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    own = F.shiftleft(F.col("band").cast("long"), 32) + F.col("block")
+    rows = rows.join(around, ["cluster", "band"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    other = F.shiftleft(F.col("other_band").cast("long"), 32) + F.col("other")
+    rows = rows.select("cluster", F.least(own, other).alias("left"), F.greatest(own, other).alias("right"), own.alias("block"), "doc_id", "component")
+    rows = rows.join(_sets_of(members.select("doc_id"), docs, scheme, work, "cluster-sets"), "doc_id").select("cluster", "left", "right", "block", "doc_id", "component", "set")
+    return rows.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right").mapInArrow(_across(scheme), "a long, b long")
+
+
 def _sets(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,16 +387,22 @@ def _linked(scheme: Scheme):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scheme: Scheme, work: Workspace, name: str) -> DataFrame:
+def _sets_of(ids: DataFrame, docs: DataFrame, scheme: Scheme, work: Workspace, name: str) -> DataFrame:
+    """doc_id, set of those documents. Up to SENT_IDS ids go to the texts; more of them, and the texts are shuffled."""
+    asked = work.keep(ids.distinct(), f"{name}-ids")
+    asked = F.broadcast(asked) if asked.count() <= SENT_IDS else asked
+    return work.keep(docs.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(scheme.n), "doc_id long, set binary"), name)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, scheme: Scheme, work: Workspace) -> DataFrame:
     """Those of pairs(a, b) that are linked, on the full sets of both."""
-    pairs = work.keep(pairs.where("kind = 0").select("a", "b").distinct(), f"{name}-pairs")
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = work.keep(docs.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(scheme.n), "doc_id long, set binary"), f"{name}-sets")
+    pairs = work.keep(pairs.select("a", "b").distinct(), "pairs")
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, scheme, work, "sets")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    out = work.keep(two.mapInArrow(_linked(scheme), "a long, b long").distinct(), f"{name}-links")
-    work.drop(f"{name}-sets")
-    work.drop(f"{name}-pairs")
+    out = work.keep(two.mapInArrow(_linked(scheme), "a long, b long").distinct(), "links")
+    work.drop("sets")
+    work.drop("pairs")
     return out
 
 
@@ -352,6 +414,8 @@ def jaccard_groups(docs: DataFrame, work: Workspace, words: int = 5, num: int =
     heads = work.keep(known.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n_rows")), "heads")
     lead = known.join(heads.select("digest", F.col("head").alias("doc_id")), ["digest", "doc_id"], "left_semi").where("size(tiers) > 0")
     lead = work.keep(lead.select("doc_id", "n", "tiers", "tokens", "cells"), "lead")
+    known = work.keep(known.select("doc_id", "n", "digest"), "known")
+    work.drop("described")
 
     tokens = lead.select("doc_id", "tokens").mapInArrow(_token_rows, "token long, doc_id long")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("heads")).where("heads > 1")
@@ -362,18 +426,17 @@ def jaccard_groups(docs: DataFrame, work: Workspace, words: int = 5, num: int =
 
     near = index.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_near_pivot(scheme), "kind long, a long, b long")
     near = work.keep(near, "near")
-    links = _verified(near, docs, scheme, work, "near")
+    links = _verified(near.where("kind = 0"), docs, scheme, work)
     parts = connected_components(links, work, "first")
-    large = near.where("kind = 1").select(F.col("a").alias("key"), F.ceil(F.col("b") / BLOCK).cast("int").alias("blocks"))
+    large = near.where("kind = 1").select(F.col("a").alias("key"))
     if not large.isEmpty():
-        rows = index.join(large, "key").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = rows.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("key")
-        rows = rows.join(mixed, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "n", "cells", "component")
-        rows = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-        across = work.keep(rows.mapInArrow(_across(scheme), "kind long, a long, b long"), "across")
-        links = links.union(_verified(across, docs, scheme, work, "across"))
+        rows = index.select("key", "doc_id", "n").join(large, "key").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.min("doc_id").alias("pivot")).where("l <> h").select("key", "pivot")
+        rows = work.keep(rows.join(mixed, "key"), "mixed")
+        clusters = connected_components(rows.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), work, "cluster")
+        members = rows.select("doc_id", "n", "component").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+        across = _compared(work.keep(members, "members"), docs, scheme, work)
+        links = links.union(work.keep(across.distinct(), "across"))
         parts = connected_components(links, work, "second")
     work.drop("index")
     heads = heads.join(parts.withColumnRenamed("node", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("component"))
