@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import decontaminate, embedding_groups, jaccard_join, mixing, warc_store
+from factgraph.llm import backoff, decontaminate, embedding_groups, jaccard_join, mixing, warc_store
+from factgraph.llm.backoff import op5_backoff
 from factgraph.llm.decontaminate import op10_decontamination
 from factgraph.llm.embedding_groups import op8_embedding_groups
 from factgraph.llm.jaccard_join import op2_jaccard_join
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": op2_jaccard_join,
         "op3_main_text": op3_main_text,
         "op4_mixing": op4_mixing,
+        "op5_backoff": op5_backoff,
         "op6_quality_rules": op6_quality_rules,
         "op7_language": op7_language,
         "op8_embedding_groups": op8_embedding_groups,
@@ -36,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_jaccard_join": jaccard_join.ORACLE_SQL,
         "op4_mixing": mixing.ORACLE_SQL,
+        "op5_backoff": backoff.ORACLE_SQL,
         "op8_embedding_groups": embedding_groups.ORACLE_SQL,
         "op9_warc_store": warc_store.ORACLE_SQL,
         "op10_decontamination": decontaminate.ORACLE_SQL,
