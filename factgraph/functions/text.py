@@ -36,16 +36,24 @@ def norm_fuzzy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(norm_exact(c), r"[^a-z0-9' ]", " "), r" +", " "))
 
 
+def _let(value: Column, make) -> Column:
+    """make(value) with value computed once, however often make refers to it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def name_entropy(c: Column) -> Column:
     """Shannon entropy in bits over the characters other than blanks; 0 for none."""
-    chars = F.filter(F.split(F.replace(c, F.lit(" "), F.lit("")), ""), lambda x: x != "")
-    n = F.size(chars).cast("double")
 
-    def part(total: Column, ch: Column) -> Column:
-        p = F.size(F.filter(chars, lambda x: x == ch)).cast("double") / n
-        return total - p * F.log2(p)
+    def bits(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+
+        def part(total: Column, ch: Column) -> Column:
+            p = F.size(F.filter(chars, lambda x: x == ch)).cast("double") / n
+            return total - p * F.log2(p)
 
-    return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), part)
+        return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), part)
+
+    return _let(F.filter(F.split(F.replace(c, F.lit(" "), F.lit("")), ""), lambda x: x != ""), bits)
 
 
 def high_entropy(c: Column, least_length: int = 6, least_tokens: int = 2, least_bits: float = 1.5) -> Column:
@@ -65,12 +73,15 @@ def shingles(c: Column, n: int = 3) -> Column:
 
 def minhash_signature(sh: Column, perms: int = 32) -> Column:
     """For each seed the smallest md5 of 'seed:shingle'; empty for no shingle."""
-    lows = [F.array_min(F.transform(sh, lambda x, s=seed: F.md5(F.concat(F.lit(f"{s}:"), x)))) for seed in range(perms)]
-    return F.when(F.size(sh) > 0, F.array(*lows)).otherwise(F.array().cast("array<string>"))
+    low = lambda seed: F.array_min(F.transform(sh, lambda x: F.md5(F.concat(seed.cast("string"), F.lit(":"), x))))
+    return F.when(F.size(sh) > 0, F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), low)).otherwise(F.array().cast("array<string>"))
 
 
 def lsh_bands(signature: Column, rows: int = 4, bands: int = 8) -> Column:
-    return F.array(*(F.concat(F.lit(f"{i}|"), F.array_join(F.slice(signature, i * rows + 1, rows), "-")) for i in range(bands)))
+    def of(sig: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.concat(i.cast("string"), F.lit("|"), F.array_join(F.slice(sig, i * rows + 1, F.lit(rows)), "-")))
+
+    return _let(signature, of)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -83,8 +94,8 @@ def normalize_relation(c: Column) -> Column:
     """Relation name in words: separators to blanks, auxiliaries in front stripped one after another, articles dropped."""
     t = F.replace(F.lower(c), F.lit("_"), F.lit(" "))
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
-    for prefix in AUXILIARY_PREFIXES:
-        t = F.when(t.startswith(prefix), F.trim(F.substr(t, F.lit(len(prefix) + 1)))).otherwise(t)
+    for prefix in AUXILIARY_PREFIXES:  # one reference to t a step, or the expression triples with each
+        t = F.regexp_replace(t, f"^{prefix}", "")
     return F.array_join(F.filter(F.split(t, " "), lambda x: ~x.isin(*DROPPED_TOKENS) & (x != "")), " ")
 
 

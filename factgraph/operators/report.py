@@ -32,7 +32,7 @@ def histogram_overflow(rows: DataFrame, column: str, cutoff: int) -> DataFrame:
 
 
 def log_bin(c: Column, base: float = 2.0) -> Column:
-    return F.floor(F.log(F.lit(base), c.cast("double")) + 1e-9).cast("long")
+    return F.floor(F.log(float(base), c.cast("double")) + 1e-9).cast("long")
 
 
 def histogram_log(rows: DataFrame, column: str, base: float = 2.0) -> DataFrame:

@@ -76,7 +76,8 @@ def dedupe_batch(names: DataFrame, lineage: Lineage, least: float = FUZZY) -> Da
     keys = keyed(names)
     heads = keys.groupBy("key").agg(F.min("uuid").alias("b"))
     exact = keys.join(heads, "key").where("uuid <> b").select(F.col("uuid").alias("a"), "b")
-    pairs = exact.union(jaccard_pairs(names, least).select("a", "b")).distinct()
+    first = names.groupBy(T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))  # copies are linked by key already
+    pairs = exact.union(jaccard_pairs(first, least).select("a", "b")).distinct()
     found = graph.components(pairs, lineage)
     return names.select("uuid").join(found, "uuid", "left").select("uuid", F.coalesce("canonical", "uuid").alias("canonical"))
 

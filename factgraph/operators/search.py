@@ -28,6 +28,10 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
 
 
+def _times(words: Column, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == term)).cast("double")
+
+
 def bm25(docs: DataFrame, query: str, columns: list[str], limit: int | None = None) -> DataFrame:
     """docs with score > 0 against the query's words, BM25 over the text of ``columns``.
 
@@ -40,7 +44,7 @@ def bm25(docs: DataFrame, query: str, columns: list[str], limit: int | None = No
     held = docs.withColumn("__t", T.tokens(F.concat_ws(" ", *columns)))
     held = held.withColumn("__dl", F.size("__t").cast("double"))
     for i, term in enumerate(terms):
-        held = held.withColumn(f"__tf{i}", F.size(F.filter("__t", lambda x, term=term: x == term)).cast("double"))
+        held = held.withColumn(f"__tf{i}", _times(F.col("__t"), term))
     held = held.drop("__t")
     stats = held.agg(
         F.count(F.lit(1)).cast("double").alias("__n"),

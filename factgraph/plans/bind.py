@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgraph.functions import text as T
+
 
 class Bound:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -104,8 +106,8 @@ class Bound:
         return self.table("part").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, F.lit("IS_")).otherwise(F.lit("")), F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("count"))
 
     def relation_rows(self) -> DataFrame:
-        """name: two neighbouring words of the documents, in capitals."""
-        w = F.filter(F.split(F.upper("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+        """name: two neighbouring words of the documents, in small letters."""
+        w = T.tokens(F.col("text"))
         return self.table("documents").select(w.alias("w")).where("size(w) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit("_"), F.element_at("w", i + 1)))).alias("name"))
 
     def mapping(self) -> DataFrame:

@@ -241,7 +241,7 @@ query("nodes_edges_by_episode", "SELECT ep AS episode, 'edge' AS kind, uuid FROM
 
 query(
     "relation_counts",
-    r"""WITH w AS (SELECT list_filter(string_split_regex(upper(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)
+    r"""WITH w AS (SELECT list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)
        SELECT name, count(*) AS count FROM (SELECT w[i] || '_' || w[i + 1] AS name FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)) GROUP BY 1""",
     bare=True,
 )(lambda b: canon.counts(b.relation_rows()))
