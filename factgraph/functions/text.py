@@ -173,3 +173,21 @@ def word_count(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def sanitize_model_name(c: Column) -> Column:
+    return F.translate(F.lower(c), ":. ", "---")
+
+
+def cache_key(model: Column, messages: Column) -> Column:
+    """Key of a model call: md5 of the model and its messages as JSON text."""
+    return F.md5(F.concat(model, F.lit(":"), messages))
+
+
+def quote_relation_type(c: Column) -> Column:
+    """Quotes around a bare value of "relation_type" in JSON-like text."""
+    return F.regexp_replace(c, r'("relation_type"\s*:\s*)([A-Za-z_][A-Za-z0-9_]*)(\s*[,}])', '$1"$2"$3')
+
+
+def message_line(role: Column, role_type: Column, content: Column) -> Column:
+    return F.concat(F.coalesce(role, F.lit("")), F.lit("("), role_type, F.lit("): "), content)
