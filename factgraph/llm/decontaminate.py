@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import table
+from factgraph.llm.common import claim, table
 
 WINDOW = 13
 ITEMS_BYTES = 16 << 20
@@ -182,6 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), kind])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         machines = known.value
         for batch in batches:
             totals, hit, spans, names = [], [], [], []
@@ -239,15 +240,16 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, longer: int = WINDOW, cover: float = 0.05) -> DataFrame:
     """All docs, benchmark passages cut out of their texts."""
-    found = contamination(docs, benchmark, window, keep=[*docs.columns])
+    names = [*docs.columns]
+    found = contamination(docs, benchmark, window, keep=names)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
             texts = [t if t is None or not s else without_spans(t, s, longer, cover) for t, s in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(batch.num_columns - 1)], names=[*docs.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(batch.num_columns - 1)], names=names)
 
-    return found.select(*docs.columns, F.col("hit_spans").alias("__spans")).mapInArrow(cut, docs.schema)
+    return found.select(*names, F.col("hit_spans").alias("__spans")).mapInArrow(cut, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
