@@ -37,7 +37,7 @@ NEVER = frozenset("nav footer aside form dialog menu button fieldset label input
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of class and id that name parts beside the article.
 _BESIDE = re.compile(
-    r"(?:^|[\s_\-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notices|newsletter|subscri\w*|popup|pop|modal|overlay|"
+    r"(?:^|[\s_\-])(?:ads?|advert\w*|ads(?:ense|box|by\w*)|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notices|newsletter|subscri\w*|popup|pop|modal|overlay|"
     r"sidebar|side|rail|menu|menus|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|comments?|commentlist|disqus|respond|replies|reply|discussion|"
     r"share|sharing|social|related|recommend\w*|login|signup|register|widgets?|pagination|pager|toolbar|hidden|alert|tags|skip|legal|copyright|disclaimer)(?:$|[\s_\-])",
     re.I,
@@ -157,6 +157,8 @@ def parse(page: str) -> list[Paragraph]:
             at = stop.end() if stop else end
             if tag != "noframes" and tag not in BLOCKS:
                 continue
+        if pruned_until == "p" and tag in BLOCKS and (not closing or tag != "p"):
+            pruned_until = None  # a paragraph ends where another block begins or its container ends
         if pruned_until is not None:  # inside a pruned element: wait for its end
             if tag == pruned_until and tag not in VOID:
                 if closing:

@@ -28,6 +28,8 @@ def test_main_text():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<nav>menu</nav>") == ""
     assert main_text.main_text("<article><h1>A</h1><p>Cut &am") == "A\nCut &am"
     assert main_text.main_text("<p>a<p>b <i>c") == "a\nb c"
+    assert main_text.main_text('<article><p>One, two.<p class="ad">Buy!<p>Three, four.</article>') == "One, two.\nThree, four."
+    assert main_text.main_text('<article><div><p class="ad">Buy!</div><p>Three, four.</article>') == "Three, four."
     assert len(main_text.main_text("<article>" + "<p>word, word</p>" * 20000 + "</article>")) == 20000 * 11 - 1
 
 

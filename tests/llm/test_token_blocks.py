@@ -65,3 +65,10 @@ def test_corpus(spark):
 
 def test_empty_table(spark):
     assert tb.token_corpus(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB.,'sıİßéÉ§$%|<>~\"-_0 9\n\t\x0b ́ΑΣς中ﬁ¶reL()[]\\/`^&*+=#@!?;:", max_size=40), max_size=4))
+def test_word_encoder_on_any_text(texts):
+    enc = tb.encoder(PATH)
+    assert [g.tolist() for g in enc.encode_batch(texts or [""])] == [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts or [""]]
