@@ -19,51 +19,61 @@ ordered by their ids. An empty table gives no segments. Other columns of the inp
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Iterator
+from struct import pack as packed
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Workspace, table
+from factgraph.llm.common import Workspace, claim, table
 
 BLOCK = 128
 PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 16
 MAGIC = b"PFB1"
-CACHED_WORDS = 1_000_000
-SEPARATOR = "¶"
+CACHED_WORDS = 500_000
 
 
 # ---- encoding -------------------------------------------------------------------------------------------------
 
 
+#: Places between a Latin letter and an ASCII mark other than the apostrophe, either way round.
+_BEFORE_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{-~])"
+_AFTER_MARK = "([!-&(-/:-@\\[-`{-~])([A-Za-zÀ-ÖØ-öø-ÿ])"
+
+
 class _Recent(dict):
-    """Values by word; beyond CACHED_WORDS those not asked for since the last renewal go."""
+    """Values by word; at each renewal beyond half of ``most``, those not asked for since the last one go."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         super().__init__()
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = found = self.older.pop(word)
-        return found
+        self.most, self.older = most, {}
 
     def renew(self) -> None:
-        if len(self) > CACHED_WORDS // 2:
+        if len(self) > self.most // 2:
             self.older = dict(self)
             self.clear()
 
+    def recall(self, word: str) -> bytes | None:
+        found = self.older.pop(word, None)
+        if found is not None:
+            self[word] = found
+        return found
+
 
 class WordEncoder:
     """The ids a tokenizers file gives to whole texts, with the ids of each blank-separated word kept in memory.
 
     Sound for tokenizers whose pieces never span white space and do not depend on what stands before or behind a
-    blank, as word BPE with word ends: the ids of a text are then those of its words in turn. The unknown words of a
-    batch are encoded many at a time, divided by a separator word whose ids occur nowhere else; where that division
-    does not come out, each is encoded alone.
+    blank, as word BPE with word ends: the ids of a text are then those of its words in turn. Where the file says
+    that case is dropped and runs of letters are pieces, capitals A-Z are made small and blanks put between letters
+    and marks first (not in texts that may hold a special token), which changes no id and leaves far fewer different
+    words. Unknown words are encoded by the library: letters many at a time, divided at the ids that end a word.
     """
 
     def __init__(self, path: str):
@@ -71,44 +81,69 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = np.array(self._ids(SEPARATOR), dtype=np.uint32)
-        self.words = _Recent()
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        said = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        self.letters = "Lowercase" in kinds and r"[\p{L}]+" in json.dumps(said["pre_tokenizer"]).replace("\\\\", "\\")
+        self.model = self.tokenizer.model
+        self.direct = self.letters and said["model"]["type"] == "BPE" and '"ByteLevel"' in json.dumps(said["pre_tokenizer"])
+        suffix = said["model"].get("end_of_word_suffix") or "</w>"
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for piece, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = piece.endswith(suffix)
+        self.words = _Recent(CACHED_WORDS)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if SEPARATOR not in w and len(w) < 1000]
-        if len(plain) < len(new):
-            for w in set(new).difference(plain):
-                self.words[w] = np.array(self._ids(w), dtype="<u4").tobytes()
-        k = len(self.separator)
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = np.array(self._ids(f" {SEPARATOR} ".join([*part, ""])), dtype="<u4")
-            hit = np.ones(max(0, len(ids) - k + 1), dtype=bool)
-            for j in range(k):
-                hit &= ids[j : len(ids) - k + 1 + j] == self.separator[j]
-            ends = np.flatnonzero(hit)
-            if len(ends) == len(part):
-                raw, start = ids.tobytes(), 0
-                for w, end in zip(part, ends.tolist(), strict=True):
-                    self.words[w] = raw[4 * start : 4 * end]
-                    start = end + k
+        words, tokenize, letters = self.words, self.model.tokenize, []
+        for w in new:
+            if not self.letters or not w.isalpha():
+                words[w] = self._ids(w)
+            elif self.direct and w.isascii() and w.islower():  # the same in the byte alphabet of such models: no need to normalise it
+                words[w] = packed("<%dI" % len(found := [t.id for t in tokenize(w)]), *found)
+            else:
+                letters.append(w)
+        for i in range(0, len(letters), 500):
+            part = letters[i : i + 500]
+            raw = self._ids(" ".join(part))
+            stops = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+            if len(stops) == len(part):
+                start = 0
+                for w, stop in zip(part, stops.tolist(), strict=True):
+                    words[w] = raw[4 * start : 4 * stop]
+                    start = stop
             else:
                 for w in part:
-                    self.words[w] = np.array(self._ids(w), dtype="<u4").tobytes()
+                    words[w] = self._ids(w)
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian u32. All words of the batch stay known until it is done."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Words are split and numbered by Arrow, so that each different word of the batch is
+        looked up once; all of them stay known until the batch is done."""
         known = self.words
         known.renew()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        older = known.older
-        new = {w for words in split for w in words if w not in known and w not in older}
-        if new:
-            self._learn(list(new))
-        return [b"".join([known[w] for w in words]) for words in split]
+        flat = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        if self.letters:
+            plain = pc.ascii_lower(flat)
+            for place in (_BEFORE_MARK, _AFTER_MARK):
+                plain = pc.replace_substring_regex(plain, place, r"\1 \2")
+            flat = pc.if_else(pc.match_substring(flat, "<|"), flat, plain)
+        split = pc.split_pattern(flat, " ")
+        numbered = split.values.dictionary_encode()
+        kinds, place = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        found = list(map(known.get, kinds))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        self._learn([kinds[i] for i in gaps if known.recall(kinds[i]) is None])
+        for i in gaps:
+            found[i] = known[kinds[i]]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        sizes = size[place]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = pool[np.repeat(start[place] - ends[:-1], sizes) + np.arange(ends[-1])]
+        marks = ends[split.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -140,7 +175,8 @@ def pack_blocks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     packed = np.zeros(starts[-1], np.uint8)
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(diff[rows].astype(">u4").view(np.uint8).reshape(len(rows), BLOCK, 4), axis=2)[:, :, 32 - w :]
+        wide = 2 if w <= 16 else 4  # bytes that hold the low bits
+        bits = np.unpackbits(diff[rows].astype(f">u{wide}").view(np.uint8).reshape(len(rows), BLOCK, wide), axis=2)[:, :, 8 * wide - w :]
         packed[(starts[rows][:, None] + np.arange(w * BLOCK // 8)).ravel()] = np.packbits(bits.reshape(len(rows), -1), axis=1).ravel()
     high = (diff.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype(np.uint32)
     at_block, at = np.nonzero(high)
@@ -154,9 +190,10 @@ def unpack_blocks(n: int, low: np.ndarray, width: np.ndarray, starts: np.ndarray
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
         raw = packed[starts[rows].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
-        bits = np.zeros((len(rows), BLOCK, 32), np.uint8)
-        bits[:, :, 32 - w :] = np.unpackbits(raw, axis=1).reshape(len(rows), BLOCK, w)
-        diff[rows] = np.packbits(bits, axis=2).view(">u4").reshape(len(rows), BLOCK)
+        wide = 2 if w <= 16 else 4
+        bits = np.zeros((len(rows), BLOCK, 8 * wide), np.uint8)
+        bits[:, :, 8 * wide - w :] = np.unpackbits(raw, axis=1).reshape(len(rows), BLOCK, w)
+        diff[rows] = np.packbits(bits, axis=2).view(f">u{wide}").reshape(len(rows), BLOCK)
     block = np.repeat(np.arange(blocks), np.diff(marks.astype(np.int64)))
     diff[block, at] |= (high.astype(np.uint64) << width[block].astype(np.uint64)).astype(np.uint32)
     return (diff + low[:, None]).ravel()[:n]
@@ -220,20 +257,18 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     cuts = np.array(sorted(set(cuts)), dtype=np.float64)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_blocks", _encoders.clear)
         words = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids, texts = part.column(0), part.column(1)
                 key = np.searchsorted(cuts, np.array([float("-inf") if x is None else x for x in ids.to_pylist()], np.float64), side="left")
-                values = [v + end for v in words.encode_batch([t or "" for t in texts.to_pylist()])]
-                short = [np.frombuffer(v, "<u4") for v in values]
-                wide = [len(v) > 0 and int(v.max()) > 0xFFFF for v in short]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int32()), ids, pa.array(wide, pa.bool_()), pa.array([a.tobytes() if w else a.astype("<u2").tobytes() for a, w in zip(short, wide, strict=True)], pa.binary())],
-                    names=["part", "doc_id", "wide", "ids"],
-                )
+                values = words.encode_batch([t or "" for t in texts.to_pylist()])
+                wide = [len(v) > 0 and int(v.max()) > 0xFFFF or end_id > 0xFFFF for v in values]
+                kinds = ["<u4" if w else "<u2" for w in wide]
+                raw = [v.astype(k).tobytes() + np.array([end_id], k).tobytes() for v, k in zip(values, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), ids, pa.array(wide, pa.bool_()), pa.array(raw, pa.binary())], names=["part", "doc_id", "wide", "ids"])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, held, ids, counts, size = None, 0, [], [], [], 0
