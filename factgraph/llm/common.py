@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_claims: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called by an operator's task in a Python worker. Workers live on from stage to stage, so what other operators
+    keep in this one (word tables and the like) is cleared and handed back to the system."""
+    others = [k for k in _claims if k != owner]
+    for k in others:
+        _claims.pop(k)()
+    _claims[owner] = clear
+    if others:
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 class Workspace:
     """A folder of intermediate tables below ``spark.checkpoint.dir``, which every executor can read.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import table
+from factgraph.llm.common import claim, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -194,6 +194,7 @@ def tagged(docs: DataFrame, network: ByteNetwork, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), "lang_pred string, lang_score double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         net = known.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

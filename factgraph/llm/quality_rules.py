@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import table
+from factgraph.llm.common import claim, table
 from factgraph.llm.language import held_out
 
 TRAIN_DOCS = 12_000
@@ -99,6 +99,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), *(f"stat_{s} double" for s in STATISTICS)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality_rules")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
