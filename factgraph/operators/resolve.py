@@ -65,7 +65,8 @@ def resolve(extracted: DataFrame, existing: DataFrame, least: float = FUZZY) ->
     """
     exact = keyed(extracted).select("uuid", "key").join(keyed(existing).select(F.col("uuid").alias("canonical"), "key"), "key").groupBy("uuid").agg(F.min("canonical").alias("canonical")).withColumn("reason", F.lit("exact"))
     left = signed(extracted.join(exact, "uuid", "left_anti")).select("uuid", "shingles", F.explode("bands").alias("band"))
-    right = signed(existing).select(F.col("uuid").alias("canonical"), F.col("shingles").alias("theirs"), F.explode("bands").alias("band"))
+    each = existing.groupBy("name").agg(F.min("uuid").alias("uuid"))  # signatures are dear, copies of a name share one
+    right = signed(each).select(F.col("uuid").alias("canonical"), F.col("shingles").alias("theirs"), F.explode("bands").alias("band"))
     near = left.join(right, "band").drop("band").dropDuplicates(["uuid", "canonical"]).withColumn("score", T.jaccard(F.col("shingles"), F.col("theirs"))).where(F.col("score") >= least)
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("uuid").orderBy(F.desc("score"), "canonical"))).where("r = 1")
     return exact.select("uuid", "canonical", "reason").unionByName(best.select("uuid", "canonical", F.lit("fuzzy").alias("reason")))
