@@ -63,7 +63,8 @@ def resolve(extracted: DataFrame, existing: DataFrame, least: float = FUZZY) ->
     An exact or singular key takes the smallest uuid that has it. Names without one, if they say enough, take the
     most alike existing name of Jaccard ``least`` or more among those in a common band, the smallest uuid on ties.
     """
-    exact = keyed(extracted).select("uuid", "key").join(keyed(existing).select(F.col("uuid").alias("canonical"), "key"), "key").groupBy("uuid").agg(F.min("canonical").alias("canonical")).withColumn("reason", F.lit("exact"))
+    first = keyed(existing).groupBy("key").agg(F.min("uuid").alias("canonical"))  # copies of a key meet before the join
+    exact = keyed(extracted).select("uuid", "key").join(first, "key").groupBy("uuid").agg(F.min("canonical").alias("canonical")).withColumn("reason", F.lit("exact"))
     left = signed(extracted.join(exact, "uuid", "left_anti")).select("uuid", "shingles", F.explode("bands").alias("band"))
     each = existing.groupBy("name").agg(F.min("uuid").alias("uuid"))  # signatures are dear, copies of a name share one
     right = signed(each).select(F.col("uuid").alias("canonical"), F.col("shingles").alias("theirs"), F.explode("bands").alias("band"))
