@@ -10,7 +10,7 @@ held by at most ``RARE`` heads are indexed alone. The frequent ones fall into cl
 pairs within their class. A head of n shingles can lose at most t = n - ceil(threshold * n) of them in a link, so
 its prefix is extended until sum over rare shingles of 1 plus sum over classes of (its shingles - 1) exceeds t:
 two linked heads then share a rare shingle or a pair (Wang et al. 2016, "pkwise"). The number of classes follows the
-size of the sets, by powers of two; a head whose smaller partners may stand in the next lower power is indexed there
+size of the sets, by powers of four; a head whose smaller partners may stand in the next lower power is indexed there
 too. Shingles of a single head lengthen the prefix but need no index, and most heads end there.
 
 Verification. Within an index key, pairs pass if a histogram of their hashes allows the overlap they need, an exact
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Workspace, connected_components, table
+from factgraph.llm.common import Workspace, claim, connected_components, table
 
 RARE = 16
 SMALL = 32
@@ -84,7 +84,7 @@ class Scheme:
 
     def __init__(self, n: int, num: int, den: int):
         self.n, self.num, self.den = n, num, den
-        share = min(1.0, 1 - num / den + 1 / 16 + 0.03)
+        share = min(1.0, 1.9 * (1 - num / den))
         self.bounds = np.array([int(min(1.0, x) * 65536) for x in (share, 1.35 * share, 2 * share)], np.uint64)
 
     def need(self, n: int) -> int:
@@ -96,18 +96,18 @@ class Scheme:
         return self.den * n < self.num * (n + 1)
 
     def power(self, n: int) -> int:
-        return n.bit_length() - 1
+        return (n.bit_length() - 1) // 2
 
     def powers(self, n: int) -> list[int]:
         return sorted({self.power(n), self.power(max(1, self.need(n)))})
 
-    @staticmethod
-    def classes(power: int) -> int:
-        return max(1, (1 << power) // 16)
+    def classes(self, power: int) -> int:
+        """So many that a set in the middle of the power has about two shingles of its prefix in each: then the pairs are fewest."""
+        return max(1, round((1 - self.num / self.den) * 2 * 4**power / 1.3))
 
     @staticmethod
     def cells(power: int) -> int:
-        return max(8, (1 << power) // 4)
+        return max(8, 4**power // 2)
 
     def tiers(self, tokens: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, tokens >> _U(48), side="right")
@@ -123,6 +123,7 @@ def _cells(tokens: np.ndarray, m: int) -> np.ndarray:
 
 def _describe(scheme: Scheme):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard_join", _hashes.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -162,7 +163,7 @@ def _token_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signature_keys(scheme: Scheme, n: int, tiers: list[int], tokens: np.ndarray, counts: np.ndarray, power: int) -> np.ndarray:
-    """Index keys of a set of n shingles among the sets of 2**power; tokens are those that other heads hold too."""
+    """Index keys of a set of n shingles among the sets of 4**power or more; tokens are those that other heads hold too."""
     tokens, first = np.unique(tokens, return_index=True)
     counts = counts[first]
     tier = scheme.tiers(tokens)
