@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from factgraph.llm.common import Workspace, claim, connected_components, table
 
 RARE = 16
-SMALL = 32
+SMALL = 8
 BLOCK = 512
 #: So many ids of 8 bytes may be broadcast.
 SENT_IDS = 2_000_000
