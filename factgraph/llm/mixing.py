@@ -27,6 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 BINS = 4096
+#: So many rows of sources may be broadcast to the documents; more of them are joined by shuffle.
+SENT_SOURCES = 100_000
 SEED = "mix-1"
 
 
@@ -79,7 +81,8 @@ def mix_plan(docs: DataFrame, work: Workspace, weights: tuple[float, ...] = WEIG
     goals = goals.join(borders.withColumnRenamed("source", "__s"), F.col("__s").eqNullSafe(F.col("source")), "left").drop("__s")
     # sources without a border in their bins have nothing left to give: all their documents are below it or none is
     border = F.coalesce(F.col("border"), F.when(F.col("rest") > 0, F.lit(bins)).otherwise(F.lit(-1)))
-    goals = goals.withColumn("border", border).withColumnRenamed("source", "__s")
+    goals = work.keep(goals.withColumn("border", border).withColumnRenamed("source", "__s"), "borders")
+    goals = F.broadcast(goals) if goals.count() <= SENT_SOURCES else goals
     placed = sized.join(goals, F.col("__s").eqNullSafe(F.col("source"))).drop("__s")
     columns = ["doc_id", "size", "source_size", "target"]
     clear = placed.where("bin <> border").select(*columns, ((F.col("epochs") + F.when(F.col("bin") < F.col("border"), 1).otherwise(0)) * F.col("size")).alias("taken"))
