@@ -1,26 +1,30 @@
-"""Operator 8: near-duplicate embeddings by spherical k-means cells and blocked cosine products.
+"""Operator 8: near-duplicate embeddings by exact cosine products, pruned by spherical k-means cells.
 
 Equal vectors make one class, and one head of each is compared. Spherical k-means is fitted on a bounded sample of
 heads (``SAMPLE_PER_CELL`` for each of at most ``MAX_CELLS`` cells); centroids nearer to each other than ``MERGE``
-become one, so that a dense group is not cut up between several. Every head, not only the sample, goes to its
-``PROBES`` nearest cells. Within a cell all pairs of blocks of ``BLOCK`` heads are multiplied in double precision;
-a pair that shares several cells counts in the first of them alone. A block product gives out the number of links
-of each head and a star for each connected part of the block, never the pairs, so a dense group costs arithmetic
-but no rows.
-
-Pairs of cosine 0.9 or more are found if they share a cell: no link below the threshold is made, and those missed
-are measured in the tests. Rows: null, empty and zero vectors and those with null or non-finite components link
-with nothing; vectors of different lengths never link; equal rows link with each other; a null vec_id links with
-nothing and has a null component. An empty table gives an empty result. Other columns are ignored.
+become one. Every head, not only the sample, belongs to its nearest cell, and heads are sorted by cell. They are sent
+to all tasks in chunks of about ``CHUNK_MB``; each task multiplies its heads with those of every cell that can hold a
+partner: y of cell c is no farther from c than from the cell h of x, so x must lie within the angle of the threshold
+of the half space nearer to c, or x links with nothing in c. The products are in single precision; those within its
+error bound of the threshold are made again in double precision. A product gives out the number of links of each head
+and a star for each connected part, never the pairs, so a dense group costs arithmetic but no rows.
+
+All pairs of cosine 0.9 or more are found, at any number of cells. Where the cells cannot prune (vectors that lie
+evenly in all directions) the arithmetic grows with the square of the different vectors. Rows: null, empty and zero
+vectors and those with null or non-finite components link with nothing; vectors of different lengths never link; equal
+rows link with each other; a null vec_id links with nothing and has a null component. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +33,10 @@ from factgraph.llm.common import Workspace, connected_components, table
 MAX_CELLS = 16384
 PER_CELL = 256
 SAMPLE_PER_CELL = 16
-PROBES = 4
 MERGE = 0.7
 BLOCK = 1024
+COLUMNS = 8192
+CHUNK_MB = 32
 _NONE = np.iinfo(np.int64).max
 
 
@@ -69,80 +74,61 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -
     return centres[kept]
 
 
-def _assigned(centres: dict[int, np.ndarray], starts: dict[int, int]):
+def _vectors(units: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors by number of components."""
+    raw = units.to_pylist()
+    by_size: dict[int, list[int]] = {}
+    for i, u in enumerate(raw):
+        by_size.setdefault(len(u) // 8, []).append(i)
+    return {size: (np.array(places), np.frombuffer(b"".join(raw[i] for i in places), np.float64).reshape(-1, size)) for size, places in by_size.items()}
+
+
+def _assigned(centres: Broadcast):
+    """head, rows, unit and the nearest cell; cell 0 for a length the sample did not hold."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, units, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, u in enumerate(units):
-                by_size.setdefault(len(u) // 8, []).append(i)
-            for size, places in by_size.items():
-                v = np.stack([np.frombuffer(units[i], np.float64) for i in places])
-                c = centres.get(size)
-                if c is None:
-                    near = np.zeros((len(v), 1), np.int64) - size  # a length the sample did not hold: one cell
-                else:
-                    take = min(PROBES, len(c))
-                    near = np.concatenate([np.argpartition(-(v[a : a + 1024] @ c.T), take - 1, axis=1)[:, :take] for a in range(0, len(v), 1024)]).astype(np.int64) + starts[size]
-                near.sort(axis=1)
-                flat = near.ravel()
-                at = np.repeat(np.arange(len(places)), near.shape[1])
-                cells = [near[k].tobytes() for k in range(len(places))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(flat),
-                        pa.array([heads[places[k]] for k in at], pa.int64()),
-                        pa.array([rows[places[k]] for k in at], pa.int64()),
-                        pa.array([units[places[k]] for k in at], pa.binary()),
-                        pa.array([cells[k] for k in at], pa.binary()),
-                    ],
-                    names=["cell", "head", "rows", "unit", "cells"],
-                )
+            cell = np.zeros(batch.num_rows, np.int64)
+            for size, (places, v) in _vectors(batch.column(1)).items():
+                if size in centres.value:
+                    c = centres.value[size]
+                    cell[places] = np.concatenate([(v[a : a + BLOCK] @ c.T).argmax(axis=1) for a in range(0, len(v), BLOCK)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["head", "unit", "rows", "cell"])
 
     return run
 
 
-class _Block:
-    def __init__(self):
-        self.heads, self.rows, self.units, self.cells = [], [], [], []
-
-    def add(self, head: int, rows: int, unit: bytes, cells: bytes) -> None:
-        self.heads.append(head)
-        self.rows.append(rows)
-        self.units.append(unit)
-        self.cells.append(cells)
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        wide = max(map(len, self.cells)) // 8
-        cells = np.full((len(self.cells), wide), _NONE, np.int64)
-        for i, c in enumerate(self.cells):
-            cells[i, : len(c) // 8] = np.frombuffer(c, np.int64)
-        return np.array(self.heads, np.int64), np.array(self.rows, np.int64), np.stack([np.frombuffer(u, np.float64) for u in self.units]), cells
-
-
-def block_links(cell: int, one: tuple, two: tuple, same: bool, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(head, links) and (node, smallest head of its part) from the product of two blocks of a cell."""
-    (ha, ra, va, ca), (hb, rb, vb, cb) = one, two
-    link = va @ vb.T >= least
-    if same:
-        np.fill_diagonal(link, False)
-    i, j = np.nonzero(link)
-    for a in range(0, len(i), 1 << 18):
-        x, y = ca[i[a : a + (1 << 18)]], cb[j[a : a + (1 << 18)]]
-        first = np.full(len(x), _NONE)
-        for k in range(x.shape[1]):
-            shared = (x[:, k, None] == y).any(axis=1)
-            first = np.where(shared & (x[:, k] < first), x[:, k], first)
-        out = first != cell
-        link[i[a : a + (1 << 18)][out], j[a : a + (1 << 18)][out]] = False
+def reachable(v: np.ndarray, cell: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
+    """For each cell whether it can hold a partner of one of the vectors v, which belong to ``cell``."""
+    own, at = np.unique(cell, return_inverse=True)
+    apart = np.sqrt(np.maximum(2 - 2 * (centres[own] @ centres.T), 0))
+    near = v @ centres.T
+    beyond = near[np.arange(len(v)), cell][:, None] - near
+    return (beyond <= (np.sqrt(1 - least * least) + 1e-9) * apart[at] + 1e-9).any(axis=0) if 0 < least <= 1 else np.ones(len(centres), bool)
+
+
+def links_between(va: np.ndarray, vb: np.ndarray, least: float, fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
+    """Which products of unit vectors reach ``least``; fa and fb are va and vb in single precision."""
+    product = fa @ fb.T
+    error = np.float32((va.shape[1] + 4) * 2.0**-23)
+    link = product >= np.float32(least) + error
+    i, j = np.nonzero((product >= np.float32(least) - error) & ~link)
+    for a in range(0, len(i), 1 << 16):
+        x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+        link[x, y] = np.einsum("ij,ij->i", va[x], vb[y]) >= least
+    return link
+
+
+def block_links(ha: np.ndarray, hb: np.ndarray, rb: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(head, links) of the left heads and (node, smallest head of its part) of all, from the links of two blocks."""
+    _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    link[i, j] = False
     left, right = np.flatnonzero(link.any(axis=1)), np.flatnonzero(link.any(axis=0))
     if not len(left):
         none = np.zeros(0, np.int64)
         return none, none, none, none
     link = link[np.ix_(left, right)]
-    counted, count = ha[left], link @ rb[right]
-    if not same:
-        counted, count = np.concatenate([counted, hb[right]]), np.concatenate([count, link.T @ ra[left]])
+    count = link @ rb[right]
     x, y = ha[left].copy(), hb[right].copy()
     while True:
         nx = np.minimum(x, np.where(link, y[None, :], _NONE).min(axis=1))
@@ -150,31 +136,43 @@ def block_links(cell: int, one: tuple, two: tuple, same: bool, least: float) ->
         if (nx == x).all() and (ny == y).all():
             break
         x, y = nx, ny
-    return counted, count, np.concatenate([ha[left], hb[right]]), np.concatenate([x, y])
+    return ha[left], count, np.concatenate([ha[left], hb[right]]), np.concatenate([x, y])
 
 
-def _multiplied(least: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, one, two = None, _Block(), _Block()
+def _chunk(rows: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
+    """By number of components: heads, rows, unit vectors, the same in single precision and cells, sorted by cell."""
+    heads, counts, cells = (rows.column(k).to_numpy() for k in ("head", "rows", "cell"))
+    out = {}
+    for size, (places, v) in _vectors(rows.column("unit")).items():
+        order = np.argsort(cells[places], kind="stable")
+        places, v = places[order], v[order]
+        out[size] = heads[places], counts[places], v, v.astype(np.float32), cells[places]
+    return out
 
-        def out() -> Iterator[pa.RecordBatch]:
-            same = now[1] == now[2]
-            if one.heads and (same or two.heads):
-                a = one.arrays()
-                ch, cn, node, part = block_links(now[0], a, a if same else two.arrays(), same, least)
-                keep = node != part
-                kind = np.concatenate([np.zeros(len(ch), np.int64), np.ones(int(keep.sum()), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ch, node[keep]])), pa.array(np.concatenate([cn, part[keep]]))], names=["kind", "a", "b"])
 
-        for batch in batches:
-            for cell, left, right, block, head, rows, unit, cells in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-                if (cell, left, right) != now:
-                    if now is not None:
-                        yield from out()
-                    now, one, two = (cell, left, right), _Block(), _Block()
-                (one if block == left else two).add(head, rows, unit, cells)
-        if now is not None:
-            yield from out()
+def _multiplied(centres: Broadcast, chunk: Broadcast, least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                heads, cells = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+                for size, (places, va) in _vectors(batch.column(1)).items():
+                    if size not in chunk.value:
+                        continue
+                    ha, fa = heads[places], va.astype(np.float32)
+                    hb, rb, vb, fb, cb = chunk.value[size]
+                    if size in centres.value:
+                        near = np.flatnonzero(reachable(va, cells[places], centres.value[size], least)[cb])
+                    else:
+                        near = np.arange(len(hb))
+                    for a in range(0, len(near), COLUMNS):
+                        to = near[a : a + COLUMNS]
+                        to = slice(to[0], to[-1] + 1) if to[-1] - to[0] + 1 == len(to) else to
+                        ch, cn, node, part = block_links(ha, hb[to], rb[to], links_between(va, vb[to], least, fa, fb[to]))
+                        edges = np.unique(np.stack([node, part], axis=1)[node != part], axis=0)
+                        kind = np.concatenate([np.zeros(len(ch), np.int64), np.ones(len(edges), np.int64)])
+                        if len(kind):
+                            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ch, edges[:, 0]])), pa.array(np.concatenate([cn, edges[:, 1]]))], names=["kind", "a", "b"])
 
     return run
 
@@ -186,24 +184,23 @@ def embedding_groups(vectors: DataFrame, work: Workspace, least: float = 0.9) ->
     known = work.keep(read.mapInArrow(_read, "vec_id long, digest binary, unit binary"), "known")
     usable = known.where("digest is not null and vec_id is not null")
     classes = work.keep(usable.groupBy("digest").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("rows"), F.min("unit").alias("unit")), "classes")
-    total = classes.count()
+    total, size = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()
     cells = max(1, min(MAX_CELLS, -(-total // PER_CELL)))
     share = min(1.0, SAMPLE_PER_CELL * cells / max(1, total))  # at most about SAMPLE_PER_CELL * MAX_CELLS rows
     sample = classes.where(F.pmod(F.xxhash64("head"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("head", "unit").collect()
     by_size: dict[int, list[np.ndarray]] = {}
     for row in sorted(sample, key=lambda r: r["head"]):
         by_size.setdefault(len(row["unit"]) // 8, []).append(np.frombuffer(row["unit"], np.float64))
-    centres, starts, at = {}, {}, 0
-    for size, rows in sorted(by_size.items()):
-        centres[size], starts[size] = fit_cells(np.stack(rows), max(1, round(cells * len(rows) / len(sample)))), at
-        at += len(centres[size])
-    placed = work.keep(classes.select("head", "unit", "rows").mapInArrow(_assigned(centres, starts), "cell long, head long, rows long, unit binary, cells binary"), "placed")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(F.broadcast(sizes), "cell")  # one row for each cell, at most MAX_CELLS and one for each other length
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("head"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "head", "rows", "unit", "cells")
-    dealt = dealt.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right")
-    found = work.keep(dealt.mapInArrow(_multiplied(least), "kind long, a long, b long"), "found")
+    centres = {d: fit_cells(np.stack(rows), max(1, round(cells * len(rows) / len(sample)))) for d, rows in sorted(by_size.items())}
+    centres = spark.sparkContext.broadcast(centres)  # at most MAX_CELLS, and one for each length
+    placed = classes.select("head", "unit", "rows").mapInArrow(_assigned(centres), "head long, unit binary, rows long, cell long")
+    placed = work.keep(placed.repartitionByRange("cell", "head").sortWithinPartitions("cell", "head"), "placed")
+    chunks, found = max(1, -(-size // (CHUNK_MB << 20))), []
+    for k in range(chunks):
+        chunk = spark.sparkContext.broadcast(_chunk(placed.where(F.pmod(F.xxhash64("head"), F.lit(chunks)) == k).toArrow()))
+        found.append(work.keep(placed.mapInArrow(_multiplied(centres, chunk, least), "kind long, a long, b long"), f"found-{k}"))
+        chunk.destroy()
+    found = reduce(DataFrame.union, found)
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).withColumnRenamed("a", "head")
     parts = connected_components(found.where("kind = 1").select("a", "b"), work).withColumnRenamed("node", "head")
     heads = classes.select("digest", "head", "rows").join(links, "head", "left").join(parts, "head", "left")

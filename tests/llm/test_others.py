@@ -139,6 +139,34 @@ def test_embeddings(spark):
     assert embedding_groups.embedding_groups(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("chunk_mb", [32, 1])
+def test_embeddings_finds_every_link_among_many_cells(spark, monkeypatch, chunk_mb):
+    """Hundreds of cells, and pairs just above and below the threshold in all directions."""
+    monkeypatch.setattr(embedding_groups, "PER_CELL", 4)
+    monkeypatch.setattr(embedding_groups, "SAMPLE_PER_CELL", 1)
+    monkeypatch.setattr(embedding_groups, "CHUNK_MB", chunk_mb, raising=False)
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    one = unit(rng.normal(size=(1500, 64)))
+    side = rng.normal(size=one.shape)
+    side = unit(side - (side * one).sum(axis=1)[:, None] * one)
+    cos = np.where(np.arange(1500) % 5, 0.9 + 1e-9, 0.9 - 1e-9)[:, None]
+    v = np.concatenate([one, cos * one + np.sqrt(1 - cos * cos) * side])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_groups.embedding_groups(df, Workspace(spark, "t")).collect()}
+    u = unit(v)
+    want = ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()
+    assert sum(got.values()) == sum(want) == 2400 and [got[i] for i in range(len(v))] == want
+
+
+def test_cells_out_of_reach_are_left_out():
+    rng = np.random.default_rng(1)
+    centres = np.eye(8)
+    v = centres[[0] * 50] + rng.normal(size=(50, 8)) * 0.01
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    assert embedding_groups.reachable(v, np.zeros(50, np.int64), centres, 0.9).tolist() == [True] + [False] * 7
+
+
 # ---- 9 ----------------------------------------------------------------------------------------------------------
 
 
