@@ -527,15 +527,20 @@ SAME = """, lk AS (SELECT 'c' || o_custkey AS a, 'c' || ((o_custkey * 3 + o_orde
  rc AS (SELECT a AS u, a AS x FROM bo UNION SELECT rc.u, bo.b FROM rc JOIN bo ON rc.x = bo.a)"""
 
 
+def order_pairs(b: Bound) -> DataFrame:
+    return b.table("orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("c"), (F.col("o_custkey") * 3 + F.col("o_orderkey")) % 1500).alias("b"), "o_orderkey")
+
+
 def same_pairs(b: Bound) -> DataFrame:
-    return b.table("orders").where("o_orderkey % 20 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("c"), (F.col("o_custkey") * 3 + F.col("o_orderkey")) % 1500).alias("b"))
+    """A twentieth of the orders, as in SAME."""
+    return order_pairs(b).where("o_orderkey % 20 = 0").select("a", "b")
 
 
 query("compress_uuid_map", SAME + " SELECT u AS uuid, min(x) AS canonical FROM rc GROUP BY 1")(lambda b: graph.components(same_pairs(b), Lineage(b.spark)))
 query("directed_uuid_map", ", pt AS (SELECT p_partkey AS k FROM part) SELECT 'p' || k AS uuid, 'p' || (k % 10) AS canonical FROM pt WHERE k >= 10")(
     lambda b: graph.follow(b.table("part").where("p_partkey >= 10").select(F.concat(F.lit("p"), "p_partkey").alias("uuid"), F.concat(F.lit("p"), F.col("p_partkey") - 10).alias("canonical")), Lineage(b.spark))
 )
-query("label_propagation")(lambda b: graph.label_propagation(graph.neighbours(same_pairs(b).select(F.col("a").alias("source_node_uuid"), F.col("b").alias("target_node_uuid"))), Lineage(b.spark)))
+query("label_propagation")(lambda b: graph.label_propagation(graph.neighbours(order_pairs(b).select(F.col("a").alias("source_node_uuid"), F.col("b").alias("target_node_uuid"))), Lineage(b.spark)))
 
 # ---- names and entities -----------------------------------------------------------------------------------------
 
