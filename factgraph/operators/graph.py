@@ -107,15 +107,17 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both.where("uuid <> neighbour").groupBy("uuid", "neighbour").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def label_propagation(links: DataFrame, lineage: Lineage, rounds: int = 20) -> DataFrame:
+def label_propagation(links: DataFrame, lineage: Lineage, rounds: int = 1000) -> DataFrame:
     """(uuid, community) for links(uuid, neighbour, weight).
 
     In each round a node looks at the community of the largest total weight around it (the larger id on ties); it
     joins if that weight is above 1, else it takes the larger of that id and its own. A node that returns to the
-    label of two rounds ago would swap for ever: it then keeps the smaller of the two.
+    label of two rounds ago would swap for ever: it then keeps the smaller of the two. It ends when nothing changes,
+    or when a whole state comes back, as the rounds after it would; after ``rounds`` rounds it raises.
     """
     nodes = links.select("uuid").distinct()
     now = lineage.cut(nodes.select("uuid", F.col("uuid").alias("community"), F.lit(None).cast("string").alias("before")))
+    seen: set[tuple] = set()
     for _ in range(rounds):
         votes = links.join(now.select(F.col("uuid").alias("neighbour"), F.col("community").alias("c")), "neighbour").groupBy("uuid", "c").agg(F.sum("weight").alias("w"))
         top = votes.groupBy("uuid").agg(F.max(F.struct("w", "c")).alias("top"))
@@ -123,9 +125,11 @@ def label_propagation(links: DataFrame, lineage: Lineage, rounds: int = 20) -> D
         swap = F.col("before").isNotNull() & (F.col("wanted") == F.col("before")) & (F.col("wanted") != F.col("community"))
         moved = moved.select("uuid", F.when(swap, F.least("wanted", "community")).otherwise(F.col("wanted")).alias("community"), F.col("community").alias("before"))
         now = lineage.cut(moved)
-        if now.where("community <> before").isEmpty():
-            break
-    return now.select("uuid", "community")
+        changed, *state = now.agg(F.count_if(F.col("community") != F.col("before")), *(F.sum(F.xxhash64(F.lit(k), "uuid", "community", "before").cast("decimal(20,0)")) for k in (0, 1))).first()
+        if not changed or tuple(state) in seen:
+            return now.select("uuid", "community")
+        seen.add(tuple(state))
+    raise RuntimeError("communities did not settle")
 
 
 def community_mode(links: DataFrame, members: DataFrame) -> DataFrame:
