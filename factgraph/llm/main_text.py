@@ -59,6 +59,8 @@ _CLOSES = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Elements that end without an end tag where one of the next kind begins or their parent ends.
+_IMPLIED = frozenset().union(*(these for these, _ in _CLOSES.values()))
 
 
 class Node:
@@ -121,6 +123,12 @@ def _within_article(node: Node) -> bool:
     return False
 
 
+def _open(node: Node, tag: str) -> bool:
+    while node is not None and node.tag != tag and node.attributes != tag:
+        node = node.parent
+    return node is not None
+
+
 def parse(page: str) -> list[Paragraph]:
     """The paragraphs outside pruned elements, in page order; their parents carry the tree."""
     root = Node("#root", None)
@@ -159,6 +167,22 @@ def parse(page: str) -> list[Paragraph]:
                 continue
         if pruned_until == "p" and tag in BLOCKS and (not closing or tag != "p"):
             pruned_until = None  # a paragraph ends where another block begins or its container ends
+        if pruned_until in _IMPLIED:  # depth: the pruned element and the blocks open within it
+            if tag not in BLOCKS or tag == "hr":
+                continue
+            these, until = _CLOSES.get(tag, ((), ()))
+            if closing and tag in depth:
+                while depth.pop() != tag:
+                    pass
+                if not depth:
+                    pruned_until = None
+                continue
+            if pruned_until in these and not until.intersection(depth) if not closing else _open(here, tag):
+                pruned_until = None  # the next one begins, or the parent ends
+            else:
+                if not closing:
+                    depth.append(tag)
+                continue
         if pruned_until is not None:  # inside a pruned element: wait for its end
             if tag == pruned_until and tag not in VOID:
                 if closing:
