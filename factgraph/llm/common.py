@@ -5,10 +5,14 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +30,79 @@ def claim(owner: str, clear: Callable[[], None] = lambda: None) -> None:
         _claims.pop(k)()
     _claims[owner] = clear
     if others:
-        import pyarrow as pa
+        give_back()
 
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+
+def give_back() -> None:
+    """Free memory of this Python worker goes back to the system: idle workers stay alive beside those at work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Arrow batches lie in the JVM and in the worker at once; shuffle files are of no use once a table is written.
+LEAN = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Plans run to their end inside pass small batches to Python and drop their shuffle files when they are done."""
+    before = {k: spark.conf.get(k) for k in LEAN}
+    for k, v in LEAN.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def named_apart(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def kept_beside(keep: list[str], results: list[str]) -> list[str]:
+    """``keep`` less the columns that bear a result's name in any case: the result takes their place."""
+    taken = {r.lower() for r in results}
+    return [c for c in keep if c.lower() not in taken]
+
+
+def mapped(docs: DataFrame, keep: list[str], column: str, results: str, compute: Callable[[list], list[list]], owner: str, rows: int = 256) -> DataFrame:
+    """The columns ``keep`` of docs and those of the DDL ``results``, which ``compute`` gives for lists of values of
+    ``column`` as strings, a list for each result. Only positions tell columns apart, so no name of docs can clash."""
+    kinds = T._parse_datatype_string(results).fields
+    keep = kept_beside(keep, [f.name for f in kinds])
+    plain = [f"c{i}" for i in range(len(keep))]
+    columns = docs.select(*(quoted(c).alias(p) for c, p in zip(keep, plain, strict=True)), F.col(column).cast("string").alias("value"))
+    out = T.StructType([*columns.schema.fields[:-1], *(T.StructField(f"r{i}", f.dataType) for i, f in enumerate(kinds))])
+    arrow = to_arrow_schema(T.StructType(out.fields[len(keep) :]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                got = compute(part.column(len(keep)).to_pylist())
+                found = [pa.array(g, arrow.field(i).type) for i, g in enumerate(got)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *found], names=out.names)
+
+    return columns.mapInArrow(run, out).toDF(*keep, *(f.name for f in kinds))
 
 
 class Workspace:
@@ -57,7 +126,8 @@ class Workspace:
 
     def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write df and return it as read back."""
-        df.write.option("compression", compression).parquet(f"{self.path}/{name}")
+        with lean(self.spark):
+            df.write.option("compression", compression).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:

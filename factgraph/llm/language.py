@@ -7,29 +7,31 @@ chosen by a hash of doc_id; the gradient of a maximum reaches only the window po
 prediction is the mean of its windows' probabilities, each window weighing as many bytes as it holds.
 
 Rows: null texts and texts without a letter are ``und`` with score 0; texts of any length are read whole. Equal texts
-get equal answers. Without any labelled row everything is ``und``. Rows with null doc_id or lang are not learnt
-from. Other columns are kept only by ``tagged``.
+get equal answers, repeated rows too; of languages that tie the first in order of name wins. Without any labelled
+row, and in an empty table, everything is ``und``. Rows with null doc_id or lang are not learnt from. ``tagged`` keeps
+the columns asked for, less those that bear a result's name; ``determined`` keeps all of them.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import claim, table
+from factgraph.llm.common import mapped, named_apart, quoted, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 TRAIN_DOCS = 4000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of a letter category stands in the text; fractions, circled and Roman numerals are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ class ByteNetwork:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        clear = [t is not None and bool(self.languages) and _LETTER.search(t) is not None for t in texts]
+        clear = [t is not None and bool(self.languages) and has_letter(t) for t in texts]
         answers: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
         parts = [(i, *windows(t)) for i, (t, ok) in enumerate(zip(texts, clear, strict=True)) if ok]
         if not parts:
@@ -183,33 +185,28 @@ def fit(docs: DataFrame, bound: int = TRAIN_DOCS) -> ByteNetwork:
     share = min(1.0, bound / max(1, rows.count()))
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000))
     sample = rows.where(place < F.lit(int(share * 1_000_000))).select(F.col("text").cast("string"), F.col("lang").cast("string"), "doc_id").collect()
-    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in sample if _LETTER.search(r["text"]))
+    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in sample if has_letter(r["text"]))
     return train([t for _, _, t in sample], [k for _, k, _ in sample])
 
 
-def tagged(docs: DataFrame, network: ByteNetwork, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred and lang_score."""
+def tagged(docs: DataFrame, network: ByteNetwork, keep: list[str], names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns ``keep`` of docs with lang_pred and lang_score, or as ``names`` call them; a kept column that bears
+    one of these names gives way to the result."""
     known = docs.sparkSession.sparkContext.broadcast(network)  # a fixed number of weights
-    columns = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), "lang_pred string, lang_score double"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("language")
-        net = known.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = net.predict(part.column(part.num_columns - 1).to_pylist())
-                out = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), *out], names=[*keep, "lang_pred", "lang_score"])
+    def compute(texts: list[str | None]) -> list[list]:
+        got = known.value.predict(texts)
+        return [[g[0] for g in got], [g[1] for g in got]]
 
-    return columns.mapInArrow(run, schema)
+    return mapped(docs, keep, "text", f"`{names[0]}` string, `{names[1]}` double", compute, "language")
 
 
 def determined(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """docs whose language the network, fitted on them, can tell: not ``und`` and with a score of ``least`` at least."""
-    found = tagged(docs, fit(docs), [*docs.columns])
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*docs.columns)
+    """docs whose language the network, fitted on them, can tell: not ``und`` and with a score of ``least`` at least.
+    All columns stay as they are, whatever their names."""
+    lang, score = (named_apart(docs.columns, n) for n in ("lang_pred", "lang_score"))
+    found = tagged(docs, fit(docs), [*docs.columns], (lang, score))
+    return found.where((quoted(lang) != UNDETERMINED) & (quoted(score) >= least)).select(*map(quoted, docs.columns))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
