@@ -6,25 +6,24 @@ conjunction of bounds on statistics. A logistic model with a lasso penalty weigh
 zero, and those left are compiled into one Spark column, so scoring stays within whole-stage code.
 
 Rows: null text counts as empty, an empty text has all statistics 0 and gets a score like any other; labels of
-documents that do not exist, null labels and null doc_ids are left out; repeated labels count as often as they come.
-Without labels of both kinds the score is the share of label 1 (0.5 without any). Neither lang nor source nor doc_id
-is read by the model.
+documents that do not exist, null labels and null doc_ids are left out; repeated labels, and repeated rows of
+documents, are learnt from as often as they come, and every row gets a score of its own. Equal texts get equal scores.
+Without labels of both kinds the score is the share of label 1 (0.5 without any); an empty table gives an empty result.
+Neither lang nor source nor doc_id is read by the model. Kept columns that bear a result's name give way to it.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, eq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import claim, table
+from factgraph.llm.common import kept_beside, mapped, quoted, table
 from factgraph.llm.language import held_out
 
 TRAIN_DOCS = 12_000
@@ -94,22 +93,12 @@ def describe(text: str | None) -> list[float]:
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs(text) and the statistics, each a double."""
-    columns = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), *(f"stat_{s} double" for s in STATISTICS)])
+    """The columns ``keep`` of docs(text) and the statistics, each a double; a kept column called like a statistic gives way."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("quality_rules")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                values = np.array([describe(t.as_py()) for t in part.column(part.num_columns - 1)], np.float64).reshape(-1, len(STATISTICS))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(part.num_columns - 1)), *(pa.array(values[:, k]) for k in range(len(STATISTICS)))],
-                    names=[*keep, *(f"stat_{s}" for s in STATISTICS)],
-                )
+    def compute(texts: list[str | None]) -> list[list]:
+        return list(np.array([describe(t) for t in texts], np.float64).reshape(-1, len(STATISTICS)).T)
 
-    return columns.mapInArrow(run, schema)
+    return mapped(docs, keep, "text", ", ".join(f"stat_{s} double" for s in STATISTICS), compute, "quality_rules", 512)
 
 
 #: A rule: (statistic, whether its value must be above, bound) for each condition.
@@ -229,7 +218,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> RuleEnse
 
 
 def scored(docs: DataFrame, model: RuleEnsemble, keep: list[str]) -> DataFrame:
-    return statistics(docs, keep).select(*keep, model.column().alias("quality_score"))
+    """The columns ``keep`` of docs and quality_score, which takes the place of a kept column of its name."""
+    keep = kept_beside(keep, ["quality_score"])
+    plain = [f"kept_{i}" for i in range(len(keep))]
+    apart = docs.select(*(quoted(c).alias(p) for c, p in zip(keep, plain, strict=True)), F.col("text").alias("text"))
+    return statistics(apart, plain).select(*plain, model.column()).toDF(*keep, "quality_score")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
