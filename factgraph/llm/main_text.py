@@ -1,27 +1,29 @@
 """Operator 3: main text of web pages by tree scoring.
 
 A tolerant tokenizer builds the tree of block elements of a page. Elements that never hold the article (navigation,
-footers, forms, scripts and the like, and those whose class, id or role say so) are pruned. Each paragraph gives
-points for its length and commas to its container, half of them to the container above and a sixth to the next;
-containers are discounted by the share of their text that stands in links. The best container is raised to the
-``article`` or ``main`` around it, and neighbours with points enough, or paragraphs of prose, are kept with it.
+footers, forms, scripts and the like) are pruned, and so are those whose class or id name a part beside it, unless
+they stand around an ``article`` or ``main`` element; within one, a name counts only if it is exact or most of the text
+stands in links. Each paragraph gives points for its length and commas to its container, half of them to the container
+above and a sixth to the next; containers are discounted by the share of their text that stands in links. The best
+container is raised to the ``article`` or ``main`` around it, and neighbours with points enough, or paragraphs of
+prose, are kept with it. Only where there is no such element are lists and tables of links taken for menus. Lengths
+and choices are handed along the tree once, so the time is in proportion to the page however deep it nests.
 
 Rows: null or empty html, and pages without text outside pruned elements, give an empty text; pages of any length
 are read whole; unclosed, wrongly nested and cut-off markup is read as browsers do, as far as blocks go. Rows are
-independent, so ties, repeated rows and an empty table need no rule. Other columns are ignored.
+independent, so repeated rows and an empty table need no rule; of containers with equal points the first wins. Other
+columns are ignored, and a kept column called main_text gives way to the result.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import table
+from factgraph.llm.common import mapped, table
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset(
@@ -30,7 +32,7 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head embed applet map".split())
+SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title embed applet".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("nav footer aside form dialog menu button fieldset label input".split())
@@ -42,12 +44,28 @@ _BESIDE = re.compile(
     r"share|sharing|social|related|recommend\w*|login|signup|register|widgets?|pagination|pager|toolbar|hidden|alert|tags|skip|legal|copyright|disclaimer)(?:$|[\s_\-])",
     re.I,
 )
+#: Names that mean such a part even within the article and around articles (of readers, say).
+_EXACT = frozenset(
+    "ad ads advert advertisement adsbygoogle sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer "
+    "share sharing share-buttons social social-share comments comment-list commentlist comments-area disqus related related-posts related-articles "
+    "recommended newsletter newsletter-signup subscribe cookie-banner cookie-notice consent popup modal pagination pager widget login signup".split()
+)
 _ABSENT = re.compile(r"(?:^|(?<=\s))(?:no|not|has|with|without)-[\w\-]+")
 _HEADER = re.compile(r"(?:^|[\s_\-])(?:header|head|masthead|site-header|page-header)(?:$|[\s_\-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_\-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry)(?:$|[\s_\-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: A quote opens a value only directly after the equals sign; elsewhere it is a character like any other.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>=][^\s>]*|))*+)(?:>|\Z)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _SPACE = re.compile(r"\s+")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_CELLS = frozenset("td th caption table".split())
+_TABLE = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
+#: What a start tag ends: the open elements of the first set, up to one of the second.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dd": ({"dd", "dt"}, {"dl"}),
@@ -59,16 +77,20 @@ _CLOSES = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Elements that end without an end tag where one of the next kind begins or their parent ends.
-_IMPLIED = frozenset().union(*(these for these, _ in _CLOSES.values()))
+ALWAYS, BY_NAME = 1, 2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "pruned", "weight", "points", "length", "linked", "attributes")
+    """A block element. ``tag`` is what it stands for, ``name`` how it is closed, ``beside`` why it may be no part of the article."""
 
-    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.children, self.attributes = tag, parent, [], attributes
-        self.pruned, self.weight, self.points, self.length, self.linked = False, 0.0, 0.0, 0, 0
+    __slots__ = ("tag", "name", "parent", "children", "beside", "exact", "inside", "holds", "gone", "weight", "points", "length", "linked")
+
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag = self.name = tag
+        self.parent, self.children = parent, []
+        self.beside, self.exact, self.holds, self.gone = 0, False, False, False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.weight, self.points, self.length, self.linked = 0.0, 0.0, 0, 0
 
 
 class Paragraph:
@@ -81,58 +103,44 @@ class Paragraph:
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
 
 
 def _judge(node: Node, raw: str) -> None:
-    """Whether the element stands beside the article, and what its names are worth."""
+    """Whether the element may stand beside the article, and what its names are worth."""
     tag = node.tag
-    if tag in SKIPPED or tag in NEVER:
-        node.pruned = True
+    if tag in ("html", "body"):
+        return
+    if tag in NEVER or tag == "header" and not node.inside:
+        node.beside = ALWAYS
+        return
+    if "=" not in raw and "hidden" not in raw:
+        return
+    at = _attributes(raw)
+    names = _ABSENT.sub(" ", f"{at.get('class', '')} {at.get('id', '')}")
+    role = at.get("role", "").lower()
+    if role in ROLES or "hidden" in at or at.get("aria-hidden") == "true" or _UNSEEN.search(at.get("style", "")):
+        node.beside = ALWAYS
         return
-    inside = tag in ("article", "main", "body", "html")
-    if "=" in raw or "hidden" in raw:
-        at = _attributes(raw)
-        names = _ABSENT.sub(" ", f"{at.get('class', '')} {at.get('id', '')}")
-        role = at.get("role", "").lower()
-        if role in ROLES or "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), re.I):
-            node.pruned = True
-            return
-        if role in ("main", "article"):
-            inside = True
-        if not inside and _BESIDE.search(names):
-            node.pruned = True
-            return
-        if _GOOD.search(names):
-            node.weight = 25.0
-        if _HEADER.search(names) and tag not in ("h1", "h2", "h3") and not _within_article(node):
-            node.pruned = True
-            return
-        if role in ("main", "article"):
-            node.tag = role
-    if tag == "header" and not _within_article(node):
-        node.pruned = True
-
-
-def _within_article(node: Node) -> bool:
-    at = node.parent
-    while at is not None:
-        if at.tag in ("article", "main"):
-            return True
-        at = at.parent
-    return False
-
-
-def _open(node: Node, tag: str) -> bool:
-    while node is not None and node.tag != tag and node.attributes != tag:
-        node = node.parent
-    return node is not None
-
-
-def parse(page: str) -> list[Paragraph]:
-    """The paragraphs outside pruned elements, in page order; their parents carry the tree."""
+    if role in ("main", "article"):
+        node.tag = role
+    if node.tag in ("article", "main"):
+        return
+    if _BESIDE.search(names) or (_HEADER.search(names) and tag not in _HEADINGS and not node.inside):
+        node.beside = BY_NAME
+        node.exact = not _EXACT.isdisjoint(names.lower().replace("_", "-").split())
+    elif _GOOD.search(names):
+        node.weight = 25.0
+
+
+def parse(page: str) -> tuple[list[Paragraph], list[Node]]:
+    """The paragraphs of a page in page order, and its blocks, parents first."""
     root = Node("#root", None)
-    here, links, found = root, 0, []
+    here, links, found, nodes = root, 0, [], [root]
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = [0]
 
@@ -143,128 +151,154 @@ def parse(page: str) -> list[Paragraph]:
         parts.clear()
         linked[0] = 0
 
-    at, end, pruned_until = 0, len(page), None
-    depth: list[str] = []
+    def leave(node: Node) -> None:
+        """Close node and what is open within it."""
+        nonlocal here
+        while here is not node:
+            opened[here.name] -= 1
+            here = here.parent
+        opened[here.name] -= 1
+        here = here.parent
+
+    at, end = 0, len(page)
+    skipping: list[str] = []  # an element whose content is no text, and what is open within it
+    inline = False
     for token in _TOKEN.finditer(page):
         if token.start() < at:
             continue
-        if token.start() > at and pruned_until is None:
+        if token.start() > at and not skipping:
             piece = page[at : token.start()]
             parts.append(piece)
             if links:
                 linked[0] += len(piece)
         at = token.end()
-        name = token[2] or token[5]
-        if not name:
-            if token[0].startswith("<![CDATA[") and pruned_until is None:
+        if not token[2]:
+            if token[0].startswith("<![CDATA[") and not skipping:
                 parts.append(token[0][9:].removesuffix("]]>"))
             continue
-        tag, closing = name.lower(), bool(token[1] or token[4])
-        if not closing and tag in RAW and not (token[3] or "").endswith("/"):
+        tag, closing, raw = token[2].lower(), bool(token[1]), token[3]
+        if not closing and tag in RAW and not raw.endswith("/"):
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
-            if tag != "noframes" and tag not in BLOCKS:
-                continue
-        if pruned_until == "p" and tag in BLOCKS and (not closing or tag != "p"):
-            pruned_until = None  # a paragraph ends where another block begins or its container ends
-        if pruned_until in _IMPLIED:  # depth: the pruned element and the blocks open within it
-            if tag not in BLOCKS or tag == "hr":
+            if tag not in BLOCKS:
                 continue
-            these, until = _CLOSES.get(tag, ((), ()))
-            if closing and tag in depth:
-                while depth.pop() != tag:
+        if skipping:
+            if closing and tag in skipping:
+                while skipping.pop() != tag:
                     pass
-                if not depth:
-                    pruned_until = None
                 continue
-            if pruned_until in these and not until.intersection(depth) if not closing else _open(here, tag):
-                pruned_until = None  # the next one begins, or the parent ends
-            else:
-                if not closing:
-                    depth.append(tag)
+            if not (tag in BLOCKS and (inline or closing and opened.get(tag))):
+                if not closing and (tag in BLOCKS or tag == skipping[0]) and tag not in VOID and not raw.endswith("/"):
+                    skipping.append(tag)
                 continue
-        if pruned_until is not None:  # inside a pruned element: wait for its end
-            if tag == pruned_until and tag not in VOID:
-                if closing:
-                    depth.pop()
-                elif not (token[3] or "").endswith("/") or tag not in ("svg", "math"):
-                    depth.append(tag)
-                if not depth:
-                    pruned_until = None
-            continue
+            skipping.clear()  # a named inline element ends with its block, any with the block around it
         if tag == "a":
             links = 0 if closing else 1
             continue
         if tag == "br":
             parts.append("\n")
             continue
-        if tag in VOID and tag not in ("hr",):
+        if tag in VOID and tag != "hr":
             continue
-        if tag in SKIPPED or (tag in NEVER and tag not in BLOCKS):
-            if not closing and not (token[3] or "").endswith("/"):
-                if tag not in ("label", "input", "map"):
-                    pruned_until, depth = tag, [tag]
+        if tag in SKIPPED or tag == "button":
+            if not closing and not raw.endswith("/"):
+                skipping, inline = [tag], False
             continue
         if tag not in BLOCKS:
-            if not closing and "=" in (token[3] or ""):  # inline, but named as something beside the article
-                probe = Node("span", here)
-                _judge(probe, token[3] or "")
-                if probe.pruned and tag in ("span", "ins", "section", "amp-ad"):
-                    pruned_until, depth = tag, [tag]
+            if not closing and tag in ("span", "ins", "amp-ad") and "=" in raw:
+                probe = Node(tag, here)
+                _judge(probe, raw)
+                if probe.beside == ALWAYS or probe.beside and (probe.exact or not probe.inside):
+                    skipping, inline = [tag], True
             continue
         close_block()
         links = 0
         if closing:
-            up = here
-            while up is not root and up.tag != tag and not (up.attributes == tag):
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if opened.get(tag):
+                up = here
+                while up.name != tag and (up.name not in _CELLS or tag in _TABLE):
+                    up = up.parent
+                if up.name == tag:
+                    leave(up)
             continue
         if tag == "hr":
             continue
-        if here.tag == "p" and tag not in ("span",):
-            here = here.parent
+        if here.name == "p":
+            leave(here)
         if tag in _CLOSES:
             these, until = _CLOSES[tag]
-            up = here
-            while up is not root and up.tag not in until:
-                if up.tag in these:
-                    here = up.parent
-                up = up.parent
+            if any(map(opened.get, these)):
+                up, last = here, None
+                while up is not root and up.name not in until:
+                    if up.name in these:
+                        last = up
+                        if tag not in _TABLE:
+                            break
+                    elif tag not in _TABLE and up.name not in ("div", "p", "address"):
+                        break
+                    up = up.parent
+                if last is not None:
+                    leave(last)
         if tag in ("body", "html") and here is not root:
             continue
-        node = Node(tag, here, tag)
-        _judge(node, token[3] or "")
-        if node.pruned:
-            pruned_until, depth = tag, [tag]
-            continue
+        node = Node(tag, here)
+        _judge(node, raw)
         here.children.append(node)
+        nodes.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
         here = node
-    if at < end and pruned_until is None:
-        tail = page[at:]
-        cut = re.search(r"<(?:[a-zA-Z/!?][^<]*)?\Z", tail)  # markup that was cut off
-        parts.append(tail[: cut.start()] if cut else tail)
+    if at < end and not skipping:
+        parts.append(page[at:].removesuffix("<"))
         if links:
             linked[0] += len(parts[-1])
     close_block()
-    return found
+    return found, nodes
+
+
+def _measured(blocks: list[Paragraph], nodes: list[Node]) -> None:
+    """Lengths of text and of linked text of all blocks that are not gone, each paragraph counted once and sums handed up."""
+    for node in nodes:
+        node.length = node.linked = 0
+    for b in blocks:
+        if not b.parent.gone:
+            b.parent.length += len(b.text)
+            b.parent.linked += b.linked
+    for node in reversed(nodes):
+        if node.parent is not None and not node.gone:
+            node.parent.length += node.length
+            node.parent.linked += node.linked
+
+
+def _pruned(nodes: list[Node]) -> None:
+    """Marks what stands beside the article as gone: what is so by its kind; what is named so, but for parts around an
+    article or main element; and within an article only by an exact name or where links make most of the text."""
+    for node in reversed(nodes):
+        if node.tag == "form" and node.holds:  # around the whole page
+            node.beside = 0
+        if node.parent is not None and node.beside != ALWAYS and (node.holds or node.tag in ("article", "main")):
+            node.parent.holds = True
+    for node in nodes:
+        beside = node.beside == ALWAYS
+        if node.beside == BY_NAME:
+            if node.inside:
+                beside = node.tag not in _HEADINGS and (node.exact or node.linked > 0.5 * node.length)
+            else:
+                beside = node.exact or not node.holds
+        node.gone = beside or (node.parent is not None and node.parent.gone)
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, one line a block."""
-    blocks = parse(page or "")
+    blocks, nodes = parse(page or "")
+    _measured(blocks, nodes)
+    _pruned(nodes)
+    _measured(blocks, nodes)
+    blocks = [b for b in blocks if not b.parent.gone]
     if not blocks:
         return ""
-    for b in blocks:
-        node = b.parent
-        while node is not None:
-            node.length += len(b.text)
-            node.linked += b.linked
-            node = node.parent
     candidates: dict[int, Node] = {}
     for b in blocks:
-        if b.parent.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "caption", "figcaption"):
+        if b.parent.tag in _HEADINGS or b.parent.tag in ("caption", "figcaption"):
             continue
         free = len(b.text) - b.linked
         if free < 20:
@@ -279,59 +313,32 @@ def main_text(page: str | None) -> str:
                 holder.points += holder.weight + {"article": 30, "main": 20, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3}.get(holder.tag, 0)
             holder.points += points * share
             holder = holder.parent
-    scored = [(n.points * (1 - n.linked / max(1, n.length)), n) for n in candidates.values()]
-    if not scored:
-        chosen = {id(_root(blocks[0].parent))}
-    else:
-        best_points, best = max(scored, key=lambda x: x[0])
-        node = best
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        best = node or best
-        chosen = {id(best)}
-        if best.parent is not None:
-            least = max(10.0, best_points * 0.2)
-            points = {id(n): p for p, n in scored}
-            for near in best.parent.children:
-                if near is best:
-                    continue
-                density = near.linked / max(1, near.length)
-                if points.get(id(near), 0) >= least and near.tag not in ("li", "td", "tr"):
-                    chosen.add(id(near))
-                elif near.tag == "p" and density < 0.25 and near.length > 80 and best.tag not in ("article", "main"):
-                    chosen.add(id(near))
-    kept = []
-    for b in blocks:
-        node = b.parent
-        while node is not None and id(node) not in chosen:
-            if node.tag in ("ul", "ol", "dl", "table") and node.length and node.linked / node.length > 0.8 and len(node.children) > 2:
-                node = None  # a list of links within the article
-                break
-            node = node.parent
-        if node is not None:
-            kept.append(b.text)
-    return "\n".join(kept)
-
-
-def _root(node: Node) -> Node:
-    while node.parent is not None:
-        node = node.parent
-    return node
+    scored = {k: n.points * (1 - n.linked / max(1, n.length)) for k, n in candidates.items()}
+    best = nodes[0]
+    if scored:
+        best = candidates[max(scored, key=scored.__getitem__)]
+        least = max(10.0, scored[id(best)] * 0.2)
+        while best.inside and best.tag not in ("article", "main"):
+            best = best.parent
+    whole = best.tag in ("article", "main")
+    chosen = {id(best)}
+    if scored and best.parent is not None:
+        for near in best.parent.children:
+            if scored.get(id(near), 0) >= least and near.tag not in ("li", "td", "tr"):
+                chosen.add(id(near))
+            elif near.tag == "p" and near.linked < 0.25 * near.length and near.length > 80 and not whole:
+                chosen.add(id(near))
+    kept: set[int] = set()
+    for node in nodes:
+        menu = not whole and node.tag in ("ul", "ol", "dl", "table") and len(node.children) > 2 and node.linked > 0.8 * node.length
+        if id(node) in chosen or node.parent is not None and id(node.parent) in kept and not menu:
+            kept.add(id(node))
+    return "\n".join(b.text for b in blocks if id(b.parent) in kept)
 
 
 def extracted(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of pages(html) and main_text."""
-    columns = pages.select(*keep, F.col("html").cast("string").alias("__html"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), "main_text string"])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = pa.array([main_text(h.as_py()) for h in part.column(part.num_columns - 1)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), texts], names=[*keep, "main_text"])
-
-    return columns.mapInArrow(run, schema)
+    """The columns ``keep`` of pages(html) and main_text, which takes the place of a kept column of its name."""
+    return mapped(pages, keep, "html", "main_text string", lambda pages_: [[main_text(p) for p in pages_]], "main_text")
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,9 +34,12 @@ def test_main_text():
 
 
 def test_main_text_rows(spark):
-    df = spark.createDataFrame([(1, "u", PAGE), (2, None, None)], "page_id long, url string, html string").withColumn("main_text0", F.lit(1))
-    got = {r.page_id: r.main_text for r in main_text.extracted(df, ["page_id", "url"]).collect()}
+    df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("main_text", F.lit(1))
+    out = main_text.extracted(df, ["page_id", "url", "main_text"])
+    got = {r.page_id: r.main_text for r in out.collect()}
+    assert out.columns == ["page_id", "url", "main_text"] and out.count() == 3
     assert got[2] == "" and got[1].startswith("Title\n")
+    assert main_text.extracted(df.limit(0), ["page_id"]).count() == 0
 
 
 # ---- 5 ----------------------------------------------------------------------------------------------------------
