@@ -10,7 +10,8 @@ response, the others are revisits of it; shorter payloads always make responses.
 
 Rows: null html is an empty payload; rows with equal page_ids are kept (of those with the largest page_id of their
 payload all are responses); a null page_id counts as smallest. An empty table gives an empty archive. Other columns
-are ignored; a null url leaves the header field out.
+are ignored; a null url leaves the header field out. Control characters of a url are percent-encoded in the header;
+``records`` keeps the url as it came in a column of its own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Workspace, table
+from factgraph.llm.common import Workspace, lean, table
 
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -34,7 +35,7 @@ def _record_header(kind: Column, page: Column, url: Column, sha1: Column, length
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: "), name(page)),
-        F.concat(F.lit("WARC-Target-URI: "), url),
+        F.concat(F.lit("WARC-Target-URI: "), _in_one_line(url)),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), sha1),
         F.when(kind == "revisit", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -45,6 +46,13 @@ def _record_header(kind: Column, page: Column, url: Column, sha1: Column, length
     )
 
 
+def _in_one_line(url: Column) -> Column:
+    """url with its control characters percent-encoded, so that it can neither end the field nor begin another."""
+    control = r"[\x00-\x1F\x7F]"
+    escaped = F.concat_ws("", F.transform(F.split(url, ""), lambda c: F.when(c.rlike(control), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)))
+    return F.when(url.rlike(control), escaped).otherwise(url)
+
+
 def _http_header(length: Column) -> Column:
     return F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), length.cast("string"), F.lit(CRLF + CRLF))
 
@@ -53,8 +61,9 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     """Write pages(page_id, url, html) as an archive below ``path``.
 
     One exchange gathers the payloads: the first aggregation keeps one copy of equal bytes in each task before the
-    shuffle, so a payload shared by many pages does not travel once for each. Records are joined to their payload's
-    largest page_id on the 32-byte address alone.
+    shuffle, so a payload shared by many pages does not travel once for each. That equal addresses mean equal payloads
+    is checked by their lengths and a second digest. Records of payloads long enough for revisits are joined to their
+    payload's largest page_id on the 32-byte address alone; the shorter ones, however many share one, meet no join.
     """
     read = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -62,27 +71,33 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("sha256", F.sha2("payload", 256))
     facts = read.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+    mark = F.concat_ws(":", F.octet_length("payload").cast("string"), F.sha1("payload"))
     store = (
         read.groupBy("sha256")
-        .agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n_records"), F.min("payload").alias("low"), F.max("payload").alias("high"))
+        .agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("n_records"), F.min(mark).alias("low"), F.max(mark).alias("high"))
         .select("sha256", F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads with one digest"))).alias("payload"), "n_records")
     )
-    store.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    heads = facts.where(F.col("bytes") >= revisit_bytes).groupBy("sha256").agg(F.max("page_id").alias("head"))
-    joined = facts.join(heads, "sha256", "left")
-    again = (F.col("bytes") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("head"))
+    with lean(pages.sparkSession):
+        store.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    long = facts.where(F.col("bytes") >= revisit_bytes)
+    heads = long.groupBy("sha256").agg(F.max("page_id").alias("head"))
+    joined = long.join(heads, "sha256").unionByName(facts.where(F.col("bytes") < revisit_bytes).withColumn("head", F.col("page_id")))
+    again = ~F.col("page_id").eqNullSafe(F.col("head"))
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
     records = joined.select(
         "page_id",
         "sha256",
         _record_header(kind, F.col("page_id"), F.col("url"), F.col("sha1"), F.col("bytes"), F.col("head")).alias("warc_header"),
         _http_header(F.col("bytes")).alias("http_header"),
+        "url",
     )
-    records.write.option("compression", "zstd").parquet(f"{path}/records")
+    with lean(pages.sparkSession):
+        records.write.option("compression", "zstd").parquet(f"{path}/records")
 
 
 def _field(name: str) -> Column:
-    return F.nullif(F.regexp_extract("warc_header", f"(?m)^{name}: (.*)$", 1), F.lit(""))
+    """Value of a field of the header block; every field but the last ends where the next line begins."""
+    return F.nullif(F.regexp_extract("warc_header", f"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
 
 def archive_index(spark: SparkSession, path: str) -> DataFrame:
