@@ -3,27 +3,30 @@
 The items' words, as numbers, go into one generalised suffix automaton (Blumer et al. 1985). Streaming a document's
 words through it keeps, at every word, the longest suffix read so far that occurs in some item; a length of
 ``window`` or more means that the last ``window`` words are a window of an item. Items shorter than the window are
-one window each. The automaton is held by each task; ``ITEMS_BYTES`` bounds the item text of one automaton, and
-larger benchmarks are worked off as several automata over the same documents.
+one window each. ``ITEMS_BYTES`` bounds the item text of one automaton, which tasks build from that text and hold; larger benchmarks are worked off as several automata over the same documents, one after the other.
 
-Rows: null or empty texts have no words and no hits; null items have no window. Repeated items count once per
-item_id. Other columns of the input are ignored unless ``keep`` asks for them; results are named apart from them.
+Rows: null or empty texts have no words and no hits; null items have no window; an item with a null item_id hits words
+but is named by nothing. Repeated items count once per item_id, repeated documents are documents of their own, and
+spans that overlap or touch are one. Empty tables give no rows and no hits. Other columns of the input are ignored
+unless ``keep`` asks for them; a kept column that bears a result's name gives way to it.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import claim, table
+from factgraph.llm.common import Workspace, claim, kept_beside, mapped, named_apart, quoted, table
 
 WINDOW = 13
-ITEMS_BYTES = 16 << 20
+#: Item text of one automaton, which takes some hundred times as much memory.
+ITEMS_BYTES = 1 << 20
 
 #: Bytes that separate words become blanks, A-Z become a-z; digits, letters and all bytes of other characters stay.
 _WORDS = bytes(i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
@@ -52,8 +55,10 @@ class SuffixAutomaton:
             if 0 < len(ids) < window:
                 self.shortest = min(self.shortest, len(ids))
         for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] > 0:
+            if self.length[self.link[state]] >= window:  # items are asked for at the shortest such suffix
                 self.own[self.link[state]] |= self.own[state]
+            elif self.length[state] < window:
+                self.own[state] = set()
         for k, (_, text) in enumerate(items):  # the state of each short item, by the item's length
             if 0 < len(text) < window:
                 state = 0
@@ -155,63 +160,100 @@ class SuffixAutomaton:
         return hits, items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW) -> list[SuffixAutomaton]:
-    """The automata of a benchmark(item_id, text): one for each ITEMS_BYTES of item text."""
-    parts, size = [[]], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        text = words(row["text"])
-        if size and size + len(row["text"] or "") > ITEMS_BYTES:
-            parts.append([])
-            size = 0
-        size += len(row["text"] or "")
+def item_groups(benchmark: DataFrame, most: int | None = None) -> Iterator[list[tuple[str | None, str]]]:
+    """The items (id as string, text) of a benchmark(item_id, text) in groups of at most ``most`` characters of text, or of one item."""
+    most = ITEMS_BYTES if most is None else most
+    group, size = [], 0
+    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
+        text = row["text"] or ""
+        if group and size + len(text) > most:
+            yield group
+            group, size = [], 0
+        size += len(text)
         if text:
-            parts[-1].append((row["item_id"], text))
-    return [SuffixAutomaton(p, window) for p in parts if p]
+            group.append((row["item_id"], text))
+    if group:
+        yield group
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of docs and n_words, n_hit, hit_spans (array of from, to in words) and hit_items.
+_machines: dict[str, SuffixAutomaton] = {}
 
-    n_hit counts words inside any occurrence of a window; hit_items are the item_ids, as strings in order.
+
+def _machine(key: str, items: list[tuple[str | None, str]], window: int) -> SuffixAutomaton:
+    """The automaton of a group, built once in each worker, which keeps one."""
+    if key not in _machines:
+        _machines.clear()
+        _machines[key] = SuffixAutomaton([(name, words(text)) for name, text in items], window)
+    return _machines[key]
+
+
+RESULTS = ("n_words", "n_hit", "hit_spans", "hit_items")
+
+
+def _scan(docs: DataFrame, keep: list[str], group: list, window: int, names: tuple[str, ...]) -> DataFrame:
+    known = docs.sparkSession.sparkContext.broadcast(group)  # at most ITEMS_BYTES of text
+    key = uuid.uuid4().hex
+
+    def compute(texts: list[str | None]) -> list[list]:
+        claim("decontaminate", _machines.clear)
+        machine = _machine(key, known.value, window)
+        totals, spans, items = [], [], []
+        for text in texts:
+            got = words(text)
+            marks, which = machine.scan(got)
+            totals.append(len(got))
+            spans.append([list(m) for m in marks])
+            items.append(sorted({machine.names[k] for k in which} - {None}))
+        return [totals, [sum(b - a for a, b in s) for s in spans], spans, items]
+
+    kinds = zip(names, ("long", "long", "array<array<int>>", "array<string>"), strict=True)
+    return mapped(docs, keep, "text", ", ".join(f"`{n}` {k}" for n, k in kinds), compute, "decontaminate")
+
+
+def _joined_spans(spans: Column) -> Column:
+    """Spans of several groups as spans apart and in order."""
+    start = F.array().cast("array<array<int>>")
+
+    def add(done: Column, span: Column) -> Column:
+        last = F.element_at(done, -1)
+        meets = (F.size(done) > 0) & (F.try_element_at(last, F.lit(2)) >= span[0])
+        return F.when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], span[1]))))).otherwise(F.concat(done, F.array(span)))
+
+    return F.aggregate(F.array_sort(F.flatten(spans)), start, add)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """The columns ``keep`` of docs and n_words, n_hit, hit_spans (array of from, to in words) and hit_items, or as
+    ``names`` call them; a kept column that bears one of these names gives way to the result.
+
+    n_hit counts words inside any occurrence of a window; hit_items are the item_ids, as strings in order. A benchmark
+    beyond ITEMS_BYTES is worked off group by group: the documents are written once with a number for each row, every
+    group gives the rows it hits, and these are united by number, so that no task holds more than one automaton.
     """
     keep = ["doc_id"] if keep is None else keep
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(automata(benchmark, window))  # bounded by ITEMS_BYTES each
-    columns = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    kind = "n_words long, n_hit long, hit_spans array<array<int>>, hit_items array<string>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1]), kind])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("decontaminate")
-        machines = known.value
-        for batch in batches:
-            totals, hit, spans, names = [], [], [], []
-            for text in batch.column(batch.num_columns - 1):
-                got = words(text.as_py())
-                marks, items = [], set()
-                for machine in machines:
-                    more, which = machine.scan(got)
-                    marks += more
-                    items |= {str(machine.names[k]) for k in which}
-                merged: list[list[int]] = []
-                for a, b in sorted(marks):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                totals.append(len(got))
-                hit.append(sum(b - a for a, b in merged))
-                spans.append(merged)
-                names.append(sorted(items))
-            out = [pa.array(totals, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *out], names=[*keep, "n_words", "n_hit", "hit_spans", "hit_items"])
-
-    return columns.mapInArrow(run, schema)
-
-
-def is_contaminated(cover: int = 20):
+    groups = item_groups(benchmark)
+    first, second = next(groups, []), next(groups, None)
+    if second is None:
+        return _scan(docs, keep, first, window, names)
+    work = Workspace(docs.sparkSession, "decontamination")
+    keep = kept_beside(keep, list(names))
+    plain = [f"c{i}" for i in range(len(keep))]
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), *(quoted(c).alias(p) for c, p in zip(keep, plain, strict=True)), F.col("text").cast("string").alias("text"))
+    docs = work.keep(docs, "documents")
+    found = None
+    for i, group in enumerate(chain([first, second], groups)):
+        part = work.keep(_scan(docs, ["row"], group, window, RESULTS).where(F.size("hit_spans") > 0).drop("n_hit", "n_words"), f"hits-{i}")
+        found = part if found is None else found.union(part)
+    united = found.groupBy("row").agg(_joined_spans(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    counted = _scan(docs, ["row", *plain], [], window, RESULTS).select("row", *plain, "n_words").join(united, "row", "left")
+    spans, items = F.coalesce("hit_spans", F.array().cast("array<array<int>>")), F.coalesce("hit_items", F.array().cast("array<string>"))
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return counted.select(*plain, "n_words", hit, spans, items).toDF(*keep, *names)
+
+
+def is_contaminated(cover: int = 20, n_words: str = "n_words", n_hit: str = "n_hit") -> Column:
     """Hit words make at least a ``cover``-th of all words."""
-    return (F.col("n_hit") > 0) & (F.lit(cover) * F.col("n_hit") >= F.col("n_words"))
+    return (quoted(n_hit) > 0) & (F.lit(cover) * quoted(n_hit) >= quoted(n_words))
 
 
 def without_spans(text: str, spans: list[list[int]], longer: int = WINDOW, cover: float = 0.05) -> str:
@@ -233,23 +275,26 @@ def without_spans(text: str, spans: list[list[int]], longer: int = WINDOW, cover
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = 20) -> DataFrame:
-    """docs without the contaminated ones; the others as they were."""
-    found = contamination(docs, benchmark, window, keep=[*docs.columns])
-    return found.where(~is_contaminated(cover)).select(*docs.columns)
+    """docs without the contaminated ones; the others as they were, whatever their columns are called."""
+    names = tuple(named_apart(docs.columns, n) for n in RESULTS)
+    found = contamination(docs, benchmark, window, [*docs.columns], names)
+    return found.where(~is_contaminated(cover, names[0], names[1])).select(*map(quoted, docs.columns))
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, longer: int = WINDOW, cover: float = 0.05) -> DataFrame:
-    """All docs, benchmark passages cut out of their texts."""
-    names = [*docs.columns]
-    found = contamination(docs, benchmark, window, keep=names)
+    """All docs with all their columns, benchmark passages cut out of their texts."""
+    names = tuple(named_apart(docs.columns, n) for n in RESULTS)
+    columns = docs.columns
+    place = columns.index("text")
+    found = contamination(docs, benchmark, window, columns, names).select(*map(quoted, columns), quoted(names[2]))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index("text")
-            texts = [t if t is None or not s else without_spans(t, s, longer, cover) for t, s in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(batch.num_columns - 1)], names=names)
+            spans = batch.column(len(columns)).to_pylist()
+            texts = [t if t is None or not s else without_spans(t, s, longer, cover) for t, s in zip(batch.column(place).to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(columns))], names=columns)
 
-    return found.select(*names, F.col("hit_spans").alias("__spans")).mapInArrow(cut, docs.schema)
+    return found.mapInArrow(cut, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
