@@ -6,12 +6,17 @@ gives whole epochs of all its documents. The rest of its target is filled by Efr
 replacement: each document draws -ln(u) / quality, u being fixed by its doc_id, and documents are taken in that order
 while their prefix sum stays within the rest; the document at the border is taken if that comes nearer the target.
 
-Prefix sums need no sort of a whole source: keys fall into ``BINS`` bins, the sums of the bins are aggregated before
-the shuffle, and only the documents of the one bin in which a source's border lies are sorted.
+Prefix sums need no sort of a whole source: keys fall into ``BINS`` bins by their logarithm, so that the bins suit any
+level of quality weights, the sums of the bins are aggregated before the shuffle, the one bin in which a source's
+border lies is divided into ``FINE`` in the same way, and only the documents of one of these are sorted.
+
+Quality weights are a column of the caller's, ``weight`` (a classifier's score, say), or the default of ``quality``.
 
 Rows: null text has size 0 and is taken 0; null source is a source of its own, the last; null doc_id draws like any
-other id; equal rows are documents of their own. An empty table gives an empty mix. A source without words gets
-target 0. Other columns are kept by ``mixed_documents`` and ignored by ``mix_plan``.
+other id; equal rows are documents of their own, and of equal keys the smaller doc_id, then the shorter document comes
+first. A null, negative or zero weight is taken as the least positive one. An empty table gives an empty mix. A source
+without words gets target 0. Other columns are kept by ``mixed_documents``, whatever their names, and ignored by
+``mix_plan``.
 """
 
 from __future__ import annotations
@@ -21,12 +26,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Workspace, table
+from factgraph.llm.common import Workspace, quoted, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 BINS = 4096
+FINE = 65536
+#: Keys between exp(-LOGS) and exp(LOGS) have bins of their own.
+LOGS = 64.0
 #: So many rows of sources may be broadcast to the documents; more of them are joined by shuffle.
 SENT_SOURCES = 100_000
 SEED = "mix-1"
@@ -64,42 +72,89 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return named.select("source", "source_size", target.alias("target"))
 
 
-def mix_plan(docs: DataFrame, work: Workspace, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, bins: int = BINS, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs(doc_id, text, source)."""
+def _border(sums: DataFrame, goals: DataFrame, place: str, below: str) -> DataFrame:
+    """The goals with ``place`` (that of sums(source, place, n) in which the rest of the target ends, beyond the last
+    one if none, -1 if nothing is left to give) and what lies before it, counted on from goals' column ``before``."""
+    up_to = F.sum("n").over(Window.partitionBy("source").orderBy(place))
+    ends = sums.withColumn("end", up_to).withColumnRenamed("source", "__s").join(goals.select("source", "rest", "before"), F.col("__s").eqNullSafe(F.col("source")))
+    ends = ends.where("before + end - n <= rest and before + end > rest")
+    found = ends.groupBy(F.col("source").alias("__s")).agg(F.min(place).alias("__at"), F.min(F.col("before") + F.col("end") - F.col("n")).alias(below))
+    joined = goals.join(found, F.col("__s").eqNullSafe(F.col("source")), "left").drop("__s")
+    return joined.withColumn(place, F.coalesce("__at", F.when(F.col("rest") > 0, F.lit(1 << 30)).otherwise(F.lit(-1)))).drop("__at")
+
+
+def _planned(docs: DataFrame, work: Workspace, weights: tuple[float, ...], share: float, cap: float, bins: int, seed: str, weight: str | None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken."""
     text = F.col("text").cast("string")
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_size(text).alias("size"), F.coalesce(F.length(text), F.lit(0)).alias("chars"))
-    key = -F.log(draw(F.col("doc_id"), seed)) / quality(F.col("chars"), F.col("size"))
-    bin_ = F.least(F.lit(bins - 1), F.floor(F.lit(float(bins)) * (F.lit(1.0) - F.exp(-F.col("key") / 2)))).cast("int")
-    sized = work.keep(sized.withColumn("key", key).withColumn("bin", bin_), "sized")
+    sized = docs.select(
+        "doc_id",
+        F.col("source").cast("string").alias("source"),
+        text_size(text).alias("size"),
+        F.coalesce(F.length(text), F.lit(0)).alias("chars"),
+        (F.lit(None) if weight is None else quoted(weight)).cast("double").alias("weight"),
+    )
+    worth = quality(F.col("chars"), F.col("size")) if weight is None else F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-12))
+    key = -F.log(draw(F.col("doc_id"), seed)) / worth
+    sized = sized.withColumn("key", key).withColumn("place", F.lit(bins / (2 * LOGS)) * (F.least(F.greatest(F.log("key"), F.lit(-LOGS)), F.lit(LOGS)) + F.lit(LOGS)))
+    sized = sized.withColumn("bin", F.floor("place").cast("int")).withColumn("part", F.floor((F.col("place") - F.col("bin")) * FINE).cast("int"))
+    sized = work.keep(sized.select("doc_id", "source", "size", "key", "bin", "part"), "sized")
     per_bin = work.keep(sized.groupBy("source", "bin").agg(F.sum("size").alias("n")), "bins")
     goals = source_targets(per_bin.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goals = work.keep(goals.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goals")
-    up_to = F.sum("n").over(Window.partitionBy("source").orderBy("bin"))
-    borders = per_bin.withColumn("end", up_to).withColumnRenamed("source", "__s").join(goals, F.col("__s").eqNullSafe(F.col("source"))).where("end - n <= rest and end > rest")
-    borders = borders.groupBy("source").agg(F.min("bin").alias("border"), F.min(F.col("end") - F.col("n")).alias("below"))
-    goals = goals.join(borders.withColumnRenamed("source", "__s"), F.col("__s").eqNullSafe(F.col("source")), "left").drop("__s")
-    # sources without a border in their bins have nothing left to give: all their documents are below it or none is
-    border = F.coalesce(F.col("border"), F.when(F.col("rest") > 0, F.lit(bins)).otherwise(F.lit(-1)))
-    goals = work.keep(goals.withColumn("border", border).withColumnRenamed("source", "__s"), "borders")
-    goals = F.broadcast(goals) if goals.count() <= SENT_SOURCES else goals
-    placed = sized.join(goals, F.col("__s").eqNullSafe(F.col("source"))).drop("__s")
-    columns = ["doc_id", "size", "source_size", "target"]
-    clear = placed.where("bin <> border").select(*columns, ((F.col("epochs") + F.when(F.col("bin") < F.col("border"), 1).otherwise(0)) * F.col("size")).alias("taken"))
+    goals = goals.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("before", F.lit(0).cast("long"))
+    goals = _border(per_bin, work.keep(goals, "goals"), "bin", "below")
+    goals = work.keep(goals.drop("before").withColumnRenamed("bin", "__bin"), "borders")
+    few = goals.count() <= SENT_SOURCES
+
+    def beside(columns: list[str]) -> DataFrame:
+        known = goals.select(F.col("source").alias("__s"), *columns)
+        return sized.join(F.broadcast(known) if few else known, F.col("__s").eqNullSafe(F.col("source"))).drop("__s")
+
+    per_part = beside(["__bin"]).where("bin = __bin").groupBy("source", "part").agg(F.sum("size").alias("n"))
+    goals = _border(per_part, goals.withColumnRenamed("below", "before"), "part", "below")
+    goals = work.keep(goals.withColumnRenamed("part", "__part"), "parts")
+    placed = beside(["source_size", "target", "epochs", "rest", "__bin", "__part", "below"])
+    columns = ["doc_id", "source", "size", "source_size", "target"]
+    first = (F.col("bin") < F.col("__bin")) | ((F.col("bin") == F.col("__bin")) & (F.col("part") < F.col("__part")))
+    at_border = (F.col("bin") == F.col("__bin")) & (F.col("part") == F.col("__part"))
+    clear = placed.where(~at_border).select(*columns, ((F.col("epochs") + F.when(first, 1).otherwise(0)) * F.col("size")).alias("taken"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("below") + F.sum("size").over(order)
-    at = placed.where("bin = border").withColumn("end", end)
+    at = placed.where(at_border).withColumn("end", F.col("below") + F.sum("size").over(order))
     nearer = F.col("end") - F.col("rest") <= F.col("rest") - (F.col("end") - F.col("size"))
     more = F.when((F.col("end") <= F.col("rest")) | ((F.col("end") - F.col("size") < F.col("rest")) & nearer), 1).otherwise(0)
     edge = at.select(*columns, ((F.col("epochs") + more) * F.col("size")).alias("taken"))
     return clear.union(edge)
 
 
-def mixed_documents(docs: DataFrame, work: Workspace, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows must have doc_ids of their own. Documents without words stay out."""
-    plan = mix_plan(docs, work, weights, share, cap).where("taken > 0")
-    times = plan.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times")).withColumnRenamed("doc_id", "__id")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+def mix_plan(
+    docs: DataFrame, work: Workspace, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, bins: int = BINS, seed: str = SEED, weight: str | None = None
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of docs(doc_id, text, source); ``weight`` names a column of quality weights."""
+    return _planned(docs, work, weights, share, cap, bins, seed, weight).drop("source")
+
+
+def mixed_documents(docs: DataFrame, work: Workspace, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, weight: str | None = None) -> DataFrame:
+    """docs with each row as often as the mix takes it, all columns as they were. Documents without words stay out.
+
+    Rows that share a doc_id are told apart only where the border runs between them: those of one id, source and size
+    are then numbered on both sides, so that as many of them come as the plan takes.
+    """
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    size, times = (F.col("taken") / F.greatest("size", F.lit(1))).cast("int"), F.col("times")
+    plan = work.keep(_planned(docs, work, weights, share, cap, BINS, SEED, weight).select(F.col("doc_id").alias("id"), F.col("source").alias("src"), "size", size.alias("times")), "plan")
+    rows = docs.select(*(quoted(c).alias(p) for c, p in zip(names, plain, strict=True)), F.col("doc_id").alias("doc"), F.col("source").cast("string").alias("origin"), text_size(F.col("text").cast("string")).alias("words"))
+    by_id = plan.where("size > 0").groupBy("id").agg(F.min("times").alias("low"), F.max("times").alias("times"))
+    like = F.col("doc").eqNullSafe(F.col("id"))
+    alike = rows.where("words > 0").join(by_id.where("low = times and times > 0"), like).select(*plain, "times")
+    torn = work.keep(by_id.where("low < times").select("id"), "torn")
+    some = rows.where("words > 0").join(F.broadcast(torn) if torn.count() <= SENT_SOURCES else torn, like, "left_semi")
+    some = some.withColumn("k", F.row_number().over(Window.partitionBy("doc", "origin", "words").orderBy(F.monotonically_increasing_id())))
+    dealt = plan.join(torn.withColumnRenamed("id", "torn"), F.col("id").eqNullSafe(F.col("torn")), "left_semi")
+    dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("id", "src", "size").orderBy(F.desc("times"))))
+    again = some.join(dealt.where("times > 0"), like & F.col("origin").eqNullSafe(F.col("src")) & (F.col("words") == F.col("size")) & (F.col("k") == F.col("rank"))).select(*plain, "times")
+    every = alike.union(again)
+    return every.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*plain).toDF(*names)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
