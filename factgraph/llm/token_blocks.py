@@ -30,13 +30,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Workspace, claim, table
+from factgraph.llm.common import Workspace, claim, give_back, lean, table
 
 BLOCK = 128
 PERCENTILE = 90
 SEGMENT_TOKENS = 1 << 16
 MAGIC = b"PFB1"
-CACHED_WORDS = 500_000
+#: Bytes of known words and their ids a task may hold, and of text it encodes at a time (a longer document stands alone).
+CACHED_BYTES = 128 << 20
+BATCH_BYTES = 4 << 20
+#: What a word and its ids cost beside their own bytes.
+_ENTRY = 220
 
 
 # ---- encoding -------------------------------------------------------------------------------------------------
@@ -48,15 +52,15 @@ _AFTER_MARK = "([!-&(-/:-@\\[-`{-~])([A-Za-zÀ-ÖØ-öø-ÿ])"
 
 
 class _Recent(dict):
-    """Values by word; at each renewal beyond half of ``most``, those not asked for since the last one go."""
+    """Values by word; at each renewal beyond half of ``most`` bytes, those not asked for since the last one go."""
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.older = most, {}
+        self.most, self.held, self.older = most, 0, {}
 
     def renew(self) -> None:
-        if len(self) > self.most // 2:
-            self.older = dict(self)
+        if self.held > self.most // 2:
+            self.older, self.held = dict(self), 0
             self.clear()
 
     def recall(self, word: str) -> bytes | None:
@@ -81,16 +85,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        said = json.loads(self.tokenizer.to_str())
+        said, vocabulary = json.loads(self.tokenizer.to_str()), self.tokenizer.get_vocab()
         kinds = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
         self.letters = "Lowercase" in kinds and r"[\p{L}]+" in json.dumps(said["pre_tokenizer"]).replace("\\\\", "\\")
         self.model = self.tokenizer.model
         self.direct = self.letters and said["model"]["type"] == "BPE" and '"ByteLevel"' in json.dumps(said["pre_tokenizer"])
         suffix = said["model"].get("end_of_word_suffix") or "</w>"
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for piece, k in self.tokenizer.get_vocab().items():
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, k in vocabulary.items():
             self.ends[k] = piece.endswith(suffix)
-        self.words = _Recent(CACHED_WORDS)
+        self.words = _Recent(CACHED_BYTES)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -136,6 +140,7 @@ class WordEncoder:
         self._learn([kinds[i] for i in gaps if known.recall(kinds[i]) is None])
         for i in gaps:
             found[i] = known[kinds[i]]
+            known.held += _ENTRY + len(kinds[i]) + len(found[i])
         pool = np.frombuffer(b"".join(found), "<u4")
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size
@@ -244,6 +249,17 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
 # ---- the operator ---------------------------------------------------------------------------------------------
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows whose texts (column 1) hold BATCH_BYTES, or of one row."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.float64)))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0.0
+        stop = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode docs(doc_id, text) and write the segments to ``path``.
 
@@ -257,11 +273,10 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
     cuts = np.array(sorted(set(cuts)), dtype=np.float64)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("token_blocks", _encoders.clear)
-        words = encoder(tokenizer)
+        claim("token_blocks")
+        words = WordEncoder(tokenizer)  # of this task alone
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in _slices(batch):
                 ids, texts = part.column(0), part.column(1)
                 key = np.searchsorted(cuts, np.array([float("-inf") if x is None else x for x in ids.to_pylist()], np.float64), side="left")
                 values = words.encode_batch([t or "" for t in texts.to_pylist()])
@@ -269,6 +284,9 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
                 kinds = ["<u4" if w else "<u2" for w in wide]
                 raw = [v.astype(k).tobytes() + np.array([end_id], k).tobytes() for v, k in zip(values, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), ids, pa.array(wide, pa.bool_()), pa.array(raw, pa.binary())], names=["part", "doc_id", "wide", "ids"])
+                del ids, texts, values, raw, part
+        del words
+        give_back()
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, held, ids, counts, size = None, 0, [], [], [], 0
@@ -299,7 +317,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
 
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "part int, doc_id long, wide boolean, ids binary")
     dealt = encoded.repartition(ranges, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids")
-    dealt.mapInArrow(pack, "part int, start long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
+    with lean(spark):
+        dealt.mapInArrow(pack, "part int, start long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
