@@ -32,8 +32,13 @@ ITEMS_BYTES = 1 << 20
 _WORDS = bytes(i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
 
 
+def plain(text: str | None) -> bytes:
+    """The words of a text in small letters with blanks between them."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
+
+
 def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+    return plain(text).split()
 
 
 class SuffixAutomaton:
