@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Workspace, claim, connected_components, table
+from factgraph.llm.common import Workspace, claim, connected_components, quoted, table
 
 RARE = 16
 SMALL = 8
@@ -449,7 +449,7 @@ def one_of_each_group(docs: DataFrame, work: Workspace, words: int = 5, num: int
     """docs less those in whose group a smaller doc_id stands; of repeated doc_ids each row stays."""
     groups = jaccard_groups(docs, work, words, num, den)
     gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

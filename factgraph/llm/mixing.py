@@ -38,11 +38,12 @@ LOGS = 64.0
 #: So many rows of sources may be broadcast to the documents; more of them are joined by shuffle.
 SENT_SOURCES = 100_000
 SEED = "mix-1"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def text_size(text: Column) -> Column:
     """Number of runs without blanks and control blanks."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -143,12 +144,13 @@ def mixed_documents(docs: DataFrame, work: Workspace, weights: tuple[float, ...]
     plain = [f"c{i}" for i in range(len(names))]
     size, times = (F.col("taken") / F.greatest("size", F.lit(1))).cast("int"), F.col("times")
     plan = work.keep(_planned(docs, work, weights, share, cap, BINS, SEED, weight).select(F.col("doc_id").alias("id"), F.col("source").alias("src"), "size", size.alias("times")), "plan")
-    rows = docs.select(*(quoted(c).alias(p) for c, p in zip(names, plain, strict=True)), F.col("doc_id").alias("doc"), F.col("source").cast("string").alias("origin"), text_size(F.col("text").cast("string")).alias("words"))
+    rows = docs.select(*(quoted(c).alias(p) for c, p in zip(names, plain, strict=True)), F.col("doc_id").alias("doc"), F.col("source").cast("string").alias("origin"), F.col("text").cast("string").alias("whole"))
+    rows = rows.where(F.col("whole").rlike(WORD))
     by_id = plan.where("size > 0").groupBy("id").agg(F.min("times").alias("low"), F.max("times").alias("times"))
     like = F.col("doc").eqNullSafe(F.col("id"))
-    alike = rows.where("words > 0").join(by_id.where("low = times and times > 0"), like).select(*plain, "times")
+    alike = rows.join(by_id.where("low = times and times > 0"), like).select(*plain, "times")
     torn = work.keep(by_id.where("low < times").select("id"), "torn")
-    some = rows.where("words > 0").join(F.broadcast(torn) if torn.count() <= SENT_SOURCES else torn, like, "left_semi")
+    some = rows.join(F.broadcast(torn) if torn.count() <= SENT_SOURCES else torn, like, "left_semi").withColumn("words", text_size(F.col("whole")))
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("doc", "origin", "words").orderBy(F.monotonically_increasing_id())))
     dealt = plan.join(torn.withColumnRenamed("id", "torn"), F.col("id").eqNullSafe(F.col("torn")), "left_semi")
     dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("id", "src", "size").orderBy(F.desc("times"))))
