@@ -105,13 +105,23 @@ def sanitize_label(c: Column, fallback: str = "RELATED_TO") -> Column:
 
 
 def extract_label(reply: Column, choices: list[str], fallback: str) -> Column:
-    """A model's reply cut at the first mark present, in order of priority, matched with the choices."""
-    cut = reply
-    for mark in ("\n", ".", ";", ","):
-        cut = F.when(F.instr(cut, mark) > 0, F.substring_index(cut, mark, 1)).otherwise(cut)
-    clean = F.regexp_replace(F.trim(cut), r"^[\-\*\s\"'`]+|[\s\"'`]+$", "")
-    known = reduce(lambda c, x: c.when(F.lower(clean) == x.lower(), F.lit(x)), choices[1:], F.when(F.lower(clean) == choices[0].lower(), F.lit(choices[0])))
-    return sanitize_label(F.coalesce(known, F.lit(fallback)))
+    """A model's reply as one of the choices, verbatim, or the fallback; without choices as a label.
+
+    Of the marks line break, full stop, semicolon and comma the first that is present cuts, the others do not. List marks
+    in front go, then blanks, double quotes, single quotes and blanks again at both ends. Case decides only between
+    choices that differ in nothing else.
+    """
+    marks = ("\n", ".", ";", ",")
+    text = F.coalesce(reply, F.lit(""))
+    cut = reduce(lambda c, m: c.when(F.instr(text, m) > 0, F.substring_index(text, m, 1)), marks[1:], F.when(F.instr(text, marks[0]) > 0, F.substring_index(text, marks[0], 1))).otherwise(text)
+    clean = F.regexp_replace(cut, r"^[\-\*• ]+", "")
+    for ends in (r"\s", '"', "'", r"\s"):
+        clean = F.regexp_replace(clean, f"^{ends}+|{ends}+$", "")
+    if not choices:
+        return sanitize_label(clean, fallback or "UNKNOWN")
+    exact = reduce(lambda c, x: c.when(clean == x, F.lit(x)), choices[1:], F.when(clean == choices[0], F.lit(choices[0])))
+    loose = reduce(lambda c, x: c.when(F.lower(clean) == x.lower(), F.lit(x)), choices[1:], F.when(F.lower(clean) == choices[0].lower(), F.lit(choices[0])))
+    return F.coalesce(exact, loose, F.lit(fallback or choices[0]))
 
 
 def truncate_at_sentence(c: Column, most: int = 500) -> Column:

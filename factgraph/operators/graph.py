@@ -26,6 +26,12 @@ def communities_of(communities: DataFrame, members: DataFrame, nodes: DataFrame)
     return communities.join(hit.select(F.col("source_node_uuid").alias("uuid")), "uuid", "left_semi")
 
 
+def episodes_of(edges: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Episodes that state one of the edges, once each."""
+    named = edges.select(F.explode("episodes").alias("uuid"))
+    return episodes.join(named, "uuid", "left_semi")
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.withColumn("lo", F.least("source_node_uuid", "target_node_uuid")).withColumn("hi", F.greatest("source_node_uuid", "target_node_uuid"))
 

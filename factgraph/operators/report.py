@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +48,41 @@ def cdf(rows: DataFrame, column: str) -> DataFrame:
     return by.select("value", "n", (F.sum("n").over(Window.orderBy("value")) / total).alias("cdf"))
 
 
-def error_bucket(c: Column) -> Column:
-    """The class of an error message by the first phrase it holds."""
-    t = F.lower(c)
-    return (
-        F.when(t.contains("timeout") | t.contains("timed out"), "timeout")
-        .when(t.contains("json"), "json")
-        .when(t.contains("validation"), "validation")
-        .when(t.contains("rate limit") | t.contains("429"), "rate_limit")
-        .when(t.contains("connection") | t.contains("refused"), "connection")
-        .otherwise("other")
-    )
+# Phrases of log messages and the classes they tell, in order of priority.
+ERROR_PHRASES = (
+    ("Pydantic validation", "Pydantic validation"),
+    ("Using empty fallback structure instead", "Fallback empty structure"),
+    ("JSON parsing error from Ollama", "JSON parsing error"),
+    ("JSONDecodeError from Ollama", "JSON parsing error"),
+    ("Unexpected response type from Ollama", "Unexpected type"),
+    ("core exception", "Core exception"),
+)
+
+
+def error_bucket(c: Column, phrases: Sequence[tuple[str, str]] = ERROR_PHRASES, other: str = "Other") -> Column:
+    """The class of an error message by the first of the phrases it holds, letter by letter."""
+    return F.coalesce(*(F.when(c.contains(phrase), kind) for phrase, kind in phrases), F.lit(other))
+
+
+def run_sums(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of the numbers of runs(chunks, errors, warnings, seconds) by the columns given, with errors a chunk."""
+    sums = runs.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("chunks", "errors", "warnings", "seconds")))
+    return sums.withColumn("errors_per_chunk", F.when(F.col("chunks") > 0, F.col("errors") / F.col("chunks")))
+
+
+def distinct_share(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """distinct, total and per_distinct (rows for each distinct value) of a column."""
+    out = rows.groupBy(*(by or [])).agg(F.count_distinct(column).alias("distinct"), F.count(column).alias("total"))
+    return out.withColumn("per_distinct", F.when(F.col("distinct") > 0, F.col("total") / F.col("distinct")))
+
+
+def counts_by(rows: DataFrame, key: Column | str, name: str = "key") -> DataFrame:
+    """Rows for each value of a key: names, types, days."""
+    return rows.groupBy((F.col(key) if isinstance(key, str) else key).alias(name)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated_keys(rows: DataFrame, key: Column, name: str = "key") -> DataFrame:
+    return counts_by(rows, key, name).where("n > 1")
 
 
 def latest_by_chunk(rows: DataFrame, keys: list[str], chunk: str = "chunk") -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as T
+from factgraph.functions import vectors as V
 from factgraph.operators import graph
 from factgraph.plans.lineage import Lineage
 
@@ -13,6 +16,8 @@ FUZZY = 0.9
 # Places known without a gazetteer.
 GEO_HINTS = ("china", "india", "usa", "united states", "france", "germany", "spain", "italy", "brazil", "ethiopia")
 
+GEO_KEYS = ("country", "state", "region", "location_name")
+
 
 def keyed(names: DataFrame) -> DataFrame:
     """(uuid, name, key): the exact and the singular key of each name."""
@@ -27,17 +32,23 @@ def signed(names: DataFrame, n: int = 3) -> DataFrame:
     return rows.withColumn("bands", F.coalesce(bands, F.array().cast("array<string>")))
 
 
-def lsh_pairs(names: DataFrame) -> DataFrame:
-    """(a, b) with a < b: names that share a band."""
-    rows = signed(names).select("uuid", F.explode("bands").alias("band"))
+def _band_pairs(signatures: DataFrame) -> DataFrame:
+    rows = signatures.select("uuid", F.explode("bands").alias("band"))
     other = rows.select(F.col("uuid").alias("b"), "band")
     return rows.withColumnRenamed("uuid", "a").join(other, "band").where("a < b").select("a", "b").distinct()
 
 
-def jaccard_pairs(names: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a, b, score): candidate pairs with the exact Jaccard similarity of their shingles."""
-    sets = signed(names).select("uuid", "shingles")
-    pairs = lsh_pairs(names)
+def lsh_pairs(names: DataFrame) -> DataFrame:
+    """(a, b) with a < b: names that share a band."""
+    return _band_pairs(signed(names))
+
+
+def jaccard_pairs(names: DataFrame, least: float = 0.0, lineage: Lineage | None = None) -> DataFrame:
+    """(a, b, score): candidate pairs with the exact Jaccard similarity of their shingles. With a lineage names are signed once and written."""
+    signatures = signed(names).select("uuid", "shingles", "bands")
+    signatures = lineage.cut(signatures) if lineage else signatures
+    sets = signatures.select("uuid", "shingles")
+    pairs = _band_pairs(signatures)
     pairs = pairs.join(sets.select(F.col("uuid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("uuid").alias("b"), F.col("shingles").alias("sb")), "b")
     return pairs.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least)
 
@@ -53,24 +64,100 @@ def safeguard(kind: Column, a_hints: Column, b_hints: Column, a_name: Column, b_
     return F.when(kind == "Location", place).when(kind == "People", person).when(kind == "Institution", institution).otherwise("exact")
 
 
-def geo_hints(summary: Column) -> Column:
-    return F.array_intersect(F.filter(F.split(F.lower(summary), "[^a-z0-9]+"), lambda x: x != ""), F.array(*map(F.lit, GEO_HINTS)))
+def geo_hints(summary: Column, attributes: Column | None = None, places: Sequence[str] = GEO_HINTS) -> Column:
+    """Known places among the words of a summary and, if given, the values of the place keys of a JSON text."""
+    words = F.filter(F.split(F.lower(F.coalesce(summary, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+    if attributes is not None:
+        words = F.concat(words, F.filter(F.array(*(F.trim(F.lower(F.get_json_object(attributes, f"$.{k}"))) for k in GEO_KEYS)), lambda x: x.isNotNull()))
+    return F.array_distinct(F.array_intersect(words, F.array(*map(F.lit, places))))
+
+
+def ror_hints(nodes: DataFrame, index: DataFrame | None) -> DataFrame:
+    """nodes with ``hints``: the ids that index(name, ror_id) knows for their names; none without an index."""
+    if index is None:
+        return nodes.withColumn("hints", F.array().cast("array<string>"))
+    ids = index.groupBy(T.norm_exact(F.col("name")).alias("__k")).agg(F.collect_set("ror_id").alias("hints"))
+    out = nodes.withColumn("__n", T.norm_exact(F.col("name"))).join(ids, F.col("__n") == F.col("__k"), "left")
+    return out.withColumn("hints", F.coalesce("hints", F.array().cast("array<string>"))).drop("__n", "__k")
+
+
+GUARDS = ("kind", "hints", "own")
 
 
 def resolve(extracted: DataFrame, existing: DataFrame, least: float = FUZZY) -> DataFrame:
     """(uuid, canonical, reason) of extracted(uuid, name) against existing(uuid, name).
 
-    An exact or singular key takes the smallest uuid that has it. Names without one, if they say enough, take the
-    most alike existing name of Jaccard ``least`` or more among those in a common band, the smallest uuid on ties.
+    An exact or singular key takes the smallest uuid that has it. Where both sides have the columns kind, hints and own,
+    it takes the smallest that ``safeguard`` lets it have, by the reason that says; a name whose key is known but which may
+    have none of its nodes stays unresolved. Names without a key, if they say enough, take the most alike existing name
+    of Jaccard ``least`` or more among those in a common band, the smallest uuid on ties.
     """
-    first = keyed(existing).groupBy("key").agg(F.min("uuid").alias("canonical"))  # copies of a key meet before the join
-    exact = keyed(extracted).select("uuid", "key").join(first, "key").groupBy("uuid").agg(F.min("canonical").alias("canonical")).withColumn("reason", F.lit("exact"))
-    left = signed(extracted.join(exact, "uuid", "left_anti")).select("uuid", "shingles", F.explode("bands").alias("band"))
-    each = existing.groupBy("name").agg(F.min("uuid").alias("uuid"))  # signatures are dear, copies of a name share one
+    keys = keyed(extracted).select("uuid", "key")
+    if all(c in extracted.columns and c in existing.columns for c in GUARDS):
+        theirs = existing.select(F.col("uuid").alias("canonical"), "name", F.array_sort("hints").alias("b_hints"), F.col("own").alias("b_own"))
+        theirs = keyed(theirs.withColumn("uuid", F.col("canonical"))).select("uuid", "key").join(theirs.select(F.col("canonical").alias("uuid"), "b_hints", "b_own"), "uuid")
+        first = theirs.groupBy("key", "b_hints", "b_own").agg(F.min("uuid").alias("canonical"))  # alike copies of a key meet before the join
+        mine = keys.join(extracted.select("uuid", "kind", "hints", "own"), "uuid").join(first, "key")
+        hits = mine.withColumn("reason", safeguard(F.col("kind"), F.col("hints"), F.col("b_hints"), F.col("own"), F.col("b_own")))
+        known = hits.select("uuid").distinct()
+        best = hits.where("reason is not null").groupBy("uuid").agg(F.min(F.struct("canonical", "reason")).alias("m"))
+        exact = best.select("uuid", "m.canonical", "m.reason")
+    else:
+        first = keyed(existing).groupBy("key").agg(F.min("uuid").alias("canonical"))  # copies of a key meet before the join
+        exact = keys.join(first, "key").groupBy("uuid").agg(F.min("canonical").alias("canonical")).withColumn("reason", F.lit("exact"))
+        known = exact.select("uuid")
+    rest = extracted.select("uuid", "name").join(known, "uuid", "left_anti")
+    named = rest.groupBy("name").agg(F.collect_list("uuid").alias("uuids"))  # signatures are dear, copies of a name share one
+    left = signed(named).select("name", "uuids", "shingles", F.explode("bands").alias("band"))
+    each = existing.groupBy(T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))
     right = signed(each).select(F.col("uuid").alias("canonical"), F.col("shingles").alias("theirs"), F.explode("bands").alias("band"))
-    near = left.join(right, "band").drop("band").dropDuplicates(["uuid", "canonical"]).withColumn("score", T.jaccard(F.col("shingles"), F.col("theirs"))).where(F.col("score") >= least)
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("uuid").orderBy(F.desc("score"), "canonical"))).where("r = 1")
-    return exact.select("uuid", "canonical", "reason").unionByName(best.select("uuid", "canonical", F.lit("fuzzy").alias("reason")))
+    near = left.join(right, "band").drop("band").dropDuplicates(["name", "canonical"]).withColumn("score", T.jaccard(F.col("shingles"), F.col("theirs"))).where(F.col("score") >= least)
+    best = near.groupBy("name").agg(F.min_by(F.struct("canonical", "uuids"), F.struct(-F.col("score"), "canonical")).alias("m"))
+    return exact.select("uuid", "canonical", "reason").unionByName(best.select(F.explode("m.uuids").alias("uuid"), "m.canonical", F.lit("fuzzy").alias("reason")))
+
+
+def without_known_duplicates(pairs: DataFrame, edges: DataFrame, name: str = "IS_DUPLICATE_OF") -> DataFrame:
+    """pairs(source_node_uuid, target_node_uuid, ...) less those an edge of that name links already."""
+    ends = ["source_node_uuid", "target_node_uuid"]
+    return pairs.join(edges.where(F.col("name") == name).select(*ends), ends, "left_anti")
+
+
+def matched_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(norm, count_a, count_b) of names that stand in both a(norm, count) and b(norm, count)."""
+    sums = lambda df, c: df.groupBy("norm").agg(F.sum("count").alias(c))
+    return sums(a, "count_a").join(sums(b, "count_b"), "norm")
+
+
+def unmatched_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each norm of a(norm) that b(norm) lacks."""
+    return a.select("norm").distinct().join(b.select("norm"), "norm", "left_anti")
+
+
+def alike_names(names: DataFrame, least: float = 0.5) -> DataFrame:
+    """(a, b, score), a < b: names(name) whose padded 3-grams have that Jaccard similarity, by prefixes.
+
+    Two such sets share one of the first n - ceil(least * n) + 1 grams of either in the order of their frequency, rare
+    ones first, so only these are joined.
+    """
+    padded = F.concat(F.lit(" "), "name", F.lit(" "))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+    sets = names.select("name").distinct().where("length(name) > 0").select("name", grams.alias("g"))
+    flat = sets.select("name", F.explode("g").alias("t"))
+    counted = flat.join(flat.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "t")
+    ordered = counted.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    ordered = ordered.select("name", F.col("o.t").alias("o")).select("name", F.col("o").alias("g"), F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") * least) + 1).cast("int")).alias("p"))
+    a = ordered.select(F.col("name").alias("a"), F.col("g").alias("ga"), F.explode("p").alias("t"))
+    b = ordered.select(F.col("name").alias("b"), F.col("g").alias("gb"), F.explode("p").alias("t"))
+    pairs = a.join(b, "t").where("a < b").dropDuplicates(["a", "b"]).withColumn("score", T.jaccard(F.col("ga"), F.col("gb")))
+    return pairs.where(F.col("score") >= least).select("a", "b", "score")
+
+
+def duplicate_candidates(edges: DataFrame, embedding: str, least: float = 0.6) -> DataFrame:
+    """(a, b), a < b: edges of the same ends whose facts share a word or are alike."""
+    ends = ["source_node_uuid", "target_node_uuid"]
+    side = lambda n, x, f: edges.select(*ends, F.col("uuid").alias(n), F.col(embedding).cast("array<double>").alias(x), F.split("fact", " +").alias(f))
+    pairs = side("a", "x", "fa").join(side("b", "y", "fb"), ends)
+    return pairs.where((F.col("a") < F.col("b")) & (F.arrays_overlap("fa", "fb") | (V.cosine(F.col("x"), F.col("y")) >= least))).select("a", "b")
 
 
 def dedupe_batch(names: DataFrame, lineage: Lineage, least: float = FUZZY) -> DataFrame:
@@ -79,7 +166,7 @@ def dedupe_batch(names: DataFrame, lineage: Lineage, least: float = FUZZY) -> Da
     heads = keys.groupBy("key").agg(F.min("uuid").alias("b"))
     exact = keys.join(heads, "key").where("uuid <> b").select(F.col("uuid").alias("a"), "b")
     first = names.groupBy(T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))  # copies are linked by key already
-    pairs = exact.union(jaccard_pairs(first, least).select("a", "b")).distinct()
+    pairs = exact.union(jaccard_pairs(first, least, lineage).select("a", "b")).distinct()
     found = graph.components(pairs, lineage)
     return names.select("uuid").join(found, "uuid", "left").select("uuid", F.coalesce("canonical", "uuid").alias("canonical"))
 
@@ -104,7 +191,7 @@ def allowed_edge_types(edges: DataFrame, nodes: DataFrame, type_map: DataFrame,
     ends = edges.join(labels.select(F.col("uuid").alias("source_node_uuid"), F.col("label").alias("src_label")), "source_node_uuid").join(
         labels.select(F.col("uuid").alias("target_node_uuid"), F.col("label").alias("dst_label")), "target_node_uuid"
     )
-    fits = ends.join(F.broadcast(type_map), ["src_label", "dst_label"]).where("name = edge_type").select("uuid").distinct().withColumn("fits", F.lit(True))
+    fits = ends.join(type_map, ["src_label", "dst_label"]).where("name = edge_type").select("uuid").distinct().withColumn("fits", F.lit(True))
     out = edges.join(fits, "uuid", "left")
     return out.select("uuid", F.when(F.col("name").isin(*custom) & F.col("fits").isNull(), "RELATES_TO").otherwise(F.col("name")).alias("name"))
 

@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import text as T
 from factgraph.functions import vectors as V
+from factgraph.operators import graph
+from factgraph.plans.lineage import Lineage
 
 K1, B = 1.2, 0.75
 RRF_CONST = 1
 MIN_SCORE = 0.6
 LIMIT = 10
+#: So many rows are a short list.
+SHORT = 10_000
 
 
 def query_terms(query: str) -> list[str]:
@@ -69,8 +73,9 @@ def similarity(rows: DataFrame, query: list[float], column: str, least: float =
     return out.orderBy(F.desc("score"), "uuid").limit(limit) if limit else out
 
 
-def ranked(rows: DataFrame, method: int) -> DataFrame:
-    """(uuid, method, rank) of a result list, rank from 0 by falling score. Result lists are cut to their limit before."""
+def ranked(rows: DataFrame, method: int, most: int | None = None) -> DataFrame:
+    """(uuid, method, rank) of a result list, rank from 0 by falling score. One window sees the list: ``most`` cuts it before."""
+    rows = rows.orderBy(F.desc("score"), "uuid").limit(most) if most else rows
     return rows.select("uuid", F.lit(method).alias("method"), (F.row_number().over(Window.orderBy(F.desc("score"), "uuid")) - 1).alias("rank"))
 
 
@@ -87,6 +92,8 @@ def fused(lists: DataFrame, limit: int | None = None) -> DataFrame:
 
 def mmr(candidates: DataFrame, query: list[float], weight: float = 0.5, column: str = "embedding") -> DataFrame:
     """(uuid, score) of a short list: weight * relevance - (1 - weight) * largest likeness to another candidate, at least 0."""
+    if candidates.count() > SHORT:
+        raise ValueError(f"mmr compares all pairs of a short list, of {SHORT} rows at most")
     unit = candidates.select("uuid", V.l2_normalize(V.doubles(F.col(column))).alias("v"))
     other = unit.select(F.col("uuid").alias("__o"), F.col("v").alias("__v"))
     likeness = unit.join(F.broadcast(other), F.col("uuid") != F.col("__o")).groupBy("uuid").agg(F.max(V.dot(F.col("v"), F.col("__v"))).alias("m"))
@@ -133,6 +140,7 @@ class Recipe:
     least: float = MIN_SCORE
     mmr_weight: float = 0.5
     bfs_depth: int = 3
+    reranker_least: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -162,13 +170,111 @@ def _recipes() -> dict[str, CombinedRecipe]:
 RECIPES = _recipes()
 
 
-def hybrid(rows: DataFrame, query: str, vector: list[float] | None, columns: list[str], embedding: str | None, recipe: Recipe = Recipe()) -> DataFrame:
-    """(uuid, score) of rows by the recipe's text and vector methods, fused; each method gives twice the limit."""
-    lists = []
+@dataclass(frozen=True)
+class Surroundings:
+    """What traversal and rerankers read beside the rows searched: facts, mentions, a centre, origins(uuid) to start from."""
+
+    edges: DataFrame | None = None
+    mentions: DataFrame | None = None
+    center: str | None = None
+    origins: DataFrame | None = None
+
+
+#: By scope: the rerankers it has, and the text a cross encoder reads.
+RERANKERS = {
+    "edges": ("rrf", "mmr", "cross_encoder", "node_distance", "episode_mentions"),
+    "nodes": ("rrf", "mmr", "cross_encoder", "node_distance", "episode_mentions"),
+    "episodes": ("rrf", "cross_encoder"),
+    "communities": ("rrf", "mmr", "cross_encoder"),
+}
+PASSAGES = {"edges": "fact", "nodes": "name", "episodes": "content", "communities": "name"}
+
+
+def _traversed(rows: DataFrame, recipe: Recipe, scope: str, around: Surroundings, hits: list[DataFrame]) -> DataFrame | None:
+    """(uuid, score) of rows within reach, nearer ones first. Without origins it starts from what other methods found:
+    from the nodes, or from the sources of the facts."""
+    edges = rows if scope == "edges" else around.edges
+    origins = around.origins
+    if edges is None:
+        raise ValueError("traversal from nodes needs edges")
+    if origins is None and hits:
+        found = reduce(DataFrame.unionByName, hits).select("uuid").distinct()
+        origins = found if scope == "nodes" else rows.join(found, "uuid", "left_semi").select(F.col("source_node_uuid").alias("uuid"))
+    if origins is None:
+        return None
+    reach = (graph.edges_within if scope == "edges" else graph.nodes_within)(edges, origins, recipe.bfs_depth, Lineage(rows.sparkSession))
+    return reach.join(rows.select("uuid"), "uuid", "left_semi").select("uuid", (-F.col("hop")).cast("double").alias("score"))
+
+
+def _reranked(rows: DataFrame, lists: DataFrame, query: str, vector: list[float] | None, embedding: str | None, recipe: Recipe, scope: str, around: Surroundings) -> DataFrame:
+    """(uuid, score, place) of the lists' rows by the recipe's reranker; the smaller place comes first."""
+    order = rrf(lists, 0.0 if recipe.reranker != "rrf" else recipe.reranker_least)
+    place = lambda *by: F.struct(*(c.alias(f"p{i}") for i, c in enumerate(by)))
+    fusion = (-F.col("score"), F.col("seen"))
+    if recipe.reranker == "rrf":
+        return order.select("uuid", "score", place(*fusion).alias("place"))
+    seen = order.select("uuid", F.col("score").alias("fused"), place(*fusion).alias("fusion"))
+    if recipe.reranker == "mmr":
+        if not vector or not embedding:
+            raise ValueError("mmr needs a query vector and embeddings")
+        scored = mmr(rows.join(seen, "uuid").select("uuid", embedding), vector, recipe.mmr_weight, embedding).where(F.col("score") >= recipe.reranker_least)
+        return scored.select("uuid", "score", place(-F.col("score"), F.col("uuid")).alias("place"))
+    if recipe.reranker == "cross_encoder":
+        first = order.orderBy("seen").limit(recipe.limit) if scope == "edges" else order  # of facts only so many are read
+        scored = cross_encoded(rows.join(first.select("uuid"), "uuid", "left_semi"), query, PASSAGES[scope], recipe.reranker_least)
+        return scored.select("uuid", "score", place(-F.col("score"), F.col("uuid")).alias("place"))
+    if recipe.reranker == "node_distance":
+        edges = rows if scope == "edges" else around.edges
+        if around.center is None or edges is None:
+            raise ValueError("node distance needs a centre and edges")
+        if scope == "nodes":
+            return node_distance(seen, edges, around.center).where(F.col("score") >= recipe.reranker_least).join(seen, "uuid").select("uuid", "score", place(-F.col("score"), F.col("fusion")).alias("place"))
+        facts = rows.select("uuid", "source_node_uuid").join(seen, "uuid")
+        sources = facts.groupBy("source_node_uuid").agg(F.min("fusion").alias("head"))
+        far = node_distance(sources.withColumnRenamed("source_node_uuid", "uuid"), edges, around.center).where(F.col("score") >= recipe.reranker_least).withColumnRenamed("uuid", "source_node_uuid")
+        joined = facts.join(sources.join(far, "source_node_uuid"), "source_node_uuid")
+        return joined.select("uuid", "score", place(-F.col("score"), F.col("head"), F.col("fusion")).alias("place"))
+    if scope == "nodes":
+        if around.mentions is None:
+            raise ValueError("ranking nodes by mentions needs mentions")
+        counted = by_mentions(seen, around.mentions).where(F.col("mentions") >= recipe.reranker_least).join(seen, "uuid")
+        return counted.select("uuid", F.col("mentions").alias("score"), place(F.col("mentions"), F.col("fusion")).alias("place"))
+    counted = rows.select("uuid", F.size("episodes").alias("n")).join(seen, "uuid")
+    return counted.select("uuid", F.col("fused").alias("score"), place(-F.col("n"), F.col("fusion")).alias("place"))
+
+
+def hybrid(
+    rows: DataFrame, query: str, vector: list[float] | None, columns: list[str], embedding: str | None, recipe: Recipe = Recipe(), scope: str = "nodes", around: Surroundings = Surroundings()
+) -> DataFrame:
+    """(uuid, score) of rows by the recipe, best first: each of its methods gives twice the limit, its reranker orders
+    what they found. A reranker that the scope lacks, or that lacks what it reads, raises."""
+    if recipe.reranker not in RERANKERS[scope]:
+        raise ValueError(f"{scope} cannot be ranked by {recipe.reranker}")
+    unknown = set(recipe.methods) - {"bm25", "cosine", "bfs"}
+    if unknown:
+        raise ValueError(f"unknown methods: {sorted(unknown)}")
+    most, hits = 2 * recipe.limit, []
     if "bm25" in recipe.methods and query.strip():
-        lists.append(ranked(bm25(rows, query, columns, 2 * recipe.limit), len(lists)))
+        hits.append(bm25(rows, query, columns, most).select("uuid", "score"))
     if "cosine" in recipe.methods and vector and embedding:
-        lists.append(ranked(similarity(rows, vector, embedding, recipe.least, 2 * recipe.limit), len(lists)))
-    if not lists:
+        hits.append(similarity(rows, vector, embedding, recipe.least, most).select("uuid", "score"))
+    if "bfs" in recipe.methods and scope in ("edges", "nodes"):
+        reached = _traversed(rows, recipe, scope, around, hits)
+        hits += [reached] if reached is not None else []
+    if not hits:
         return rows.select("uuid", F.lit(0.0).alias("score")).limit(0)
-    return fused(reduce(DataFrame.unionByName, lists), recipe.limit)
+    lists = reduce(DataFrame.unionByName, [ranked(h, i, most) for i, h in enumerate(hits)])
+    return _reranked(rows, lists, query, vector, embedding, recipe, scope, around).orderBy("place").limit(recipe.limit).select("uuid", "score")
+
+
+#: Results of each scope, by uuid.
+Results = dict[str, DataFrame]
+
+
+def merged(results: list[Results]) -> Results:
+    """Search results of several searches by scope, each uuid once with its best score."""
+    out: Results = {}
+    for found in results:
+        for scope, rows in found.items():
+            out[scope] = out[scope].unionByName(rows) if scope in out else rows
+    return {k: v.groupBy("uuid").agg(F.max("score").alias("score")) for k, v in out.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph import schema
@@ -58,29 +58,69 @@ class TemporalGraph:
         rows = self.table("episodes").where(filters.in_groups(F.col("group_id"), groups))
         return temporal.retrieve_episodes(rows, reference_time, last_n, source=source)
 
-    def add_episodes(self, episodes: DataFrame, extract: Extractor, now: str) -> None:
-        """Save episodes with what the extractor finds: entities resolved against each other and the graph, edges
-        repointed, repeated facts dropped, contradicted facts ended."""
+    def add_episodes(self, episodes: DataFrame, extract: Extractor, now: str, type_map: DataFrame | None = None, custom_types: list[str] | None = None) -> None:
+        """Save episodes with what the extractor finds.
+
+        Entities are resolved against each other and the graph, names of custom edge types kept only where
+        type_map(src_label, dst_label, edge_type) allows them, edges repointed. A fact that stands in the graph word for
+        word is not written again: its episodes go to the one that stands. Facts contradicted by new ones are ended, and
+        new facts that are over already, by their own end or by a later fact of the same ends, are written as expired.
+        """
         lineage = Lineage(self.spark)
         self.upsert("episodes", episodes)
         nodes, edges = extract(episodes)
         nodes = lineage.cut(filters.named(nodes))
+        pointers = self._resolved(nodes, lineage)
+        facts = graph.repoint(edges.where(F.trim("fact") != ""), pointers)
+        self._add_facts(facts, now, lineage, type_map, custom_types or [])
+        found = pointers.select(F.col("canonical").alias("target_node_uuid")).distinct()
+        seen = episodes.select(F.col("uuid").alias("source_node_uuid"), "group_id", "created_at")
+        rows = self._mentions(facts).join(seen, "source_node_uuid").join(found, "target_node_uuid", "left_semi")
+        self.upsert("mentions", rows.withColumn("uuid", F.concat(F.lit("me_"), "source_node_uuid", F.lit("_"), "target_node_uuid")))
+
+    def add_triplet(self, source: DataFrame, edge: DataFrame, target: DataFrame, now: str) -> None:
+        """Save one fact with its ends: rows of entities, edges and entities. Ends that the graph knows are taken from it,
+        and the fact is reused, expired or ends others as in an episode; no episode states it but those it names."""
+        lineage = Lineage(self.spark)
+        pointers = self._resolved(lineage.cut(filters.named(source.unionByName(target, allowMissingColumns=True))), lineage)
+        edge = edge if "episodes" in edge.columns else edge.withColumn("episodes", F.array().cast("array<string>"))
+        self._add_facts(graph.repoint(edge, pointers), now, lineage)
+
+    def _resolved(self, nodes: DataFrame, lineage: Lineage) -> DataFrame:
+        """(uuid, canonical) of nodes, new ones of which are saved."""
         inside = resolve.dedupe_batch(nodes.select("uuid", "name"), lineage)
         heads = nodes.join(inside.where("uuid = canonical").select("uuid"), "uuid", "left_semi")
-        known = resolve.resolve(heads.select("uuid", "name"), self.table("entities").select("uuid", "name"))
+        known = lineage.cut(resolve.resolve(self._guarded(heads), self._guarded(self.table("entities"))))
         ahead = known.select(F.col("uuid").alias("__u"), F.col("canonical").alias("__c"))
         pointers = lineage.cut(inside.join(ahead, inside.canonical == F.col("__u"), "left").select("uuid", F.coalesce("__c", "canonical").alias("canonical")))
         self.upsert("entities", heads.join(known.select("uuid"), "uuid", "left_anti"))
-        facts = graph.repoint(edges.where(F.trim("fact") != ""), pointers)
-        facts = temporal.first_of_each(facts, T.norm_exact(F.col("fact")))
+        return pointers
+
+    @staticmethod
+    def _guarded(nodes: DataFrame) -> DataFrame:
+        """uuid, name and what the safeguards read: the kind by label, hints of places, the name a person or an institution gives."""
+        has = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
+        labels = F.col("labels") if "labels" in nodes.columns else F.array().cast("array<string>")
+        kind = F.when(F.array_contains(labels, "Location"), "Location").when(F.array_contains(labels, "People"), "People").when(F.array_contains(labels, "Institution"), "Institution")
+        own = F.lower(F.coalesce(F.get_json_object(has("attributes"), "$.person_name"), F.get_json_object(has("attributes"), "$.institution_name")))
+        hints = F.when(kind == "Location", resolve.geo_hints(has("summary"), has("attributes"))).otherwise(F.array().cast("array<string>"))
+        return nodes.select("uuid", "name", F.coalesce(kind, F.lit("Entity")).alias("kind"), hints.alias("hints"), own.alias("own"))
+
+    def _add_facts(self, facts: DataFrame, now: str, lineage: Lineage, type_map: DataFrame | None = None, custom_types: list[str] | None = None) -> None:
+        if type_map is not None:
+            names = resolve.allowed_edge_types(facts.select("uuid", "source_node_uuid", "target_node_uuid", "name"), self.table("entities"), type_map, custom_types or [])
+            facts = facts.drop("name").join(names, "uuid")
+        facts = lineage.cut(temporal.first_of_each(facts, T.norm_exact(F.col("fact"))))
         old = self.table("edges")
-        again = temporal.reuse_verbatim(facts, old, T.norm_exact).where("reused is not null")
-        new = lineage.cut(facts.join(again.select("uuid"), "uuid", "left_anti"))
+        again = lineage.cut(temporal.reuse_verbatim(facts, old, T.norm_exact).where("reused is not null"))
+        old = temporal.with_reused_episodes(old, again)
+        new = facts.join(again.select("uuid"), "uuid", "left_anti")
+        for column in ("invalid_at", "expired_at"):
+            new = new if column in new.columns else new.withColumn(column, F.lit(None).cast("timestamp"))
+        ends = ["source_node_uuid", "target_node_uuid"]
+        later = new.select(F.col("uuid").alias("new_uuid"), F.col("fact").alias("n_fact"), *ends).join(old.select("valid_at", "fact", *ends), ends).where("fact <> n_fact").select("new_uuid", "valid_at")
+        new = lineage.cut(temporal.expire_new(new, later, now).select(*new.columns))
         self._replace("edges", store.upsert(self._ended(old, new, now), store.with_ends(new, self.table("entities"))))
-        found = pointers.select(F.col("canonical").alias("target_node_uuid")).distinct()
-        seen = episodes.select(F.col("uuid").alias("source_node_uuid"), "group_id", "created_at")
-        rows = self._mentions(facts).join(seen, "source_node_uuid").join(found, "target_node_uuid", "left_semi")
-        self.upsert("mentions", rows.withColumn("uuid", F.concat(F.lit("me_"), "source_node_uuid", F.lit("_"), "target_node_uuid")))
 
     @staticmethod
     def _mentions(facts: DataFrame) -> DataFrame:
@@ -114,22 +154,46 @@ class TemporalGraph:
 
     # ---- communities, search, export
 
-    def build_communities(self) -> None:
-        """All communities anew, by label propagation within groups."""
+    def build_communities(self, summarize: Callable[[Column], Column] = T.truncate_at_sentence) -> None:
+        """All communities anew, by label propagation over the facts of each group. A summary is made of the names of all members."""
         lineage = Lineage(self.spark)
-        found = lineage.cut(graph.label_propagation(lineage.cut(graph.neighbours(self.table("edges"))), lineage))
         nodes = self.table("entities")
+        group = nodes.select("uuid", "group_id")
+        inside = self.table("edges").join(group.select(F.col("uuid").alias("source_node_uuid"), F.col("group_id").alias("__s")), "source_node_uuid")
+        inside = inside.join(group.select(F.col("uuid").alias("target_node_uuid"), F.col("group_id").alias("__t")), "target_node_uuid").where(F.col("__s").eqNullSafe(F.col("__t")))
+        found = lineage.cut(graph.label_propagation(lineage.cut(graph.neighbours(inside)), lineage))
         rows = found.join(nodes, "uuid").select(F.concat(F.lit("k_"), "community").alias("k"), "uuid", "name", "group_id", "created_at")
-        groups = rows.groupBy("k").agg(F.min("group_id").alias("group_id"), F.max("created_at").alias("created_at"), F.min("name").alias("name"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 20), ", ").alias("summary"))
-        self._replace("communities", groups.select(F.col("k").alias("uuid"), "name", "group_id", "created_at", T.truncate_at_sentence(F.col("summary")).alias("summary")))
+        groups = rows.groupBy("k").agg(F.min("group_id").alias("group_id"), F.max("created_at").alias("created_at"), F.min("name").alias("name"), F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("summary"))
+        self._replace("communities", groups.select(F.col("k").alias("uuid"), "name", "group_id", "created_at", summarize(F.col("summary")).alias("summary")))
         self._replace("members", rows.select(F.concat(F.lit("hm_"), "k", F.lit("_"), "uuid").alias("uuid"), "group_id", F.col("k").alias("source_node_uuid"), F.col("uuid").alias("target_node_uuid"), "created_at"))
 
-    def search(self, query: str, vector: list[float] | None = None, recipe: str = "combined_rrf", where: filters.SearchFilters = filters.SearchFilters()) -> dict[str, DataFrame]:
-        """(uuid, score) of each scope of the recipe. A blank query finds nothing."""
+    def update_communities(self, nodes: DataFrame) -> None:
+        """Put nodes(uuid) without a community into the one most frequent among their neighbours, if there is one."""
+        members = self.table("members")
+        free = nodes.select("uuid").join(members.select(F.col("target_node_uuid").alias("uuid")), "uuid", "left_anti").distinct()
+        best = graph.community_mode(graph.neighbours(self.table("edges")).join(free, "uuid", "left_semi"), members)
+        rows = best.join(self.table("entities").select("uuid", "group_id", "created_at"), "uuid")
+        self.upsert("members", rows.select(F.concat(F.lit("hm_"), "community", F.lit("_"), "uuid").alias("uuid"), "group_id", F.col("community").alias("source_node_uuid"), F.col("uuid").alias("target_node_uuid"), "created_at"))
+
+    def remove_communities(self) -> None:
+        for name in ("communities", "members"):
+            self._replace(name, self.table(name).limit(0))
+
+    def search(
+        self, query: str, vector: list[float] | None = None, recipe: str = "combined_rrf", where: filters.SearchFilters = filters.SearchFilters(), center: str | None = None, origins: DataFrame | None = None
+    ) -> dict[str, DataFrame]:
+        """(uuid, score) of each scope of the recipe, best first. A blank query finds nothing. Labels bind facts by both their ends."""
         found = retrieval.RECIPES[recipe]
         fields = {"edges": (["name", "fact"], "fact_embedding"), "entities": (["name", "summary"], "name_embedding"), "episodes": (["content", "source", "source_description"], None), "communities": (["name"], "name_embedding")}
         scopes = {"edges": found.edges, "entities": found.nodes, "episodes": found.episodes, "communities": found.communities}
-        return {k: retrieval.hybrid(where.apply(self.table(k)), query, vector, *fields[k], r) for k, r in scopes.items() if r and query.strip()}
+        around = retrieval.Surroundings(self.table("edges"), self.table("mentions"), center, origins)
+        out = {}
+        for name, of in scopes.items():
+            if of and query.strip():
+                rows = where.apply(self.table(name))
+                rows = filters.labelled_ends(rows, self.table("entities"), where.node_labels) if name == "edges" else rows
+                out[name] = retrieval.hybrid(rows, query, vector, *fields[name], of, "nodes" if name == "entities" else name, around)
+        return out
 
     def similar_facts(self, vector: list[float], least: float = retrieval.MIN_SCORE, limit: int = retrieval.LIMIT) -> DataFrame:
         return retrieval.similarity(self.table("edges").where(F.size("fact_embedding") == len(vector)), [float(x) for x in vector], "fact_embedding", least, limit)

@@ -148,8 +148,13 @@ def test_sources(spark, tmp_path):
 def test_export_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", "x\ty\n", ["L"])], "uuid string, name string, labels array<string>")
     store.export_tsv(df, ["uuid", "name", "labels"], str(tmp_path / "out"))
-    lines = next(p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv").read_text().splitlines()
-    assert lines[1].split("\t") == ["a", "x\\ty\\n", '["L"]']
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-"))
+    lines = [line for p in parts for line in p.read_text().splitlines()]
+    assert (tmp_path / "out" / "_header.tsv").read_text() == "uuid\tname\tlabels\n"
+    assert [line.split("\t") for line in lines] == [["a", "x\\ty\\n", '["L"]']]
+    store.export_tsv(df.limit(0), ["uuid", "name"], str(tmp_path / "none"))
+    assert (tmp_path / "none" / "_header.tsv").read_text() == "uuid\tname\n"
+    assert not any(p.read_text() for p in (tmp_path / "none").iterdir() if p.name.startswith("part-"))
 
 
 def test_stream_merges_batches(spark, tmp_path):
