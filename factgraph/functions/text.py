@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -173,6 +174,19 @@ def fulltext_query(c: Column, most: int = 128) -> Column:
     return F.when(F.size(words) * 2 - 1 >= most, F.lit("")).otherwise(F.array_join(words, " | "))
 
 
+def lucene_query(c: Column, groups: Sequence[str] = (), most: int = 128) -> Column:
+    """The sanitized query in brackets, behind its groups if there are any; empty if its words and the groups are ``most`` or more."""
+    clean = lucene_sanitize(c)
+    bound = " OR ".join(f'group_id:"{g}"' for g in groups)
+    whole = F.concat(F.lit(f"{bound} AND (" if bound else "("), clean, F.lit(")"))
+    return F.when(F.size(F.split(clean, " ")) + len(groups) >= most, F.lit("")).otherwise(whole)
+
+
+def embedding_text(c: Column) -> Column:
+    """A text as it is embedded: on one line."""
+    return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
 def clean_name(c: Column) -> Column:
     return F.trim(F.translate(c, " ​﻿", " "))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -96,6 +96,11 @@ def split_column(df: DataFrame, key: str, text: str, split) -> DataFrame:
     return columns.mapInArrow(run, f"`{key}` {kind}, position long, chunk string")
 
 
+def chunk_estimate(text: Column, size: int = 1000, overlap: int = 150) -> Column:
+    """About how many chunks a text makes."""
+    return F.ceil(F.length(text) / float(size - overlap))
+
+
 def fixed_chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 150) -> DataFrame:
     """(key, position, chunk): windows of ``size`` characters every ``size - overlap``, in the JVM."""
     step = size - overlap

@@ -267,6 +267,27 @@ def hybrid(
     return _reranked(rows, lists, query, vector, embedding, recipe, scope, around).orderBy("place").limit(recipe.limit).select("uuid", "score")
 
 
+def _nearest(pairs: DataFrame, least: float, limit: int | None) -> DataFrame:
+    out = pairs.withColumn("score", V.scaled_cosine(F.col("x"), F.col("y"))).where(F.col("score") > least).select("query_uuid", "uuid", "score")
+    if limit is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("query_uuid").orderBy(F.desc("score"), "uuid"))
+    return out.withColumn("__r", place).where(F.col("__r") <= limit).drop("__r")
+
+
+def relevant_nodes(query: DataFrame, nodes: DataFrame, embedding: str, least: float = MIN_SCORE, limit: int | None = LIMIT) -> DataFrame:
+    """(query_uuid, uuid, score): for each node of query the most alike others of its group, ``limit`` of them."""
+    asked = query.select(F.col("uuid").alias("query_uuid"), "group_id", V.doubles(F.col(embedding)).alias("x"))
+    return _nearest(asked.join(nodes.select("uuid", "group_id", V.doubles(F.col(embedding)).alias("y")), "group_id").where("uuid <> query_uuid"), least, limit)
+
+
+def invalidation_candidates(query: DataFrame, edges: DataFrame, embedding: str, least: float = MIN_SCORE, limit: int | None = LIMIT) -> DataFrame:
+    """(query_uuid, uuid, score): for each edge of query the most alike edges that share an end with it, ``limit`` of them."""
+    pairs = graph.edges_touching(query, edges)
+    pairs = pairs.join(query.select(F.col("uuid").alias("query_uuid"), V.doubles(F.col(embedding)).alias("x")), "query_uuid")
+    return _nearest(pairs.join(edges.select("uuid", V.doubles(F.col(embedding)).alias("y")), "uuid"), least, limit)
+
+
 #: Results of each scope, by uuid.
 Results = dict[str, DataFrame]
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as T
+from factgraph.functions import vectors as V
 
 
 class Bound:
@@ -67,8 +68,32 @@ class Bound:
             F.concat(F.lit("g"), F.col("label") % 3).alias("group_id"),
             F.concat_ws(" ", F.lit("fact"), F.col("vec_id") % 7, F.lit("about"), "label").alias("fact"),
             F.col("embedding").cast("array<double>").alias("embedding"),
+            F.sequence(F.lit(0), F.col("vec_id") % 3).cast("array<string>").alias("episodes"),
         )
 
+    def close_vectors(self, share: float) -> DataFrame:
+        """The embeddings as unit vectors moved towards that of vec_id 0 by ``share``, so that likenesses reach high thresholds."""
+        v, q = V.l2_normalize(F.col("embedding").cast("array<double>")), V.l2_normalize(V.literal(self.query_vector()))
+        return self.table("embeddings").withColumn("embedding", F.zip_with(v, q, lambda x, y: x + F.lit(share) * y))
+
+    def links(self, status: str | None = None) -> DataFrame:
+        """Edges between customers, from orders."""
+        o = self.table("orders")
+        o = o.where(F.col("o_orderstatus") == status) if status else o
+        return o.select(
+            F.concat(F.lit("a"), "o_orderkey").alias("uuid"), F.concat(F.lit("c"), "o_custkey").alias("source_node_uuid"), F.concat(F.lit("c"), (F.col("o_custkey") * 3 + F.col("o_orderkey")) % 1500).alias("target_node_uuid")
+        )
+
+    def label_communities(self) -> DataFrame:
+        """A community for each label of the embeddings, with their mean."""
+        means = self.table("embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+        rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("embedding"))
+        return rows.select(F.concat(F.lit("l"), "label").alias("uuid"), F.concat(F.lit("brand "), "label").alias("name"), "embedding")
+
+    def long_names(self) -> DataFrame:
+        """uuid, name, k of the parts by name, type and brand."""
+        return self.table("part").select(F.concat(F.lit("p"), "p_partkey").alias("uuid"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"), F.col("p_partkey").alias("k"))
+
     def vector_nodes(self) -> DataFrame:
         v = self.table("embeddings").select(F.concat(F.lit("c"), "vec_id").alias("uuid"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
         return v.join(self.entities(), "uuid")

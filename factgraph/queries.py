@@ -28,7 +28,7 @@ edge AS (SELECT 'e' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS
   'g' || (o_custkey % 3) AS group_id, o_orderdate AS valid_at, l_shipdate AS created_at, 'o' || l_orderkey AS ep FROM li JOIN orders ON l_orderkey = o_orderkey),
 ended AS (SELECT *, lead(valid_at) OVER (PARTITION BY s, t ORDER BY valid_at, uuid) AS invalid_at FROM edge),
 fact AS (SELECT edge.*, c_name || ' ordered ' || p_name AS fact FROM edge JOIN customer ON s = 'c' || c_custkey JOIN part ON t = 'p' || p_partkey),
-vedge AS (SELECT 'f' || vec_id AS uuid, 'c' || (vec_id % 50) AS s, 'p' || label AS t, 'g' || (label % 3) AS group_id, 'fact ' || (vec_id % 7) || ' about ' || label AS fact, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+vedge AS (SELECT 'f' || vec_id AS uuid, 'c' || (vec_id % 50) AS s, 'p' || label AS t, 'g' || (label % 3) AS group_id, 'fact ' || (vec_id % 7) || ' about ' || label AS fact, CAST(embedding AS DOUBLE[]) AS v, vec_id % 3 + 1 AS neps FROM embeddings),
 vnode AS (SELECT 'c' || vec_id AS uuid, CAST(embedding AS DOUBLE[]) AS v, label, ent.name, ent.group_id, summary FROM embeddings JOIN ent ON ent.uuid = 'c' || vec_id),
 q0 AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
 episode AS (SELECT 'v' || event_id AS uuid, 'u' || user_id AS group_id, event_type AS source, ts AS valid_at, props AS content FROM events),
@@ -143,12 +143,28 @@ query(
     "facts_context",
     "SELECT group_id, name, count(*) AS n, max(to_json({'fact': s || ' ' || t, 'valid_at': strftime(valid_at, '%Y-%m-%d'), 'invalid_at': coalesce(strftime(invalid_at, '%Y-%m-%d'), 'Present')})::VARCHAR) AS context FROM ended GROUP BY ALL",
 )(
-    lambda b: b.ended_edges()
-    .select("group_id", "name", F.to_json(F.struct(F.concat_ws(" ", "source_node_uuid", "target_node_uuid").alias("fact"), day("valid_at").alias("valid_at"), F.coalesce(day("invalid_at"), F.lit("Present")).alias("invalid_at"))).alias("c"))
-    .groupBy("group_id", "name")
-    .agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("context"))
+    lambda b: b.ended_edges().select("group_id", "name", filters.context(F.concat_ws(" ", "source_node_uuid", "target_node_uuid")).alias("c")).groupBy("group_id", "name").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("context"))
 )
+query("filter_endpoints", "SELECT uuid FROM edge WHERE s = 'c1' UNION ALL SELECT uuid FROM edge WHERE s = 'c2' AND t IN (SELECT min(t) FROM edge WHERE s = 'c2')")(
+    lambda b: filters.between(b.edges(), "c1").select("uuid").unionByName(filters.between(b.edges(), "c2", b.edges().where("source_node_uuid = 'c2'").agg(F.min("target_node_uuid")).first()[0] or "").select("uuid"))
+)
+query("edges_labelled_ends", "SELECT edge.uuid FROM edge JOIN ent a ON s = a.uuid JOIN ent b ON t = b.uuid WHERE a.name LIKE '%1' AND b.name LIKE 'red%'")(
+    lambda b: filters.labelled_ends(b.edges(), b.entities().withColumn("labels", F.when(F.col("name").rlike("1$|^red"), F.array(F.lit("Marked"))).otherwise(F.array(F.lit("Plain")))).where("uuid not like 'c%' or name like '%1'"), ["Marked"]).select("uuid")
+)
+KINDS = """, k AS (SELECT uuid, CASE WHEN length(uuid) % 3 = 0 THEN ' Episodic ' WHEN length(uuid) % 3 = 1 THEN 'RELATES_TO' END AS type FROM edge)"""
+
+
+def kinds(b: Bound) -> DataFrame:
+    n = F.length("uuid") % 3
+    return b.edges().select("uuid", F.when(n == 0, " Episodic ").when(n == 1, "RELATES_TO").alias("type"))
+
 
+query("relates_to_only", KINDS + " SELECT uuid FROM k WHERE type = 'RELATES_TO'")(lambda b: filters.of_type(kinds(b)).select("uuid"))
+query("not_episodic", KINDS + " SELECT uuid FROM k WHERE type IS NULL OR lower(trim(type)) <> 'episodic'")(lambda b: filters.not_episodic(kinds(b)).select("uuid"))
+query("fact_results", "SELECT fact.uuid, name, fact, strftime(valid_at, '%Y-%m-%d') AS valid_at, strftime(created_at, '%Y-%m-%d') AS created_at, CAST(NULL AS VARCHAR) AS expired_at FROM fact")(
+    lambda b: filters.fact_results(b.facts()).select("uuid", "name", "fact", day("valid_at").alias("valid_at"), day("created_at").alias("created_at"), F.col("expired_at").cast("string").alias("expired_at"))
+)
+query("episodes_of_edges", "SELECT DISTINCT ep AS uuid FROM edge WHERE name = 'ORDERED_R'")(lambda b: graph.episodes_of(b.edges().where("name = 'ORDERED_R'"), b.order_episodes()).select("uuid"))
 # ---- joins ------------------------------------------------------------------------------------------------------
 
 query("edges_with_names", "SELECT edge.uuid, a.name AS source_name, b.name AS target_name FROM edge LEFT JOIN ent a ON s = a.uuid LEFT JOIN ent b ON t = b.uuid")(
@@ -165,52 +181,26 @@ query("relevant_edges", "SELECT a.uuid AS query_uuid, b.uuid FROM edge a JOIN ed
 )
 query(
     "invalidation_candidates",
-    """SELECT a.uuid AS query_uuid, b.uuid, round((1 + list_cosine_similarity(a.v, b.v)) / 2, 6) AS score FROM vedge a JOIN vedge b
-       ON a.group_id = b.group_id AND a.uuid <> b.uuid AND (a.s IN (b.s, b.t) OR a.t IN (b.s, b.t)) WHERE (1 + list_cosine_similarity(a.v, b.v)) / 2 > 0.6""",
-)(
-    lambda b: graph.edges_touching(b.vector_edges(), b.vector_edges())
-    .join(b.vector_edges().select(F.col("uuid").alias("query_uuid"), F.col("embedding").alias("x")), "query_uuid")
-    .join(b.vector_edges().select("uuid", F.col("embedding").alias("y")), "uuid")
-    .withColumn("score", V.scaled_cosine(F.col("x"), F.col("y")))
-    .where("score > 0.6")
-    .select("query_uuid", "uuid", r6(F.col("score")).alias("score"))
-)
+    """, h AS (SELECT a.uuid AS query_uuid, b.uuid, (1 + list_cosine_similarity(a.v, b.v)) / 2 AS score FROM vedge a JOIN vedge b
+       ON a.group_id = b.group_id AND a.uuid <> b.uuid AND (a.s IN (b.s, b.t) OR a.t IN (b.s, b.t)) WHERE (1 + list_cosine_similarity(a.v, b.v)) / 2 > 0.6)
+       SELECT query_uuid, uuid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_uuid ORDER BY score DESC, uuid) AS r FROM h) WHERE r <= 10""",
+)(lambda b: search.invalidation_candidates(b.vector_edges(), b.vector_edges(), "embedding").withColumn("score", r6(F.col("score"))))
 query(
     "relevant_nodes",
     """SELECT query_uuid, uuid, round(score, 6) AS score FROM (SELECT a.uuid AS query_uuid, b.uuid, (1 + list_cosine_similarity(a.v, b.v)) / 2 AS score,
        row_number() OVER (PARTITION BY a.uuid ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.uuid) AS r FROM vnode a JOIN vnode b ON a.group_id = b.group_id AND a.uuid <> b.uuid
        WHERE (1 + list_cosine_similarity(a.v, b.v)) / 2 > 0.6) WHERE r <= 5""",
-)(
-    lambda b: b.vector_nodes()
-    .select(F.col("uuid").alias("query_uuid"), "group_id", F.col("embedding").alias("x"))
-    .join(b.vector_nodes().select("uuid", "group_id", "embedding"), "group_id")
-    .where("uuid <> query_uuid")
-    .withColumn("score", V.scaled_cosine(F.col("x"), F.col("embedding")))
-    .where("score > 0.6")
-    .withColumn("r", F.row_number().over(Window.partitionBy("query_uuid").orderBy(F.desc("score"), "uuid")))
-    .where("r <= 5")
-    .select("query_uuid", "uuid", r6(F.col("score")).alias("score"))
-)
+)(lambda b: search.relevant_nodes(b.vector_nodes(), b.vector_nodes(), "embedding", limit=5).withColumn("score", r6(F.col("score"))))
 query(
     "edge_dup_candidates",
     """, w AS (SELECT *, string_split_regex(fact, ' +') AS ws FROM vedge)
        SELECT a.uuid AS a, b.uuid AS b FROM w a JOIN w b ON a.s = b.s AND a.t = b.t AND a.uuid < b.uuid WHERE list_has_any(a.ws, b.ws) OR list_cosine_similarity(a.v, b.v) >= 0.6""",
-)(
-    lambda b: b.vector_edges()
-    .select("source_node_uuid", "target_node_uuid", F.col("uuid").alias("a"), F.col("embedding").alias("x"), F.split("fact", " +").alias("fa"))
-    .join(b.vector_edges().select("source_node_uuid", "target_node_uuid", F.col("uuid").alias("b"), F.col("embedding").alias("y"), F.split("fact", " +").alias("fb")), ["source_node_uuid", "target_node_uuid"])
-    .where((F.col("a") < F.col("b")) & (F.arrays_overlap("fa", "fb") | (V.cosine(F.col("x"), F.col("y")) >= 0.6)))
-    .select("a", "b")
-)
+)(lambda b: resolve.duplicate_candidates(b.vector_edges(), "embedding"))
 query("name_match_exact", "SELECT a.norm, sum(a.n) AS count_a, max(b.m) AS count_b FROM ncn a JOIN (SELECT lower(p_name) AS norm, count(*) AS m FROM part GROUP BY 1) b ON a.norm = b.norm GROUP BY 1")(
-    lambda b: b.name_counts()
-    .withColumn("norm", T.normalize_relation(F.col("name")))
-    .groupBy("norm")
-    .agg(F.sum("count").alias("count_a"))
-    .join(b.part_names().groupBy(T.norm_exact(F.col("name")).alias("norm")).agg(F.count(F.lit(1)).alias("count_b")), "norm")
+    lambda b: resolve.matched_names(b.name_counts().withColumn("norm", T.normalize_relation(F.col("name"))), b.part_names().select(T.norm_exact(F.col("name")).alias("norm"), F.lit(1).alias("count")))
 )
 query("name_match_unmatched", "SELECT DISTINCT lower(c_name) AS norm FROM customer WHERE lower(c_name) NOT IN (SELECT lower(replace(s_name, 'Supplier', 'Customer')) FROM supplier)")(
-    lambda b: b.table("customer").select(T.norm_exact(F.col("c_name")).alias("norm")).distinct().join(b.table("supplier").select(T.norm_exact(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("norm")), "norm", "left_anti")
+    lambda b: resolve.unmatched_names(b.table("customer").select(T.norm_exact(F.col("c_name")).alias("norm")), b.table("supplier").select(T.norm_exact(F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("norm")))
 )
 query(
     "backmap",
@@ -228,9 +218,7 @@ query(
         ["ORDERED_A", "ORDERED_R"],
     )
 )
-query("filter_existing_duplicates", "SELECT uuid FROM edge WHERE (s, t) NOT IN (SELECT s, t FROM edge WHERE name = 'ORDERED_A')")(
-    lambda b: b.edges().join(b.edges().where("name = 'ORDERED_A'").select("source_node_uuid", "target_node_uuid"), ["source_node_uuid", "target_node_uuid"], "left_anti").select("uuid")
-)
+query("filter_existing_duplicates", "SELECT uuid FROM edge WHERE (s, t) NOT IN (SELECT s, t FROM edge WHERE name = 'ORDERED_A')")(lambda b: resolve.without_known_duplicates(b.edges(), b.edges(), "ORDERED_A").select("uuid"))
 query("nodes_edges_by_episode", "SELECT ep AS episode, 'edge' AS kind, uuid FROM edge UNION ALL SELECT s, 'node', t FROM ment")(
     lambda b: b.edges().select(F.explode("episodes").alias("episode"), F.lit("edge").alias("kind"), "uuid").unionByName(
         b.mentions().select(F.col("source_node_uuid").alias("episode"), F.lit("node").alias("kind"), F.col("target_node_uuid").alias("uuid"))
@@ -248,8 +236,8 @@ query(
 query("exact_normalized_groups", "SELECT norm AS normalized, sum(n) AS total_count, array_to_string(list_slice(list_sort(list(DISTINCT name)), 1, 5), ', ') AS examples FROM ncn GROUP BY 1")(lambda b: canon.exact_groups(b.name_counts()))
 query("group_by_normalized", "SELECT norm AS normalized, sum(n) AS count, count(*) AS members, arg_min(name, (-length(name), name)) AS name FROM ncn GROUP BY 1")(lambda b: canon.group_by_normalized(b.name_counts()))
 query("rebuild_collapsed", "SELECT sizes.cluster_id, representative, total_count, members FROM sizes JOIN mprep ON sizes.cluster_id = mprep.cluster_id")(lambda b: canon.collapsed(b.mapping()))
-query("nodes_by_date", "SELECT strftime(valid_at, '%Y-%m-%d') AS day, count(*) AS n FROM episode GROUP BY 1")(lambda b: b.episodes().groupBy(day("valid_at").alias("day")).agg(F.count(F.lit(1)).alias("n")))
-query("entity_counts", "SELECT name, count(*) AS n FROM ent GROUP BY 1")(lambda b: b.entities().groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+query("nodes_by_date", "SELECT strftime(valid_at, '%Y-%m-%d') AS day, count(*) AS n FROM episode GROUP BY 1")(lambda b: report.counts_by(b.episodes(), day("valid_at"), "day"))
+query("entity_counts", "SELECT name, count(*) AS n FROM ent GROUP BY 1")(lambda b: report.counts_by(b.entities(), "name", "name"))
 query("cluster_stats", "SELECT count(*) AS clusters, sum(total_count) AS edges, round(avg(total_count), 6) AS avg_edges, round(avg(members), 6) AS avg_names FROM sizes")(
     lambda b: report.cluster_stats(canon.collapsed(b.mapping())).select("clusters", "edges", r6(F.col("avg_edges")).alias("avg_edges"), r6(F.col("avg_names")).alias("avg_names"))
 )
@@ -272,15 +260,29 @@ query(
        l AS (SELECT label, sqrt(sum(x * x)) AS l FROM m GROUP BY 1) SELECT m.label, i - 1 AS position, round(x / (l + 1e-9), 6) AS value FROM m JOIN l ON m.label = l.label""",
     bare=True,
 )(lambda b: canon.centroids(b.table("embeddings"), "label", "embedding").select("label", long("position").alias("position"), r6(F.col("value")).alias("value")))
+MESSAGES = [("Pydantic validation failed: JSON parsing error from Ollama", 1), ("Using empty fallback structure instead", 2), ("JSONDecodeError from Ollama at 3", 3), ("Unexpected response type from Ollama", 4), ("pydantic validation, in small letters", 5), ("a core exception, then Using empty fallback structure instead", 6)]
 query(
     "error_buckets",
-    """SELECT CASE WHEN content LIKE '%1%' THEN 'timeout' WHEN content LIKE '%2%' THEN 'json' WHEN content LIKE '%3%' THEN 'connection' ELSE 'other' END AS bucket, count(*) AS n FROM episode WHERE source = 'error' GROUP BY 1""",
+    """, m AS (SELECT CASE CAST(substr(uuid, 2) AS BIGINT) % 7 """
+    + " ".join(f"WHEN {i} THEN '{t}'" for t, i in MESSAGES)
+    + """ ELSE 'request timed out' END AS m FROM episode WHERE source = 'error')
+       SELECT CASE WHEN contains(m, 'Pydantic validation') THEN 'Pydantic validation' WHEN contains(m, 'Using empty fallback structure instead') THEN 'Fallback empty structure'
+         WHEN contains(m, 'JSON parsing error from Ollama') OR contains(m, 'JSONDecodeError from Ollama') THEN 'JSON parsing error' WHEN contains(m, 'Unexpected response type from Ollama') THEN 'Unexpected type'
+         WHEN contains(m, 'core exception') THEN 'Core exception' ELSE 'Other' END AS bucket, count(*) AS n FROM m GROUP BY 1""",
 )(
-    lambda b: b.episodes()
-    .where("source = 'error'")
-    .select(report.error_bucket(F.when(F.col("content").contains("1"), "request Timeout").when(F.col("content").contains("2"), "bad JSON").when(F.col("content").contains("3"), "Connection lost").otherwise("?")).alias("bucket"))
-    .groupBy("bucket")
-    .agg(F.count(F.lit(1)).alias("n"))
+    lambda b: (
+        lambda k: report.counts_by(
+            b.episodes().where("source = 'error'"), report.error_bucket(F.coalesce(*(F.when(k == i, F.lit(t)) for t, i in MESSAGES), F.lit("request timed out"))), "bucket"
+        )
+    )(F.substr("uuid", F.lit(2)).cast("long") % 7)
+)
+query("run_sums", "SELECT 'u' || (user_id % 9) AS run, count(*) AS chunks, sum(event_id % 4) AS errors, sum(event_id % 3) AS warnings, sum(event_id) AS seconds, round(sum(event_id % 4)::DOUBLE / count(*), 6) AS errors_per_chunk FROM events GROUP BY 1", bare=True)(
+    lambda b: report.run_sums(
+        b.table("events").select(F.concat(F.lit("u"), F.col("user_id") % 9).alias("run"), F.lit(1).alias("chunks"), (F.col("event_id") % 4).alias("errors"), (F.col("event_id") % 3).alias("warnings"), F.col("event_id").alias("seconds")), ["run"]
+    ).withColumn("errors_per_chunk", r6(F.col("errors_per_chunk")))
+)
+query("distinct_share", "SELECT p_brand AS brand, count(DISTINCT p_name) AS \"distinct\", count(*) AS total, round(count(*)::DOUBLE / count(DISTINCT p_name), 6) AS per_distinct FROM part GROUP BY 1", bare=True)(
+    lambda b: report.distinct_share(b.table("part").withColumnRenamed("p_brand", "brand"), "p_name", ["brand"]).withColumn("per_distinct", r6(F.col("per_distinct")))
 )
 query("merge_checkpoints", "SELECT user_id, arg_max(event_id, ('chunk_' || (event_id % 12), event_id)) AS event_id, max('chunk_' || (event_id % 12)) AS chunk FROM events GROUP BY 1")(
     lambda b: report.latest_by_chunk(b.table("events").select("user_id", "event_id", F.concat(F.lit("chunk_"), F.col("event_id") % 12).alias("chunk")), ["user_id"])
@@ -295,31 +297,22 @@ query("edge_count_cdf", "SELECT v AS value, k AS n, round(sum(k) OVER (ORDER BY
     lambda b: report.cdf(b.edges().groupBy("source_node_uuid").agg(F.count(F.lit(1)).alias("c")), "c").withColumn("cdf", r6(F.col("cdf")))
 )
 query("dup_norm_names", "SELECT norm, count(*) AS n FROM ncn GROUP BY 1 HAVING count(*) > 1")(
-    lambda b: b.name_counts().groupBy(T.normalize_relation(F.col("name")).alias("norm")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lambda b: report.repeated_keys(b.name_counts(), T.normalize_relation(F.col("name")), "norm")
 )
 query("choose_rep", "SELECT * FROM mprep")(lambda b: canon.representatives(b.mapping()))
 query("best_by_norm", "SELECT norm, arg_min(name, (-n, name)) AS name, max(n) AS count FROM ncn GROUP BY 1")(
-    lambda b: b.name_counts().groupBy(T.normalize_relation(F.col("name")).alias("norm")).agg(F.min_by("name", F.struct(-F.col("count"), "name")).alias("name"), F.max("count").alias("count"))
+    lambda b: canon.best_of_group(b.name_counts())
 )
 query("top_items", "SELECT cluster_id, name, n AS count, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, name) AS r FROM mp) WHERE r <= 3")(
     lambda b: canon.ranked_in(b.mapping(), 3).withColumn("rank", long("rank"))
 )
 query("topk_clusters", "SELECT cluster_id, total_count FROM sizes ORDER BY total_count DESC, cluster_id LIMIT 5")(
-    lambda b: canon.collapsed(b.mapping()).orderBy(F.desc("total_count"), "cluster_id").limit(5).select("cluster_id", "total_count")
+    lambda b: canon.largest_clusters(canon.collapsed(b.mapping()), 5).select("cluster_id", "total_count")
 )
 query(
     "pair_candidates_topk",
-    """SELECT a, b, round(d, 6) AS distance FROM (SELECT a.uuid AS a, b.uuid AS b, 1 - list_cosine_similarity(a.v, b.v) AS d FROM vedge a JOIN vedge b ON a.uuid < b.uuid AND a.t = b.t) ORDER BY d, a, b LIMIT 200""",
-)(
-    lambda b: b.vector_edges()
-    .select("target_node_uuid", F.col("uuid").alias("a"), F.col("embedding").alias("x"))
-    .join(b.vector_edges().select("target_node_uuid", F.col("uuid").alias("b"), F.col("embedding").alias("y")), "target_node_uuid")
-    .where("a < b")
-    .withColumn("d", 1 - V.cosine(F.col("x"), F.col("y")))
-    .orderBy("d", "a", "b")
-    .limit(200)
-    .select("a", "b", r6(F.col("d")).alias("distance"))
-)
+    """SELECT a, b, round(d, 6) AS distance FROM (SELECT a.uuid AS a, b.uuid AS b, 1 - list_cosine_similarity(a.v, b.v) AS d FROM vedge a JOIN vedge b ON a.uuid < b.uuid) ORDER BY d, a, b LIMIT 200""",
+)(lambda b: canon.nearest_pairs(b.vector_edges(), "embedding", 200).withColumn("distance", r6(F.col("distance"))))
 query(
     "candidate_union_dedupe",
     """SELECT uuid, min(l) AS list, CAST(arg_min(o, (l, o)) AS BIGINT) AS ord FROM (SELECT uuid, 0 AS l, c AS o FROM (SELECT 'p' || p_partkey AS uuid, p_partkey AS c FROM part WHERE p_partkey % 3 = 0)
@@ -380,18 +373,9 @@ query("node_similarity", "SELECT uuid, round(list_cosine_similarity(v, q), 6) AS
 CENTRES = """, m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL)"""
 query(
     "community_similarity",
-    CENTRES + " SELECT 'l' || label AS uuid, round((1 + sum(x * q[i]) / sqrt(sum(x * x)) / sqrt(sum(q[i] * q[i]))) / 2, 6) AS score FROM m, q0 GROUP BY label",
-)(
-    lambda b: scored(
-        search.similarity(
-            canon.centroids(b.table("embeddings"), "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("position", "value"))).alias("p")).select(F.concat(F.lit("l"), "label").alias("uuid"), F.transform("p", lambda x: x["value"]).alias("embedding")),
-            b.query_vector(),
-            "embedding",
-            -1.0,
-            None,
-        )
-    )
-)
+    CENTRES + """, k AS (SELECT 'l' || label AS uuid, (1 + sum(x * q[i]) / sqrt(sum(x * x)) / sqrt(sum(q[i] * q[i]))) / 2 AS score FROM m, q0 GROUP BY label)
+       SELECT uuid, round(score, 6) AS score FROM k WHERE score > 0.6 ORDER BY k.score DESC, uuid LIMIT 10""",
+)(lambda b: scored(search.similarity(b.label_communities(), b.query_vector(), "embedding")))
 REACH = """, w AS (SELECT uuid, s, t, 1 AS hop FROM big WHERE s IN (SELECT o FROM orig) UNION SELECT big.uuid, big.s, big.t, hop + 1 FROM w JOIN big ON big.s = w.t WHERE hop < 3)"""
 WEB = """, big AS (SELECT 'a' || o_orderkey AS uuid, 'n' || o_custkey AS s, 'n' || ((o_custkey * 7 + o_orderkey) % 1500) AS t FROM orders),
  orig AS (SELECT 'n' || c_custkey AS o FROM customer WHERE c_custkey IN (1, 2, 3))"""
@@ -425,12 +409,7 @@ EHYBRID = bm25_sql("vedge", "fact", ["about", "3"]) + """, l AS (
 query("search_edges_hybrid_rrf", EHYBRID + " SELECT uuid, round(score, 6) AS score FROM f ORDER BY f.score DESC, seen LIMIT 10")(
     lambda b: scored(search.hybrid(b.vector_edges(), "about 3", b.query_vector(), ["fact"], "embedding", search.RECIPES["edges_rrf"].edges))
 )
-query("search_combined")(
-    lambda b: scored(search.hybrid(b.vector_edges(), "about 3", b.query_vector(), ["fact"], "embedding")).withColumn("scope", F.lit("edge"))
-    .unionByName(scored(search.hybrid(b.vector_nodes(), "household building", b.query_vector(), ["name", "summary"], "embedding")).withColumn("scope", F.lit("node")))
-    .unionByName(scored(search.hybrid(b.messages(), "the und", None, ["content"], None, search.Recipe(("bm25",)))).withColumn("scope", F.lit("episode")))
-    .unionByName(scored(search.hybrid(b.communities(), "brand 7", None, ["name"], None)).withColumn("scope", F.lit("community")))
-)
+
 query(
     "rrf",
     """, l AS (SELECT 'p' || p_partkey AS uuid, 0 AS m, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS r FROM part UNION ALL SELECT 'p' || p_partkey, 1, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 FROM part WHERE p_size > 10)
@@ -448,19 +427,17 @@ query(
 )
 query(
     "mmr",
-    """, c AS (SELECT uuid, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vedge WHERE s IN ('c1', 'c2', 'c3')),
+    """, f AS (SELECT uuid, v, list_cosine_similarity(v, q) AS s FROM vedge, q0 ORDER BY s DESC, uuid LIMIT 50), c AS (SELECT uuid, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM f),
        k AS (SELECT a.uuid, greatest(0, max(list_dot_product(a.v, b.v))) AS m FROM c a JOIN c b ON a.uuid <> b.uuid GROUP BY 1)
        SELECT c.uuid, round(0.5::DOUBLE * list_dot_product(v, q) - 0.5::DOUBLE * m, 6) AS score FROM c JOIN k ON c.uuid = k.uuid, q0""",
-)(lambda b: scored(search.mmr(b.vector_edges().where("source_node_uuid in ('c1', 'c2', 'c3')"), b.query_vector())))
+)(lambda b: scored(search.mmr(search.similarity(b.vector_edges(), b.query_vector(), "embedding", -2.0, 50, "raw"), b.query_vector())))
 query("node_distance", ", near AS (SELECT t AS u FROM edge WHERE s = 'c1' UNION SELECT s FROM edge WHERE t = 'c1') SELECT uuid, CASE WHEN uuid = 'c1' THEN 10.0 WHEN uuid IN (SELECT u FROM near) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM ent")(
     lambda b: search.node_distance(b.entities(), b.edges(), "c1")
 )
-query("episode_mentions_nodes", "SELECT ent.uuid, coalesce(n, 1e308 * 10)::DOUBLE AS mentions FROM ent JOIN (SELECT t, count(*) AS n FROM ment GROUP BY 1) m ON ent.uuid = t")(
-    lambda b: search.by_mentions(b.entities(), b.mentions()).where("mentions < double('infinity')")
-)
-query("episode_mentions_edges", "SELECT uuid, n AS mentions FROM edge JOIN (SELECT s, count(*) AS n FROM ment GROUP BY 1) m ON m.s = ep ORDER BY n DESC, uuid LIMIT 50")(
-    lambda b: b.edges().withColumn("episode", F.element_at("episodes", 1)).join(b.mentions().groupBy(F.col("source_node_uuid").alias("episode")).agg(F.count(F.lit(1)).alias("mentions")), "episode").orderBy(F.desc("mentions"), "uuid").limit(50).select("uuid", "mentions")
+query("episode_mentions_nodes", "SELECT ent.uuid, coalesce(n, 'Infinity'::DOUBLE)::DOUBLE AS mentions FROM ent LEFT JOIN (SELECT t, count(*) AS n FROM ment GROUP BY 1) m ON ent.uuid = t")(
+    lambda b: search.by_mentions(b.entities(), b.mentions())
 )
+
 query(
     "cross_encoder_stub",
     r""", l AS (SELECT name, max(uuid) AS uuid FROM ent GROUP BY 1)
@@ -519,28 +496,59 @@ query("edge_pointers", POINT + " SELECT uuid, s AS source_node_uuid, coalesce(c,
 query("edge_fast_dedupe", "SELECT arg_min(uuid, (created_at, uuid)) AS uuid, s AS source_node_uuid, t AS target_node_uuid FROM fact GROUP BY s, t, lower(fact)")(
     lambda b: temporal.first_of_each(b.facts(), T.norm_exact(F.col("fact"))).select("uuid", "source_node_uuid", "target_node_uuid")
 )
-query("edge_verbatim_reuse", "SELECT a.uuid, min(b.uuid) AS reused FROM fact a LEFT JOIN fact b ON a.s = b.s AND a.t = b.t AND lower(a.fact) = lower(b.fact) AND b.name = 'ORDERED_A' WHERE a.name <> 'ORDERED_A' GROUP BY 1")(
-    lambda b: temporal.reuse_verbatim(b.facts().where("name <> 'ORDERED_A'"), b.facts().where("name = 'ORDERED_A'"), T.norm_exact).select("uuid", "reused")
+query(
+    "edge_verbatim_reuse",
+    """, r AS (SELECT a.uuid, min(b.uuid) AS reused, min(a.ep) AS ep FROM fact a LEFT JOIN fact b ON a.s = b.s AND a.t = b.t AND lower(a.fact) = lower(b.fact) AND b.name = 'ORDERED_A' WHERE a.name <> 'ORDERED_A' GROUP BY 1)
+       SELECT r.uuid, reused, CASE WHEN o.ep IS NOT NULL AND o.ep <> r.ep THEN o.ep || ',' || r.ep ELSE r.ep END AS episodes FROM r LEFT JOIN fact o ON o.uuid = reused""",
+)(
+    lambda b: temporal.reuse_verbatim(b.facts().where("name <> 'ORDERED_A'"), b.facts().where("name = 'ORDERED_A'"), T.norm_exact)
+    .join(b.facts().select("uuid", F.col("episodes").alias("own")), "uuid")
+    .select("uuid", "reused", joined(F.coalesce("episodes", "own")).alias("episodes"))
 )
-query("edge_fact_cosine_dups")(lambda b: resolve.fact_duplicates(b.vector_edges(), "embedding", 0.2))
-SAME = """, lk AS (SELECT 'c' || o_custkey AS a, 'c' || ((o_custkey * 3 + o_orderkey) % 1500) AS b FROM orders WHERE o_orderkey % 20 = 0), bo AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk),
- rc AS (SELECT a AS u, a AS x FROM bo UNION SELECT rc.u, bo.b FROM rc JOIN bo ON rc.x = bo.a)"""
-
-
-def order_pairs(b: Bound) -> DataFrame:
-    return b.table("orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("c"), (F.col("o_custkey") * 3 + F.col("o_orderkey")) % 1500).alias("b"), "o_orderkey")
+query(
+    "reused_episodes",
+    """, r AS (SELECT b.uuid AS reused, list_sort(list(DISTINCT a.ep)) AS eps FROM (SELECT *, min(uuid) OVER (PARTITION BY s, t) AS head FROM fact WHERE name = 'ORDERED_A') b JOIN fact a ON a.s = b.s AND a.t = b.t AND a.name <> 'ORDERED_A' WHERE b.uuid = head GROUP BY 1)
+       SELECT fact.uuid, CASE WHEN eps IS NULL THEN ep ELSE array_to_string(list_concat([ep], list_filter(eps, lambda x: x <> ep)), ',') END AS episodes FROM fact LEFT JOIN r ON uuid = reused WHERE name = 'ORDERED_A'""",
+)(
+    lambda b: temporal.with_reused_episodes(
+        b.facts().where("name = 'ORDERED_A'"), temporal.reuse_verbatim(b.facts().where("name <> 'ORDERED_A'"), b.facts().where("name = 'ORDERED_A'"), T.norm_exact)
+    ).select("uuid", joined("episodes").alias("episodes"))
+)
+query("ended_by_next", "SELECT uuid, strftime(invalid_at, '%Y-%m-%d') AS invalid_at FROM ended")(
+    lambda b: temporal.ended_by_next(b.edges().withColumn("invalid_at", F.lit(None).cast("timestamp")), ["source_node_uuid", "target_node_uuid"]).select("uuid", day("invalid_at").alias("invalid_at"))
+)
+query(
+    "enriched_dates",
+    """SELECT uuid, strftime(valid_at, '%Y-%m-%d') AS valid_at, CASE WHEN invalid_at IS NOT NULL THEN strftime(invalid_at, '%Y-%m-%d') WHEN length(uuid) % 2 = 0 THEN '2030-05-06' END AS invalid_at FROM ended""",
+)(
+    lambda b: temporal.enriched_dates(
+        b.ended_edges(), b.edges().select("uuid", F.lit("1900-01-01T00:00:00Z").alias("valid_at"), F.when(F.length("uuid") % 2 == 0, "2030-05-06T07:08:09Z").otherwise("some day").alias("invalid_at"))
+    ).select("uuid", day("valid_at").alias("valid_at"), day("invalid_at").alias("invalid_at"))
+)
+query("contradiction_pass", "SELECT uuid, strftime(invalid_at, '%Y-%m-%d') AS invalid_at FROM ended WHERE name IN ('ORDERED_A', 'ORDERED_R')")(
+    lambda b: temporal.with_contradictions(b.ended_edges().where("name = 'ORDERED_A'"), b.edges().where("name <> 'ORDERED_N'").where("name <> 'ORDERED_O'").select("uuid"), b.ended_edges()).select("uuid", day("invalid_at").alias("invalid_at"))
+)
+query("parse_time", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS t, event_id % 2 = 0 AS known FROM events", bare=True)(
+    lambda b: b.table("events").select(
+        "event_id", day("ts").alias("t"), temporal.parse_time(F.when(F.col("event_id") % 2 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).otherwise("no date")).isNotNull().alias("known")
+    )
+)
+query("edge_fact_cosine_dups")(lambda b: resolve.fact_duplicates(b.vector_edges().drop("embedding").join(b.close_vectors(3.0).select(F.concat(F.lit("f"), "vec_id").alias("uuid"), "embedding"), "uuid"), "embedding"))
 
 
-def same_pairs(b: Bound) -> DataFrame:
-    """A twentieth of the orders, as in SAME."""
-    return order_pairs(b).where("o_orderkey % 20 = 0").select("a", "b")
+def order_chain(b: Bound) -> DataFrame:
+    """(a, b): every order and the next one of the same customer."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return b.table("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("o"), F.lead("o_orderkey").over(w)).alias("b")).where("b is not null")
 
 
-query("compress_uuid_map", SAME + " SELECT u AS uuid, min(x) AS canonical FROM rc GROUP BY 1")(lambda b: graph.components(same_pairs(b), Lineage(b.spark)))
+query("compress_uuid_map", "SELECT 'o' || o_orderkey AS uuid, min('o' || o_orderkey) OVER (PARTITION BY o_custkey) AS canonical FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1", bare=True)(
+    lambda b: graph.components(order_chain(b), Lineage(b.spark))
+)
 query("directed_uuid_map", ", pt AS (SELECT p_partkey AS k FROM part) SELECT 'p' || k AS uuid, 'p' || (k % 10) AS canonical FROM pt WHERE k >= 10")(
     lambda b: graph.follow(b.table("part").where("p_partkey >= 10").select(F.concat(F.lit("p"), "p_partkey").alias("uuid"), F.concat(F.lit("p"), F.col("p_partkey") - 10).alias("canonical")), Lineage(b.spark))
 )
-query("label_propagation")(lambda b: graph.label_propagation(graph.neighbours(order_pairs(b).select(F.col("a").alias("source_node_uuid"), F.col("b").alias("target_node_uuid"))), Lineage(b.spark)))
+query("label_propagation")(lambda b: graph.label_propagation(graph.neighbours(b.links()), Lineage(b.spark)))
 
 # ---- names and entities -----------------------------------------------------------------------------------------
 
@@ -585,8 +593,62 @@ query("lsh_candidate_pairs", DIST + f", {BAND} SELECT a, b FROM pr", bare=True)(
 query("jaccard_pairs", DIST + f", {BAND} SELECT a, b, round(len(list_intersect(sa, sb))::DOUBLE / len(list_distinct(list_concat(sa, sb))), 6) AS score FROM pr", bare=True)(
     lambda b: resolve.jaccard_pairs(distinct_names(b)).withColumn("score", r6(F.col("score")))
 )
-query("resolve_entities", NAMES + ", k AS (SELECT name, min(uuid) AS canonical FROM nm GROUP BY 1) SELECT 'x' || n.uuid AS uuid, canonical, 'exact' AS reason FROM nm n JOIN k ON n.name = k.name WHERE n.uuid LIKE '%7'", bare=True)(
-    lambda b: resolve.resolve(b.part_names().where("uuid like '%7'").select(F.concat(F.lit("x"), "uuid").alias("uuid"), F.upper("name").alias("name")), b.part_names())
+LONG = r"""WITH RECURSIVE ln AS (SELECT 'p' || p_partkey AS uuid, p_partkey AS k, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part),
+  xs AS (SELECT 'x' || k AS uuid, CASE k % 4 WHEN 0 THEN upper(name) || '  ' WHEN 1 THEN name || 'y' WHEN 2 THEN 'Unknown thing number ' || k ELSE 'ab' END AS name FROM ln),
+  every AS (SELECT uuid, name FROM ln UNION ALL SELECT uuid, name FROM xs), nk AS (SELECT uuid, name, trim(regexp_replace(lower(name), '\s+', ' ', 'g')) AS e FROM every),
+  ks AS (SELECT DISTINCT uuid, e, unnest([e, array_to_string(list_transform(string_split(e, ' '), lambda t: CASE WHEN length(t) > 3 AND t LIKE '%es' AND t NOT LIKE '%sses' THEN substr(t, 1, length(t) - 2)
+       WHEN length(t) > 2 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN substr(t, 1, length(t) - 1) ELSE t END), ' ')]) AS key FROM nk),
+  fz AS (SELECT DISTINCT e, trim(regexp_replace(regexp_replace(e, '[^a-z0-9'' ]', ' ', 'g'), ' +', ' ', 'g')) AS f FROM nk),
+  fs AS (SELECT e, f, list_distinct(list_transform(range(1, greatest(length(replace(f, ' ', '')) - 1, 1)), lambda i: substr(replace(f, ' ', ''), i, 3))) AS sh,
+    (length(f) >= 6 OR len(string_split(f, ' ')) >= 2) AS enough FROM fz),
+  sg AS (SELECT e, sh, list_transform(range(0, 32), lambda s: list_min(list_transform(sh, lambda x: md5(s || ':' || x)))) AS sg FROM fs WHERE enough AND len(sh) > 0),
+  bd AS (SELECT e, sh, i || '|' || array_to_string(sg[i * 4 + 1:i * 4 + 4], '-') AS band FROM (SELECT e, sh, sg, unnest(range(0, 8)) AS i FROM sg)),
+  pr AS (SELECT DISTINCT a.e AS a, b.e AS b, len(list_intersect(a.sh, b.sh))::DOUBLE / len(list_distinct(list_concat(a.sh, b.sh))) AS score FROM bd a JOIN bd b ON a.band = b.band AND a.e <> b.e)
+"""
+
+
+def altered_names(b: Bound) -> DataFrame:
+    """The long names anew: some in capitals, some with a letter more, some unknown, some too short to tell."""
+    k = F.col("k") % 4
+    name = F.when(k == 0, F.concat(F.upper("name"), F.lit("  "))).when(k == 1, F.concat("name", F.lit("y"))).when(k == 2, F.concat(F.lit("Unknown thing number "), "k")).otherwise("ab")
+    return b.long_names().select(F.concat(F.lit("x"), "k").alias("uuid"), name.alias("name"))
+
+
+query(
+    "resolve_entities",
+    LONG + """, ex AS (SELECT x.uuid, min(p.uuid) AS canonical FROM ks x JOIN ks p ON x.key = p.key AND x.uuid LIKE 'x%' AND p.uuid LIKE 'p%' GROUP BY 1),
+       heads AS (SELECT e, min(uuid) AS uuid FROM nk WHERE uuid LIKE 'p%' GROUP BY 1),
+       nr AS (SELECT nk.uuid, heads.uuid AS canonical, row_number() OVER (PARTITION BY nk.uuid ORDER BY score DESC, heads.uuid) AS r FROM nk JOIN pr ON nk.e = pr.a JOIN heads ON heads.e = pr.b
+              WHERE nk.uuid LIKE 'x%' AND score >= 0.9 AND nk.uuid NOT IN (SELECT uuid FROM ex))
+       SELECT uuid, canonical, 'exact' AS reason FROM ex UNION ALL SELECT uuid, canonical, 'fuzzy' FROM nr WHERE r = 1""",
+    bare=True,
+)(lambda b: resolve.resolve(altered_names(b), b.long_names().select("uuid", "name")))
+query(
+    "resolve_guarded",
+    """WITH p AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_size > 25 THEN 'china' ELSE '' END AS hint FROM part),
+       x AS (SELECT 'x' || k AS uuid, name, CASE WHEN k % 3 = 0 THEN 'india' WHEN k % 3 = 1 THEN 'china' ELSE '' END AS hint FROM p),
+       h AS (SELECT x.uuid, min('p' || p.k) AS canonical, x.hint AS a, p.hint AS b FROM x JOIN p ON x.name = p.name GROUP BY ALL),
+       g AS (SELECT *, CASE WHEN a <> '' AND a = b THEN 'exact_geo' WHEN (a <> '') <> (b <> '') THEN 'exact_geo_hint_partial' WHEN a = '' AND b = '' THEN 'exact' END AS reason FROM h)
+       SELECT uuid, canonical, reason FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY canonical) AS r FROM g WHERE reason IS NOT NULL) WHERE r = 1""",
+    bare=True,
+)(
+    lambda b: (
+        lambda p, k, none: resolve.resolve(
+            p.select(F.concat(F.lit("x"), k).alias("uuid"), F.col("p_name").alias("name"), F.lit("Location").alias("kind"), F.when(k % 3 == 0, F.array(F.lit("india"))).when(k % 3 == 1, F.array(F.lit("china"))).otherwise(none).alias("hints"), F.lit(None).cast("string").alias("own")),
+            p.select(F.concat(F.lit("p"), k).alias("uuid"), F.col("p_name").alias("name"), F.lit("Location").alias("kind"), F.when(F.col("p_size") > 25, F.array(F.lit("china"))).otherwise(none).alias("hints"), F.lit(None).cast("string").alias("own")),
+        )
+    )(b.table("part"), F.col("p_partkey"), F.array().cast("array<string>"))
+)
+query("geo_hints", "SELECT c_custkey AS k, array_to_string(list_sort(list_distinct(list_filter([lower(n_name), CASE WHEN c_custkey % 5 = 0 THEN 'spain' END], lambda x: x IN ('china', 'india', 'usa', 'united states', 'france', 'germany', 'spain', 'italy', 'brazil', 'ethiopia')))), ',') AS hints FROM customer JOIN nation ON c_nationkey = n_nationkey", bare=True)(
+    lambda b: b.table("customer").join(b.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("k"), joined(F.array_sort(resolve.geo_hints(F.concat(F.lit("Seen in "), "n_name", F.lit(", once")), F.when(F.col("c_custkey") % 5 == 0, F.lit('{"country": " Spain"}'))))).alias("hints")
+    )
+)
+query("ror_hints", "SELECT 's' || s_suppkey AS uuid, CASE WHEN s_suppkey % 4 = 0 THEN 'r' || s_suppkey ELSE '' END AS hints FROM supplier", bare=True)(
+    lambda b: resolve.ror_hints(
+        b.table("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("uuid"), F.col("s_name").alias("name")),
+        b.table("supplier").where("s_suppkey % 4 = 0").select(F.upper("s_name").alias("name"), F.concat(F.lit("r"), "s_suppkey").alias("ror_id")),
+    ).select("uuid", joined("hints").alias("hints"))
 )
 query(
     "merge_safeguard",
@@ -622,24 +684,21 @@ query(
         b.table("nation").select(F.col("n_nationkey").alias("idx"), F.concat(F.lit("n"), "n_nationkey").alias("uuid")),
     )
 )
-query("dedupe_nodes_batch", NAMES + "SELECT uuid, min(uuid) OVER (PARTITION BY name) AS canonical FROM nm", bare=True)(lambda b: resolve.dedupe_batch(b.part_names(), Lineage(b.spark)))
+query(
+    "dedupe_nodes_batch",
+    LONG + """, hd AS (SELECT key, min(uuid) AS u FROM ks GROUP BY 1), f1 AS (SELECT e, min(uuid) AS u FROM nk GROUP BY 1),
+       lk AS (SELECT ks.uuid AS a, hd.u AS b FROM ks JOIN hd ON ks.key = hd.key UNION SELECT x.u, y.u FROM pr JOIN f1 x ON x.e = pr.a JOIN f1 y ON y.e = pr.b WHERE score >= 0.9),
+       bo AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), rc AS (SELECT uuid AS u, uuid AS x FROM nk UNION SELECT rc.u, bo.b FROM rc JOIN bo ON rc.x = bo.a)
+       SELECT u AS uuid, min(x) AS canonical FROM rc WHERE u NOT IN (SELECT uuid FROM nk WHERE name = 'ab') GROUP BY 1""",
+    bare=True,
+)(lambda b: resolve.dedupe_batch(b.long_names().select("uuid", "name").unionByName(altered_names(b)).where("name <> 'ab'"), Lineage(b.spark)))
 query(
     "name_match_fuzzy",
     r"""WITH nm AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, list_distinct(list_transform(range(1, length(' ' || name || ' ') - 1), lambda i: substr(' ' || name || ' ', i, 3))) AS g FROM nm)
        SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS score FROM g a JOIN g b ON a.name < b.name AND list_has_any(a.g, b.g)
        WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.5""",
     bare=True,
-)(
-    lambda b: (
-        lambda g: g.select("a", F.explode("ga").alias("t"), "ga")
-        .join(g.select(F.col("a").alias("b"), F.explode("ga").alias("t"), F.col("ga").alias("gb")), "t")
-        .where("a < b")
-        .dropDuplicates(["a", "b"])
-        .withColumn("score", T.jaccard(F.col("ga"), F.col("gb")))
-        .where("score >= 0.5")
-        .select("a", "b", r6(F.col("score")).alias("score"))
-    )(b.part_names().select(F.col("name").alias("a")).distinct().withColumn("p", F.concat(F.lit(" "), "a", F.lit(" "))).select("a", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.substr(F.col("p"), i, F.lit(3)))).alias("ga")))
-)
+)(lambda b: resolve.alike_names(b.part_names(), 0.5).withColumn("score", r6(F.col("score"))))
 query("clean_names", "SELECT c_custkey AS k, c_name AS name FROM customer", bare=True)(
     lambda b: b.table("customer").select(F.col("c_custkey").alias("k"), T.clean_name(F.concat(F.lit("​ "), "c_name", F.lit(" ﻿"))).alias("name")).where("name <> ''")
 )
@@ -650,9 +709,35 @@ query("normalize_relation", "SELECT name, norm FROM ncn")(lambda b: b.name_count
 query("sanitize_label", r"""SELECT c_custkey AS k, regexp_replace(regexp_replace(regexp_replace(upper(c_name || ' (' || c_mktsegment || ')'), '[^A-Z0-9_]+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS label FROM customer""", bare=True)(
     lambda b: b.table("customer").select(F.col("c_custkey").alias("k"), T.sanitize_label(F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))).alias("label"))
 )
-query("extract_label", "SELECT c_custkey AS k, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment ELSE 'OTHER' END AS label FROM customer", bare=True)(
-    lambda b: b.table("customer").select(F.col("c_custkey").alias("k"), T.extract_label(F.concat(F.lit('- "'), F.lower("c_mktsegment"), F.lit('", because.\nmore')), ["BUILDING", "MACHINERY"], "OTHER").alias("label"))
+query(
+    "extract_label",
+    r"""WITH r AS (SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN '- "' || lower(c_mktsegment) || '"; because. More' WHEN 1 THEN '•* ' || c_mktsegment || chr(10) || 'x, y.' WHEN 2 THEN c_mktsegment || ', since' WHEN 3 THEN ' "' || chr(39) || lower(c_mktsegment) || chr(39) || '" '
+         WHEN 4 THEN 'none of these' END AS r FROM customer),
+       c AS (SELECT k, ltrim(CASE WHEN contains(r, chr(10)) THEN split_part(r, chr(10), 1) WHEN contains(r, '.') THEN split_part(r, '.', 1) WHEN contains(r, ';') THEN split_part(r, ';', 1) WHEN contains(r, ',') THEN split_part(r, ',', 1) ELSE coalesce(r, '') END, '-*• ') AS t FROM r),
+       d AS (SELECT k, trim(trim(trim(trim(t), '"'), chr(39))) AS t FROM c)
+       SELECT k, CASE WHEN lower(t) = 'building' THEN 'BUILDING' WHEN lower(t) = 'machinery' THEN 'MACHINERY' ELSE 'Any other' END AS label FROM d""",
+    bare=True,
+)(
+    lambda b: (
+        lambda k, seg: b.table("customer").select(
+            k.alias("k"),
+            T.extract_label(
+                F.when(k % 6 == 0, F.concat(F.lit('- "'), F.lower(seg), F.lit('"; because. More')))
+                .when(k % 6 == 1, F.concat(F.lit("•* "), seg, F.lit("\nx, y.")))
+                .when(k % 6 == 2, F.concat(seg, F.lit(", since")))
+                .when(k % 6 == 3, F.concat(F.lit(" \"'"), F.lower(seg), F.lit("'\" ")))
+                .when(k % 6 == 4, "none of these"),
+                ["BUILDING", "MACHINERY"],
+                "Any other",
+            ).alias("label"),
+        )
+    )(F.col("c_custkey"), F.col("c_mktsegment"))
+)
+query("lucene_query", r"""WITH t AS (SELECT item_id, regexp_replace(text, '([+\-&|!(){}\[\]^\"~*?:\\/ORNTAD])', '\\\1', 'g') AS q FROM benchmark)
+       SELECT item_id, CASE WHEN len(string_split(q, ' ')) + 2 >= 40 THEN '' ELSE 'group_id:"g1" OR group_id:"g2" AND (' || q || ')' END AS query FROM t""", bare=True)(
+    lambda b: b.table("benchmark").select("item_id", T.lucene_query(F.col("text"), ["g1", "g2"], 40).alias("query"))
 )
+query("embedding_text", "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents", bare=True)(lambda b: b.table("documents").select("doc_id", T.embedding_text(F.col("text")).alias("text")))
 query(
     "tfidf_candidates",
     """WITH nm AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, k, unnest(list_transform(range(1, length(name) - k + 2), lambda i: substr(name, i, k))) AS g FROM nm, (SELECT unnest([3, 4, 5]) AS k)),
@@ -681,9 +766,12 @@ query(
 )
 query(
     "merge_review_pairs",
-    CENTRES + """, l AS (SELECT label, sqrt(sum(x * x)) AS l FROM m GROUP BY 1), u AS (SELECT m.label, i, x / (l + 1e-9) AS x FROM m JOIN l ON m.label = l.label)
-       SELECT a, b, round(d, 6) AS distance FROM (SELECT a.label AS a, b.label AS b, 1 - sum(a.x * b.x) AS d FROM u a JOIN u b ON a.i = b.i AND a.label < b.label GROUP BY ALL) WHERE d <= 1.5 ORDER BY d, a, b LIMIT 200""",
-)(lambda b: canon.centroid_pairs(canon.centroids(b.table("embeddings"), "label", "embedding"), "label", 1.5, 200).withColumn("distance", r6(F.col("distance"))))
+    GRAPH
+    + """, e AS (SELECT label, list_transform(range(1, 65), lambda i: v[i] / sqrt(list_dot_product(v, v)) + 0.8::DOUBLE * q[i] / sqrt(list_dot_product(q, q))) AS x FROM (SELECT label, CAST(embedding AS DOUBLE[]) AS v, q FROM embeddings, q0)),
+       m AS (SELECT label, i, avg(x[i]) AS x FROM (SELECT label, x, unnest(range(1, 65)) AS i FROM e) GROUP BY ALL), l AS (SELECT label, sqrt(sum(x * x)) AS l FROM m GROUP BY 1), u AS (SELECT m.label, i, x / (l + 1e-9) AS x FROM m JOIN l ON m.label = l.label)
+       SELECT a, b, round(d, 6) AS distance FROM (SELECT a.label AS a, b.label AS b, 1 - sum(a.x * b.x) AS d FROM u a JOIN u b ON a.i = b.i AND a.label < b.label GROUP BY ALL) WHERE d <= 0.15 ORDER BY d, a, b LIMIT 200""",
+    bare=True,
+)(lambda b: canon.centroid_pairs(canon.centroids(b.close_vectors(0.8), "label", "embedding"), "label", 0.15, 200).withColumn("distance", r6(F.col("distance"))))
 query("parse_reply", "SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'MERGE' ELSE 'KEEP' END AS decision, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '_OF' END AS label FROM customer", bare=True)(
     lambda b: b.table("customer").select(F.col("c_custkey").alias("k"), canon.parse_reply(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("merge | "), F.lower("c_mktsegment"), F.lit(" of"))).otherwise("KEEP")).alias("r")).select("k", "r.decision", "r.label")
 )
@@ -702,7 +790,7 @@ query(
     "SELECT doc_id, i AS position, substr(text, i * 850 + 1, 1000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 150) / 850.0)::BIGINT, 1))) AS i FROM documents WHERE length(text) > 0)",
     bare=True,
 )(lambda b: chunking.fixed_chunks(b.table("documents"), "doc_id", "text"))
-query("chunk_estimate", "SELECT doc_id, ceil(length(text) / 850.0)::BIGINT AS chunks FROM documents", bare=True)(lambda b: b.table("documents").select("doc_id", F.ceil(F.length("text") / 850.0).alias("chunks")))
+query("chunk_estimate", "SELECT doc_id, ceil(length(text) / 850.0)::BIGINT AS chunks FROM documents", bare=True)(lambda b: b.table("documents").select("doc_id", chunking.chunk_estimate(F.col("text")).alias("chunks")))
 query("text_stats", r"SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '\s+', '', 'g')) AS solid, len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::BIGINT AS words FROM documents", bare=True)(
     lambda b: b.table("documents").select("doc_id", long(F.length("text")).alias("chars"), long(F.length(F.regexp_replace("text", r"\s+", ""))).alias("solid"), long(T.word_count(F.col("text"))).alias("words"))
 )
@@ -733,3 +821,88 @@ query("compose_query_from_messages", "SELECT conv_id, string_agg(role || ': ' ||
 query("escape_tsv", r"SELECT doc_id, replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r') AS cell FROM documents", bare=True)(
     lambda b: b.table("documents").select("doc_id", T.escape_tsv(F.col("text")).alias("cell"))
 )
+
+
+# ---- one query for each recipe ----------------------------------------------------------------------------------
+
+
+def lists_sql(rows: str, text: str, terms: list[str], p: str = "", vector: bool = True, more: str = "") -> str:
+    """SQL for the lists (uuid, m, r) that a recipe's methods give, as {p}l, and their fusion, as {p}f."""
+    found = bm25_sql(rows, text, terms)
+    for name in ("tk", "tfs", "st", "bm"):
+        found = found.replace(f"{name} AS (", f"{p}{name} AS (").replace(f"FROM {name}", f"FROM {p}{name}").replace(f", {name} WHERE", f", {p}{name} WHERE")
+    near = f" UNION ALL SELECT uuid, 1, row_number() OVER (ORDER BY list_cosine_similarity(v, q) DESC, uuid) - 1 FROM {rows}, q0 WHERE (1 + list_cosine_similarity(v, q)) / 2 > 0.6" if vector else ""
+    return f"""{found}, {p}h AS (SELECT uuid, m, r FROM (SELECT uuid, 0 AS m, row_number() OVER (ORDER BY score DESC, uuid) - 1 AS r FROM {p}bm{near}) WHERE r < 20){more},
+      {p}l AS (SELECT * FROM {p}h{f" UNION ALL SELECT uuid, 2, r FROM {p}reach WHERE r < 20" if more else ""}), {p}f AS (SELECT uuid, sum(1 / (r + 1)::DOUBLE) AS score, min((m, r)) AS seen FROM {p}l GROUP BY 1)"""
+
+
+def mmr_sql(rows: str) -> str:
+    return f""", c AS (SELECT uuid, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM {rows} WHERE uuid IN (SELECT uuid FROM f)),
+       k AS (SELECT a.uuid, coalesce(greatest(0, max(list_dot_product(a.v, b.v))), 0) AS m FROM c a LEFT JOIN c b ON a.uuid <> b.uuid GROUP BY 1),
+       z AS (SELECT c.uuid, 0.5::DOUBLE * list_dot_product(v, q) - 0.5::DOUBLE * m AS score FROM c JOIN k ON c.uuid = k.uuid, q0)
+       SELECT uuid, round(score, 6) AS score FROM z WHERE score >= 0 ORDER BY z.score DESC, uuid LIMIT 10"""
+
+
+def crossed_sql(rows: str, text: str, words: list[str], among: str = "f") -> str:
+    held = f"len(list_intersect({words}, list_filter(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')))::DOUBLE / {len(words)}"
+    return f""", d AS (SELECT {text} AS t, max(uuid) AS uuid FROM {rows} WHERE uuid IN (SELECT uuid FROM {among}) GROUP BY 1) SELECT uuid, {held} AS score FROM d ORDER BY {held} DESC, uuid LIMIT 10"""
+
+
+FUSED = " SELECT uuid, round(score, 6) AS score FROM f ORDER BY f.score DESC, seen LIMIT 10"
+CUST = """, lnk AS (SELECT 'c' || o_custkey AS s, 'c' || ((o_custkey * 3 + o_orderkey) % 1500) AS t, o_orderstatus AS status FROM orders), lcomm AS (SELECT 'l' || label AS uuid, 'brand ' || label AS name, list(x ORDER BY i) AS v
+  FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL) GROUP BY label)"""
+NEAR_C1 = ", near AS (SELECT t AS u FROM lnk WHERE s = 'c1' UNION SELECT s FROM lnk WHERE t = 'c1')"
+EDGES, NODES, COMMS = ("vedge", "fact", ["about", "3"]), ("vnode", "name || ' ' || summary", ["household", "building"]), ("lcomm", "name", ["brand", "7"])
+#: Facts of the sources found; no fact of theirs leads to a source, so the first hop is the last.
+EDGE_REACH = ", reach AS (SELECT uuid, row_number() OVER (ORDER BY uuid) - 1 AS r FROM vedge WHERE s IN (SELECT s FROM vedge WHERE uuid IN (SELECT uuid FROM h)))"
+NODE_REACH = """, walk AS (SELECT t AS u, 1 AS hop FROM lnk WHERE s IN (SELECT uuid FROM h) UNION SELECT lnk.t, hop + 1 FROM walk JOIN lnk ON s = u WHERE hop < 3),
+  reach AS (SELECT uuid, row_number() OVER (ORDER BY min(hop), uuid) - 1 AS r FROM walk JOIN vnode ON uuid = u GROUP BY uuid)"""
+
+
+def by_recipe(b: Bound, name: str) -> DataFrame:
+    recipe = search.RECIPES[name]
+    if recipe.edges:
+        return scored(search.hybrid(b.vector_edges(), "about 3", b.query_vector(), ["fact"], "embedding", recipe.edges, "edges", search.Surroundings(center="c1")))
+    if recipe.nodes:
+        mentions = b.links("P").select("target_node_uuid")
+        return scored(search.hybrid(b.vector_nodes(), "household building", b.query_vector(), ["name", "summary"], "embedding", recipe.nodes, "nodes", search.Surroundings(b.links(), mentions, "c1")))
+    return scored(search.hybrid(b.label_communities(), "brand 7", b.query_vector(), ["name"], "embedding", recipe.communities, "communities"))
+
+
+RECIPE_SQL = {
+    "edges_rrf": lists_sql(*EDGES) + FUSED,
+    "edges_mmr": lists_sql(*EDGES) + mmr_sql("vedge"),
+    "edges_cross_encoder": lists_sql(*EDGES, more=EDGE_REACH) + ", few AS (SELECT uuid FROM f ORDER BY seen LIMIT 10)" + crossed_sql("vedge", "fact", EDGES[2], "few"),
+    "edges_node_distance": lists_sql(*EDGES)
+    + """, z AS (SELECT f.uuid, CASE WHEN s = 'c1' THEN 10 ELSE 0 END::DOUBLE AS score, min((-f.score, seen)) OVER (PARTITION BY s) AS head, (-f.score, seen) AS own FROM f JOIN vedge ON f.uuid = vedge.uuid)
+       SELECT uuid, score FROM z ORDER BY z.score DESC, head, own LIMIT 10""",
+    "edges_episode_mentions": lists_sql(*EDGES) + " SELECT f.uuid, round(f.score, 6) AS score FROM f JOIN vedge ON f.uuid = vedge.uuid ORDER BY neps DESC, f.score DESC, seen LIMIT 10",
+    "nodes_rrf": lists_sql(*NODES) + FUSED,
+    "nodes_mmr": lists_sql(*NODES) + mmr_sql("vnode"),
+    "nodes_cross_encoder": CUST + lists_sql(*NODES, more=NODE_REACH) + crossed_sql("vnode", "name", NODES[2]),
+    "nodes_node_distance": CUST + NEAR_C1 + lists_sql(*NODES)
+    + " SELECT uuid, CASE WHEN uuid = 'c1' THEN 10 WHEN uuid IN (SELECT u FROM near) THEN 1 ELSE 0 END::DOUBLE AS score FROM f ORDER BY 2 DESC, f.score DESC, seen LIMIT 10",
+    "nodes_episode_mentions": CUST + lists_sql(*NODES)
+    + """, mc AS (SELECT t, count(*)::DOUBLE AS n FROM lnk WHERE status = 'P' GROUP BY 1), z AS (SELECT uuid, coalesce(n, 'Infinity'::DOUBLE) AS n, f.score AS fs, seen FROM f LEFT JOIN mc ON t = uuid)
+       SELECT uuid, n AS score FROM z ORDER BY n, fs DESC, seen LIMIT 10""",
+    "communities_rrf": CUST + lists_sql(*COMMS) + FUSED,
+    "communities_mmr": CUST + lists_sql(*COMMS) + mmr_sql("lcomm"),
+    "communities_cross_encoder": CUST + lists_sql(*COMMS) + crossed_sql("lcomm", "name", COMMS[2]),
+}
+for preset, preset_sql in RECIPE_SQL.items():
+    query(f"recipe_{preset}", preset_sql)(lambda b, preset=preset: by_recipe(b, preset))
+query("episode_mentions_edges", RECIPE_SQL["edges_episode_mentions"])(lambda b: by_recipe(b, "edges_episode_mentions"))
+
+COMBINED = [("edge", EDGES, True), ("node", NODES, True), ("episode", ("msg", "content", ["the", "und"]), False), ("community", ("comm", "name", ["brand", "7"]), False)]
+query(
+    "search_combined",
+    "".join(lists_sql(*what, p=f"x{i}_", vector=vector) for i, (_, what, vector) in enumerate(COMBINED))
+    + " UNION ALL ".join(f" (SELECT '{scope}' AS scope, uuid, round(score, 6) AS score FROM x{i}_f ORDER BY x{i}_f.score DESC, seen LIMIT 10)" for i, (scope, _, _) in enumerate(COMBINED)),
+)(
+    lambda b: (
+        lambda r: scored(search.hybrid(b.vector_edges(), "about 3", b.query_vector(), ["fact"], "embedding", r.edges, "edges")).withColumn("scope", F.lit("edge"))
+        .unionByName(scored(search.hybrid(b.vector_nodes(), "household building", b.query_vector(), ["name", "summary"], "embedding", r.nodes)).withColumn("scope", F.lit("node")))
+        .unionByName(scored(search.hybrid(b.messages(), "the und", None, ["content"], None, r.episodes, "episodes")).withColumn("scope", F.lit("episode")))
+        .unionByName(scored(search.hybrid(b.communities(), "brand 7", None, ["name"], None, r.communities, "communities")).withColumn("scope", F.lit("community")))
+    )(search.RECIPES["combined_rrf"])
+)
