@@ -1,7 +1,7 @@
 """Operator 8: near-duplicate embeddings by exact cosine products, pruned by spherical k-means cells.
 
 Equal vectors make one class, and one head of each is compared. Spherical k-means is fitted on a bounded sample of
-heads (``SAMPLE_PER_CELL`` for each of at most ``MAX_CELLS`` cells); centroids nearer to each other than ``MERGE``
+heads (``SAMPLE_PER_CELL`` for each of at most ``MAX_CELLS`` cells, and at most ``FIT_BYTES``); centroids nearer to each other than ``MERGE``
 become one. Every head, not only the sample, belongs to its nearest cell, and heads are sorted by cell. They are sent
 to all tasks in chunks of about ``CHUNK_MB``; each task multiplies its heads with those of every cell that can hold a
 partner: y of cell c is no farther from c than from the cell h of x, so x must lie within the angle of the threshold
@@ -34,6 +34,8 @@ MAX_CELLS = 16384
 PER_CELL = 256
 SAMPLE_PER_CELL = 16
 MERGE = 0.7
+#: Bytes of vectors that cells are fitted on.
+FIT_BYTES = 64 << 20
 BLOCK = 1024
 COLUMNS = 8192
 CHUNK_MB = 32
@@ -67,11 +69,12 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -
         norm = np.linalg.norm(sums, axis=1)
         live = norm > 1e-12
         centres[live] = sums[live] / norm[live, None]
-    kept: list[int] = []
-    for i in range(len(centres)):
-        if not kept or float((centres[kept] @ centres[i]).max()) < MERGE:
-            kept.append(i)
-    return centres[kept]
+    kept, n = np.empty_like(centres), 0
+    for c in centres:
+        if not n or float((kept[:n] @ c).max()) < MERGE:
+            kept[n] = c
+            n += 1
+    return kept[:n]
 
 
 def _vectors(units: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -186,7 +189,8 @@ def embedding_groups(vectors: DataFrame, work: Workspace, least: float = 0.9) ->
     classes = work.keep(usable.groupBy("digest").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("rows"), F.min("unit").alias("unit")), "classes")
     total, size = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("unit")), F.lit(0))).first()
     cells = max(1, min(MAX_CELLS, -(-total // PER_CELL)))
-    share = min(1.0, SAMPLE_PER_CELL * cells / max(1, total))  # at most about SAMPLE_PER_CELL * MAX_CELLS rows
+    share = min(1.0, SAMPLE_PER_CELL * cells / max(1, total), FIT_BYTES / max(1, size))  # about FIT_BYTES of vectors at most
+    cells = max(1, min(cells, round(share * total / SAMPLE_PER_CELL)))
     sample = classes.where(F.pmod(F.xxhash64("head"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("head", "unit").collect()
     by_size: dict[int, list[np.ndarray]] = {}
     for row in sorted(sample, key=lambda r: r["head"]):
