@@ -14,7 +14,8 @@ size of the sets, by powers of four; a head whose smaller partners may stand in
 too. Shingles of a single head lengthen the prefix but need no index, and most heads end there.
 
 Verification. Within an index key, pairs pass if a histogram of their hashes allows the overlap they need, an exact
-upper bound. Keys of up to ``SMALL`` heads compare all pairs; larger keys compare every head with one pivot. Pairs
+upper bound. Keys of up to ``SMALL`` heads compare all pairs; larger keys compare every head with one pivot, and
+those beyond ``HELD`` do so without being gathered: the pivot is joined to their heads. Pairs
 that passed are checked on the full sets and what is linked is united. Larger keys that still hold several components
 are united into clusters by the heads they share, and each cluster compares its heads of different components once:
 by blocks of near sizes, exact overlaps by a product over the words the blocks share, giving out a star for each
@@ -39,6 +40,8 @@ from factgraph.llm.common import Workspace, claim, connected_components, quoted,
 
 RARE = 16
 SMALL = 8
+#: Keys of more heads than this are not gathered in one task.
+HELD = 20_000
 BLOCK = 512
 #: So many ids of 8 bytes may be broadcast.
 SENT_IDS = 2_000_000
@@ -294,6 +297,23 @@ def _near_pivot(scheme: Scheme):
     return run
 
 
+def _with_pivot(scheme: Scheme):
+    """From rows (pivot, its n and cells, doc_id, n, cells): kind 0 pairs to verify."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            pairs = _Pairs()
+            marks = [i for i in range(batch.num_rows) if i == 0 or columns[0][i] != columns[0][i - 1] or columns[2][i] != columns[2][i - 1]] + [batch.num_rows]
+            for a, b in zip(marks, marks[1:], strict=False):  # runs of one pivot
+                held = _Held([columns[0][a], *columns[3][a:b]], [columns[1][a], *columns[4][a:b]], [columns[2][a], *columns[5][a:b]])
+                far = held.may_link(scheme, 0, np.arange(1, len(held.ids)), held)
+                pairs.add(0, np.full(len(far), held.ids[0]), held.ids[far])
+            yield pairs.out()
+
+    return run
+
+
 def overlaps(one: list[np.ndarray], two: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
     """Sizes of all intersections of sorted sets, by products over at most ``width`` shared elements at a time."""
     flat, other = np.concatenate(one), np.concatenate(two)
@@ -425,7 +445,15 @@ def jaccard_groups(docs: DataFrame, work: Workspace, words: int = 5, num: int =
     index = work.keep(asked.mapInArrow(_index_rows(scheme), "key long, doc_id long, n long, cells binary"), "index")
     work.drop("lead")
 
-    near = index.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_near_pivot(scheme), "kind long, a long, b long")
+    heavy = work.keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("heads"), F.min("doc_id").alias("pivot")).where(F.col("heads") > HELD), "heavy")
+    light = index
+    if not heavy.isEmpty():
+        light = index.join(heavy.select("key"), "key", "left_anti")
+    near = light.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_near_pivot(scheme), "kind long, a long, b long")
+    if light is not index:  # each row meets its key's pivot where it is: such a key never stands in one task
+        pivots = index.join(heavy, "key").where("doc_id = pivot").select("key", "pivot", F.col("n").alias("p_n"), F.col("cells").alias("p_cells")).dropDuplicates(["key"])
+        rows = index.join(pivots, "key").where("doc_id <> pivot").select("pivot", "p_n", "p_cells", "doc_id", "n", "cells")
+        near = near.union(rows.mapInArrow(_with_pivot(scheme), "kind long, a long, b long").distinct()).union(heavy.select(F.lit(1).cast("long"), "key", "heads"))
     near = work.keep(near, "near")
     links = _verified(near.where("kind = 0"), docs, scheme, work)
     parts = connected_components(links, work, "first")

@@ -57,8 +57,10 @@ def test_groups_equal_brute_force(spark, seed, words, num):
     assert got == brute(rows, words, num, 100)
 
 
-def test_large_keys(spark):
-    """More near copies than SMALL, of which few are linked to the first one."""
+@pytest.mark.parametrize("held", [20_000, 10])
+def test_large_keys(spark, monkeypatch, held):
+    """More near copies than SMALL, of which few are linked to the first one, in gathered keys and in keys that are not."""
+    monkeypatch.setattr(jj, "HELD", held)
     rng = random.Random(7)
     b = [f"w{i}" for i in range(100)]
     rows = []
