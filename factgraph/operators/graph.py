@@ -107,6 +107,30 @@ def follow(pointers: DataFrame, lineage: Lineage, rounds: int = 40) -> DataFrame
     raise RuntimeError("pointers form a circle")
 
 
+def follow_ordered(pairs: DataFrame, lineage: Lineage) -> DataFrame:
+    """(uuid, canonical) of pairs(ord, a, b) worked off in order: the root of a comes under the root of b. The order
+    matters only within a component, so each component is one task's work."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[str, str] = {}
+
+        def root(x: str) -> str:
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in pdf.sort_values("ord")[["a", "b"]].itertuples(index=False):
+            a, b = root(a), root(b)
+            parent[a] = b
+        return pd.DataFrame([(x, root(x)) for x in list(parent)], columns=["uuid", "canonical"])
+
+    whole = components(pairs, lineage).withColumnRenamed("canonical", "part")
+    return pairs.join(whole, F.col("a") == F.col("uuid")).select("part", "ord", "a", "b").groupBy("part").applyInPandas(run, "uuid string, canonical string")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(uuid, neighbour, weight): number of edges between two nodes, from both sides."""
     both = edges.select(F.col("source_node_uuid").alias("uuid"), F.col("target_node_uuid").alias("neighbour")).union(edges.select("target_node_uuid", "source_node_uuid"))

@@ -67,6 +67,40 @@ def bm25(docs: DataFrame, query: str, columns: list[str], limit: int | None = No
     return out.orderBy(F.desc("score"), "uuid").limit(limit) if limit else out
 
 
+INDEX_BUCKETS = 256
+
+
+def postings(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(bucket, term, uuid, tf, dl): the inverted index of the text of ``columns``, for a table partitioned by bucket."""
+    held = rows.select("uuid", T.tokens(F.concat_ws(" ", *columns)).alias("t")).withColumn("dl", F.size("t").cast("double"))
+    found = held.select("uuid", "dl", F.explode("t").alias("term")).groupBy("term", "uuid", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    return found.select(term_bucket(F.col("term")).alias("bucket"), "term", "uuid", "tf", "dl")
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def index_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(n, avgdl): one row for the index."""
+    return rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(T.tokens(F.concat_ws(" ", *columns))).cast("double")).alias("avgdl"))
+
+
+def bm25_indexed(index: DataFrame, statistics: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """(uuid, score) as ``bm25`` gives, from postings and their statistics: only the buckets of the query's words are read."""
+    terms = query_terms(query)
+    spark = index.sparkSession
+    asked = spark.createDataFrame([(t,) for t in terms], "term string").select("term", term_bucket(F.col("term")).alias("bucket")).collect()  # the words of a query
+    if not asked:
+        return index.select("uuid", F.lit(0.0).alias("score")).limit(0)
+    hits = index.where(F.col("bucket").isin(*{r["bucket"] for r in asked}) & F.col("term").isin(*terms)).select("term", "uuid", "tf", "dl")
+    counts = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(statistics))  # a row a word, one row
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    out = hits.join(F.broadcast(counts), "term").groupBy("uuid").agg(F.sum(part).alias("score"))
+    return out.orderBy(F.desc("score"), "uuid").limit(limit) if limit else out
+
+
 def similarity(rows: DataFrame, query: list[float], column: str, least: float = MIN_SCORE, limit: int | None = LIMIT, scale: str = "unit") -> DataFrame:
     """rows whose score against the query vector is above ``least``, best first."""
     out = rows.withColumn("score", V.scaled_cosine(V.doubles(F.col(column)), V.literal(query), scale)).where(F.col("score") > least)

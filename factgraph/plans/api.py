@@ -195,6 +195,21 @@ class TemporalGraph:
                 out[name] = retrieval.hybrid(rows, query, vector, *fields[name], of, "nodes" if name == "entities" else name, around)
         return out
 
+    INDEXED = {"edges": ["name", "fact"], "entities": ["name", "summary"], "episodes": ["content", "source", "source_description"], "communities": ["name"]}
+
+    def build_indices(self) -> None:
+        """Inverted indices of all texts, partitioned by word; they show the tables as they are now."""
+        for name, columns in self.INDEXED.items():
+            search_index = retrieval.postings(self.table(name), columns)
+            search_index.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/index/{name}/postings")
+            retrieval.index_statistics(self.table(name), columns).write.mode("overwrite").parquet(f"{self.path}/index/{name}/statistics")
+
+    def search_text(self, scope: str, query: str, limit: int = retrieval.LIMIT) -> DataFrame:
+        """(uuid, score) by full text from the index of a scope, which reads the buckets of the query's words only."""
+        folder = f"{self.path}/index/{scope}"
+        kind = "term string, uuid string, tf double, dl double, bucket int"
+        return retrieval.bm25_indexed(self.spark.read.schema(kind).parquet(f"{folder}/postings"), self.spark.read.schema("n double, avgdl double").parquet(f"{folder}/statistics"), query, limit)
+
     def similar_facts(self, vector: list[float], least: float = retrieval.MIN_SCORE, limit: int = retrieval.LIMIT) -> DataFrame:
         return retrieval.similarity(self.table("edges").where(F.size("fact_embedding") == len(vector)), [float(x) for x in vector], "fact_embedding", least, limit)
 

@@ -352,6 +352,9 @@ def scored(df: DataFrame) -> DataFrame:
 
 BM = " SELECT uuid, round(score, 6) AS score FROM bm"
 query("bm25_edges", bm25_sql("fact", "fact", ["red", "widget"]) + BM)(lambda b: scored(search.bm25(b.facts(), "red widget", ["fact"])))
+query("bm25_edges_indexed", bm25_sql("fact", "fact", ["red", "widget"]) + BM)(
+    lambda b: scored(search.bm25_indexed(search.postings(b.facts(), ["fact"]), search.index_statistics(b.facts(), ["fact"]), "red widget"))
+)
 query("bm25_nodes", bm25_sql("ent", "name || ' ' || summary", ["red", "economy"]) + BM)(lambda b: scored(search.bm25(b.entities(), "red economy", ["name", "summary"])))
 query("bm25_episodes", bm25_sql("msg", "content", ["the", "und"]) + BM)(lambda b: scored(search.bm25(b.messages(), "the und", ["content"])))
 query("bm25_communities", bm25_sql("comm", "name", ["brand", "7"]) + BM)(lambda b: scored(search.bm25(b.communities(), "brand 7", ["name"])))

@@ -43,6 +43,15 @@ def by_threshold(spark: SparkSession, pattern: str) -> DataFrame:
     return df.withColumn("threshold", F.regexp_extract(F.input_file_name(), r"_([0-9]+(?:\.[0-9]+)?)\.csv$", 1).try_cast("double"))
 
 
+def npz_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, embedding) of a numpy archive of names and embeddings on a local disk; a name that comes twice keeps its last one."""
+    import numpy as np
+
+    with np.load(path, allow_pickle=False) as data:
+        rows = {str(n): [float(x) for x in v] for n, v in zip(data["names"], data["embeddings"], strict=True)}
+    return spark.createDataFrame(list(rows.items()), "name string, embedding array<double>")
+
+
 def cluster_file(existing: list[str], threshold: float) -> str | None:
     """The first of the usual names for a threshold among existing files."""
     for kind in ("merged", "collapsed"):

@@ -12,28 +12,46 @@ from factgraph.operators import store
 
 
 class TableState:
-    """A Parquet table in generations: a batch writes the next one and then moves the pointer, so a batch that is run
-    again after a failure writes the same generation from the same one before."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _generations(self) -> list[int]:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath() for s in fs.listStatus(folder)]
-        return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("g-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        found = [g for g in self._generations() if before is None or g < before]
-        return self.spark.read.parquet(f"{self.path}/g-{found[-1]}") if found else None
+    """A Parquet table in buckets of its keys and in generations. A batch writes the next generation of the buckets it
+    touches and of no others; reading takes the newest generation of each. A batch that is run again after a failure
+    writes the same generation from the same ones before. What two newer generations have replaced is removed."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _path(self, tail: str = ""):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}{tail}")
+
+    def _written(self) -> dict[int, list[int]]:
+        """Generations that hold each bucket, rising."""
+        fs = self._path().getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        found: dict[int, list[int]] = {}
+        if fs.exists(self._path()):
+            for g in fs.listStatus(self._path()):
+                if g.getPath().getName().startswith("g-") and fs.exists(self._path(f"/{g.getPath().getName()}/_SUCCESS")):
+                    for part in fs.listStatus(g.getPath()):
+                        if part.getPath().getName().startswith("bucket="):
+                            found.setdefault(int(part.getPath().getName()[7:]), []).append(int(g.getPath().getName()[2:]))
+        return {k: sorted(v) for k, v in found.items()}
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        paths = []
+        for bucket, generations in sorted(self._written().items()):
+            known = [g for g in generations if before is None or g < before]
+            if known and (only is None or bucket in only):
+                paths.append(f"{self.path}/g-{known[-1]}/bucket={bucket}")
+        return self.spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
 
     def merge(self, batch: DataFrame, generation: int, key: str = "uuid") -> None:
-        old = self.read(before=generation)
+        bucket = F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        touched = [r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most the number of buckets
+        old = self.read(before=generation, only=touched)
         merged = batch if old is None else store.upsert(old, batch, key)
-        merged.write.mode("overwrite").parquet(f"{self.path}/g-{generation}")
+        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/g-{generation}")
+        fs = self._path().getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        for b, generations in self._written().items():
+            for g in [g for g in generations if g < generation][:-1]:  # the last one before this is read if it runs again
+                fs.delete(self._path(f"/g-{g}/bucket={b}"), True)
 
 
 def last_by_key(batch: DataFrame, key: str, order: str) -> DataFrame:
