@@ -72,7 +72,11 @@ def shingles(c: Column, n: int = 3) -> Column:
     return F.when(size == 0, none).when(size < n - 1, F.array(t)).when(size < n, none).otherwise(grams)
 
 
-def minhash_signature(sh: Column, perms: int = 32) -> Column:
+#: Hashes of a signature.
+SIGNATURE = 32
+
+
+def minhash_signature(sh: Column, perms: int = SIGNATURE) -> Column:
     """For each seed the smallest md5 of 'seed:shingle'; empty for no shingle."""
     low = lambda seed: F.array_min(F.transform(sh, lambda x: F.md5(F.concat(seed.cast("string"), F.lit(":"), x))))
     return F.when(F.size(sh) > 0, F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), low)).otherwise(F.array().cast("array<string>"))

@@ -79,18 +79,29 @@ def repoint(edges: DataFrame, pointers: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame, lineage: Lineage, rounds: int = 50) -> DataFrame:
-    """(uuid, canonical) for pairs(a, b): the smallest uuid that can be reached, by min-label propagation with pointer jumping."""
-    both = lineage.cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    label = lineage.cut(both.groupBy(F.col("a").alias("uuid")).agg(F.min("b").alias("m")).select("uuid", F.least("uuid", "m").alias("canonical")))
+    """(uuid, canonical) for pairs(a, b): the smallest uuid that can be reached.
+
+    Star contractions (Kiveris et al. 2014): each node hands its larger neighbours to the smallest one, then the
+    smaller ones; a round is written once, and it ends when two rounds give the same links. A pair of a uuid with
+    itself is a component of its own.
+    """
+    ends = lambda df: df.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+    whole = lineage.cut(ends(pairs).distinct())
+    links, seen = whole.where("hi <> lo"), None
     for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("uuid", "b"), "b").groupBy(F.col("a").alias("uuid")).agg(F.min("canonical").alias("m"))
-        next_ = label.join(near, "uuid").select("uuid", F.least("canonical", "m").alias("canonical"))
-        up = next_.select(F.col("uuid").alias("__u"), F.col("canonical").alias("__c"))
-        next_ = lineage.cut(next_.join(up, next_.canonical == F.col("__u"), "left").select("uuid", F.coalesce("__c", "canonical").alias("canonical")))
-        changed = next_.join(label.withColumnRenamed("canonical", "old"), "uuid").where("canonical <> old").isEmpty()
-        label = next_
-        if changed:
-            return label
+        both = links.union(links.select("lo", "hi").toDF("hi", "lo"))
+        least = both.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m")).select("k", F.least("k", "m").alias("m"))
+        large = both.join(least, F.col("hi") == F.col("k")).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        least = large.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m"))
+        small = large.join(least, F.col("hi") == F.col("k"))
+        links = lineage.cut(small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(small.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct())
+        state = links.agg(F.count(F.lit(1)), *(F.sum(F.xxhash64(F.lit(k), "hi", "lo").cast("decimal(20,0)")) for k in (0, 1))).first()
+        if state == seen:
+            tops = links.select("lo").distinct().select(F.col("lo").alias("uuid"), F.col("lo").alias("canonical"))
+            found = links.select(F.col("hi").alias("uuid"), F.col("lo").alias("canonical")).union(tops)
+            alone = whole.where("hi = lo").select(F.col("hi").alias("uuid")).distinct().join(found, "uuid", "left_anti").select("uuid", F.col("uuid").alias("canonical"))
+            return found.union(alone)
+        seen = state
     raise RuntimeError("components did not settle")
 
 

@@ -25,17 +25,30 @@ def keyed(names: DataFrame) -> DataFrame:
 
 
 def signed(names: DataFrame, n: int = 3) -> DataFrame:
-    """names with shingles and LSH bands of names that say enough; others have no band."""
-    fuzzy = T.norm_fuzzy(F.col("name"))
-    rows = names.withColumn("fuzzy", fuzzy).withColumn("shingles", T.shingles(F.col("fuzzy"), n))
-    bands = F.when(T.high_entropy(F.col("fuzzy")) & (F.size("shingles") > 0), T.lsh_bands(T.minhash_signature(F.col("shingles"))))
-    return rows.withColumn("bands", F.coalesce(bands, F.array().cast("array<string>")))
+    """names with shingles and LSH bands of names that say enough; others have no band.
+
+    Signatures are made by relations: each different shingle is hashed once for every seed, and the least hashes are
+    aggregated by name, as numbers of the first 60 bits, which order and differ as the whole hashes do.
+    """
+    rows = names.withColumn("fuzzy", T.norm_fuzzy(F.col("name"))).withColumn("shingles", T.shingles(F.col("fuzzy"), n))
+    flat = rows.select("fuzzy").distinct().where(T.high_entropy(F.col("fuzzy"))).select("fuzzy", F.explode(T.shingles(F.col("fuzzy"), n)).alias("x"))
+    number = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), "x")), 1, 15), 16, 10).cast("long")
+    hashed = flat.select("x").distinct().select("x", *(number(s).alias(f"h{s}") for s in range(T.SIGNATURE)))
+    least = flat.join(hashed, "x").groupBy("fuzzy").agg(*(F.min(f"h{s}").cast("string").alias(f"h{s}") for s in range(T.SIGNATURE)))
+    bands = least.select(F.col("fuzzy").alias("__f"), T.lsh_bands(F.array(*(f"h{s}" for s in range(T.SIGNATURE)))).alias("bands"))
+    out = rows.join(bands, F.col("fuzzy") == F.col("__f"), "left").drop("__f")
+    return out.withColumn("bands", F.coalesce("bands", F.array().cast("array<string>")))
+
+
+def _near_size(n: str, m: str, least: float) -> Column:
+    """Sets so unlike in size that their Jaccard similarity stays below ``least`` are no pair."""
+    return F.least(n, m) >= F.lit(least) * F.greatest(n, m)
 
 
-def _band_pairs(signatures: DataFrame) -> DataFrame:
-    rows = signatures.select("uuid", F.explode("bands").alias("band"))
-    other = rows.select(F.col("uuid").alias("b"), "band")
-    return rows.withColumnRenamed("uuid", "a").join(other, "band").where("a < b").select("a", "b").distinct()
+def _band_pairs(signatures: DataFrame, least: float = 0.0) -> DataFrame:
+    rows = signatures.select(F.col("uuid").alias("a"), F.size("shingles").alias("n"), F.explode("bands").alias("band"))
+    other = rows.select(F.col("a").alias("b"), F.col("n").alias("m"), "band")
+    return rows.join(other, "band").where((F.col("a") < F.col("b")) & _near_size("n", "m", least)).select("a", "b").distinct()
 
 
 def lsh_pairs(names: DataFrame) -> DataFrame:
@@ -45,10 +58,10 @@ def lsh_pairs(names: DataFrame) -> DataFrame:
 
 def jaccard_pairs(names: DataFrame, least: float = 0.0, lineage: Lineage | None = None) -> DataFrame:
     """(a, b, score): candidate pairs with the exact Jaccard similarity of their shingles. With a lineage names are signed once and written."""
-    signatures = signed(names).select("uuid", "shingles", "bands")
+    signatures = signed(names).select("uuid", F.transform("shingles", lambda x: F.xxhash64(x)).alias("shingles"), "bands")
     signatures = lineage.cut(signatures) if lineage else signatures
     sets = signatures.select("uuid", "shingles")
-    pairs = _band_pairs(signatures)
+    pairs = _band_pairs(signatures, least)
     pairs = pairs.join(sets.select(F.col("uuid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("uuid").alias("b"), F.col("shingles").alias("sb")), "b")
     return pairs.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least)
 
@@ -108,10 +121,12 @@ def resolve(extracted: DataFrame, existing: DataFrame, least: float = FUZZY) ->
         known = exact.select("uuid")
     rest = extracted.select("uuid", "name").join(known, "uuid", "left_anti")
     named = rest.groupBy("name").agg(F.collect_list("uuid").alias("uuids"))  # signatures are dear, copies of a name share one
-    left = signed(named).select("name", "uuids", "shingles", F.explode("bands").alias("band"))
+    left = signed(named).select("name", "uuids", "shingles", "bands")
     each = existing.groupBy(T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))
-    right = signed(each).select(F.col("uuid").alias("canonical"), F.col("shingles").alias("theirs"), F.explode("bands").alias("band"))
-    near = left.join(right, "band").drop("band").dropDuplicates(["name", "canonical"]).withColumn("score", T.jaccard(F.col("shingles"), F.col("theirs"))).where(F.col("score") >= least)
+    right = signed(each).select(F.col("uuid").alias("canonical"), F.col("shingles").alias("theirs"), "bands")
+    pairs = left.select("name", F.size("shingles").alias("n"), F.explode("bands").alias("band")).join(right.select("canonical", F.size("theirs").alias("m"), F.explode("bands").alias("band")), "band")
+    pairs = pairs.where(_near_size("n", "m", least)).select("name", "canonical").distinct()
+    near = pairs.join(left.drop("bands"), "name").join(right.drop("bands"), "canonical").withColumn("score", T.jaccard(F.col("shingles"), F.col("theirs"))).where(F.col("score") >= least)
     best = near.groupBy("name").agg(F.min_by(F.struct("canonical", "uuids"), F.struct(-F.col("score"), "canonical")).alias("m"))
     return exact.select("uuid", "canonical", "reason").unionByName(best.select(F.explode("m.uuids").alias("uuid"), "m.canonical", F.lit("fuzzy").alias("reason")))
 
