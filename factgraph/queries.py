@@ -432,8 +432,8 @@ query(
     "mmr",
     """, f AS (SELECT uuid, v, list_cosine_similarity(v, q) AS s FROM vedge, q0 ORDER BY s DESC, uuid LIMIT 50), c AS (SELECT uuid, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM f),
        k AS (SELECT a.uuid, greatest(0, max(list_dot_product(a.v, b.v))) AS m FROM c a JOIN c b ON a.uuid <> b.uuid GROUP BY 1)
-       SELECT c.uuid, round(0.5::DOUBLE * list_dot_product(v, q) - 0.5::DOUBLE * m, 6) AS score FROM c JOIN k ON c.uuid = k.uuid, q0""",
-)(lambda b: scored(search.mmr(search.similarity(b.vector_edges(), b.query_vector(), "embedding", -2.0, 50, "raw"), b.query_vector())))
+       SELECT c.uuid, round(0.5::DOUBLE * list_dot_product(v, q) - 0.5::DOUBLE * m, 6) + 0.0::DOUBLE AS score FROM c JOIN k ON c.uuid = k.uuid, q0""",
+)(lambda b: scored(search.mmr(search.similarity(b.vector_edges(), b.query_vector(), "embedding", -2.0, 50, "raw"), b.query_vector())).withColumn("score", F.col("score") + 0.0))  # no negative zero
 query("node_distance", ", near AS (SELECT t AS u FROM edge WHERE s = 'c1' UNION SELECT s FROM edge WHERE t = 'c1') SELECT uuid, CASE WHEN uuid = 'c1' THEN 10.0 WHEN uuid IN (SELECT u FROM near) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM ent")(
     lambda b: search.node_distance(b.entities(), b.edges(), "c1")
 )
