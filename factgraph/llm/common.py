@@ -101,6 +101,7 @@ def mapped(docs: DataFrame, keep: list[str], column: str, results: str, compute:
                 got = compute(part.column(len(keep)).to_pylist())
                 found = [pa.array(g, arrow.field(i).type) for i, g in enumerate(got)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *found], names=out.names)
+        give_back()
 
     return columns.mapInArrow(run, out).toDF(*keep, *(f.name for f in kinds))
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Workspace, claim, connected_components, quoted, table
+from factgraph.llm.common import Workspace, claim, connected_components, give_back, quoted, table
 
 RARE = 16
 SMALL = 8
@@ -45,7 +45,7 @@ HELD = 20_000
 BLOCK = 512
 #: So many ids of 8 bytes may be broadcast.
 SENT_IDS = 2_000_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
@@ -152,6 +152,7 @@ def _describe(scheme: Scheme):
                     [part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(tiers, pa.list_(pa.int32())), pa.array(tokens, pa.binary()), pa.array(cells, pa.binary())],
                     names=["doc_id", "n", "digest", "tiers", "tokens", "cells"],
                 )
+        give_back()
 
     return run
 
