@@ -49,7 +49,10 @@ def edges_touching(query: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def edges_within(edges: DataFrame, origins: DataFrame, depth: int, lineage: Lineage) -> DataFrame:
-    """(uuid, hop): edges on directed paths of at most ``depth`` edges from origins(uuid), each once with its first hop."""
+    """(uuid, hop): edges on directed paths of at most ``depth`` edges from origins(uuid), each once with its first hop;
+    a depth below 1 finds none."""
+    if depth < 1:
+        return edges.select("uuid", F.lit(0).alias("hop")).limit(0)
     step = edges.select("uuid", "source_node_uuid", "target_node_uuid")
     front = origins.select("uuid").distinct()
     seen, found = front, None
@@ -65,11 +68,30 @@ def edges_within(edges: DataFrame, origins: DataFrame, depth: int, lineage: Line
 
 
 def nodes_within(edges: DataFrame, origins: DataFrame, depth: int, lineage: Lineage) -> DataFrame:
-    """(uuid, hop): targets of the edges within reach, with the first hop that comes to them."""
+    """(uuid, hop): targets of the edges within reach, whatever their groups, with the first hop that comes to them."""
     reached = edges_within(edges, origins, depth, lineage).withColumnRenamed("uuid", "__edge")
     return reached.join(edges.select(F.col("uuid").alias("__edge"), F.col("target_node_uuid").alias("uuid")), "__edge").groupBy("uuid").agg(F.min("hop").alias("hop"))
 
 
+def nodes_of_group_within(links: DataFrame, origins: DataFrame, nodes: DataFrame, depth: int, lineage: Lineage) -> DataFrame:
+    """(uuid, hop): nodes(uuid, group_id) at the end of a directed path of at most ``depth`` links from an
+    origin(uuid, group_id) of their own group, with the fewest links. What lies between may be of any group; an origin
+    on a circle is found itself. A depth below 1 finds none, nor does an origin without a group."""
+    if depth < 1:
+        return nodes.select("uuid", F.lit(0).alias("hop")).limit(0)
+    step = links.select(F.col("source_node_uuid").alias("uuid"), F.col("target_node_uuid").alias("__to"))
+    front = origins.select("uuid", "group_id").distinct()
+    seen, found = front, None
+    for hop in range(1, depth + 1):
+        ends = lineage.cut(step.join(front, "uuid").select(F.col("__to").alias("uuid"), "group_id").distinct())
+        new = ends.withColumn("hop", F.lit(hop))
+        found = new if found is None else found.unionByName(new)
+        if hop < depth:
+            front = ends.join(seen, ["uuid", "group_id"], "left_anti")
+            seen = seen.unionByName(front)
+    return found.join(nodes.select("uuid", "group_id"), ["uuid", "group_id"], "left_semi").groupBy("uuid").agg(F.min("hop").alias("hop"))
+
+
 def repoint(edges: DataFrame, pointers: DataFrame) -> DataFrame:
     """Edges with both ends sent through pointers(uuid, canonical); other ends stay."""
     for end in ("source_node_uuid", "target_node_uuid"):

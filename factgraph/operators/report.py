@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.plans.lineage import Lineage
+
 
 def cluster_stats(sizes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """clusters, edges, avg_edges, avg_names of sizes(total_count, members)."""
@@ -48,6 +50,19 @@ def cdf(rows: DataFrame, column: str) -> DataFrame:
     return by.select("value", "n", (F.sum("n").over(Window.orderBy("value")) / total).alias("cdf"))
 
 
+def cdf_rows(rows: DataFrame, column: str, lineage: Lineage) -> DataFrame:
+    """(value, cdf) of every row whose value is not null: its place by value over the number of rows, ties one after
+    another. Rows go to ranges of the value, those of one frequent value to several by a salt, so that a window sees one
+    range; the places before a range come from one row for each."""
+    salted = rows.select(F.col(column).alias("value")).where("value is not null").withColumn("salt", F.rand(1))
+    ordered = lineage.cut(salted.repartitionByRange("value", "salt").select("value", F.spark_partition_id().alias("part")))
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("value"))
+    return ordered.withColumn("place", place).join(F.broadcast(starts), "part").select("value", ((F.col("start") + F.col("place")) / F.col("total")).alias("cdf"))
+
+
 # Phrases of log messages and the classes they tell, in order of priority.
 ERROR_PHRASES = (
     ("Pydantic validation", "Pydantic validation"),

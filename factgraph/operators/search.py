@@ -206,12 +206,15 @@ RECIPES = _recipes()
 
 @dataclass(frozen=True)
 class Surroundings:
-    """What traversal and rerankers read beside the rows searched: facts, mentions, a centre, origins(uuid) to start from."""
+    """What traversal and rerankers read beside the rows searched: facts, mentions, a centre, origins(uuid) to start from,
+    and places(uuid, group_id) of what may be an origin; the rows searched where there are none. Mentions with both ends
+    are ways from an episode to its nodes."""
 
     edges: DataFrame | None = None
     mentions: DataFrame | None = None
     center: str | None = None
     origins: DataFrame | None = None
+    places: DataFrame | None = None
 
 
 #: By scope: the rerankers it has, and the text a cross encoder reads.
@@ -236,7 +239,15 @@ def _traversed(rows: DataFrame, recipe: Recipe, scope: str, around: Surroundings
         origins = found if scope == "nodes" else rows.join(found, "uuid", "left_semi").select(F.col("source_node_uuid").alias("uuid"))
     if origins is None:
         return None
-    reach = (graph.edges_within if scope == "edges" else graph.nodes_within)(edges, origins, recipe.bfs_depth, Lineage(rows.sparkSession))
+    ends, lineage = ["uuid", "source_node_uuid", "target_node_uuid"], Lineage(rows.sparkSession)
+    links = edges.select(*ends)
+    if around.mentions is not None and set(ends) <= set(around.mentions.columns):
+        links = links.unionByName(around.mentions.select(*ends))
+    if scope == "edges":
+        reach = graph.edges_within(links, origins, recipe.bfs_depth, lineage)
+    else:
+        grouped = (rows if around.places is None else around.places).select("uuid", "group_id").join(origins.select("uuid"), "uuid", "left_semi")
+        reach = graph.nodes_of_group_within(links, grouped, rows, recipe.bfs_depth, lineage)
     return reach.join(rows.select("uuid"), "uuid", "left_semi").select("uuid", (-F.col("hop")).cast("double").alias("score"))
 
 

@@ -186,7 +186,8 @@ class TemporalGraph:
         found = retrieval.RECIPES[recipe]
         fields = {"edges": (["name", "fact"], "fact_embedding"), "entities": (["name", "summary"], "name_embedding"), "episodes": (["content", "source", "source_description"], None), "communities": (["name"], "name_embedding")}
         scopes = {"edges": found.edges, "entities": found.nodes, "episodes": found.episodes, "communities": found.communities}
-        around = retrieval.Surroundings(self.table("edges"), self.table("mentions"), center, origins)
+        places = self.table("entities").select("uuid", "group_id").unionByName(self.table("episodes").select("uuid", "group_id")).where(filters.in_groups(F.col("group_id"), where.group_ids))
+        around = retrieval.Surroundings(self.table("edges"), self.table("mentions"), center, origins, places)
         out = {}
         for name, of in scopes.items():
             if of and query.strip():
@@ -227,11 +228,27 @@ class TemporalGraph:
             out = out.unionByName(k)
         return out
 
-    def export(self, folder: str, name: str) -> None:
-        """nodes_<name> and edges_<name> as tab-separated tables of 13 columns."""
+    def drop(self) -> bool:
+        """Delete the graph with all generations and indices; whether there was one."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+    def export(self, folder: str, name: str, groups: list[str] | None = None) -> None:
+        """nodes_<name> and edges_<name> as tab-separated tables of 13 columns, of all groups or those given."""
         nodes = self.table("entities").withColumn("type", F.lit("Entity")).unionByName(self.table("episodes").withColumn("type", F.lit("Episodic")), allowMissingColumns=True)
         nodes = nodes.unionByName(self.table("communities").withColumn("type", F.lit("Community")), allowMissingColumns=True)
         edges = self.table("edges").withColumn("type", F.lit("RELATES_TO")).unionByName(self.table("mentions").withColumn("type", F.lit("MENTIONS")), allowMissingColumns=True)
         edges = edges.unionByName(self.table("members").withColumn("type", F.lit("HAS_MEMBER")), allowMissingColumns=True)
-        store.export_tsv(nodes, schema.NODE_COLUMNS, f"{folder}/nodes_{store.safe_name(name)}")
-        store.export_tsv(edges, schema.EDGE_COLUMNS, f"{folder}/edges_{store.safe_name(name)}")
+        inside = filters.in_groups(F.col("group_id"), groups)
+        store.export_tsv(nodes.where(inside), schema.NODE_COLUMNS, f"{folder}/nodes_{store.safe_name(name)}")
+        store.export_tsv(edges.where(inside), schema.EDGE_COLUMNS, f"{folder}/edges_{store.safe_name(name)}")
+
+
+def graphs(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the graphs below a folder, in order: what holds a table of theirs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(path(folder)):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path(folder)) if s.isDirectory()]
+    return sorted(p.getName() for p in found if any(fs.exists(path(p, name)) for name in schema.TABLES))

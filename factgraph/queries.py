@@ -95,13 +95,20 @@ query(
        UNION ALL SELECT 'node', t FROM (SELECT t, count(DISTINCT s) AS n, min(s) AS e FROM ment GROUP BY t) WHERE n = 1 AND e IN (SELECT e FROM gone)
        UNION ALL SELECT 'episode', e FROM gone""",
 )(lambda b: store.removed_with_episode(b.edges(), b.mentions(), b.order_episodes().where("cast(substr(uuid, 2) as long) % 7 = 0")))
+def exported(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(uuid, line): an export of rows, written and read back as lines."""
+    folder = f"{Lineage(rows.sparkSession).path}/export"
+    store.export_tsv(rows, columns, folder)
+    return rows.sparkSession.read.text(folder).select(F.substring_index("value", "\t", 1).alias("uuid"), F.col("value").alias("line"))
+
+
 query("export_nodes_tsv", r"""SELECT uuid, uuid || chr(9) || 'Entity' || chr(9) || name || chr(9) || group_id || chr(9) || to_json(labels)::VARCHAR || chr(9) || summary AS line FROM ent""")(
-    lambda b: b.entities().select("uuid", store.tsv_line(F.col("uuid"), F.lit("Entity"), F.col("name"), F.col("group_id"), F.to_json("labels"), F.col("summary")).alias("line"))
+    lambda b: exported(b.entities().withColumn("type", F.lit("Entity")), ["uuid", "type", "name", "group_id", "labels", "summary"])
 )
 query("export_edges_tsv", r"""SELECT uuid, uuid || chr(9) || 'RELATES_TO' || chr(9) || s || chr(9) || t || chr(9) || group_id || chr(9) || strftime(created_at, '%Y-%m-%d') || chr(9) || name || chr(9) || fact || chr(9) || '["' || ep || '"]' AS line FROM fact""")(
-    lambda b: b.facts().select(
-        "uuid",
-        store.tsv_line(F.col("uuid"), F.lit("RELATES_TO"), F.col("source_node_uuid"), F.col("target_node_uuid"), F.col("group_id"), day("created_at"), F.col("name"), F.col("fact"), F.to_json("episodes")).alias("line"),
+    lambda b: exported(
+        b.facts().withColumn("type", F.lit("RELATES_TO")).withColumn("created_at", day("created_at")),
+        ["uuid", "type", "source_node_uuid", "target_node_uuid", "group_id", "created_at", "name", "fact", "episodes"],
     )
 )
 query(
@@ -293,7 +300,10 @@ query("hist_overflow", "SELECT CASE WHEN n > 40 THEN 41 ELSE n END AS bin, count
 query("hist_logbins", "SELECT CAST(floor(log2(n) + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM (SELECT s, count(*) AS n FROM edge GROUP BY 1) GROUP BY 1")(
     lambda b: report.histogram_log(b.edges().groupBy("source_node_uuid").agg(F.count(F.lit(1)).alias("c")), "c")
 )
-query("edge_count_cdf", "SELECT v AS value, k AS n, round(sum(k) OVER (ORDER BY v) / sum(k) OVER (), 6) AS cdf FROM (SELECT n AS v, count(*) AS k FROM (SELECT s, count(*) AS n FROM edge GROUP BY 1) GROUP BY 1)")(
+query("edge_count_cdf", "SELECT n AS value, round(row_number() OVER (ORDER BY n) / count(*) OVER (), 6) AS cdf FROM (SELECT s, count(*) AS n FROM edge GROUP BY 1)")(
+    lambda b: report.cdf_rows(b.edges().groupBy("source_node_uuid").agg(F.count(F.lit(1)).alias("c")), "c", Lineage(b.spark)).withColumn("cdf", r6(F.col("cdf")))
+)
+query("edge_count_cdf_tied", "SELECT v AS value, k AS n, round(sum(k) OVER (ORDER BY v) / sum(k) OVER (), 6) AS cdf FROM (SELECT n AS v, count(*) AS k FROM (SELECT s, count(*) AS n FROM edge GROUP BY 1) GROUP BY 1)")(
     lambda b: report.cdf(b.edges().groupBy("source_node_uuid").agg(F.count(F.lit(1)).alias("c")), "c").withColumn("cdf", r6(F.col("cdf")))
 )
 query("dup_norm_names", "SELECT norm, count(*) AS n FROM ncn GROUP BY 1 HAVING count(*) > 1")(
@@ -391,8 +401,25 @@ def web(b: Bound) -> tuple[DataFrame, DataFrame]:
     return edges, b.table("customer").where("c_custkey in (1, 2, 3)").select(F.concat(F.lit("n"), "c_custkey").alias("uuid"))
 
 
+def grouped_web(b: Bound) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """That graph with three episodes that mention nodes; all six are origins. Nodes have groups, the episodes one of theirs."""
+    edges, origins = web(b)
+    group = F.concat(F.lit("g"), F.substring("uuid", 2, 20).cast("int") % 3).alias("group_id")
+    three = b.table("customer").where("c_custkey in (1, 2, 3)")
+    said = three.select(F.concat(F.lit("x"), "c_custkey").alias("source_node_uuid"), F.concat(F.lit("n"), F.col("c_custkey") + 3).alias("target_node_uuid"))
+    links = edges.select("source_node_uuid", "target_node_uuid").unionByName(said)
+    places = origins.select("uuid", group).unionByName(said.select(F.col("source_node_uuid").alias("uuid"), F.lit("g0").alias("group_id")))
+    return links, places, b.table("customer").select(F.concat(F.lit("n"), "c_custkey").alias("uuid")).select("uuid", group)
+
+
 query("edge_bfs", WEB + REACH + " SELECT uuid, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY 1")(lambda b: graph.edges_within(*web(b), 3, Lineage(b.spark)).select("uuid", long("hop").alias("hop")))
-query("node_bfs", WEB + REACH + " SELECT t AS uuid, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY 1")(lambda b: graph.nodes_within(*web(b), 3, Lineage(b.spark)).select("uuid", long("hop").alias("hop")))
+query(
+    "node_bfs",
+    WEB + """, said AS (SELECT 'x' || c_custkey AS s, 'n' || (c_custkey + 3) AS t FROM customer WHERE c_custkey IN (1, 2, 3)), lk AS (SELECT s, t FROM big UNION ALL SELECT * FROM said),
+       og AS (SELECT o AS u, 'g' || (CAST(substr(o, 2) AS INT) % 3) AS g FROM orig UNION ALL SELECT s, 'g0' FROM said),
+       w AS (SELECT t, g, 1 AS hop FROM og JOIN lk ON s = u UNION SELECT lk.t, g, hop + 1 FROM w JOIN lk ON lk.s = w.t WHERE hop < 3)
+       SELECT t AS uuid, CAST(min(hop) AS BIGINT) AS hop FROM w JOIN customer ON t = 'n' || c_custkey AND g = 'g' || (c_custkey % 3) GROUP BY 1""",
+)(lambda b: graph.nodes_of_group_within(*grouped_web(b), 3, Lineage(b.spark)).select("uuid", long("hop").alias("hop")))
 HYBRID = bm25_sql("vnode", "name || ' ' || summary", ["household", "building"]) + """, l AS (
   SELECT uuid, 0 AS m, row_number() OVER (ORDER BY score DESC, uuid) - 1 AS r FROM bm UNION ALL SELECT uuid, 1, row_number() OVER (ORDER BY list_cosine_similarity(v, q) DESC, uuid) - 1 FROM vnode, q0 WHERE (1 + list_cosine_similarity(v, q)) / 2 > 0.6),
   f AS (SELECT uuid, sum(1 / (r + 1)::DOUBLE) AS score, min((m, r)) AS seen FROM l WHERE r < 20 GROUP BY 1)"""
@@ -858,8 +885,9 @@ NEAR_C1 = ", near AS (SELECT t AS u FROM lnk WHERE s = 'c1' UNION SELECT s FROM
 EDGES, NODES, COMMS = ("vedge", "fact", ["about", "3"]), ("vnode", "name || ' ' || summary", ["household", "building"]), ("lcomm", "name", ["brand", "7"])
 #: Facts of the sources found; no fact of theirs leads to a source, so the first hop is the last.
 EDGE_REACH = ", reach AS (SELECT uuid, row_number() OVER (ORDER BY uuid) - 1 AS r FROM vedge WHERE s IN (SELECT s FROM vedge WHERE uuid IN (SELECT uuid FROM h)))"
-NODE_REACH = """, walk AS (SELECT t AS u, 1 AS hop FROM lnk WHERE s IN (SELECT uuid FROM h) UNION SELECT lnk.t, hop + 1 FROM walk JOIN lnk ON s = u WHERE hop < 3),
-  reach AS (SELECT uuid, row_number() OVER (ORDER BY min(hop), uuid) - 1 AS r FROM walk JOIN vnode ON uuid = u GROUP BY uuid)"""
+#: Nodes on paths from those found, of the group of the node the path comes from.
+NODE_REACH = """, walk AS (SELECT t AS u, group_id AS g, 1 AS hop FROM lnk JOIN vnode ON s = uuid WHERE s IN (SELECT uuid FROM h) UNION SELECT lnk.t, g, hop + 1 FROM walk JOIN lnk ON s = u WHERE hop < 3),
+  reach AS (SELECT uuid, row_number() OVER (ORDER BY min(hop), uuid) - 1 AS r FROM walk JOIN vnode ON uuid = u AND group_id = g GROUP BY uuid)"""
 
 
 def by_recipe(b: Bound, name: str) -> DataFrame:

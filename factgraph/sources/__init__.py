@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +29,20 @@ def merged_text(rows: DataFrame) -> DataFrame:
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
-def separated(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A table with a header, all columns text, 'Unnamed: 0' dropped. Without a separator it is found in the header line: a tab, else a comma."""
+def write_merged(rows: DataFrame, folder: str) -> None:
+    """The texts of rows(number, text) in order as text files, a line break behind each: the parts one after another are
+    the corpus, which no task holds whole."""
+    rows.orderBy("number").select("text").write.mode("overwrite").text(folder)
+
+
+def separated(spark: SparkSession, path: str, separator: str | None = None, times: Sequence[str] = ()) -> DataFrame:
+    """A table with a header, all columns text but ``times``, 'Unnamed: 0' dropped. Without a separator it is found in the
+    header line: a tab, else a comma. Empty cells are null, and so are times that cannot be read."""
     if separator is None:
         first = spark.read.text(path).limit(1).collect()
         separator = "\t" if first and "\t" in first[0]["value"] else ","
     df = spark.read.option("sep", separator).option("header", True).option("nullValue", "").csv(path)
-    return df.drop("Unnamed: 0")
+    return df.drop("Unnamed: 0").withColumns({c: F.try_to_timestamp(F.col(c)) for c in times})
 
 
 def by_threshold(spark: SparkSession, pattern: str) -> DataFrame:
@@ -75,6 +83,13 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def run_configuration(spark: SparkSession, path: str) -> DataFrame:
+    """(path, chunk_size, chunk_overlap) of the text splitter from configuration files of JSON; null where a file says neither."""
+    rows = spark.read.option("wholetext", True).text(path)
+    part = lambda name: F.get_json_object("value", f"$.text_splitter.{name}").try_cast("int").alias(name)
+    return rows.select(F.input_file_name().alias("path"), part("chunk_size"), part("chunk_overlap"))
+
+
 def parse_thresholds(text: str | None, distances: bool = False) -> list[float]:
     """'0.1,0.5' or 'low:high:step' as similarities; 0.1 to 1.0 by 0.1 without a text. Distances are turned round."""
     if not text:
