@@ -45,25 +45,42 @@ def _near_size(n: str, m: str, least: float) -> Column:
     return F.least(n, m) >= F.lit(least) * F.greatest(n, m)
 
 
-def _band_pairs(signatures: DataFrame, least: float = 0.0) -> DataFrame:
-    rows = signatures.select(F.col("uuid").alias("a"), F.size("shingles").alias("n"), F.explode("bands").alias("band"))
-    other = rows.select(F.col("a").alias("b"), F.col("n").alias("m"), "band")
-    return rows.join(other, "band").where((F.col("a") < F.col("b")) & _near_size("n", "m", least)).select("a", "b").distinct()
+def _shingle_counts(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("shingles").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _rarest(sets: DataFrame, key: str, counts: DataFrame, least: float) -> DataFrame:
+    """(key, n, t): the first n - ceil(least * n) + 1 shingles of each set of n in the order of counts(t, df), rare ones
+    first. Two sets of Jaccard similarity ``least`` or more have one of them in common, far fewer others do."""
+    flat = sets.select(key, F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("t")).join(counts, "t", "left")
+    ordered = flat.groupBy(key, "set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
+    first = F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") * F.lit(least) - 1e-9) + 1).cast("int"))
+    return ordered.select(key, F.size("o").alias("n"), F.explode(first).alias("e")).select(key, "n", F.col("e.t").alias("t"))
 
 
 def lsh_pairs(names: DataFrame) -> DataFrame:
     """(a, b) with a < b: names that share a band."""
-    return _band_pairs(signed(names))
+    rows = signed(names).select(F.col("uuid").alias("a"), F.explode("bands").alias("band"))
+    return rows.join(rows.select(F.col("a").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
 
 
 def jaccard_pairs(names: DataFrame, least: float = 0.0, lineage: Lineage | None = None) -> DataFrame:
-    """(a, b, score): candidate pairs with the exact Jaccard similarity of their shingles. With a lineage names are signed once and written."""
-    signatures = signed(names).select("uuid", F.transform("shingles", lambda x: F.xxhash64(x)).alias("shingles"), "bands")
+    """(a, b, score), a < b: names that share a band, with the exact Jaccard similarity of their shingles, ``least`` or more.
+
+    Above 0 pairs are looked for by rare shingles, and bands only held against what is alike: bands of names from few
+    words are shared by very many. With a lineage names are signed once and written.
+    """
+    signatures = signed(names).select("uuid", F.transform("shingles", lambda x: F.xxhash64(x)).alias("shingles"), "bands").where(F.size("bands") > 0)
     signatures = lineage.cut(signatures) if lineage else signatures
-    sets = signatures.select("uuid", "shingles")
-    pairs = _band_pairs(signatures, least)
-    pairs = pairs.join(sets.select(F.col("uuid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("uuid").alias("b"), F.col("shingles").alias("sb")), "b")
-    return pairs.select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least)
+    if least > 0:
+        rows = _rarest(signatures, "uuid", _shingle_counts(signatures), least).withColumnRenamed("t", "at")
+    else:
+        rows = signatures.select("uuid", F.size("shingles").alias("n"), F.explode("bands").alias("at"))
+    rows = rows.withColumnRenamed("uuid", "a")
+    pairs = rows.join(rows.toDF(*("b" if c == "a" else "m" if c == "n" else c for c in rows.columns)), "at").where((F.col("a") < F.col("b")) & _near_size("n", "m", least)).select("a", "b").distinct()
+    side = lambda n, s, k: signatures.select(F.col("uuid").alias(n), F.col("shingles").alias(s), F.col("bands").alias(k))
+    both = pairs.join(side("a", "sa", "ka"), "a").join(side("b", "sb", "kb"), "b").withColumn("score", T.jaccard(F.col("sa"), F.col("sb")))
+    return both.where((F.col("score") >= least) & F.arrays_overlap("ka", "kb")).select("a", "b", "score")
 
 
 def safeguard(kind: Column, a_hints: Column, b_hints: Column, a_name: Column, b_name: Column) -> Column:
@@ -120,15 +137,17 @@ def resolve(extracted: DataFrame, existing: DataFrame, least: float = FUZZY) ->
         exact = keys.join(first, "key").groupBy("uuid").agg(F.min("canonical").alias("canonical")).withColumn("reason", F.lit("exact"))
         known = exact.select("uuid")
     rest = extracted.select("uuid", "name").join(known, "uuid", "left_anti")
-    named = rest.groupBy("name").agg(F.collect_list("uuid").alias("uuids"))  # signatures are dear, copies of a name share one
-    left = signed(named).select("name", "uuids", "shingles", "bands")
+    left = signed(rest.select("name").distinct()).select("name", "shingles", "bands").where(F.size("bands") > 0)  # signatures are dear, copies of a name share one
     each = existing.groupBy(T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))
-    right = signed(each).select(F.col("uuid").alias("canonical"), F.col("shingles").alias("theirs"), "bands")
-    pairs = left.select("name", F.size("shingles").alias("n"), F.explode("bands").alias("band")).join(right.select("canonical", F.size("theirs").alias("m"), F.explode("bands").alias("band")), "band")
+    right = signed(each).select(F.col("uuid").alias("canonical"), "shingles", "bands").where(F.size("bands") > 0)
+    counts = _shingle_counts(right)
+    pairs = _rarest(left, "name", counts, least).join(_rarest(right, "canonical", counts, least).withColumnRenamed("n", "m"), "t")
     pairs = pairs.where(_near_size("n", "m", least)).select("name", "canonical").distinct()
-    near = pairs.join(left.drop("bands"), "name").join(right.drop("bands"), "canonical").withColumn("score", T.jaccard(F.col("shingles"), F.col("theirs"))).where(F.col("score") >= least)
-    best = near.groupBy("name").agg(F.min_by(F.struct("canonical", "uuids"), F.struct(-F.col("score"), "canonical")).alias("m"))
-    return exact.select("uuid", "canonical", "reason").unionByName(best.select(F.explode("m.uuids").alias("uuid"), "m.canonical", F.lit("fuzzy").alias("reason")))
+    right = right.select("canonical", F.col("shingles").alias("theirs"), F.col("bands").alias("their_bands"))
+    near = pairs.join(left, "name").join(right, "canonical").withColumn("score", T.jaccard(F.col("shingles"), F.col("theirs")))
+    near = near.where((F.col("score") >= least) & F.arrays_overlap("bands", "their_bands"))
+    best = near.groupBy("name").agg(F.min_by("canonical", F.struct(-F.col("score"), "canonical")).alias("canonical"))
+    return exact.select("uuid", "canonical", "reason").unionByName(rest.join(best, "name").select("uuid", "canonical", F.lit("fuzzy").alias("reason")))
 
 
 def without_known_duplicates(pairs: DataFrame, edges: DataFrame, name: str = "IS_DUPLICATE_OF") -> DataFrame:
