@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.llm import backoff, decontaminate, embedding_groups, jaccard_join, mixing, warc_store
+from factgraph.llm import backoff, decontaminate, embedding_groups, fill_middle, jaccard_join, line_dedup, mixing, spelling, warc_store
 from factgraph.llm.backoff import op5_backoff
 from factgraph.llm.decontaminate import op10_decontamination
 from factgraph.llm.embedding_groups import op8_embedding_groups
+from factgraph.llm.fill_middle import op12_fill_middle
 from factgraph.llm.jaccard_join import op2_jaccard_join
 from factgraph.llm.language import op7_language
+from factgraph.llm.line_dedup import op11_line_dedup
 from factgraph.llm.main_text import op3_main_text
 from factgraph.llm.mixing import op4_mixing
 from factgraph.llm.quality_rules import op6_quality_rules
+from factgraph.llm.spelling import op13_spelling
 from factgraph.llm.token_blocks import op1_token_blocks
 from factgraph.llm.warc_store import op9_warc_store
 
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_groups": op8_embedding_groups,
         "op9_warc_store": op9_warc_store,
         "op10_decontamination": op10_decontamination,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -42,4 +48,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_embedding_groups": embedding_groups.ORACLE_SQL,
         "op9_warc_store": warc_store.ORACLE_SQL,
         "op10_decontamination": decontaminate.ORACLE_SQL,
+        "op11_line_dedup": line_dedup.ORACLE_SQL,
+        "op12_fill_middle": fill_middle.ORACLE_SQL,
+        "op13_spelling": spelling.ORACLE_SQL,
     }
