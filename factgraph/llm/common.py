@@ -72,6 +72,12 @@ def named_apart(columns: list[str], name: str) -> str:
     return name
 
 
+def sampled(share: float, *key: str | Column) -> Column:
+    """Whether a row is among the ``share`` that a hash of its key chooses. All 64 bits of the hash count, so a share of
+    any size, such as a few thousand rows of 10^13, is met."""
+    return F.lit(True) if share >= 1 else F.xxhash64(*key) < F.lit(int(share * 2.0**64) - (1 << 63))
+
+
 def quoted(name: str) -> Column:
     """The column of exactly this name, dots and all."""
     return F.col(f"`{name.replace('`', '``')}`")

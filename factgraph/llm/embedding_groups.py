@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import Workspace, connected_components, table
+from factgraph.llm.common import Workspace, connected_components, sampled, table
 
 MAX_CELLS = 16384
 PER_CELL = 256
@@ -191,7 +191,7 @@ def embedding_groups(vectors: DataFrame, work: Workspace, least: float = 0.9) ->
     cells = max(1, min(MAX_CELLS, -(-total // PER_CELL)))
     share = min(1.0, SAMPLE_PER_CELL * cells / max(1, total), FIT_BYTES / max(1, size))  # about FIT_BYTES of vectors at most
     cells = max(1, min(cells, round(share * total / SAMPLE_PER_CELL)))
-    sample = classes.where(F.pmod(F.xxhash64("head"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("head", "unit").collect()
+    sample = classes.where(sampled(share, "head")).select("head", "unit").collect()
     by_size: dict[int, list[np.ndarray]] = {}
     for row in sorted(sample, key=lambda r: r["head"]):
         by_size.setdefault(len(row["unit"]) // 8, []).append(np.frombuffer(row["unit"], np.float64))

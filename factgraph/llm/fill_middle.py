@@ -92,7 +92,7 @@ def _draw(digest: Column, i: int) -> Column:
 
 
 def _checked(marks: tuple[str, str, str]) -> None:
-    if not all(marks) or any(a.startswith(b) for a in marks for b in marks if a is not b):
+    if not all(marks) or any(a.startswith(b) for i, a in enumerate(marks) for j, b in enumerate(marks) if i != j):
         raise ValueError("no mark may be empty or begin another")
     if any(m[0] in x[1:] for m in marks for x in marks):
         raise ValueError("the first character of a mark may stand nowhere else in a mark")

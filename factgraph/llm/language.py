@@ -2,8 +2,9 @@
 
 Texts become windows of WINDOW bytes (ASCII lower-cased, the last one filled up with zero bytes, which no filter
 sees). Filters of several widths slide over the one-hot bytes of a window, each filter keeps its maximum, and a
-softmax layer reads the maxima. The network is trained in numpy by Adam on at most TRAIN_DOCS labelled documents,
-chosen by a hash of doc_id; the gradient of a maximum reaches only the window position that made it. A document's
+softmax layer reads the maxima. The network is trained in numpy by Adam on about TRAIN_DOCS labelled documents at most,
+chosen by a hash of doc_id and text, each of which lends STRETCHES windows that the tasks cut, so that a few MB reach the
+driver however long the texts are; the gradient of a maximum reaches only the window position that made it. A document's
 prediction is the mean of its windows' probabilities, each window weighing as many bytes as it holds.
 
 Rows: null texts and texts without a letter are ``und`` with score 0; texts of any length are read whole. Equal texts
@@ -14,18 +15,25 @@ the columns asked for, less those that bear a result's name; ``determined`` keep
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import mapped, named_apart, quoted, table
+from factgraph.llm.common import mapped, named_apart, quoted, sampled, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 TRAIN_DOCS = 4000
+#: Windows that a document lends to the training, each of 16 bytes to a whole one.
+STRETCHES = 4
+#: Windows that are predicted at once.
+WINDOWS_AT_ONCE = 16384
 UNDETERMINED = "und"
 
 
@@ -92,6 +100,19 @@ class ByteNetwork:
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; of texts of any length so many windows at once as memory allows."""
+        answers: list[tuple[str, float]] = []
+        at = 0
+        while at < len(texts):
+            end, count = at, 0
+            while end < len(texts) and (end == at or count + len(texts[end] or "") // WINDOW < WINDOWS_AT_ONCE):
+                count += len(texts[end] or "") // WINDOW + 1
+                end += 1
+            answers += self._predicted(texts[at:end])
+            at = end
+        return answers
+
+    def _predicted(self, texts: list[str | None]) -> list[tuple[str, float]]:
         clear = [t is not None and bool(self.languages) and has_letter(t) for t in texts]
         answers: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
         parts = [(i, *windows(t)) for i, (t, ok) in enumerate(zip(texts, clear, strict=True)) if ok]
@@ -107,28 +128,32 @@ class ByteNetwork:
         return answers
 
 
-def train(texts: list[str], languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.02, per_doc: int = 4, seed: int = 7) -> ByteNetwork:
-    """Fit a network; every document lends ``per_doc`` stretches of 16 bytes to a whole window. Languages weigh alike."""
+def stretches(text: str, seed: int = 7) -> bytes:
+    """STRETCHES windows of a text, drawn by its bytes."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    rng = np.random.default_rng([seed, xxhash.xxh3_64_intdigest(raw.tobytes())])
+    out = np.zeros((STRETCHES, WINDOW), np.uint8)
+    for row in out:
+        size = int(min(len(raw), rng.choice([16, 32, 64, 128, WINDOW, WINDOW])))
+        at = int(rng.integers(0, len(raw) - size + 1))
+        row[:size] = raw[at : at + size]
+    return out.tobytes()
+
+
+def train(lent: list[bytes], languages: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 7) -> ByteNetwork:
+    """Fit a network to the ``stretches`` of documents and their languages, which weigh alike."""
     rng = np.random.default_rng(seed)
     known = sorted(set(languages))
-    data, label = [], []
-    for text, language in zip(texts, languages, strict=True):
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-        for _ in range(per_doc):
-            size = int(min(len(raw), rng.choice([16, 32, 64, 128, WINDOW, WINDOW])))
-            at = int(rng.integers(0, len(raw) - size + 1))
-            row = np.zeros(WINDOW, np.uint8)
-            row[:size] = raw[at : at + size]
-            data.append(row)
-            label.append(known.index(language))
+    data = np.frombuffer(b"".join(lent), np.uint8).reshape(-1, WINDOW)
+    label = [known.index(k) for k in languages for _ in range(STRETCHES)]
     shape = (FILTERS * len(WIDTHS), len(known))
     filters = [rng.normal(0, 0.1, (w, 256, FILTERS)) for w in WIDTHS]
     for f in filters:
         f[:, 0, :] = 0
     net = ByteNetwork(known, filters, np.zeros(shape[0]), rng.normal(0, 0.2, shape), np.zeros(shape[1]))
-    if not data or len(known) < 2:
+    if not len(data) or len(known) < 2:
         return net
-    x, y = np.stack(data), np.array(label)
+    x, y = data, np.array(label)
     weight = len(y) / (len(known) * np.bincount(y, minlength=len(known)))
     params = [*net.filters, net.bias, net.dense, net.offset]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -180,15 +205,23 @@ def held_out(doc_id: Column, parts: int = 4, out: int = 2) -> Column:
 
 
 def fit(docs: DataFrame, bound: int = TRAIN_DOCS) -> ByteNetwork:
-    """A network from at most about ``bound`` labelled documents outside the held-out fold, the same ones at every run."""
+    """A network from about ``bound`` labelled documents at most outside the held-out fold, the same ones at every run;
+    copies of a row count once."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     share = min(1.0, bound / max(1, rows.count()))
-    place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1_000_000))
-    sample = rows.where(place < F.lit(int(share * 1_000_000))).select(F.col("text").cast("string"), F.col("lang").cast("string"), "doc_id").collect()
-    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in sample if has_letter(r["text"]))
+    chosen = rows.where(sampled(share, F.lit("lang"), "doc_id", "text")).select(F.col("doc_id").cast("string"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    lent = chosen.mapInArrow(_lent, "doc_id string, lang string, lent binary").distinct()
+    sample = sorted((r["doc_id"], r["lang"], bytes(r["lent"])) for r in lent.collect())
     return train([t for _, _, t in sample], [k for _, k, _ in sample])
 
 
+def _lent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lent = [stretches(t) if has_letter(t) else None for t in batch.column(2).to_pylist()]
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lent, pa.binary())], names=["doc_id", "lang", "lent"])
+        yield out.filter(out.column(2).is_valid())
+
+
 def tagged(docs: DataFrame, network: ByteNetwork, keep: list[str], names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """The columns ``keep`` of docs with lang_pred and lang_score, or as ``names`` call them; a kept column that bears
     one of these names gives way to the result."""

@@ -6,9 +6,11 @@ conjunction of bounds on statistics. A logistic model with a lasso penalty weigh
 zero, and those left are compiled into one Spark column, so scoring stays within whole-stage code.
 
 Rows: null text counts as empty, an empty text has all statistics 0 and gets a score like any other; labels of
-documents that do not exist, null labels and null doc_ids are left out; repeated labels, and repeated rows of
-documents, are learnt from as often as they come, and every row gets a score of its own. Equal texts get equal scores.
-Without labels of both kinds the score is the share of label 1 (0.5 without any); an empty table gives an empty result.
+documents that do not exist, null labels and null doc_ids are left out; a label repeated for a doc_id counts once, two
+different ones count both; repeated rows of documents are learnt from as often as they come, and every row gets a score
+of its own. Equal texts get equal scores. Where all n labels are of one kind, or n is below LEAST_LABELS, no rule could
+be told from chance, and every score is (k + 1) / (n + 2) for k labels of 1: the share of label 1, drawn towards 0.5, and
+0.5 without any label. An empty table gives an empty result.
 Neither lang nor source nor doc_id is read by the model. Kept columns that bear a result's name give way to it.
 """
 
@@ -23,10 +25,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm.common import kept_beside, mapped, quoted, table
+from factgraph.llm.common import kept_beside, mapped, quoted, sampled, table
 from factgraph.llm.language import held_out
 
 TRAIN_DOCS = 12_000
+#: Labelled rows that a rule needs to be looked for.
+LEAST_LABELS = 40
 STATISTICS = (
     "n_bytes",
     "n_words",
@@ -198,7 +202,7 @@ def lasso(matrix: np.ndarray, label: np.ndarray, penalty: float = 2e-3, rounds:
 
 def train(values: np.ndarray, label: np.ndarray) -> RuleEnsemble:
     share = float(label.mean()) if len(label) else 0.5
-    if share in (0.0, 1.0) or len(label) < 40:
+    if share in (0.0, 1.0) or len(label) < LEAST_LABELS:
         return RuleEnsemble([], [], float(np.log((share * len(label) + 1) / ((1 - share) * len(label) + 1))))
     rules = tree_rules(values, label)
     weights, offset = lasso(rule_matrix(rules, values), label)
@@ -208,9 +212,9 @@ def train(values: np.ndarray, label: np.ndarray) -> RuleEnsemble:
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> RuleEnsemble:
     """An ensemble from about ``bound`` labelled documents outside the held-out fold at most, chosen by a hash of doc_id."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__label"))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__label")).distinct()
     share = min(1.0, bound / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    chosen = known.where(sampled(share, F.lit("quality"), "__id"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # about ``bound`` rows of ids at most
     got = statistics(rows, ["doc_id", "__label"]).collect()
     got = sorted((tuple(r) for r in got))
