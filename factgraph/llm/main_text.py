@@ -2,12 +2,15 @@
 
 A tolerant tokenizer builds the tree of block elements of a page. Elements that never hold the article (navigation,
 footers, forms, scripts and the like) are pruned, and so are those whose class or id name a part beside it, unless
-they stand around an ``article`` or ``main`` element; within one, a name counts only if it is exact or most of the text
-stands in links. Each paragraph gives points for its length and commas to its container, half of them to the container
-above and a sixth to the next; containers are discounted by the share of their text that stands in links. The best
-container is raised to the ``article`` or ``main`` around it, and neighbours with points enough, or paragraphs of
-prose, are kept with it. Only where there is no such element are lists and tables of links taken for menus. Lengths
-and choices are handed along the tree once, so the time is in proportion to the page however deep it nests.
+they stand around an ``article`` or ``main`` element; within one, or within a block named as a post, a name counts only
+if it is exact, has a word that names nothing else (comments, sidebar), or most of the text stands in links; outside, a
+name that may be a topic (legal, social) does not cost a block of prose. A form that holds most of the page's text is the
+page. Each paragraph gives points for its length and commas to its container, half of them to the container above and a
+sixth to the next; containers are discounted by the share of their text that stands in links. The best container is
+raised to the ``article`` or ``main`` around it, beside which other such elements are kept; where there is none, its
+neighbours are kept too: sections, titles, lists, code and whatever else is left, less those of which most stands in
+links and the titles of these. Only there are lists and tables of links taken for menus. Lengths and choices are handed
+along the tree once, so the time is in proportion to the page however deep it nests.
 
 Rows: null or empty html, and pages without text outside pruned elements, give an empty text; pages of any length
 are read whole; unclosed, wrongly nested and cut-off markup is read as browsers do, as far as blocks go. Rows are
@@ -32,10 +35,10 @@ BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title embed applet".split())
+SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title embed applet label".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("nav footer aside form dialog menu button fieldset label input".split())
+NEVER = frozenset("nav footer aside form dialog menu button fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of class and id that name parts beside the article.
 _BESIDE = re.compile(
@@ -50,6 +53,12 @@ _EXACT = frozenset(
     "share sharing share-buttons social social-share comments comment-list commentlist comments-area disqus related related-posts related-articles "
     "recommended newsletter newsletter-signup subscribe cookie-banner cookie-notice consent popup modal pagination pager widget login signup".split()
 )
+#: Words that name nothing else wherever they stand in a name, and words that may as well be a topic.
+_ANYWHERE = frozenset("comment comments commentlist disqus sidebar sidebars newsletter breadcrumb breadcrumbs pagination adsbygoogle".split())
+_TOPICS = frozenset("legal social side rail register tags".split())
+_POST = frozenset("post article story entry hentry".split())
+#: Characters outside links that make prose of a block whose name or tag speaks against it.
+PROSE = 140
 _ABSENT = re.compile(r"(?:^|(?<=\s))(?:no|not|has|with|without)-[\w\-]+")
 _HEADER = re.compile(r"(?:^|[\s_\-])(?:header|head|masthead|site-header|page-header)(?:$|[\s_\-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_\-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry)(?:$|[\s_\-])", re.I)
@@ -83,13 +92,14 @@ ALWAYS, BY_NAME = 1, 2
 class Node:
     """A block element. ``tag`` is what it stands for, ``name`` how it is closed, ``beside`` why it may be no part of the article."""
 
-    __slots__ = ("tag", "name", "parent", "children", "beside", "exact", "inside", "holds", "gone", "weight", "points", "length", "linked")
+    __slots__ = ("tag", "name", "parent", "children", "beside", "exact", "plain", "topic", "post", "inside", "within", "holds", "gone", "weight", "points", "length", "linked")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag = self.name = tag
         self.parent, self.children = parent, []
-        self.beside, self.exact, self.holds, self.gone = 0, False, False, False
+        self.beside, self.exact, self.plain, self.topic, self.post, self.holds, self.gone = 0, False, False, False, False, False, False
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.within = self.inside or parent is not None and (parent.within or parent.post)
         self.weight, self.points, self.length, self.linked = 0.0, 0.0, 0, 0
 
 
@@ -132,8 +142,12 @@ def _judge(node: Node, raw: str) -> None:
     if _BESIDE.search(names) or (_HEADER.search(names) and tag not in _HEADINGS and not node.inside):
         node.beside = BY_NAME
         node.exact = not _EXACT.isdisjoint(names.lower().replace("_", "-").split())
+        words = set(re.split(r"[\s_\-]+", names.lower()))
+        node.plain = tag != "p" and not _ANYWHERE.isdisjoint(words)
+        node.topic = {w for w in words if _BESIDE.search(w) or _HEADER.search(w)} <= _TOPICS
     elif _GOOD.search(names):
         node.weight = 25.0
+        node.post = not _POST.isdisjoint(re.split(r"[\s_\-]+", names.lower()))
 
 
 def parse(page: str) -> tuple[list[Paragraph], list[Node]]:
@@ -271,17 +285,21 @@ def _measured(blocks: list[Paragraph], nodes: list[Node]) -> None:
 
 def _pruned(nodes: list[Node]) -> None:
     """Marks what stands beside the article as gone: what is so by its kind; what is named so, but for parts around an
-    article or main element; and within an article only by an exact name or where links make most of the text."""
+    article or main element and prose of a name that may be a topic; and within an article or post only by an exact or
+    plain name or where links make most of the text."""
+    every = nodes[0].length
     for node in reversed(nodes):
-        if node.tag == "form" and node.holds:  # around the whole page
+        if node.tag == "form" and (node.holds or node.length > 0.5 * every and node.length - node.linked >= PROSE):  # around the whole page
             node.beside = 0
         if node.parent is not None and node.beside != ALWAYS and (node.holds or node.tag in ("article", "main")):
             node.parent.holds = True
     for node in nodes:
         beside = node.beside == ALWAYS
         if node.beside == BY_NAME:
-            if node.inside:
-                beside = node.tag not in _HEADINGS and (node.exact or node.linked > 0.5 * node.length)
+            if node.topic and node.length - node.linked >= PROSE and node.linked <= 0.25 * node.length:
+                beside = False
+            elif node.within and not (node.holds and not node.inside):
+                beside = node.tag not in _HEADINGS and (node.exact or node.plain or node.linked > 0.5 * node.length)
             else:
                 beside = node.exact or not node.holds
         node.gone = beside or (node.parent is not None and node.parent.gone)
@@ -322,12 +340,21 @@ def main_text(page: str | None) -> str:
             best = best.parent
     whole = best.tag in ("article", "main")
     chosen = {id(best)}
-    if scored and best.parent is not None:
+    if scored and best.parent is not None and best.tag not in ("li", "td", "tr", "tbody"):
+        titles: list[int] = []  # of what comes next
         for near in best.parent.children:
-            if scored.get(id(near), 0) >= least and near.tag not in ("li", "td", "tr"):
-                chosen.add(id(near))
-            elif near.tag == "p" and near.linked < 0.25 * near.length and near.length > 80 and not whole:
-                chosen.add(id(near))
+            if near.gone or not near.length:
+                continue
+            if whole:
+                stays = near.tag in ("article", "main") and near.linked <= 0.5 * near.length or scored.get(id(near), 0) >= least
+            else:
+                stays = near is best or near.linked <= 0.5 * near.length
+            if near.tag in _HEADINGS and not whole:
+                titles.append(id(near))
+                continue
+            if stays:
+                chosen.update([id(near), *titles])
+            titles = []
     kept: set[int] = set()
     for node in nodes:
         menu = not whole and node.tag in ("ul", "ol", "dl", "table") and len(node.children) > 2 and node.linked > 0.8 * node.length

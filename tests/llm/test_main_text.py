@@ -86,9 +86,12 @@ def slow(page):
             return True
         if node.beside != m.BY_NAME:
             return False
-        if any(x.tag in ("article", "main") for x in above(node.parent)):
-            links, size = share(node, every)
-            return node.tag not in m._HEADINGS and (node.exact or links > size / 2)
+        links, size = share(node, every)
+        inside = any(x.tag in ("article", "main") for x in above(node.parent))
+        if node.topic and size - links >= m.PROSE and links <= size / 4:
+            return False
+        if inside or any(x.post for x in above(node.parent)) and id(node) not in holding:
+            return node.tag not in m._HEADINGS and (node.exact or node.plain or links > size / 2)
         return node.exact or id(node) not in holding
 
     lost = {id(n) for n in nodes if any(out(x) for x in above(n))}
@@ -100,7 +103,7 @@ def slow(page):
 def test_against_the_slow_version(seed):
     rng = random.Random(seed)
     tags = ["div", "section", "p", "ul", "li", "h2", "td", "table", "tr", "main", "article", "nav", "aside", "span", "a", "b", "blockquote"]
-    names = ["", "", "", " class=ad", " class=legal", " id=comments", " class='sidebar-x'", " class=content", " hidden", " role=main"]
+    names = ["", "", "", " class=ad", " class=legal", " id=comments", " class='sidebar-x'", " class=content", " class=post", " hidden", " role=main"]
     for _ in range(60):
         page = []
         for _ in range(rng.randrange(1, 40)):
