@@ -19,9 +19,14 @@ GEO_HINTS = ("china", "india", "usa", "united states", "france", "germany", "spa
 GEO_KEYS = ("country", "state", "region", "location_name")
 
 
-def keyed(names: DataFrame) -> DataFrame:
-    """(uuid, name, key): the exact and the singular key of each name."""
-    return names.select("uuid", "name", F.explode(F.array_distinct(F.array(T.norm_exact(F.col("name")), T.strip_plural(F.col("name"))))).alias("key"))
+def keyed(names: DataFrame, by: str | None = None) -> DataFrame:
+    """(uuid, name, key): the exact and the singular key of each name, and the group ``by`` says, if it is given."""
+    group = [_group(by).alias("grp")] if by else []
+    return names.select("uuid", "name", *group, F.explode(F.array_distinct(F.array(T.norm_exact(F.col("name")), T.strip_plural(F.col("name"))))).alias("key"))
+
+
+def _group(by: str) -> Column:
+    return F.coalesce(F.col(by), F.lit(""))
 
 
 def signed(names: DataFrame, n: int = 3) -> DataFrame:
@@ -114,40 +119,44 @@ def ror_hints(nodes: DataFrame, index: DataFrame | None) -> DataFrame:
 GUARDS = ("kind", "hints", "own")
 
 
-def resolve(extracted: DataFrame, existing: DataFrame, least: float = FUZZY) -> DataFrame:
-    """(uuid, canonical, reason) of extracted(uuid, name) against existing(uuid, name).
+def resolve(extracted: DataFrame, existing: DataFrame, least: float = FUZZY, by: str | None = None) -> DataFrame:
+    """(uuid, canonical, reason) of extracted(uuid, name) against existing(uuid, name), of the same group ``by`` if given.
 
     An exact or singular key takes the smallest uuid that has it. Where both sides have the columns kind, hints and own,
     it takes the smallest that ``safeguard`` lets it have, by the reason that says; a name whose key is known but which may
     have none of its nodes stays unresolved. Names without a key, if they say enough, take the most alike existing name
     of Jaccard ``least`` or more among those in a common band, the smallest uuid on ties.
     """
-    keys = keyed(extracted).select("uuid", "key")
+    group = ["grp"] if by else []
+    keys = keyed(extracted, by).select("uuid", *group, "key")
     if all(c in extracted.columns and c in existing.columns for c in GUARDS):
         theirs = existing.select(F.col("uuid").alias("canonical"), "name", F.array_sort("hints").alias("b_hints"), F.col("own").alias("b_own"))
-        theirs = keyed(theirs.withColumn("uuid", F.col("canonical"))).select("uuid", "key").join(theirs.select(F.col("canonical").alias("uuid"), "b_hints", "b_own"), "uuid")
-        first = theirs.groupBy("key", "b_hints", "b_own").agg(F.min("uuid").alias("canonical"))  # alike copies of a key meet before the join
-        mine = keys.join(extracted.select("uuid", "kind", "hints", "own"), "uuid").join(first, "key")
+        theirs = keyed(existing, by).select("uuid", *group, "key").join(theirs.select(F.col("canonical").alias("uuid"), "b_hints", "b_own"), "uuid")
+        first = theirs.groupBy(*group, "key", "b_hints", "b_own").agg(F.min("uuid").alias("canonical"))  # alike copies of a key meet before the join
+        mine = keys.join(extracted.select("uuid", "kind", "hints", "own"), "uuid").join(first, [*group, "key"])
         hits = mine.withColumn("reason", safeguard(F.col("kind"), F.col("hints"), F.col("b_hints"), F.col("own"), F.col("b_own")))
         known = hits.select("uuid").distinct()
         best = hits.where("reason is not null").groupBy("uuid").agg(F.min(F.struct("canonical", "reason")).alias("m"))
         exact = best.select("uuid", "m.canonical", "m.reason")
     else:
-        first = keyed(existing).groupBy("key").agg(F.min("uuid").alias("canonical"))  # copies of a key meet before the join
-        exact = keys.join(first, "key").groupBy("uuid").agg(F.min("canonical").alias("canonical")).withColumn("reason", F.lit("exact"))
+        first = keyed(existing, by).groupBy(*group, "key").agg(F.min("uuid").alias("canonical"))  # copies of a key meet before the join
+        exact = keys.join(first, [*group, "key"]).groupBy("uuid").agg(F.min("canonical").alias("canonical")).withColumn("reason", F.lit("exact"))
         known = exact.select("uuid")
-    rest = extracted.select("uuid", "name").join(known, "uuid", "left_anti")
+    grouped = [_group(by).alias("grp")] if by else []
+    rest = extracted.select("uuid", "name", *grouped).join(known, "uuid", "left_anti")
     left = signed(rest.select("name").distinct()).select("name", "shingles", "bands").where(F.size("bands") > 0)  # signatures are dear, copies of a name share one
-    each = existing.groupBy(T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))
-    right = signed(each).select(F.col("uuid").alias("canonical"), "shingles", "bands").where(F.size("bands") > 0)
+    each = existing.groupBy(*grouped, T.norm_exact(F.col("name")).alias("canonical")).agg(F.min("uuid").alias("uuid"))
+    right = signed(each.select(F.lit("").alias("uuid"), F.col("canonical").alias("name")).distinct()).select(F.col("name").alias("canonical"), "shingles", "bands").where(F.size("bands") > 0)
     counts = _shingle_counts(right)
     pairs = _rarest(left, "name", counts, least).join(_rarest(right, "canonical", counts, least).withColumnRenamed("n", "m"), "t")
     pairs = pairs.where(_near_size("n", "m", least)).select("name", "canonical").distinct()
     right = right.select("canonical", F.col("shingles").alias("theirs"), F.col("bands").alias("their_bands"))
     near = pairs.join(left, "name").join(right, "canonical").withColumn("score", T.jaccard(F.col("shingles"), F.col("theirs")))
-    near = near.where((F.col("score") >= least) & F.arrays_overlap("bands", "their_bands"))
-    best = near.groupBy("name").agg(F.min_by("canonical", F.struct(-F.col("score"), "canonical")).alias("canonical"))
-    return exact.select("uuid", "canonical", "reason").unionByName(rest.join(best, "name").select("uuid", "canonical", F.lit("fuzzy").alias("reason")))
+    near = near.where((F.col("score") >= least) & F.arrays_overlap("bands", "their_bands")).select("name", "canonical", "score")
+    near = near.join(rest.select("name", *group).distinct(), "name") if by else near
+    near = near.join(each, [*group, "canonical"])
+    best = near.groupBy("name", *group).agg(F.min_by("uuid", F.struct(-F.col("score"), "uuid")).alias("canonical"))
+    return exact.select("uuid", "canonical", "reason").unionByName(rest.join(best, ["name", *group]).select("uuid", "canonical", F.lit("fuzzy").alias("reason")))
 
 
 def without_known_duplicates(pairs: DataFrame, edges: DataFrame, name: str = "IS_DUPLICATE_OF") -> DataFrame:
@@ -194,22 +203,37 @@ def duplicate_candidates(edges: DataFrame, embedding: str, least: float = 0.6) -
     return pairs.where((F.col("a") < F.col("b")) & (F.arrays_overlap("fa", "fb") | (V.cosine(F.col("x"), F.col("y")) >= least))).select("a", "b")
 
 
-def dedupe_batch(names: DataFrame, lineage: Lineage, least: float = FUZZY) -> DataFrame:
-    """(uuid, canonical) within one batch names(uuid, name): exact keys and alike names make components, the smallest uuid is canonical."""
-    keys = keyed(names)
-    heads = keys.groupBy("key").agg(F.min("uuid").alias("b"))
-    exact = keys.join(heads, "key").where("uuid <> b").select(F.col("uuid").alias("a"), "b")
-    first = names.groupBy(T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))  # copies are linked by key already
-    pairs = exact.union(jaccard_pairs(first, least, lineage).select("a", "b")).distinct()
-    found = graph.components(pairs, lineage)
+def dedupe_batch(names: DataFrame, lineage: Lineage, least: float = FUZZY, by: str | None = None, order: str | None = None) -> DataFrame:
+    """(uuid, canonical) within one batch names(uuid, name): exact keys and alike names, of the same group ``by`` if given,
+    make components. Canonical is the first of a component by the column ``order``, or the smallest uuid without one."""
+    group = ["grp"] if by else []
+    keys = keyed(names, by)
+    heads = keys.groupBy(*group, "key").agg(F.min("uuid").alias("b"))
+    exact = keys.join(heads, [*group, "key"]).where("uuid <> b").select(F.col("uuid").alias("a"), "b")
+    grouped = [_group(by).alias("grp")] if by else []
+    first = names.groupBy(*grouped, T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))  # copies are linked by key already
+    if by:  # names are compared once, whatever the number of groups that have them
+        alike = jaccard_pairs(first.select(F.col("name").alias("uuid"), "name").distinct(), least, lineage)
+        side = lambda c: first.select("grp", F.col("name").alias(c), F.col("uuid").alias(f"{c}_uuid"))
+        alike = alike.join(side("a"), "a").join(side("b"), ["grp", "b"]).select(F.least("a_uuid", "b_uuid").alias("a"), F.greatest("a_uuid", "b_uuid").alias("b"))
+    else:
+        alike = jaccard_pairs(first, least, lineage).select("a", "b")
+    found = graph.components(exact.union(alike).distinct(), lineage)
+    if order:
+        place = names.select("uuid", F.struct(F.col(order).alias("at"), F.col("uuid").alias("first")).alias("place"))
+        heads = found.join(place, "uuid").groupBy("canonical").agg(F.min("place").alias("place"))
+        found = found.join(heads, "canonical").select("uuid", F.col("place.first").alias("canonical"))
     return names.select("uuid").join(found, "uuid", "left").select("uuid", F.coalesce("canonical", "uuid").alias("canonical"))
 
 
 def guard_replies(replies: DataFrame, extracted: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, canonical) of a model's replies(ord, id, duplicate_idx): unknown and repeated ids are dropped (first wins);
-    an index out of range, or -1, means the node itself."""
-    known = replies.join(extracted.select("id", "uuid"), "id").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("r = 1")
-    out = known.join(candidates.select(F.col("idx").alias("duplicate_idx"), F.col("uuid").alias("candidate")), "duplicate_idx", "left")
+    an index out of range, or -1, means the node itself. Candidates(idx, uuid) are those of all, or those of each id if
+    they have one."""
+    first = replies.groupBy("id").agg(F.min_by("duplicate_idx", "ord").alias("duplicate_idx"))
+    known = first.join(extracted.select("id", "uuid"), "id")
+    own = ["id"] if "id" in candidates.columns else []
+    out = known.join(candidates.select(*own, F.col("idx").alias("duplicate_idx"), F.col("uuid").alias("candidate")), [*own, "duplicate_idx"], "left")
     return out.select("id", F.coalesce("candidate", "uuid").alias("canonical"))
 
 

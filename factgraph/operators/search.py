@@ -313,17 +313,51 @@ def hybrid(
 
 
 def _nearest(pairs: DataFrame, least: float, limit: int | None) -> DataFrame:
-    out = pairs.withColumn("score", V.scaled_cosine(F.col("x"), F.col("y"))).where(F.col("score") > least).select("query_uuid", "uuid", "score")
-    if limit is None:
-        return out
-    place = F.row_number().over(Window.partitionBy("query_uuid").orderBy(F.desc("score"), "uuid"))
-    return out.withColumn("__r", place).where(F.col("__r") <= limit).drop("__r")
+    return _best(pairs.withColumn("score", V.scaled_cosine(F.col("x"), F.col("y"))).where(F.col("score") > least).select("query_uuid", "uuid", "score"), limit)
+
+
+#: Parts in which the rows of one query are cut to its best before they meet.
+PARTS = 64
 
 
-def relevant_nodes(query: DataFrame, nodes: DataFrame, embedding: str, least: float = MIN_SCORE, limit: int | None = LIMIT) -> DataFrame:
-    """(query_uuid, uuid, score): for each node of query the most alike others of its group, ``limit`` of them."""
-    asked = query.select(F.col("uuid").alias("query_uuid"), "group_id", V.doubles(F.col(embedding)).alias("x"))
-    return _nearest(asked.join(nodes.select("uuid", "group_id", V.doubles(F.col(embedding)).alias("y")), "group_id").where("uuid <> query_uuid"), least, limit)
+def _best(scored: DataFrame, limit: int | None) -> DataFrame:
+    """scored(query_uuid, uuid, score) cut to the best ``limit`` of each query, equal scores by uuid: first within parts of
+    a query's rows, so that one with very many is worked off by many tasks, then over what these leave."""
+    if limit is None:
+        return scored
+    first = lambda df, *by: df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "uuid"))).where(F.col("__r") <= limit).drop("__r")
+    return first(first(scored.withColumn("__p", F.pmod(F.xxhash64("uuid"), F.lit(PARTS))), "query_uuid", "__p").drop("__p"), "query_uuid")
+
+
+def relevant_nodes(query: DataFrame, nodes: DataFrame, embedding: str | None, least: float = MIN_SCORE, limit: int | None = LIMIT, text: str | None = None) -> DataFrame:
+    """(query_uuid, uuid, score): for each node of query the most alike others of its group, ``limit`` of them by vectors.
+
+    With ``text`` it also takes ``limit`` by full text of that column, the words of the query node's own, and the score
+    is that of both lists fused: the sum of 1 / (place + 1)."""
+    found = None
+    if embedding:
+        asked = query.select(F.col("uuid").alias("query_uuid"), "group_id", V.doubles(F.col(embedding)).alias("x"))
+        found = _nearest(asked.join(nodes.select("uuid", "group_id", V.doubles(F.col(embedding)).alias("y")), "group_id").where("uuid <> query_uuid"), least, limit)
+    if not text:
+        return found
+    lists = [relevant_by_text(query, nodes, text, limit)] + ([found] if embedding else [])
+    placed = [x.select("query_uuid", "uuid", F.row_number().over(Window.partitionBy("query_uuid").orderBy(F.desc("score"), "uuid")).alias("place")) for x in lists]  # lists of ``limit``
+    return reduce(DataFrame.unionByName, placed).groupBy("query_uuid", "uuid").agg(F.sum(F.lit(1.0) / F.col("place")).alias("score"))
+
+
+def relevant_by_text(query: DataFrame, nodes: DataFrame, text: str, limit: int | None = LIMIT) -> DataFrame:
+    """(query_uuid, uuid, score): for each node of query the others of its group by BM25 of ``text``, statistics being
+    those of the group. Words are joined on words; a word of a query adds a row for each node of the group that has it."""
+    words = lambda df: df.select("uuid", "group_id", T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    held = words(nodes).withColumn("dl", F.size("t").cast("double"))
+    size = held.groupBy("group_id").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
+    found = held.select("uuid", "group_id", "dl", F.explode("t").alias("term")).groupBy("group_id", "term", "uuid", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    common = found.groupBy("group_id", "term").agg(F.count(F.lit(1)).cast("double").alias("df")).join(size, "group_id")
+    asked = words(query).select(F.col("uuid").alias("query_uuid"), "group_id", F.explode(F.array_distinct("t")).alias("term")).join(common, ["group_id", "term"])
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = asked.join(found, ["group_id", "term"]).where("uuid <> query_uuid").groupBy("query_uuid", "uuid").agg(F.sum(part).alias("score"))
+    return _best(scored, limit)
 
 
 def invalidation_candidates(query: DataFrame, edges: DataFrame, embedding: str, least: float = MIN_SCORE, limit: int | None = LIMIT) -> DataFrame:
@@ -338,9 +372,9 @@ Results = dict[str, DataFrame]
 
 
 def merged(results: list[Results]) -> Results:
-    """Search results of several searches by scope, each uuid once with its best score."""
+    """Search results of several searches by scope, one after the other; a uuid stands as often as it was found."""
     out: Results = {}
     for found in results:
         for scope, rows in found.items():
             out[scope] = out[scope].unionByName(rows) if scope in out else rows
-    return {k: v.groupBy("uuid").agg(F.max("score").alias("score")) for k, v in out.items()}
+    return out

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import text as T
 from factgraph.operators import filters, store
-from factgraph.plans.api import Extractor, TemporalGraph
+from factgraph.plans.api import Extractor, Judge, TemporalGraph
 
 
-def add_messages(graph: TemporalGraph, messages: DataFrame, extract: Extractor, now: str) -> None:
+def add_messages(graph: TemporalGraph, messages: DataFrame, extract: Extractor, now: str, judge: Judge = Judge()) -> None:
     """Messages(uuid, group_id, role_type, role, content, timestamp) as episodes, of the text 'role(role_type): content'."""
     said = F.concat(F.coalesce("role", F.lit("")), F.lit("("), "role_type", F.lit("): "), "content")
     rows = messages.select("uuid", F.coalesce("name", F.lit("")).alias("name") if "name" in messages.columns else F.lit("").alias("name"), "group_id", said.alias("content"), F.lit("message").alias("source"))
     stamped = rows.join(messages.select("uuid", F.col("timestamp").alias("valid_at"), F.col("timestamp").alias("created_at")), "uuid")
-    graph.add_episodes(stamped, extract, now)
+    graph.add_episodes(stamped, extract, now, judge=judge)
 
 
 def search_facts(graph: TemporalGraph, query: str, groups: list[str] | None = None, most: int = 10, vector: list[float] | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def last_episodes(graph: TemporalGraph, group: str, last_n: int, until: str) ->
 
 
 def delete_fact(graph: TemporalGraph, uuid: str) -> None:
-    graph._replace("edges", graph.table("edges").where(F.col("uuid") != uuid))
+    graph.delete("edges", graph.spark.createDataFrame([(uuid,)], "uuid string"))
 
 
 def delete_group(graph: TemporalGraph, group: str) -> None:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factgraph.plans.api import TemporalGraph
+from factgraph.plans.api import Judge, TemporalGraph
 
 
 def test_life_of_a_graph(spark, tmp_path):
@@ -14,7 +14,7 @@ def test_life_of_a_graph(spark, tmp_path):
         n = spark.createDataFrame(nodes, "uuid string, name string").withColumn("group_id", F.lit("g")).withColumn("labels", F.array(F.lit("Person"))).withColumn("created_at", stamp(day))
         e = spark.createDataFrame(edges, "uuid string, source_node_uuid string, target_node_uuid string, name string, fact string").withColumn("group_id", F.lit("g"))
         e = e.withColumn("episodes", F.array(F.lit(episode))).withColumn("valid_at", stamp(day)).withColumn("created_at", stamp(day)).withColumn("invalid_at", F.lit(None).cast("timestamp")).withColumn("expired_at", F.lit(None).cast("timestamp"))
-        g.add_episodes(eps, lambda _: (n, e), "2025-01-01")
+        g.add_episodes(eps, lambda _: (n, e), "2025-01-01", judge=Judge(contradicts=lambda pairs: pairs.where("fact <> new_fact").select("new_uuid", "uuid")))
 
     batch("ep1", "2024-01-01", [("n1", "Alice Smith"), ("n2", "Bob Jones"), ("n3", "alice  smith")], [("e1", "n3", "n2", "LIKES", "Alice likes Bob"), ("e0", "n1", "n2", "LIKES", "alice LIKES bob")])
     batch("ep2", "2024-02-01", [("m1", "ALICE SMITH"), ("m2", "Bob Jones")], [("e2", "m1", "m2", "DISLIKES", "Alice dislikes Bob")])

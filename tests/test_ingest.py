@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from factgraph.__main__ import main
 from factgraph.operators import canon, filters, graph, report, resolve, search, store
 from factgraph.plans import service
-from factgraph.plans.api import TemporalGraph
+from factgraph.plans.api import Judge, TemporalGraph
 from factgraph.plans.lineage import Lineage
 from factgraph.sources import npz_embeddings
 from factgraph.streaming import TableState
@@ -52,9 +52,15 @@ def test_copies_in_one_episode_keep_all_episodes(g, spark):
     assert [sorted(r.episodes) for r in g.table("edges").collect()] == [["ep0", "ep1"]]
 
 
+def opposite(pairs):
+    """A judge to whom likes and hates contradict each other."""
+    kind = lambda c: F.regexp_extract(c, "(likes|hates)", 1)
+    return pairs.where((kind("fact") != "") & (kind("new_fact") != "") & (kind("fact") != kind("new_fact"))).select("new_uuid", "uuid")
+
+
 def test_late_facts_come_expired(g, spark):
     add(g, spark, "ep2", "2024-03-01", ENDS, [("e2", "a", "b", "HATES", "Alice hates Bob", ["ep2"])])
-    add(g, spark, "ep1", "2024-01-01", ENDS, [("e1", "a", "b", "LIKES", "Alice likes Bob", ["ep1"])])
+    add(g, spark, "ep1", "2024-01-01", ENDS, [("e1", "a", "b", "LIKES", "Alice likes Bob", ["ep1"])], judge=Judge(contradicts=opposite))
     rows = {r.uuid: r for r in g.table("edges").collect()}
     assert rows["e1"].invalid_at == rows["e2"].valid_at and rows["e1"].expired_at is not None
     assert rows["e2"].invalid_at is None and rows["e2"].expired_at is None
@@ -90,8 +96,10 @@ def test_communities_by_group(g, spark):
     rows = g.table("communities").collect()
     assert sorted(r.group_id for r in rows) == ["g", "h"] and all(len(r.summary.split(", ")) == 25 for r in rows)
     add(g, spark, "ep2", "2024-02-01", [("new", "somebody new", "g"), ("g0", "name g 0", "g")], [("en", "new", "g0", "R", "new to g0", ["ep2"])])
-    g.update_communities(g.table("entities").where("uuid = 'new'"))
+    g.update_communities(g.table("entities").where("uuid = 'new'"), lambda c: c)
     assert g.table("members").where("target_node_uuid = 'new'").first().group_id == "g"
+    grown = g.table("members").where("target_node_uuid = 'new'").first().source_node_uuid
+    assert g.table("communities").where(F.col("uuid") == grown).first().summary.endswith(", somebody new")
     g.remove_communities()
     assert g.table("communities").count() == 0
 
@@ -112,6 +120,8 @@ def test_search_by_recipe(g, spark):
     assert g.search("red", recipe="edges_rrf", where=labelled)["edges"].count() == 0
     both = search.merged([g.search("red", recipe="edges_rrf"), g.search("other", recipe="edges_rrf")])
     assert {r.uuid for r in both["edges"].collect()} == {"e1", "e2", "e3"}
+    twice = search.merged([g.search("red", recipe="edges_rrf")] * 2)
+    assert sorted(r.uuid for r in twice["edges"].collect()) == ["e1", "e1", "e2", "e2"]
     g.build_indices()
     assert {r.uuid: round(r.score, 9) for r in g.search_text("edges", "red wine").collect()} == {r.uuid: round(r.score, 9) for r in search.bm25(g.table("edges"), "red wine", ["name", "fact"]).collect()}
     assert g.search_text("edges", " ").count() == 0
