@@ -6,6 +6,7 @@ are literals in the plan, so scoring is one narrow pass and the top rows come by
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
@@ -36,8 +37,9 @@ def _times(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == term)).cast("double")
 
 
-def bm25(docs: DataFrame, query: str, columns: list[str], limit: int | None = None) -> DataFrame:
-    """docs with score > 0 against the query's words, BM25 over the text of ``columns``.
+def bm25(docs: DataFrame, query: str, columns: list[str], limit: int | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """docs with score > 0 against the query's words, BM25 over the text of ``columns``; statistics are those of the
+    corpus, of which docs may be a part, or of docs.
 
     Word frequencies of the few query words are counted in the row, corpus statistics in one aggregation to a single
     row; no inverted index is exploded or shuffled. A query without words finds nothing.
@@ -45,12 +47,16 @@ def bm25(docs: DataFrame, query: str, columns: list[str], limit: int | None = No
     terms = query_terms(query)
     if not terms:
         return docs.withColumn("score", F.lit(0.0)).limit(0)
-    held = docs.withColumn("__t", T.tokens(F.concat_ws(" ", *columns)))
-    held = held.withColumn("__dl", F.size("__t").cast("double"))
-    for i, term in enumerate(terms):
-        held = held.withColumn(f"__tf{i}", _times(F.col("__t"), term))
-    held = held.drop("__t")
-    stats = held.agg(
+
+    def counted(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("__t", T.tokens(F.concat_ws(" ", *columns)))
+        rows = rows.withColumn("__dl", F.size("__t").cast("double"))
+        for i, term in enumerate(terms):
+            rows = rows.withColumn(f"__tf{i}", _times(F.col("__t"), term))
+        return rows.drop("__t")
+
+    held = counted(docs)
+    stats = (held if corpus is None else counted(corpus)).agg(
         F.count(F.lit(1)).cast("double").alias("__n"),
         F.avg("__dl").alias("__avgdl"),
         *(F.sum((F.col(f"__tf{i}") > 0).cast("double")).alias(f"__df{i}") for i in range(len(terms))),
@@ -67,40 +73,6 @@ def bm25(docs: DataFrame, query: str, columns: list[str], limit: int | None = No
     return out.orderBy(F.desc("score"), "uuid").limit(limit) if limit else out
 
 
-INDEX_BUCKETS = 256
-
-
-def postings(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(bucket, term, uuid, tf, dl): the inverted index of the text of ``columns``, for a table partitioned by bucket."""
-    held = rows.select("uuid", T.tokens(F.concat_ws(" ", *columns)).alias("t")).withColumn("dl", F.size("t").cast("double"))
-    found = held.select("uuid", "dl", F.explode("t").alias("term")).groupBy("term", "uuid", "dl").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    return found.select(term_bucket(F.col("term")).alias("bucket"), "term", "uuid", "tf", "dl")
-
-
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
-
-
-def index_statistics(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(n, avgdl): one row for the index."""
-    return rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size(T.tokens(F.concat_ws(" ", *columns))).cast("double")).alias("avgdl"))
-
-
-def bm25_indexed(index: DataFrame, statistics: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """(uuid, score) as ``bm25`` gives, from postings and their statistics: only the buckets of the query's words are read."""
-    terms = query_terms(query)
-    spark = index.sparkSession
-    asked = spark.createDataFrame([(t,) for t in terms], "term string").select("term", term_bucket(F.col("term")).alias("bucket")).collect()  # the words of a query
-    if not asked:
-        return index.select("uuid", F.lit(0.0).alias("score")).limit(0)
-    hits = index.where(F.col("bucket").isin(*{r["bucket"] for r in asked}) & F.col("term").isin(*terms)).select("term", "uuid", "tf", "dl")
-    counts = hits.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(statistics))  # a row a word, one row
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = hits.join(F.broadcast(counts), "term").groupBy("uuid").agg(F.sum(part).alias("score"))
-    return out.orderBy(F.desc("score"), "uuid").limit(limit) if limit else out
-
-
 def similarity(rows: DataFrame, query: list[float], column: str, least: float = MIN_SCORE, limit: int | None = LIMIT, scale: str = "unit") -> DataFrame:
     """rows whose score against the query vector is above ``least``, best first."""
     out = rows.withColumn("score", V.scaled_cosine(V.doubles(F.col(column)), V.literal(query), scale)).where(F.col("score") > least)
@@ -289,10 +261,11 @@ def _reranked(rows: DataFrame, lists: DataFrame, query: str, vector: list[float]
 
 
 def hybrid(
-    rows: DataFrame, query: str, vector: list[float] | None, columns: list[str], embedding: str | None, recipe: Recipe = Recipe(), scope: str = "nodes", around: Surroundings = Surroundings()
+    rows: DataFrame, query: str, vector: list[float] | None, columns: list[str], embedding: str | None, recipe: Recipe = Recipe(), scope: str = "nodes", around: Surroundings = Surroundings(), by_text: Callable[[DataFrame, str, int], DataFrame] | None = None
 ) -> DataFrame:
     """(uuid, score) of rows by the recipe, best first: each of its methods gives twice the limit, its reranker orders
-    what they found. A reranker that the scope lacks, or that lacks what it reads, raises."""
+    what they found. A reranker that the scope lacks, or that lacks what it reads, raises. ``by_text`` takes the place of
+    a scan for full text: rows, query and limit to (uuid, score)."""
     if recipe.reranker not in RERANKERS[scope]:
         raise ValueError(f"{scope} cannot be ranked by {recipe.reranker}")
     unknown = set(recipe.methods) - {"bm25", "cosine", "bfs"}
@@ -300,7 +273,7 @@ def hybrid(
         raise ValueError(f"unknown methods: {sorted(unknown)}")
     most, hits = 2 * recipe.limit, []
     if "bm25" in recipe.methods and query.strip():
-        hits.append(bm25(rows, query, columns, most).select("uuid", "score"))
+        hits.append((by_text(rows, query, most) if by_text else bm25(rows, query, columns, most)).select("uuid", "score"))
     if "cosine" in recipe.methods and vector and embedding:
         hits.append(similarity(rows, vector, embedding, recipe.least, most).select("uuid", "score"))
     if "bfs" in recipe.methods and scope in ("edges", "nodes"):

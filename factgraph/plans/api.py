@@ -13,6 +13,7 @@ from factgraph.functions import text as T
 from factgraph.functions import vectors as V
 from factgraph.operators import filters, graph, resolve, store, temporal
 from factgraph.operators import search as retrieval
+from factgraph.plans.index import TextIndex
 from factgraph.plans.lineage import Lineage
 from factgraph.plans.versions import BUCKETS, Change, Versions
 
@@ -297,23 +298,28 @@ class TemporalGraph:
             if of and query.strip():
                 rows = where.apply(self.table(name))
                 rows = filters.labelled_ends(rows, self.table("entities"), where.node_labels) if name == "edges" else rows
-                out[name] = retrieval.hybrid(rows, query, vector, *fields[name], of, "nodes" if name == "entities" else name, around)
+                out[name] = retrieval.hybrid(rows, query, vector, *fields[name], of, "nodes" if name == "entities" else name, around, self._by_text(name, where))
         return out
 
+    def _by_text(self, name: str, where: filters.SearchFilters) -> Callable[[DataFrame, str, int], DataFrame]:
+        """Full text for ``hybrid``: from the index where it shows the table as it is, else by a scan; statistics are those
+        of the whole table either way, so the scores are the same."""
+        index, manifest = TextIndex(self.versions, name, self.INDEXED[name]), self.versions.manifest()
+        if index.fresh(manifest):
+            return lambda rows, query, most: index.search(query, most, manifest, rows if where != filters.SearchFilters() else None)
+        return lambda rows, query, most: retrieval.bm25(rows, query, self.INDEXED[name], most, self.table(name))
+
     INDEXED = {"edges": ["name", "fact"], "entities": ["name", "summary"], "episodes": ["content", "source", "source_description"], "communities": ["name"]}
 
     def build_indices(self) -> None:
-        """Inverted indices of all texts, partitioned by word; they show the tables as they are now."""
+        """Bring the inverted indices of all texts up to the tables as they are now: what has changed since the last time
+        becomes a segment. Searches read them until a table changes again, and scan that table from then on."""
         for name, columns in self.INDEXED.items():
-            search_index = retrieval.postings(self.table(name), columns)
-            search_index.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/index/{name}/postings")
-            retrieval.index_statistics(self.table(name), columns).write.mode("overwrite").parquet(f"{self.path}/index/{name}/statistics")
+            TextIndex(self.versions, name, columns).refresh()
 
     def search_text(self, scope: str, query: str, limit: int = retrieval.LIMIT) -> DataFrame:
-        """(uuid, score) by full text from the index of a scope, which reads the buckets of the query's words only."""
-        folder = f"{self.path}/index/{scope}"
-        kind = "term string, uuid string, tf double, dl double, bucket int"
-        return retrieval.bm25_indexed(self.spark.read.schema(kind).parquet(f"{folder}/postings"), self.spark.read.schema("n double, avgdl double").parquet(f"{folder}/statistics"), query, limit)
+        """(uuid, score) by full text from the index of a scope as it was built last."""
+        return TextIndex(self.versions, scope, self.INDEXED[scope]).search(query, limit)
 
     def similar_facts(self, vector: list[float], least: float = retrieval.MIN_SCORE, limit: int = retrieval.LIMIT) -> DataFrame:
         return retrieval.similarity(self.table("edges").where(F.size("fact_embedding") == len(vector)), [float(x) for x in vector], "fact_embedding", least, limit)

@@ -11,7 +11,9 @@ from factgraph.functions import text as T
 from factgraph.functions import vectors as V
 from factgraph.operators import canon, chunking, filters, graph, report, resolve, search, store, temporal
 from factgraph.plans.bind import Bound
+from factgraph.plans.index import TextIndex
 from factgraph.plans.lineage import Lineage
+from factgraph.plans.versions import Versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -362,8 +364,24 @@ def scored(df: DataFrame) -> DataFrame:
 
 BM = " SELECT uuid, round(score, 6) AS score FROM bm"
 query("bm25_edges", bm25_sql("fact", "fact", ["red", "widget"]) + BM)(lambda b: scored(search.bm25(b.facts(), "red widget", ["fact"])))
-query("bm25_edges_indexed", bm25_sql("fact", "fact", ["red", "widget"]) + BM)(
-    lambda b: scored(search.bm25_indexed(search.postings(b.facts(), ["fact"]), search.index_statistics(b.facts(), ["fact"]), "red widget"))
+
+
+def indexed(b: Bound) -> TextIndex:
+    """The facts in a store and their index, which saw some facts under other texts and some that are gone before."""
+    versions = Versions(b.spark, f"{Lineage(b.spark).path}/store", {"facts": "uuid string, fact string"}, 8)
+    index, facts = TextIndex(versions, "facts", ["fact"]), b.facts().select("uuid", "fact")
+    number = F.crc32(F.encode("uuid", "utf-8"))
+    versions.change(lambda c: c.upsert("facts", facts.select("uuid", F.when(number % 5 == 0, F.concat(F.lit("red widget "), "fact")).otherwise(F.col("fact")).alias("fact"))))
+    index.refresh()
+    versions.change(lambda c: (c.upsert("facts", facts.where(number % 5 == 0)), c.delete("facts", facts.where(number % 64 == 1))))
+    versions.change(lambda c: c.upsert("facts", facts.where(number % 64 == 1)))
+    index.refresh()
+    return index
+
+
+query("bm25_edges_indexed", bm25_sql("fact", "fact", ["red", "widget"]) + BM)(lambda b: scored(indexed(b).search("red widget", (1 << 31) - 1)))
+query("bm25_edges_indexed_top", bm25_sql("fact", "fact", ["red", "gear", "customer"]) + " SELECT row_number() OVER (ORDER BY round(score, 6) DESC) AS place, round(score, 6) AS score FROM bm QUALIFY place <= 50")(
+    lambda b: indexed(b).search("red gear customer", 50).select(F.row_number().over(Window.orderBy(F.desc("score"))).cast("long").alias("place"), r6(F.col("score")).alias("score"))
 )
 query("bm25_nodes", bm25_sql("ent", "name || ' ' || summary", ["red", "economy"]) + BM)(lambda b: scored(search.bm25(b.entities(), "red economy", ["name", "summary"])))
 query("bm25_episodes", bm25_sql("msg", "content", ["the", "und"]) + BM)(lambda b: scored(search.bm25(b.messages(), "the und", ["content"])))
