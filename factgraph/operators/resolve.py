@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import text as T
 from factgraph.functions import vectors as V
 from factgraph.operators import graph
+from factgraph.operators.nearest import nearest
 from factgraph.plans.lineage import Lineage
 
 FUZZY = 0.9
@@ -254,25 +256,28 @@ def allowed_edge_types(edges: DataFrame, nodes: DataFrame, type_map: DataFrame,
     return out.select("uuid", F.when(F.col("name").isin(*custom) & F.col("fits").isNull(), "RELATES_TO").otherwise(F.col("name")).alias("name"))
 
 
-def fact_duplicates(edges: DataFrame, embedding: str, least: float = 0.9) -> DataFrame:
-    """(a, b): greedy pairs of one pair of ends by falling cosine of facts, each edge in one pair at most."""
-    import numpy as np
-    import pandas as pd
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("uuid")
-        v = np.stack(pdf["v"].map(np.asarray).to_list())
-        n = np.linalg.norm(v, axis=1, keepdims=True)
-        c = (v / np.where(n == 0, 1, n)) @ (v / np.where(n == 0, 1, n)).T
-        i, j = np.triu_indices(len(v), 1)
-        keep = c[i, j] >= least
-        i, j = i[keep], j[keep]
-        used, out = set(), []
-        for k in np.lexsort((j, i, -c[i, j])):
-            if i[k] not in used and j[k] not in used:
-                used |= {i[k], j[k]}
-                out.append((pdf["uuid"].iloc[i[k]], pdf["uuid"].iloc[j[k]]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    rows = edges.select("source_node_uuid", "target_node_uuid", "uuid", F.col(embedding).cast("array<double>").alias("v"))
-    return rows.groupBy("source_node_uuid", "target_node_uuid").applyInPandas(pairs, "a string, b string")
+def fact_duplicates(edges: DataFrame, embedding: str, least: float = 0.9, lineage: Lineage | None = None, rounds: int = 1000) -> DataFrame:
+    """(a, b): greedy pairs of one pair of ends by falling cosine of facts, then by uuids, each edge in one pair at most.
+
+    Likely pairs come from products of bounded chunks, so a hub pair of ends is many tasks. A pair that is the first one
+    for both its edges is taken by the greedy order, whatever comes before it; so all such pairs are taken at once, pairs
+    that meet them go, and the rest is looked at again.
+    """
+    lineage = lineage or Lineage(edges.sparkSession)
+    rows = edges.select("uuid", F.to_json(F.array("source_node_uuid", "target_node_uuid")).alias("grp"), F.col(embedding).cast("array<double>").alias("v"))
+    met = nearest(rows, rows, least - 2.0**-40, None, lineage).where(F.col("query_uuid") < F.col("uuid"))
+    left = lineage.cut(met.select(F.col("query_uuid").alias("a"), F.col("uuid").alias("b"), (-F.col("cosine")).alias("far")))
+    taken = []
+    for _ in range(rounds):
+        ends = left.select(F.col("a").alias("e"), "far", "a", "b").unionByName(left.select(F.col("b").alias("e"), "far", "a", "b"))
+        first = ends.groupBy("e").agg(F.min(F.struct("far", "a", "b")).alias("m"))
+        both = first.groupBy("m.a", "m.b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")
+        both = lineage.cut(both)
+        if not both.take(1):
+            break
+        taken.append(both)
+        gone = lineage.cut(both.select(F.explode(F.array("a", "b")).alias("e")))
+        left = lineage.cut(left.join(gone.withColumnRenamed("e", "a"), "a", "left_anti").join(gone.withColumnRenamed("e", "b"), "b", "left_anti").select("a", "b", "far"))
+    else:
+        raise RuntimeError("pairs did not settle")
+    return reduce(DataFrame.unionByName, taken) if taken else left.select("a", "b")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import text as T
 from factgraph.functions import vectors as V
 from factgraph.operators import graph
+from factgraph.operators.nearest import best, nearest
 from factgraph.plans.lineage import Lineage
 
 K1, B = 1.2, 0.75
@@ -286,20 +287,7 @@ def hybrid(
 
 
 def _nearest(pairs: DataFrame, least: float, limit: int | None) -> DataFrame:
-    return _best(pairs.withColumn("score", V.scaled_cosine(F.col("x"), F.col("y"))).where(F.col("score") > least).select("query_uuid", "uuid", "score"), limit)
-
-
-#: Parts in which the rows of one query are cut to its best before they meet.
-PARTS = 64
-
-
-def _best(scored: DataFrame, limit: int | None) -> DataFrame:
-    """scored(query_uuid, uuid, score) cut to the best ``limit`` of each query, equal scores by uuid: first within parts of
-    a query's rows, so that one with very many is worked off by many tasks, then over what these leave."""
-    if limit is None:
-        return scored
-    first = lambda df, *by: df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "uuid"))).where(F.col("__r") <= limit).drop("__r")
-    return first(first(scored.withColumn("__p", F.pmod(F.xxhash64("uuid"), F.lit(PARTS))), "query_uuid", "__p").drop("__p"), "query_uuid")
+    return best(pairs.withColumn("score", V.scaled_cosine(F.col("x"), F.col("y"))).where(F.col("score") > least).select("query_uuid", "uuid", "score"), limit)
 
 
 def relevant_nodes(query: DataFrame, nodes: DataFrame, embedding: str | None, least: float = MIN_SCORE, limit: int | None = LIMIT, text: str | None = None) -> DataFrame:
@@ -309,8 +297,9 @@ def relevant_nodes(query: DataFrame, nodes: DataFrame, embedding: str | None, le
     is that of both lists fused: the sum of 1 / (place + 1)."""
     found = None
     if embedding:
-        asked = query.select(F.col("uuid").alias("query_uuid"), "group_id", V.doubles(F.col(embedding)).alias("x"))
-        found = _nearest(asked.join(nodes.select("uuid", "group_id", V.doubles(F.col(embedding)).alias("y")), "group_id").where("uuid <> query_uuid"), least, limit)
+        side = lambda df: df.select("uuid", F.col("group_id").alias("grp"), V.doubles(F.col(embedding)).alias("v"))
+        found = nearest(side(query), side(nodes), 2 * least - 1, limit, Lineage(nodes.sparkSession))
+        found = found.select("query_uuid", "uuid", ((F.col("cosine") + 1) / 2).alias("score")).where(F.col("score") > least)
     if not text:
         return found
     lists = [relevant_by_text(query, nodes, text, limit)] + ([found] if embedding else [])
@@ -330,7 +319,7 @@ def relevant_by_text(query: DataFrame, nodes: DataFrame, text: str, limit: int |
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = asked.join(found, ["group_id", "term"]).where("uuid <> query_uuid").groupBy("query_uuid", "uuid").agg(F.sum(part).alias("score"))
-    return _best(scored, limit)
+    return best(scored, limit)
 
 
 def invalidation_candidates(query: DataFrame, edges: DataFrame, embedding: str, least: float = MIN_SCORE, limit: int | None = LIMIT) -> DataFrame:
