@@ -19,10 +19,10 @@ def cluster_stats(sizes: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def entropy(sizes: DataFrame, column: str = "total_count") -> DataFrame:
     """bits and normalized (by log2 of the number of clusters; 0 for one)."""
-    total = F.sum(column).over(Window.partitionBy())
-    p = F.col(column) / total
-    rows = sizes.withColumn("__h", -p * F.log2(p))
-    return rows.agg(F.sum("__h").alias("bits"), F.count(F.lit(1)).alias("k")).select("bits", F.when(F.col("k") > 1, F.col("bits") / F.log2(F.col("k").cast("double"))).otherwise(0.0).alias("normalized"))
+    x = F.col(column).cast("double")
+    sums = sizes.agg(F.sum(x).alias("t"), F.sum(x * F.log2(x)).alias("h"), F.count(F.lit(1)).alias("k"))  # -sum(x / t * log2(x / t)), one pass
+    bits = sums.select((F.log2("t") - F.col("h") / F.col("t")).alias("bits"), "k")
+    return bits.select("bits", F.when(F.col("k") > 1, F.col("bits") / F.log2(F.col("k").cast("double"))).otherwise(0.0).alias("normalized"))
 
 
 def retention(sizes: DataFrame, names: DataFrame) -> DataFrame:
@@ -43,11 +43,20 @@ def histogram_log(rows: DataFrame, column: str, base: float = 2.0) -> DataFrame:
     return rows.where(F.col(column) > 0).groupBy(log_bin(F.col(column), base).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def cdf(rows: DataFrame, column: str) -> DataFrame:
-    """(value, cdf) where ties share the place of their last row: aggregated by value first, so the window sees distinct values only."""
+def cdf(rows: DataFrame, column: str, lineage: Lineage | None = None) -> DataFrame:
+    """(value, n, cdf) where ties share the place of their last row: aggregated by value first, then summed within ranges of
+    the value; what stands before a range comes from one row for each."""
     by = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return by.select("value", "n", (F.sum("n").over(Window.orderBy("value")) / total).alias("cdf"))
+    ordered = (lineage or Lineage(rows.sparkSession)).cut(by.repartitionByRange("value").select("value", "n", F.spark_partition_id().alias("part")))
+    starts = _starts(ordered.groupBy("part").agg(F.sum("n").alias("n")))
+    place = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    return ordered.withColumn("place", place).join(F.broadcast(starts), "part").select("value", "n", ((F.col("start") + F.col("place")) / F.col("total")).alias("cdf"))
+
+
+def _starts(sizes: DataFrame) -> DataFrame:
+    """(part, start, total) of sizes(part, n), a row for each range: how many stand before it, and in all."""
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.select("part", before.alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
 
 
 def cdf_rows(rows: DataFrame, column: str, lineage: Lineage) -> DataFrame:
@@ -56,9 +65,7 @@ def cdf_rows(rows: DataFrame, column: str, lineage: Lineage) -> DataFrame:
     range; the places before a range come from one row for each."""
     salted = rows.select(F.col(column).alias("value")).where("value is not null").withColumn("salt", F.rand(1))
     ordered = lineage.cut(salted.repartitionByRange("value", "salt").select("value", F.spark_partition_id().alias("part")))
-    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    starts = _starts(ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
     place = F.row_number().over(Window.partitionBy("part").orderBy("value"))
     return ordered.withColumn("place", place).join(F.broadcast(starts), "part").select("value", ((F.col("start") + F.col("place")) / F.col("total")).alias("cdf"))
 

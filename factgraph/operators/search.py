@@ -286,10 +286,6 @@ def hybrid(
     return _reranked(rows, lists, query, vector, embedding, recipe, scope, around).orderBy("place").limit(recipe.limit).select("uuid", "score")
 
 
-def _nearest(pairs: DataFrame, least: float, limit: int | None) -> DataFrame:
-    return best(pairs.withColumn("score", V.scaled_cosine(F.col("x"), F.col("y"))).where(F.col("score") > least).select("query_uuid", "uuid", "score"), limit)
-
-
 def relevant_nodes(query: DataFrame, nodes: DataFrame, embedding: str | None, least: float = MIN_SCORE, limit: int | None = LIMIT, text: str | None = None) -> DataFrame:
     """(query_uuid, uuid, score): for each node of query the most alike others of its group, ``limit`` of them by vectors.
 
@@ -318,15 +314,17 @@ def relevant_by_text(query: DataFrame, nodes: DataFrame, text: str, limit: int |
     asked = words(query).select(F.col("uuid").alias("query_uuid"), "group_id", F.explode(F.array_distinct("t")).alias("term")).join(common, ["group_id", "term"])
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(found, ["group_id", "term"]).where("uuid <> query_uuid").groupBy("query_uuid", "uuid").agg(F.sum(part).alias("score"))
+    scored = asked.join(found, ["group_id", "term"]).where("uuid <> query_uuid").groupBy("query_uuid", "uuid").agg(F.round(F.sum(part), 9).alias("score"))  # sums of any order tie
     return best(scored, limit)
 
 
 def invalidation_candidates(query: DataFrame, edges: DataFrame, embedding: str, least: float = MIN_SCORE, limit: int | None = LIMIT) -> DataFrame:
-    """(query_uuid, uuid, score): for each edge of query the most alike edges that share an end with it, ``limit`` of them."""
-    pairs = graph.edges_touching(query, edges)
-    pairs = pairs.join(query.select(F.col("uuid").alias("query_uuid"), V.doubles(F.col(embedding)).alias("x")), "query_uuid")
-    return _nearest(pairs.join(edges.select("uuid", V.doubles(F.col(embedding)).alias("y")), "uuid"), least, limit)
+    """(query_uuid, uuid, score): for each edge of query the most alike edges that share an end with it, ``limit`` of them.
+    An end is a group of ``nearest``: the edges of a hub meet in products of chunks, of which only each one's best come out."""
+    end = F.explode(F.array_distinct(F.array("source_node_uuid", "target_node_uuid")))
+    side = lambda df: df.select("uuid", "group_id", end.alias("end"), V.doubles(F.col(embedding)).alias("v")).select("uuid", F.to_json(F.array("group_id", "end")).alias("grp"), "v")
+    found = nearest(side(query), side(edges), 2 * least - 1, limit, Lineage(edges.sparkSession), repeated=True)
+    return found.select("query_uuid", "uuid", ((F.col("cosine") + 1) / 2).alias("score")).where(F.col("score") > least)
 
 
 #: Results of each scope, by uuid.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,10 +151,8 @@ query("filter_properties", "SELECT uuid FROM episode WHERE CAST(json_extract_str
 query("page_by_uuid", "SELECT uuid, name FROM ent WHERE uuid < 'p5' ORDER BY uuid DESC LIMIT 100")(lambda b: filters.page(b.entities().select("uuid", "name"), 100, "p5"))
 query(
     "facts_context",
-    "SELECT group_id, name, count(*) AS n, max(to_json({'fact': s || ' ' || t, 'valid_at': strftime(valid_at, '%Y-%m-%d'), 'invalid_at': coalesce(strftime(invalid_at, '%Y-%m-%d'), 'Present')})::VARCHAR) AS context FROM ended GROUP BY ALL",
-)(
-    lambda b: b.ended_edges().select("group_id", "name", filters.context(F.concat_ws(" ", "source_node_uuid", "target_node_uuid")).alias("c")).groupBy("group_id", "name").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("context"))
-)
+    "SELECT uuid, to_json({'fact': s || ' ' || t, 'valid_at': strftime(valid_at, '%Y-%m-%d'), 'invalid_at': coalesce(strftime(invalid_at, '%Y-%m-%d'), 'Present')})::VARCHAR AS context FROM ended",
+)(lambda b: b.ended_edges().select("uuid", filters.context(F.concat_ws(" ", "source_node_uuid", "target_node_uuid")).alias("context")))
 query("filter_endpoints", "SELECT uuid FROM edge WHERE s = 'c1' UNION ALL SELECT uuid FROM edge WHERE s = 'c2' AND t IN (SELECT min(t) FROM edge WHERE s = 'c2')")(
     lambda b: filters.between(b.edges(), "c1").select("uuid").unionByName(filters.between(b.edges(), "c2", b.edges().where("source_node_uuid = 'c2'").agg(F.min("target_node_uuid")).first()[0] or "").select("uuid"))
 )
@@ -673,19 +672,21 @@ query(
 )(lambda b: resolve.resolve(altered_names(b), b.long_names().select("uuid", "name")))
 query(
     "resolve_guarded",
-    """WITH p AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_size > 25 THEN 'china' ELSE '' END AS hint FROM part),
-       x AS (SELECT 'x' || k AS uuid, name, CASE WHEN k % 3 = 0 THEN 'india' WHEN k % 3 = 1 THEN 'china' ELSE '' END AS hint FROM p),
-       h AS (SELECT x.uuid, min('p' || p.k) AS canonical, x.hint AS a, p.hint AS b FROM x JOIN p ON x.name = p.name GROUP BY ALL),
-       g AS (SELECT *, CASE WHEN a <> '' AND a = b THEN 'exact_geo' WHEN (a <> '') <> (b <> '') THEN 'exact_geo_hint_partial' WHEN a = '' AND b = '' THEN 'exact' END AS reason FROM h)
+    """WITH p AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_size > 25 THEN 'china' ELSE '' END AS hint, CASE WHEN p_size % 3 > 0 THEN p_type END AS own FROM part),
+       x AS (SELECT 'x' || k AS uuid, ['Location', 'People', 'Institution'][k % 3 + 1] AS kind, name, CASE WHEN k % 5 = 0 THEN 'india' WHEN k % 5 < 3 THEN 'china' ELSE '' END AS hint, CASE WHEN k % 4 > 0 THEN own END AS own FROM p),
+       h AS (SELECT x.uuid, kind, min('p' || p.k) AS canonical, x.hint AS a, p.hint AS b, x.own AS an, p.own AS bn FROM x JOIN p ON x.name = p.name GROUP BY ALL),
+       g AS (SELECT *, CASE kind WHEN 'People' THEN CASE WHEN an IS NULL OR bn IS NULL OR an = bn THEN 'exact' END
+         WHEN 'Institution' THEN CASE WHEN a <> '' AND a = b THEN 'exact_ror' WHEN (a <> '') <> (b <> '') THEN 'exact_ror_partial' WHEN an = bn THEN 'exact' WHEN an IS NULL OR bn IS NULL THEN 'exact_institution_partial' END
+         ELSE CASE WHEN a <> '' AND a = b THEN 'exact_geo' WHEN (a <> '') <> (b <> '') THEN 'exact_geo_hint_partial' WHEN a = '' AND b = '' THEN 'exact' END END AS reason FROM h)
        SELECT uuid, canonical, reason FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY canonical) AS r FROM g WHERE reason IS NOT NULL) WHERE r = 1""",
     bare=True,
 )(
     lambda b: (
-        lambda p, k, none: resolve.resolve(
-            p.select(F.concat(F.lit("x"), k).alias("uuid"), F.col("p_name").alias("name"), F.lit("Location").alias("kind"), F.when(k % 3 == 0, F.array(F.lit("india"))).when(k % 3 == 1, F.array(F.lit("china"))).otherwise(none).alias("hints"), F.lit(None).cast("string").alias("own")),
-            p.select(F.concat(F.lit("p"), k).alias("uuid"), F.col("p_name").alias("name"), F.lit("Location").alias("kind"), F.when(F.col("p_size") > 25, F.array(F.lit("china"))).otherwise(none).alias("hints"), F.lit(None).cast("string").alias("own")),
+        lambda p, k, none, kinds, own: resolve.resolve(
+            p.select(F.concat(F.lit("x"), k).alias("uuid"), F.col("p_name").alias("name"), F.element_at(kinds, (k % 3 + 1).cast("int")).alias("kind"), F.when(k % 5 == 0, F.array(F.lit("india"))).when(k % 5 < 3, F.array(F.lit("china"))).otherwise(none).alias("hints"), F.when(k % 4 > 0, own).alias("own")),
+            p.select(F.concat(F.lit("p"), k).alias("uuid"), F.col("p_name").alias("name"), F.lit("Location").alias("kind"), F.when(F.col("p_size") > 25, F.array(F.lit("china"))).otherwise(none).alias("hints"), own.alias("own")),
         )
-    )(b.table("part"), F.col("p_partkey"), F.array().cast("array<string>"))
+    )(b.table("part"), F.col("p_partkey"), F.array().cast("array<string>"), F.array(F.lit("Location"), F.lit("People"), F.lit("Institution")), F.when(F.col("p_size") % 3 > 0, F.col("p_type")))
 )
 query("geo_hints", "SELECT c_custkey AS k, array_to_string(list_sort(list_distinct(list_filter([lower(n_name), CASE WHEN c_custkey % 5 = 0 THEN 'spain' END], lambda x: x IN ('china', 'india', 'usa', 'united states', 'france', 'germany', 'spain', 'italy', 'brazil', 'ethiopia')))), ',') AS hints FROM customer JOIN nation ON c_nationkey = n_nationkey", bare=True)(
     lambda b: b.table("customer").join(b.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -737,9 +738,9 @@ query(
     LONG + """, hd AS (SELECT key, min(uuid) AS u FROM ks GROUP BY 1), f1 AS (SELECT e, min(uuid) AS u FROM nk GROUP BY 1),
        lk AS (SELECT ks.uuid AS a, hd.u AS b FROM ks JOIN hd ON ks.key = hd.key UNION SELECT x.u, y.u FROM pr JOIN f1 x ON x.e = pr.a JOIN f1 y ON y.e = pr.b WHERE score >= 0.9),
        bo AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), rc AS (SELECT uuid AS u, uuid AS x FROM nk UNION SELECT rc.u, bo.b FROM rc JOIN bo ON rc.x = bo.a)
-       SELECT u AS uuid, min(x) AS canonical FROM rc WHERE u NOT IN (SELECT uuid FROM nk WHERE name = 'ab') GROUP BY 1""",
+       SELECT u AS uuid, min(x) AS canonical FROM rc GROUP BY 1""",
     bare=True,
-)(lambda b: resolve.dedupe_batch(b.long_names().select("uuid", "name").unionByName(altered_names(b)).where("name <> 'ab'"), Lineage(b.spark)))
+)(lambda b: resolve.dedupe_batch(b.long_names().select("uuid", "name").unionByName(altered_names(b)), Lineage(b.spark)))
 query(
     "name_match_fuzzy",
     r"""WITH nm AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, list_distinct(list_transform(range(1, length(' ' || name || ' ') - 1), lambda i: substr(' ' || name || ' ', i, 3))) AS g FROM nm)
@@ -908,8 +909,11 @@ NODE_REACH = """, walk AS (SELECT t AS u, group_id AS g, 1 AS hop FROM lnk JOIN
   reach AS (SELECT uuid, row_number() OVER (ORDER BY min(hop), uuid) - 1 AS r FROM walk JOIN vnode ON uuid = u AND group_id = g GROUP BY uuid)"""
 
 
-def by_recipe(b: Bound, name: str) -> DataFrame:
+def by_recipe(b: Bound, name: str, combined: str | None = None) -> DataFrame:
+    """The scope that a preset of one scope names, by its recipe or by that of a combined preset for this scope."""
     recipe = search.RECIPES[name]
+    if combined:
+        recipe = replace(recipe, **{k: getattr(search.RECIPES[combined], k) for k in ("edges", "nodes", "communities") if getattr(recipe, k)})
     if recipe.edges:
         return scored(search.hybrid(b.vector_edges(), "about 3", b.query_vector(), ["fact"], "embedding", recipe.edges, "edges", search.Surroundings(center="c1")))
     if recipe.nodes:
@@ -940,6 +944,12 @@ RECIPE_SQL = {
 }
 for preset, preset_sql in RECIPE_SQL.items():
     query(f"recipe_{preset}", preset_sql)(lambda b, preset=preset: by_recipe(b, preset))
+for preset in ("edges", "nodes", "communities"):
+    query(f"combined_cross_encoder_{preset}", RECIPE_SQL[f"{preset}_cross_encoder"])(lambda b, preset=preset: by_recipe(b, f"{preset}_cross_encoder", "combined_cross_encoder"))
+    query(f"combined_mmr_{preset}", RECIPE_SQL[f"{preset}_mmr"].replace("0.5::DOUBLE * list_dot_product(v, q) - 0.5::DOUBLE * m", "list_dot_product(v, q)"))(lambda b, preset=preset: by_recipe(b, f"{preset}_mmr", "combined_mmr"))
+query("combined_cross_encoder_episodes", lists_sql("msg", "content", ["the", "und"], vector=False) + crossed_sql("msg", "content", ["the", "und"]))(
+    lambda b: scored(search.hybrid(b.messages(), "the und", None, ["content"], None, search.RECIPES["combined_cross_encoder"].episodes, "episodes"))
+)
 query("episode_mentions_edges", RECIPE_SQL["edges_episode_mentions"])(lambda b: by_recipe(b, "edges_episode_mentions"))
 
 COMBINED = [("edge", EDGES, True), ("node", NODES, True), ("episode", ("msg", "content", ["the", "und"]), False), ("community", ("comm", "name", ["brand", "7"]), False)]
@@ -955,3 +965,22 @@ query(
         .unionByName(scored(search.hybrid(b.communities(), "brand 7", None, ["name"], None, r.communities, "communities")).withColumn("scope", F.lit("community")))
     )(search.RECIPES["combined_rrf"])
 )
+query(
+    "search_merged",
+    lists_sql(*EDGES, p="a_") + lists_sql("vedge", "fact", ["about", "4"], p="b_")
+    + " (SELECT uuid, round(score, 6) AS score FROM a_f ORDER BY a_f.score DESC, seen LIMIT 10) UNION ALL (SELECT uuid, round(score, 6) AS score FROM b_f ORDER BY b_f.score DESC, seen LIMIT 10)",
+)(
+    lambda b: scored(
+        search.merged([{"edges": search.hybrid(b.vector_edges(), q, b.query_vector(), ["fact"], "embedding", search.RECIPES["edges_rrf"].edges, "edges")} for q in ("about 3", "about 4")])["edges"]
+    )
+)
+query(
+    "relevant_nodes_fused",
+    r""", tk AS (SELECT uuid, group_id, v, list_filter(string_split_regex(lower(name), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM vnode), sz AS (SELECT group_id, count(*)::DOUBLE AS n, avg(len(w)::DOUBLE) AS avgdl FROM tk GROUP BY 1),
+       ps AS (SELECT uuid, group_id, len(w)::DOUBLE AS dl, t, count(*)::DOUBLE AS tf FROM (SELECT *, unnest(w) AS t FROM tk) GROUP BY ALL), df AS (SELECT group_id, t, count(*)::DOUBLE AS df FROM ps GROUP BY ALL),
+       qs AS (SELECT DISTINCT uuid AS q, group_id, t FROM ps), tx AS (SELECT q, p.uuid, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+         FROM qs JOIN ps p ON p.group_id = qs.group_id AND p.t = qs.t AND p.uuid <> q JOIN df ON df.group_id = qs.group_id AND df.t = qs.t JOIN sz ON sz.group_id = qs.group_id GROUP BY ALL),
+       vx AS (SELECT a.uuid AS q, b.uuid, (1 + list_cosine_similarity(a.v, b.v)) / 2 AS score FROM vnode a JOIN vnode b ON a.group_id = b.group_id AND a.uuid <> b.uuid WHERE (1 + list_cosine_similarity(a.v, b.v)) / 2 > 0.6),
+       al AS (SELECT q, uuid, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, uuid) AS r FROM tx UNION ALL SELECT q, uuid, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, uuid) FROM vx)
+       SELECT q AS query_uuid, uuid, round(sum(1 / r::DOUBLE), 6) AS score FROM al WHERE r <= 5 GROUP BY ALL""",
+)(lambda b: search.relevant_nodes(b.vector_nodes(), b.vector_nodes(), "embedding", limit=5, text="name").withColumn("score", r6(F.col("score"))))
