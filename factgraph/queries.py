@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import text as T
 from factgraph.functions import vectors as V
 from factgraph.operators import canon, chunking, filters, graph, report, resolve, search, store, temporal
+from factgraph.plans.api import Judge, TemporalGraph
 from factgraph.plans.bind import Bound
 from factgraph.plans.index import TextIndex
 from factgraph.plans.lineage import Lineage
@@ -984,3 +985,59 @@ query(
        al AS (SELECT q, uuid, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, uuid) AS r FROM tx UNION ALL SELECT q, uuid, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, uuid) FROM vx)
        SELECT q AS query_uuid, uuid, round(sum(1 / r::DOUBLE), 6) AS score FROM al WHERE r <= 5 GROUP BY ALL""",
 )(lambda b: search.relevant_nodes(b.vector_nodes(), b.vector_nodes(), "embedding", limit=5, text="name").withColumn("score", r6(F.col("score"))))
+
+
+# ---- ingestion --------------------------------------------------------------------------------------------------
+
+
+def ingested(b: Bound) -> TemporalGraph:
+    """All orders as episodes in two batches and two groups: customers (by names that are not alike) and parts as nodes of
+    each batch's own uuids, lines as facts. A fact of another state of the same customer and part contradicts it, says the judge."""
+    graph_, stamp = TemporalGraph(b.spark, f"{Lineage(b.spark).path}/graph"), F.col("o_orderdate").cast("timestamp")
+    orders = b.table("orders").select("o_orderkey", "o_custkey", stamp.alias("at"), (F.col("o_orderkey") % 2).alias("batch"), F.concat(F.lit("g"), F.col("o_custkey") % 2).alias("group_id"))
+    lines = b.table("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_returnflag").alias("flag"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(b.table("customer").select("c_custkey", F.md5(F.encode("c_name", "utf-8")).alias("c_name")), F.col("o_custkey") == F.col("c_custkey")).join(b.table("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    own = lambda letter, key: F.concat("group_id", F.lit(f"_{letter}"), key, F.lit("_"), "batch")
+
+    def extract(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ends = [rows.select(own(c, k).alias("uuid"), F.col(n).alias("name"), "group_id", F.array(F.lit(label)).alias("labels")).distinct() for c, k, n, label in (("c", "o_custkey", "c_name", "Customer"), ("p", "l_partkey", "p_name", "Part"))]
+        facts = rows.select(
+            F.concat(F.lit("e"), "l_orderkey", F.lit("_"), "l_linenumber", F.lit("_"), "l_partkey").alias("uuid"), own("c", "o_custkey").alias("source_node_uuid"), own("p", "l_partkey").alias("target_node_uuid"), F.lit("ORDERED").alias("name"),
+            F.concat("c_name", F.lit(" ordered "), "p_name", F.lit(" "), "flag").alias("fact"), "group_id", F.array(F.concat(F.lit("o"), "l_orderkey")).alias("episodes"), F.col("at").alias("created_at"), F.col("at").alias("valid_at"),
+        )
+        return ends[0].unionByName(ends[1]), facts
+
+    what = lambda c: F.expr(f"substr({c}, 1, length({c}) - 2)")
+    judge = Judge(contradicts=lambda pairs: pairs.where((what("fact") == what("new_fact")) & (F.col("fact") != F.col("new_fact"))).select("new_uuid", "uuid"))
+    for batch in (0, 1):
+        episodes = orders.where(F.col("batch") == batch).select(F.concat(F.lit("o"), "o_orderkey").alias("uuid"), F.lit("order").alias("name"), "group_id", F.col("at").alias("created_at"), F.col("at").alias("valid_at"))
+        graph_.add_episodes(episodes, lambda _, batch=batch: extract(rows.where(F.col("batch") == batch)), "2025-01-01", judge=judge)
+    return graph_
+
+
+def stated(graph_: TemporalGraph) -> DataFrame:
+    name = lambda end: graph_.table("entities").select(F.col("uuid").alias(f"{end}_node_uuid"), F.col("name").alias(end), F.col("group_id").alias(f"{end}_group"))
+    rows = graph_.table("edges").join(name("source"), "source_node_uuid").join(name("target"), "target_node_uuid")
+    return rows.select(
+        "uuid", "group_id", "source", "source_group", "target", "target_group", "fact", day("valid_at").alias("valid_at"), day("invalid_at").alias("invalid_at"), F.col("expired_at").isNotNull().alias("expired"),
+        joined(F.array_sort("episodes")).alias("episodes"), F.element_at("episodes", 1).alias("first_episode"),
+    )
+
+
+INGESTED = """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL),
+  r AS (SELECT 'e' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS uuid, o_orderkey % 2 AS batch, 'g' || (o_custkey % 2) AS g, o_custkey, l_partkey, md5(c_name) AS s, p_name AS t, md5(c_name) || ' ordered ' || p_name || ' ' || flag AS fact, o_orderdate AS vt, 'o' || l_orderkey AS ep
+    FROM l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
+  f AS (SELECT batch, g, s, t, fact, min((vt, uuid)) AS head, min(vt) AS vt, arg_min(ep, (vt, uuid)) AS ep, list(DISTINCT ep) AS eps FROM r GROUP BY ALL),
+  old AS (SELECT *, head[2] AS uuid FROM f WHERE batch = 0), new AS (SELECT *, head[2] AS uuid FROM f WHERE batch = 1),
+  fresh AS (SELECT n.* FROM new n ANTI JOIN old o ON o.g = n.g AND o.s = n.s AND o.t = n.t AND o.fact = n.fact),
+  late AS (SELECT n.uuid, min(o.vt) AS nxt FROM fresh n JOIN old o ON o.g = n.g AND o.s = n.s AND o.t = n.t AND o.fact <> n.fact AND o.vt > n.vt GROUP BY 1),
+  over AS (SELECT o.uuid, min(n.vt) AS nxt FROM fresh n JOIN old o ON o.g = n.g AND o.s = n.s AND o.t = n.t AND o.fact <> n.fact AND o.vt < n.vt GROUP BY 1),
+  a AS (SELECT o.uuid, o.g, o.s, o.t, o.fact, o.vt, nxt, list_distinct(list_concat(o.eps, coalesce(n.eps, []))) AS eps, o.ep FROM old o LEFT JOIN new n ON o.g = n.g AND o.s = n.s AND o.t = n.t AND o.fact = n.fact LEFT JOIN over ON over.uuid = o.uuid
+    UNION ALL SELECT n.uuid, n.g, n.s, n.t, n.fact, n.vt, nxt, n.eps, n.ep FROM fresh n LEFT JOIN late ON late.uuid = n.uuid)"""
+query(
+    "ingest_episodes",
+    INGESTED + """, n AS (SELECT DISTINCT batch, g, g || '_c' || o_custkey || '_' || batch AS uuid, s AS name FROM r UNION SELECT DISTINCT batch, g, g || '_p' || l_partkey || '_' || batch, t FROM r)
+       SELECT uuid, g AS group_id, s AS source, g AS source_group, t AS target, g AS target_group, fact, strftime(vt, '%Y-%m-%d') AS valid_at, strftime(nxt, '%Y-%m-%d') AS invalid_at, nxt IS NOT NULL AS expired, array_to_string(list_sort(eps), ',') AS episodes, ep AS first_episode FROM a
+       UNION ALL SELECT arg_min(uuid, (batch, uuid)), g, arg_min(name, (batch, uuid)), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM n GROUP BY g, lower(name)""",
+    bare=True,
+)(lambda b: (lambda g: stated(g).unionByName(g.table("entities").select("uuid", "group_id", F.col("name").alias("source")), allowMissingColumns=True))(ingested(b)))
