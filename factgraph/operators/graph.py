@@ -26,6 +26,13 @@ def communities_of(communities: DataFrame, members: DataFrame, nodes: DataFrame)
     return communities.join(hit.select(F.col("source_node_uuid").alias("uuid")), "uuid", "left_semi")
 
 
+def member_links(members: DataFrame, entities: DataFrame, communities: DataFrame) -> DataFrame:
+    """(uuid, kind): memberships of entities and of communities in communities, each once; others have no such end."""
+    inside = members.join(communities.select(F.col("uuid").alias("source_node_uuid")), "source_node_uuid", "left_semi")
+    kinds = [inside.join(nodes.select(F.col("uuid").alias("target_node_uuid")), "target_node_uuid", "left_semi").select("uuid", F.lit(kind).alias("kind")) for nodes, kind in ((entities, "Entity"), (communities, "Community"))]
+    return kinds[0].union(kinds[1]).distinct()
+
+
 def episodes_of(edges: DataFrame, episodes: DataFrame) -> DataFrame:
     """Episodes that state one of the edges, once each."""
     named = edges.select(F.explode("episodes").alias("uuid"))

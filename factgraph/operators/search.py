@@ -131,10 +131,14 @@ def lexical_cross_encoder(query: str, passage: Column) -> Column:
     return F.size(F.array_intersect(F.array(*map(F.lit, terms)), held)).cast("double") / float(max(1, len(terms)))
 
 
-def cross_encoded(candidates: DataFrame, query: str, column: str, least: float = 0.0) -> DataFrame:
+#: (query, column of passages) -> column of scores: a Pandas or Arrow UDF round a model, or built-in functions.
+Encoder = Callable[[str, Column], Column]
+
+
+def cross_encoded(candidates: DataFrame, query: str, column: str, least: float = 0.0, encoder: Encoder = lexical_cross_encoder) -> DataFrame:
     """(uuid, score) with one row for each different text, that of the last uuid."""
     last = candidates.groupBy(column).agg(F.max("uuid").alias("uuid"))
-    return last.select("uuid", lexical_cross_encoder(query, F.col(column)).alias("score")).where(F.col("score") >= least)
+    return last.select("uuid", encoder(query, F.col(column)).cast("double").alias("score")).where(F.col("score") >= least)
 
 
 @dataclass(frozen=True)
@@ -188,6 +192,8 @@ class Surroundings:
     center: str | None = None
     origins: DataFrame | None = None
     places: DataFrame | None = None
+    #: what the cross encoder scores passages with
+    encoder: Encoder = lexical_cross_encoder
 
 
 #: By scope: the rerankers it has, and the text a cross encoder reads.
@@ -239,7 +245,7 @@ def _reranked(rows: DataFrame, lists: DataFrame, query: str, vector: list[float]
         return scored.select("uuid", "score", place(-F.col("score"), F.col("uuid")).alias("place"))
     if recipe.reranker == "cross_encoder":
         first = order.orderBy("seen").limit(recipe.limit) if scope == "edges" else order  # of facts only so many are read
-        scored = cross_encoded(rows.join(first.select("uuid"), "uuid", "left_semi"), query, PASSAGES[scope], recipe.reranker_least)
+        scored = cross_encoded(rows.join(first.select("uuid"), "uuid", "left_semi"), query, PASSAGES[scope], recipe.reranker_least, around.encoder)
         return scored.select("uuid", "score", place(-F.col("score"), F.col("uuid")).alias("place"))
     if recipe.reranker == "node_distance":
         edges = rows if scope == "edges" else around.edges

@@ -285,14 +285,15 @@ class TemporalGraph:
         self.change(lambda: [self.replace(name, self.table(name).limit(0)) for name in ("communities", "members")])
 
     def search(
-        self, query: str, vector: list[float] | None = None, recipe: str = "combined_rrf", where: filters.SearchFilters = filters.SearchFilters(), center: str | None = None, origins: DataFrame | None = None
+        self, query: str, vector: list[float] | None = None, recipe: str = "combined_rrf", where: filters.SearchFilters = filters.SearchFilters(), center: str | None = None, origins: DataFrame | None = None,
+        encoder: retrieval.Encoder = retrieval.lexical_cross_encoder,
     ) -> dict[str, DataFrame]:
         """(uuid, score) of each scope of the recipe, best first. A blank query finds nothing. Labels bind facts by both their ends."""
         found = retrieval.RECIPES[recipe]
         fields = {"edges": (["name", "fact"], "fact_embedding"), "entities": (["name", "summary"], "name_embedding"), "episodes": (["content", "source", "source_description"], None), "communities": (["name"], "name_embedding")}
         scopes = {"edges": found.edges, "entities": found.nodes, "episodes": found.episodes, "communities": found.communities}
         places = self.table("entities").select("uuid", "group_id").unionByName(self.table("episodes").select("uuid", "group_id")).where(filters.in_groups(F.col("group_id"), where.group_ids))
-        around = retrieval.Surroundings(self.table("edges"), self.table("mentions"), center, origins, places)
+        around = retrieval.Surroundings(self.table("edges"), self.table("mentions"), center, origins, places, encoder)
         out = {}
         for name, of in scopes.items():
             if of and query.strip():

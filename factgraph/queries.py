@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from factgraph.functions import text as T
 from factgraph.functions import vectors as V
 from factgraph.operators import canon, chunking, filters, graph, report, resolve, search, store, temporal
+from factgraph.operators.embed import EmbeddingCache
 from factgraph.plans.api import Judge, TemporalGraph
 from factgraph.plans.bind import Bound
 from factgraph.plans.index import TextIndex
@@ -987,6 +988,37 @@ query(
 )(lambda b: search.relevant_nodes(b.vector_nodes(), b.vector_nodes(), "embedding", limit=5, text="name").withColumn("score", r6(F.col("score"))))
 
 
+query(
+    "member_links",
+    """, m AS (SELECT s, t FROM memb UNION ALL SELECT 'k' || n_nationkey, c.uuid FROM nation JOIN comm c ON TRUE UNION ALL SELECT 'nobody', t FROM memb)
+       SELECT s || '>' || t AS uuid, 'Entity' AS kind FROM m WHERE s IN (SELECT uuid FROM comm) AND t IN (SELECT uuid FROM ent) UNION SELECT s || '>' || t, 'Community' FROM m WHERE s IN (SELECT uuid FROM comm) AND t IN (SELECT uuid FROM comm)""",
+)(
+    lambda b: (
+        lambda m, c: graph.member_links(
+            m.unionByName(b.table("nation").select(F.concat(F.lit("k"), "n_nationkey").alias("source_node_uuid")).join(F.broadcast(c.select(F.col("uuid").alias("target_node_uuid"))), F.lit(True)))  # 25 nations, as many brands
+            .unionByName(m.select(F.lit("nobody").alias("source_node_uuid"), "target_node_uuid")).withColumn("uuid", F.concat("source_node_uuid", F.lit(">"), "target_node_uuid")),
+            b.entities(), c,
+        )
+    )(b.members(), b.communities())
+)
+
+
+def counted_letters(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedder: how often each vowel stands in a text."""
+    return [[float(t.count(c)) for c in "aeiou"] for t in texts]
+
+
+def embedded_twice(b: Bound) -> DataFrame:
+    """Names of parts, then of all entities, by way of one cache: the second time parts are known."""
+    cache = EmbeddingCache(b.spark, f"{Lineage(b.spark).path}/vectors", "vowels", counted_letters)
+    cache.embedded(b.part_names(), "name", "embedding").count()
+    return cache.embedded(b.entities().select("uuid", "name"), "name", "embedding")
+
+
+query("embed_names", "SELECT uuid, name, array_to_string(list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: length(name) - length(replace(name, c, ''))), ',') AS embedding FROM ent")(
+    lambda b: embedded_twice(b).select("uuid", "name", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))
+)
+
 # ---- ingestion --------------------------------------------------------------------------------------------------
 
 
