@@ -2,10 +2,11 @@
 
 Equal vectors make one class, and one head of each is compared. Spherical k-means is fitted on a bounded sample of
 heads (``SAMPLE_PER_CELL`` for each of at most ``MAX_CELLS`` cells, and at most ``FIT_BYTES``); centroids nearer to each other than ``MERGE``
-become one. Every head, not only the sample, belongs to its nearest cell, and heads are sorted by cell. They are sent
-to all tasks in chunks of about ``CHUNK_MB``; each task multiplies its heads with those of every cell that can hold a
+become one. Every head, not only the sample, belongs to its nearest cell; small cells share a block of about BLOCK_ROWS
+heads, large ones are dealt to several. A head is sent, by a shuffle, to the blocks of every cell that can hold a
 partner: y of cell c is no farther from c than from the cell h of x, so x must lie within the angle of the threshold
-of the half space nearer to c, or x links with nothing in c. The products are in single precision; those within its
+of the half space nearer to c, or x links with nothing in c. What comes to a block is dealt in parts of about
+PART_ROWS, and a task multiplies one part with one block. The products are in single precision; those within its
 error bound of the threshold are made again in double precision. A product gives out the number of links of each head
 and a star for each connected part, never the pairs, so a dense group costs arithmetic but no rows.
 
@@ -19,7 +20,6 @@ result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ MERGE = 0.7
 #: Bytes of vectors that cells are fitted on.
 FIT_BYTES = 64 << 20
 BLOCK = 1024
-COLUMNS = 8192
-CHUNK_MB = 32
+#: Heads of a block, and of a part of those that are sent to it.
+BLOCK_ROWS = 4096
+PART_ROWS = 16384
 _NONE = np.iinfo(np.int64).max
 
 
@@ -91,23 +92,68 @@ def _assigned(centres: Broadcast):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = np.zeros(batch.num_rows, np.int64)
+            cell, size_of = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for size, (places, v) in _vectors(batch.column(1)).items():
+                size_of[places] = size
                 if size in centres.value:
                     c = centres.value[size]
                     cell[places] = np.concatenate([(v[a : a + BLOCK] @ c.T).argmax(axis=1) for a in range(0, len(v), BLOCK)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["head", "unit", "rows", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size_of), pa.array(cell)], names=["head", "unit", "rows", "size", "cell"])
+
+    return run
+
+
+def blocks_of_cells(counts: dict[tuple[int, int], int], most: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """(first block, number of blocks) of each cell (size, cell) with so many heads: neighbouring small cells of one size
+    share a block of at most ``most`` heads, a cell of more has blocks of its own."""
+    out, number, held, last = {}, -1, 0, None
+    for key in sorted(counts):
+        n = counts[key]
+        if n > most:
+            out[key] = (number + 1, -(-n // most))
+            number += out[key][1]
+            last = None
+        else:
+            if last != key[0] or held + n > most:
+                number, held, last = number + 1, 0, key[0]
+            held += n
+            out[key] = (number, 1)
+    return out
+
+
+def _sent(centres: Broadcast, blocks: Broadcast, least: float):
+    """head, unit, rows, its own cell's blocks, and the blocks of all cells that can hold a partner of it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for (size, cell), (first, n) in blocks.value.items():
+            by_size.setdefault(size, []).append((cell, first, n))
+        for batch in batches:
+            sizes, cells = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            to: list[np.ndarray] = [np.zeros(0, np.int32)] * batch.num_rows
+            for size, (places, v) in _vectors(batch.column(1)).items():
+                cell, first, n = np.array(by_size[size]).T
+                every = np.concatenate([np.arange(f, f + k) for f, k in zip(first, n, strict=True)])
+                of = np.repeat(cell, n)
+                for a in range(0, len(v), BLOCK):
+                    part = places[a : a + BLOCK]
+                    open_ = reachable(v[a : a + BLOCK], cells[part], centres.value[size], least) if size in centres.value else np.ones((len(part), int(cell.max()) + 1), bool)
+                    for i, row in zip(part, open_, strict=True):
+                        to[i] = np.unique(every[row[of]]).astype(np.int32)
+            own = [blocks.value[k] for k in zip(sizes.tolist(), cells.tolist(), strict=True)]
+            columns = [pa.array([o[0] for o in own], pa.int32()), pa.array([o[1] for o in own], pa.int32()), pa.array(to, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], names=["head", "unit", "rows", "first", "n", "to"])
 
     return run
 
 
 def reachable(v: np.ndarray, cell: np.ndarray, centres: np.ndarray, least: float) -> np.ndarray:
-    """For each cell whether it can hold a partner of one of the vectors v, which belong to ``cell``."""
+    """For each of the vectors v, which belong to ``cell``, and each cell whether it can hold a partner."""
     own, at = np.unique(cell, return_inverse=True)
     apart = np.sqrt(np.maximum(2 - 2 * (centres[own] @ centres.T), 0))
     near = v @ centres.T
     beyond = near[np.arange(len(v)), cell][:, None] - near
-    return (beyond <= (np.sqrt(1 - least * least) + 1e-9) * apart[at] + 1e-9).any(axis=0) if 0 < least <= 1 else np.ones(len(centres), bool)
+    return (beyond <= (np.sqrt(1 - least * least) + 1e-9) * apart[at] + 1e-9) if 0 < least <= 1 else np.ones((len(v), len(centres)), bool)
 
 
 def links_between(va: np.ndarray, vb: np.ndarray, least: float, fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
@@ -142,40 +188,25 @@ def block_links(ha: np.ndarray, hb: np.ndarray, rb: np.ndarray, link: np.ndarray
     return ha[left], count, np.concatenate([ha[left], hb[right]]), np.concatenate([x, y])
 
 
-def _chunk(rows: pa.Table) -> dict[int, tuple[np.ndarray, ...]]:
-    """By number of components: heads, rows, unit vectors, the same in single precision and cells, sorted by cell."""
-    heads, counts, cells = (rows.column(k).to_numpy() for k in ("head", "rows", "cell"))
-    out = {}
-    for size, (places, v) in _vectors(rows.column("unit")).items():
-        order = np.argsort(cells[places], kind="stable")
-        places, v = places[order], v[order]
-        out[size] = heads[places], counts[places], v, v.astype(np.float32), cells[places]
-    return out
-
-
-def _multiplied(centres: Broadcast, chunk: Broadcast, least: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
-                heads, cells = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-                for size, (places, va) in _vectors(batch.column(1)).items():
-                    if size not in chunk.value:
-                        continue
-                    ha, fa = heads[places], va.astype(np.float32)
-                    hb, rb, vb, fb, cb = chunk.value[size]
-                    if size in centres.value:
-                        near = np.flatnonzero(reachable(va, cells[places], centres.value[size], least)[cb])
-                    else:
-                        near = np.arange(len(hb))
-                    for a in range(0, len(near), COLUMNS):
-                        to = near[a : a + COLUMNS]
-                        to = slice(to[0], to[-1] + 1) if to[-1] - to[0] + 1 == len(to) else to
-                        ch, cn, node, part = block_links(ha, hb[to], rb[to], links_between(va, vb[to], least, fa, fb[to]))
-                        edges = np.unique(np.stack([node, part], axis=1)[node != part], axis=0)
-                        kind = np.concatenate([np.zeros(len(ch), np.int64), np.ones(len(edges), np.int64)])
-                        if len(kind):
-                            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ch, edges[:, 0]])), pa.array(np.concatenate([cn, edges[:, 1]]))], names=["kind", "a", "b"])
+def _multiplied(least: float):
+    """(kind, a, b) of a part of heads and a block of them: kind 0, the links of a head of the part; kind 1, an edge."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64),) * 3]
+        if left.num_rows and right.num_rows:
+            heads, others, rows = left.column("head").to_numpy(), right.column("other").to_numpy(), right.column("rows").to_numpy()
+            theirs = _vectors(right.column("theirs"))
+            for size, (places, va) in _vectors(left.column("unit")).items():
+                if size not in theirs:
+                    continue
+                to, vb = theirs[size]
+                ha, hb, rb, fa, fb = heads[places], others[to], rows[to], va.astype(np.float32), vb.astype(np.float32)
+                for a in range(0, len(ha), BLOCK):
+                    b = a + BLOCK
+                    ch, cn, node, part = block_links(ha[a:b], hb, rb, links_between(va[a:b], vb, least, fa[a:b], fb))
+                    edges = np.unique(np.stack([node, part], axis=1)[node != part], axis=0)
+                    found += [(np.zeros(len(ch), np.int64), ch, cn), (np.ones(len(edges), np.int64), edges[:, 0], edges[:, 1])]
+        return pa.table(dict(zip(("kind", "a", "b"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return run
 
@@ -197,14 +228,21 @@ def embedding_groups(vectors: DataFrame, work: Workspace, least: float = 0.9) ->
         by_size.setdefault(len(row["unit"]) // 8, []).append(np.frombuffer(row["unit"], np.float64))
     centres = {d: fit_cells(np.stack(rows), max(1, round(cells * len(rows) / len(sample)))) for d, rows in sorted(by_size.items())}
     centres = spark.sparkContext.broadcast(centres)  # at most MAX_CELLS, and one for each length
-    placed = classes.select("head", "unit", "rows").mapInArrow(_assigned(centres), "head long, unit binary, rows long, cell long")
-    placed = work.keep(placed.repartitionByRange("cell", "head").sortWithinPartitions("cell", "head"), "placed")
-    chunks, found = max(1, -(-size // (CHUNK_MB << 20))), []
-    for k in range(chunks):
-        chunk = spark.sparkContext.broadcast(_chunk(placed.where(F.pmod(F.xxhash64("head"), F.lit(chunks)) == k).toArrow()))
-        found.append(work.keep(placed.mapInArrow(_multiplied(centres, chunk, least), "kind long, a long, b long"), f"found-{k}"))
-        chunk.destroy()
-    found = reduce(DataFrame.union, found)
+    placed = classes.select("head", "unit", "rows").mapInArrow(_assigned(centres), "head long, unit binary, rows long, size long, cell long")
+    placed = work.keep(placed, "placed")
+    counts = {(r["size"], r["cell"]): r["count"] for r in placed.groupBy("size", "cell").count().collect()}  # a row a cell
+    blocks = spark.sparkContext.broadcast(blocks_of_cells(counts, BLOCK_ROWS))
+    sent = placed.mapInArrow(_sent(centres, blocks, least), "head long, unit binary, rows long, first int, n int, to array<int>")
+    sent = work.keep(sent, "sent")
+    work.drop("placed")
+    number = F.col("first") + F.pmod(F.xxhash64("head"), F.col("n")).cast("int")
+    come = sent.select(F.explode("to").alias("block")).groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    parts = work.keep(come, "parts")  # a row a block; Spark sends it to the tasks while it is small
+    left = sent.select("head", "unit", F.explode("to").alias("block")).join(parts, "block")
+    left = left.select("block", F.pmod(F.xxhash64("head"), F.col("parts")).cast("int").alias("part"), "head", "unit").groupBy("block", "part")
+    right = sent.select(F.col("head").alias("other"), F.col("unit").alias("theirs"), "rows", number.alias("block")).join(parts, "block")
+    right = right.select(F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), "other", "theirs", "rows").groupBy("b", "p")
+    found = work.keep(left.cogroup(right).applyInArrow(_multiplied(least), "kind long, a long, b long"), "found")
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).withColumnRenamed("a", "head")
     parts = connected_components(found.where("kind = 1").select("a", "b"), work).withColumnRenamed("node", "head")
     heads = classes.select("digest", "head", "rows").join(links, "head", "left").join(parts, "head", "left")

@@ -142,12 +142,13 @@ def test_embeddings(spark):
     assert embedding_groups.embedding_groups(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
-@pytest.mark.parametrize("chunk_mb", [32, 1])
-def test_embeddings_finds_every_link_among_many_cells(spark, monkeypatch, chunk_mb):
+@pytest.mark.parametrize(("block", "part"), [(4096, 16384), (100, 350)])
+def test_embeddings_finds_every_link_among_many_cells(spark, monkeypatch, block, part):
     """Hundreds of cells, and pairs just above and below the threshold in all directions."""
     monkeypatch.setattr(embedding_groups, "PER_CELL", 4)
     monkeypatch.setattr(embedding_groups, "SAMPLE_PER_CELL", 1)
-    monkeypatch.setattr(embedding_groups, "CHUNK_MB", chunk_mb, raising=False)
+    monkeypatch.setattr(embedding_groups, "BLOCK_ROWS", block)
+    monkeypatch.setattr(embedding_groups, "PART_ROWS", part)
     rng = np.random.default_rng(8)
     unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
     one = unit(rng.normal(size=(1500, 64)))
@@ -167,7 +168,12 @@ def test_cells_out_of_reach_are_left_out():
     centres = np.eye(8)
     v = centres[[0] * 50] + rng.normal(size=(50, 8)) * 0.01
     v /= np.linalg.norm(v, axis=1)[:, None]
-    assert embedding_groups.reachable(v, np.zeros(50, np.int64), centres, 0.9).tolist() == [True] + [False] * 7
+    assert embedding_groups.reachable(v, np.zeros(50, np.int64), centres, 0.9).tolist() == [[True] + [False] * 7] * 50
+
+
+def test_cells_share_blocks_or_have_their_own():
+    counts = {(8, 0): 3, (8, 1): 4, (8, 2): 25, (8, 3): 6, (16, 0): 2, (16, 1): 10}
+    assert embedding_groups.blocks_of_cells(counts, 10) == {(8, 0): (0, 1), (8, 1): (0, 1), (8, 2): (1, 3), (8, 3): (4, 1), (16, 0): (5, 1), (16, 1): (6, 1)}
 
 
 # ---- 9 ----------------------------------------------------------------------------------------------------------
