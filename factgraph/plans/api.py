@@ -26,7 +26,8 @@ class Judge:
     """What a model decides during ingestion, each a callable from a DataFrame to its reply; without one nothing is decided.
 
     ``contradicts`` gets pairs(new_uuid, new_fact, new_valid_at, uuid, fact, valid_at) of new facts and those of the
-    graph that share an end with them and gives back the pairs(new_uuid, uuid) in which the new fact contradicts the other.
+    graph that share an end with them and gives back the pairs(new_uuid, uuid) in which the new fact contradicts the other;
+    with ``both_ends`` it gets only those of the same two ends, which spares all pairs of the facts of a hub.
     ``same`` gets questions(id, name, candidates: idx, uuid, name), the nodes that rules could not resolve and the likely
     nodes of their group, and gives back replies(ord, id, duplicate_idx), of which unknown and repeated ids, and indices
     that no candidate has, are ignored. ``dates`` gets the new facts and gives back dates(uuid, valid_at, invalid_at).
@@ -35,6 +36,7 @@ class Judge:
     contradicts: Callable[[DataFrame], DataFrame] | None = None
     same: Callable[[DataFrame], DataFrame] | None = None
     dates: Callable[[DataFrame], DataFrame] | None = None
+    both_ends: bool = False
 
 
 @dataclass(frozen=True)
@@ -206,10 +208,11 @@ class TemporalGraph:
 
     @staticmethod
     def _contradicted(new: DataFrame, old: DataFrame, judge: Judge) -> DataFrame:
-        """(new_uuid, uuid) as the judge says, of facts of one group that share an end."""
+        """(new_uuid, uuid) as the judge says, of facts of one group that share an end, or both."""
         if not judge.contradicts:
             return new.select(F.col("uuid").alias("new_uuid"), "uuid").limit(0)
-        pairs = graph.edges_touching(new.withColumn("group_id", F.coalesce("group_id", F.lit(""))), old.withColumn("group_id", F.coalesce("group_id", F.lit(""))))
+        met = graph.edges_between if judge.both_ends else graph.edges_touching
+        pairs = met(new.withColumn("group_id", F.coalesce("group_id", F.lit(""))), old.withColumn("group_id", F.coalesce("group_id", F.lit(""))))
         asked = new.select(F.col("uuid").alias("new_uuid"), F.col("fact").alias("new_fact"), F.col("valid_at").alias("new_valid_at"))
         pairs = pairs.withColumnRenamed("query_uuid", "new_uuid").join(asked, "new_uuid").join(old.select("uuid", "fact", "valid_at"), "uuid")
         told = judge.contradicts(pairs.select("new_uuid", "new_fact", "new_valid_at", "uuid", "fact", "valid_at")).select("new_uuid", "uuid").distinct()

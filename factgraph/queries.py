@@ -1040,7 +1040,7 @@ def ingested(b: Bound) -> TemporalGraph:
         return ends[0].unionByName(ends[1]), facts
 
     what = lambda c: F.expr(f"substr({c}, 1, length({c}) - 2)")
-    judge = Judge(contradicts=lambda pairs: pairs.where((what("fact") == what("new_fact")) & (F.col("fact") != F.col("new_fact"))).select("new_uuid", "uuid"))
+    judge = Judge(contradicts=lambda pairs: pairs.where((what("fact") == what("new_fact")) & (F.col("fact") != F.col("new_fact"))).select("new_uuid", "uuid"), both_ends=True)
     for batch in (0, 1):
         episodes = orders.where(F.col("batch") == batch).select(F.concat(F.lit("o"), "o_orderkey").alias("uuid"), F.lit("order").alias("name"), "group_id", F.col("at").alias("created_at"), F.col("at").alias("valid_at"))
         graph_.add_episodes(episodes, lambda _, batch=batch: extract(rows.where(F.col("batch") == batch)), "2025-01-01", judge=judge)

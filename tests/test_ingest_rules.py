@@ -1,5 +1,7 @@
 """Ingestion by group and by what a judge says."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,12 @@ def test_what_a_judge_says_is_ended(g, spark):
     assert late.invalid_at == rows["e2"].valid_at and late.expired_at is not None
 
 
+def test_a_judge_of_both_ends(g, spark):
+    add(g, spark, "ep1", "g", "2020-01-01", [*NODES, ("c", "Carol")], [("e1", "b", "a", "Acme employs Alice"), ("e4", "c", "b", "Carol runs Acme")])
+    add(g, spark, "ep2", "g", "2021-01-01", NODES, [("e2", "a", "b", "Alice left Acme")], judge=replace(told(("e2", "e1"), ("e2", "e4")), both_ends=True))
+    assert {r.uuid: r.invalid_at is None for r in g.table("edges").collect()} == {"e1": False, "e2": True, "e4": True}
+
+
 def test_facts_of_other_groups_are_no_candidates(g, spark):
     add(g, spark, "ep1", "g1", "2020-01-01", NODES, [("e1", "a", "b", "Alice works at Acme")])
     add(g, spark, "ep2", "g2", "2021-01-01", [("a2", "Alice Smith"), ("b2", "Acme Corp")], [("e2", "a2", "b2", "Alice left Acme")], judge=told(("e2", "e1")))
