@@ -10,7 +10,8 @@ of largest count, if that is ``ratio`` times the word's or more; ``root`` is whe
    a million strings. Deleting any letter of a run of equal ones makes the same string, so a key carries that run.
 3. ``near_words``: words that share a key are joined on it. Two deletions of equal result leave words one replacement
    apart exactly where their runs overlap (else it is a transposition or the like), which is held against the runs in
-   the join; whatever comes through is verified on the words themselves by their distance. A pair at distance one
+   the join; whatever comes through is verified on the words themselves, which must be equal but for the letter at
+   that place, in time in proportion to their length. A pair at distance one
    shares one key, so no pair comes twice. A key's words differ by the letter put in and its place, so no key has
    more of them than letters times places, whatever the corpus.
 4. The near words are aggregated by word, and forms joined to roots level by level: words whose form has none itself,
@@ -169,10 +170,12 @@ def near_words(words: DataFrame, work: Workspace) -> DataFrame:
     replaced = (F.col("a.start") >= 0) & (F.col("b.start") >= 0) & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end"))
     one_more = (F.col("a.start") < 0) != (F.col("b.start") < 0)
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (replaced | one_more))
-    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    met = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.start") >= 0).alias("a_less"), (F.col("b.start") >= 0).alias("b_less"), F.greatest("a.start", "b.start").alias("at"))
     left = words.select(F.col("id").alias("a"), F.col("word").alias("a_word"), F.col("n").alias("a_n"))
     right = words.select(F.col("id").alias("b"), F.col("word").alias("b_word"), F.col("n").alias("b_n"))
-    met = met.join(left, "a").join(right, "b").where(F.levenshtein("a_word", "b_word", 1) == 1)
+    less = lambda w, cut: F.when(F.col(cut), F.concat(F.substr(w, F.lit(1), F.col("at")), F.substr(w, F.col("at") + 2))).otherwise(F.col(w))
+    met = met.join(left, "a").join(right, "b").where(less("a_word", "a_less") == less("b_word", "b_less"))
+    met = met.drop("a_less", "b_less", "at")
     met = work.keep(met, "near")
     work.drop("deletion-keys")
     there = met.select(F.col("a").alias("id"), F.col("b").alias("other"), F.col("b_word").alias("other_word"), F.col("b_n").alias("other_n"))
