@@ -3,7 +3,9 @@
 The items' words, as numbers, go into one generalised suffix automaton (Blumer et al. 1985). Streaming a document's
 words through it keeps, at every word, the longest suffix read so far that occurs in some item; a length of
 ``window`` or more means that the last ``window`` words are a window of an item. Items shorter than the window are
-one window each. ``ITEMS_BYTES`` bounds the item text of one automaton, which tasks build from that text and hold; larger benchmarks are worked off as several automata over the same documents, one after the other.
+one window each. ``ITEMS_BYTES`` bounds the item text of one automaton, which tasks build from that text and hold;
+larger benchmarks become several automata, which read those runs of the documents' words that may hold a window of
+theirs (see ``contamination``).
 
 Rows: null or empty texts have no words and no hits; null items have no window; an item with a null item_id hits words
 but is named by nothing. Repeated items count once per item_id, repeated documents are documents of their own, and
@@ -15,18 +17,22 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgraph.llm import windows
 from factgraph.llm.common import Workspace, claim, kept_beside, mapped, named_apart, quoted, table
 
 WINDOW = 13
 #: Item text of one automaton, which takes some hundred times as much memory.
 ITEMS_BYTES = 1 << 20
+#: Words of documents, in bytes, that one task holds against a part of a larger benchmark.
+RUNS_BYTES = 32 << 20
 
 #: Bytes that separate words become blanks, A-Z become a-z; digits, letters and all bytes of other characters stay.
 _WORDS = bytes(i if 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A or i >= 0x80 else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
@@ -227,33 +233,118 @@ def _joined_spans(spans: Column) -> Column:
     return F.aggregate(F.array_sort(F.flatten(spans)), start, add)
 
 
+def grouped_items(benchmark: DataFrame, window: int) -> DataFrame:
+    """(part, item, words) of the items that have words, in parts of at most ITEMS_BYTES bytes of words: tasks put the
+    rows of a range of lengths into parts one after another, so short items stand together. An item longer than that is
+    cut into stretches that share all but one word of a window, which together have exactly its windows."""
+    most = ITEMS_BYTES
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0).distinct()
+    ranges = max(1, min(1000, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (8 * most)))
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            parts, names, texts = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                flat = b" ".join(words(text))
+                starts, ends = windows.bounds(flat)
+                for a, b in windows.stretches(starts, ends, most, window):
+                    piece = flat[starts[a] : ends[b - 1]]
+                    if held and held + len(piece) > most:
+                        part, held = part + 1, 0
+                    held += len(piece)
+                    parts.append(part)
+                    names.append(name)
+                    texts.append(piece)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["part", "item", "words"])
+
+    return rows.repartitionByRange(int(ranges), F.length("text"), "item", "text").mapInArrow(put, "part long, item string, words binary")
+
+
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """(h, n, part): hash and length in words of every different window of each part."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                starts, ends = windows.bounds(text)
+                n = min(window, len(starts))
+                h = np.unique(windows.hashes(text, starts, ends, n))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), n, np.int32)), pa.array(np.full(len(h), part, np.int64))], names=["h", "n", "part"])
+
+    return items.select("part", "words").mapInArrow(run, "h long, n int, part long").distinct()
+
+
+def _candidates(docs: DataFrame, keep: list[str], known: DataFrame, window: int) -> DataFrame:
+    """``keep``, n_words and the runs of words whose windows may be among known(h, n, part)."""
+    sizes = known.groupBy("n").agg(F.count(F.lit(1)).alias("count")).collect()  # one row for each length up to the window
+    lengths = sorted(r["n"] for r in sizes)
+    bitmap = docs.sparkSession.sparkContext.broadcast(windows.Bitmap(known.select("h"), sum(r["count"] for r in sizes)))
+
+    def compute(texts: list[str | None]) -> list[list]:
+        claim("decontaminate", windows.clear)
+        totals, runs = [], []
+        for text in texts:
+            n, found = windows.candidate_runs(b" ".join(words(text)), lengths, window, bitmap.value)
+            totals.append(n)
+            runs.append([{"begin": a, "words": w, "marks": m} for a, w, m in found])
+        return [totals, runs]
+
+    return mapped(docs, keep, "text", "n_words long, runs array<struct<begin:int,words:binary,marks:array<long>>>", compute, "decontaminate")
+
+
+def _run_hits(runs: DataFrame, known: DataFrame, items: DataFrame, window: int, work: Workspace) -> DataFrame:
+    """(key, hit_spans, hit_items) of runs(key, words, marks), key by key and part by part: a run goes to the parts that
+    have one of its windows, and the automaton of a part reads the runs that went there. A part with many runs is divided
+    among tasks of RUNS_BYTES each, every one of which builds its automaton."""
+    runs = runs.dropDuplicates(["key"])
+    asked = runs.select("key", F.explode("marks").alias("h")).join(known.select("h", "part"), "h").select("key", "part").distinct()
+    asked = work.keep(asked.join(runs.select("key", "words"), "key"), "asked")
+    shares = asked.groupBy("part").agg(F.ceil(F.sum(F.octet_length("words")) / RUNS_BYTES).cast("int").alias("shares"))
+    left = asked.join(shares, "part").select("part", F.pmod(F.xxhash64("key"), "shares").cast("int").alias("share"), "key", "words")
+    right = items.join(shares, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "item", "words")
+
+    def scan(some: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        machine = SuffixAutomaton([(name, text.split()) for name, text in zip(held["item"], held["words"], strict=True)], window)
+        rows = []
+        for key, text in zip(some["key"], some["words"], strict=True):
+            spans, which = machine.scan(text.split())
+            if spans:
+                rows.append((key, [list(s) for s in spans], sorted({machine.names[k] for k in which if isinstance(machine.names[k], str)})))
+        return pd.DataFrame(rows, columns=["key", "hit_spans", "hit_items"])
+
+    return left.groupBy("part", "share").cogroup(right.groupBy("part", "share")).applyInPandas(scan, "key string, hit_spans array<array<int>>, hit_items array<string>")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, names: tuple[str, ...] = RESULTS) -> DataFrame:
     """The columns ``keep`` of docs and n_words, n_hit, hit_spans (array of from, to in words) and hit_items, or as
     ``names`` call them; a kept column that bears one of these names gives way to the result.
 
     n_hit counts words inside any occurrence of a window; hit_items are the item_ids, as strings in order. A benchmark
-    beyond ITEMS_BYTES is worked off group by group: the documents are written once with a number for each row, every
-    group gives the rows it hits, and these are united by number, so that no task holds more than one automaton.
+    of up to ITEMS_BYTES is one automaton, which every task holds. A larger one is worked off in one pass over the
+    documents: a bitmap of the hashes of all its windows gives the runs of words that may hold a window, equal runs
+    become one, and each goes to the automata of the parts of the benchmark that know one of its hashes. The number of
+    jobs does not grow with the benchmark, and no task holds more than one automaton.
     """
     keep = ["doc_id"] if keep is None else keep
-    groups = item_groups(benchmark)
-    first, second = next(groups, []), next(groups, None)
-    if second is None:
-        return _scan(docs, keep, first, window, names)
+    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    if size <= ITEMS_BYTES:
+        return _scan(docs, keep, next(item_groups(benchmark), []), window, names)
     work = Workspace(docs.sparkSession, "decontamination")
     keep = kept_beside(keep, list(names))
     plain = [f"c{i}" for i in range(len(keep))]
     docs = docs.select(F.monotonically_increasing_id().alias("row"), *(quoted(c).alias(p) for c, p in zip(keep, plain, strict=True)), F.col("text").cast("string").alias("text"))
-    docs = work.keep(docs, "documents")
-    found = None
-    for i, group in enumerate(chain([first, second], groups)):
-        part = work.keep(_scan(docs, ["row"], group, window, RESULTS).where(F.size("hit_spans") > 0).drop("n_hit", "n_words"), f"hits-{i}")
-        found = part if found is None else found.union(part)
-    united = found.groupBy("row").agg(_joined_spans(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
-    counted = _scan(docs, ["row", *plain], [], window, RESULTS).select("row", *plain, "n_words").join(united, "row", "left")
+    items = work.keep(grouped_items(benchmark, window), "items")
+    known = work.keep(item_windows(items, window), "windows")
+    counted = work.keep(_candidates(docs, ["row", *plain], known, window), "documents")
+    runs = counted.where(F.size("runs") > 0).select("row", F.explode("runs").alias("run")).select("row", F.sha2("run.words", 256).alias("key"), "run.*")
+    hits = _run_hits(runs.select("key", "words", "marks"), known, items, window, work)
+    placed = runs.select("row", "key", "begin").join(hits, "key").select("row", F.transform("hit_spans", lambda s: F.transform(s, lambda x: x + F.col("begin"))).alias("hit_spans"), "hit_items")
+    united = placed.groupBy("row").agg(_joined_spans(F.collect_list("hit_spans")).alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    united = counted.select("row", *plain, "n_words").join(united, "row", "left")
     spans, items = F.coalesce("hit_spans", F.array().cast("array<array<int>>")), F.coalesce("hit_items", F.array().cast("array<string>"))
     hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return counted.select(*plain, "n_words", hit, spans, items).toDF(*keep, *names)
+    return united.select(*plain, "n_words", hit, spans, items).toDF(*keep, *names)
 
 
 def is_contaminated(cover: int = 20, n_words: str = "n_words", n_hit: str = "n_hit") -> Column:

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from factgraph.llm import decontaminate as dc
+from factgraph.llm import windows
 
 
 def brute(text, items, window):
@@ -86,3 +88,72 @@ def test_a_very_long_document():
     text = ("x " * 100_000 + " ".join(item) + " ") * 3
     spans, found = machine.scan(dc.words(text))
     assert [b - a for a, b in spans] == [40] * 3 and found == {0}
+
+
+def test_hashes_of_windows_do_not_hang_on_their_place():
+    rng = random.Random(3)
+    for n in (1, 2, 5):
+        text = " ".join(rng.choice(["a", "bb", "ccc", "é"]) for _ in range(400)).encode()
+        starts, ends = windows.bounds(text)
+        grams = [text[starts[i] : ends[i + n - 1]] for i in range(len(starts) - n + 1)]
+        got = windows.hashes(text, starts, ends, n)
+        assert len({(g, h) for g, h in zip(grams, got.tolist(), strict=True)}) == len(set(grams)) == len(set(got.tolist()))
+        assert (windows.hashes(text, starts[7:60], ends[7:60], n) == got[7 : 60 - n + 1]).all()
+    assert len(windows.hashes(b"", *windows.bounds(b""), 1)) == 0
+
+
+@pytest.mark.parametrize("most", [1, 9, 40, 10_000])
+def test_stretches_have_every_window_once_and_none_too_short(most):
+    text = b" ".join(b"w" * (1 + i % 7) for i in range(90))
+    starts, ends = windows.bounds(text)
+    parts = list(windows.stretches(starts, ends, most, 5))
+    assert [i for a, b in parts for i in range(a, b - 4)] == list(range(86))
+    assert parts[-1][1] == 90 and all(b - a >= 5 for a, b in parts)
+
+
+def test_an_item_above_the_bound_is_cut_and_found_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"v{rng.randrange(10**6)}" for _ in range(600)]
+    items = [(1, " ".join(passage)), (2, "one two three"), (3, " ".join(passage[250:270])), (None, "lonely"), (4, " ".join(passage)), (4, " ".join(passage))]
+    docs = [(i, " ".join([*["pad"] * i, *passage[i * 40 : i * 40 + 90], "one two", "three", "lonely" if i == 3 else "x"])) for i in range(14)]
+    docs += [(20, " ".join(passage) * 1), (20, " ".join(passage) * 1), (21, None), (22, "the pad"), (23, " ".join(passage[:12]))]
+    one, two = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(dc, "ITEMS_BYTES", 500)
+    monkeypatch.setattr(dc, "RUNS_BYTES", 2000)
+    parts = dc.grouped_items(two, 13).collect()
+    assert len({r.part for r in parts}) > 5 and all(len(r.words) <= 500 for r in parts)
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.hit_items) for r in dc.contamination(one, two).collect())
+    named = [(n, t) for n, t in items if n is not None]
+    want = []
+    for i, text in docs:
+        total, hits, found = brute(text, named, 13)
+        want.append((i, total, hits + (i == 3), found))
+    assert got == sorted(want)
+    assert sorted(map(str, dc.contamination(one, two).collect())) == sorted(map(str, dc._scan(one, ["doc_id"], [(None if n is None else str(n), t) for n, t in items], 13, dc.RESULTS).collect()))
+
+
+def test_false_alarms_of_a_full_bitmap_change_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([2, 14, 30])))) for i in range(60)]
+    docs = [(i, " ".join([*rng.choices(words, k=30), *(items[i % 60][1].split() if i % 3 == 0 else []), *rng.choices(words, k=9)])) for i in range(80)]
+    one, two = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, dc.contamination(one, two).collect()))
+    monkeypatch.setattr(dc, "ITEMS_BYTES", 300)
+    monkeypatch.setattr(windows, "LEAST_BITS", 6)
+    monkeypatch.setattr(windows, "MOST_BITS", 6)
+    assert sorted(map(str, dc.contamination(one, two).collect())) == want
+
+
+def test_long_texts_are_hashed_by_stretches(monkeypatch):
+    class Every:
+        def may_hold(self, h):
+            return np.isin(h, wanted)
+
+    passage = " ".join(f"q{i}" for i in range(30)).encode()
+    text = b" ".join([b"x"] * 500 + [passage] + [b"y" * 300] * 3 + [passage])
+    wanted = windows.hashes(passage, *windows.bounds(passage), 13)
+    monkeypatch.setattr(windows, "STRETCH", 64)
+    n, runs = windows.candidate_runs(text, [13], 13, Every())
+    assert n == 563 and [(a, w) for a, w, _ in runs] == [(500, passage), (533, passage)]
+    assert all(sorted(m) == sorted(wanted.tolist()) for _, _, m in runs)
