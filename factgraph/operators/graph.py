@@ -147,28 +147,39 @@ def follow(pointers: DataFrame, lineage: Lineage, rounds: int = 40) -> DataFrame
     raise RuntimeError("pointers form a circle")
 
 
-def follow_ordered(pairs: DataFrame, lineage: Lineage) -> DataFrame:
-    """(uuid, canonical) of pairs(ord, a, b) worked off in order: the root of a comes under the root of b. The order
-    matters only within a component, so each component is one task's work."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in pdf.sort_values("ord")[["a", "b"]].itertuples(index=False):
-            a, b = root(a), root(b)
-            parent[a] = b
-        return pd.DataFrame([(x, root(x)) for x in list(parent)], columns=["uuid", "canonical"])
-
-    whole = components(pairs, lineage).withColumnRenamed("canonical", "part")
-    return pairs.join(whole, F.col("a") == F.col("uuid")).select("part", "ord", "a", "b").groupBy("part").applyInPandas(run, "uuid string, canonical string")
+def follow_ordered(pairs: DataFrame, lineage: Lineage, rounds: int = 64) -> DataFrame:
+    """(uuid, canonical) of pairs(ord, a, b) worked off one after another by ord, a, b: the root of a comes under the root
+    of b, unless they are one. Every uuid of the pairs has one row; pairs that lack an end are left out.
+
+    Groups known by their roots grow in rounds, without working the pairs off one by one. Each group points over its
+    first pair to another group: that makes trees, whose first pair joins two groups that point at each other. Before the
+    first pair that leaves a tree, the pairs the groups point over are worked off in their order, and each joins one more
+    group to those joined so far; so the root of all that are joined is that of the last group that stood as b. Trees
+    that are not alone each meet another one in the next round, so their number halves; a tree alone is done at once.
+    """
+    step = F.struct("ord", "a", "b").alias("step")
+    links = lineage.cut(pairs.where("a is not null and b is not null").select(step, F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    roots = lineage.cut(links.select(F.col("src").alias("uuid")).union(links.select("dst")).distinct().select("uuid", F.col("uuid").alias("canonical")))
+    links = links.where("src <> dst")
+    for _ in range(rounds):
+        if links.isEmpty():
+            return roots
+        ends = links.select("step", F.col("src").alias("root"), F.col("dst").alias("other"), F.lit(False).alias("above")).union(links.select("step", "dst", "src", F.lit(True)))
+        first = lineage.cut(ends.groupBy("root").agg(F.min(F.struct("step", "other", "above")).alias("m")).select("root", "m.*"))
+        facing = first.select(F.col("root").alias("other"), F.col("step").alias("back"))
+        pointers = first.join(facing, "other").select(F.col("root").alias("uuid"), F.when(F.col("above") & (F.col("step") == F.col("back")), F.col("root")).otherwise(F.col("other")).alias("canonical"))
+        trees = follow(pointers, lineage).select(F.col("uuid").alias("root"), F.col("canonical").alias("tree"))
+        side = lambda c: trees.select(F.col("root").alias(c), F.col("tree").alias(f"{c}_tree"))
+        leaving = links.join(side("src"), "src").join(side("dst"), "dst").where("src_tree <> dst_tree")
+        limits = leaving.select("step", F.explode(F.array("src_tree", "dst_tree")).alias("tree")).groupBy("tree").agg(F.min("step").alias("limit"))
+        joined = first.join(trees, "root").join(limits, "tree", "left").where(F.col("limit").isNull() | (F.col("step") < F.col("limit")))
+        tops = joined.where("above").groupBy("tree").agg(F.max(F.struct("step", "root")).alias("top")).select("tree", F.col("top.root").alias("into"))
+        moves = lineage.cut(joined.select("tree", "root").join(tops, "tree").select("root", "into"))
+        for end in ("src", "dst"):
+            links = links.join(moves.select(F.col("root").alias(end), "into"), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+        links = lineage.cut(links.where("src <> dst").select("step", "src", "dst"))
+        roots = lineage.cut(roots.join(moves.withColumnRenamed("root", "canonical"), "canonical", "left").select("uuid", F.coalesce("into", "canonical").alias("canonical")))
+    raise RuntimeError("groups did not settle")
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

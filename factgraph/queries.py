@@ -594,6 +594,24 @@ def order_chain(b: Bound) -> DataFrame:
 query("compress_uuid_map", "SELECT 'o' || o_orderkey AS uuid, min('o' || o_orderkey) OVER (PARTITION BY o_custkey) AS canonical FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1", bare=True)(
     lambda b: graph.components(order_chain(b), Lineage(b.spark))
 )
+
+
+def ordered_chain(b: Bound) -> DataFrame:
+    """(ord, a, b): every order with the one before it of the same customer, which stands as b where the order is filled."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    this, before = F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("o"), F.lag("o_orderkey").over(w))
+    filled = F.col("o_orderstatus") == "F"
+    return b.table("orders").select(F.col("o_orderkey").alias("ord"), F.when(filled, this).otherwise(before).alias("a"), F.when(filled, before).otherwise(this).alias("b")).where("a is not null and b is not null")
+
+
+query(
+    "ordered_uuid_map",
+    """SELECT 'o' || o_orderkey AS uuid,
+              'o' || coalesce(max(CASE WHEN n > 1 AND o_orderstatus <> 'F' THEN o_orderkey END) OVER (PARTITION BY o_custkey), min(o_orderkey) OVER (PARTITION BY o_custkey)) AS canonical
+       FROM (SELECT o_orderkey, o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)
+       QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1""",
+    bare=True,
+)(lambda b: graph.follow_ordered(ordered_chain(b), Lineage(b.spark)))
 query("directed_uuid_map", ", pt AS (SELECT p_partkey AS k FROM part) SELECT 'p' || k AS uuid, 'p' || (k % 10) AS canonical FROM pt WHERE k >= 10")(
     lambda b: graph.follow(b.table("part").where("p_partkey >= 10").select(F.concat(F.lit("p"), "p_partkey").alias("uuid"), F.concat(F.lit("p"), F.col("p_partkey") - 10).alias("canonical")), Lineage(b.spark))
 )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,13 +53,58 @@ def by_threshold(spark: SparkSession, pattern: str) -> DataFrame:
     return df.withColumn("threshold", F.regexp_extract(F.input_file_name(), r"_([0-9]+(?:\.[0-9]+)?)\.csv$", 1).try_cast("double"))
 
 
-def npz_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """(name, embedding) of a numpy archive of names and embeddings on a local disk; a name that comes twice keeps its last one."""
-    import numpy as np
-
-    with np.load(path, allow_pickle=False) as data:
-        rows = {str(n): [float(x) for x in v] for n, v in zip(data["names"], data["embeddings"], strict=True)}
-    return spark.createDataFrame(list(rows.items()), "name string, embedding array<double>")
+def _opened(path: str):
+    """The zip archive at a path or URI that every executor can read."""
+    import os
+    import zipfile
+
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path if ":/" in path else os.path.abspath(path))
+    return zipfile.ZipFile(system.open_input_file(place))
+
+
+def _array_header(stream) -> tuple[tuple[int, ...], np.dtype]:
+    """Shape and type of the array whose numbers follow in the stream."""
+    version = np.lib.format.read_magic(stream)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, by_column, kind = read(stream)
+    if kind.hasobject or (by_column and len(shape) > 1):
+        raise ValueError("names and embeddings must be plain arrays by rows")
+    return shape, kind
+
+
+def npz_embeddings(spark: SparkSession, path: str, block: int = 16_384) -> DataFrame:
+    """(name, embedding) of a numpy archive of names and embeddings, at a path or URI that every executor can read; a name
+    that comes twice keeps its last one.
+
+    The driver reads the two headers. Tasks read ``block`` rows each, straight from their place in a stored archive; a
+    compressed one cannot be entered in the middle, so one task reads it as a stream of blocks.
+    """
+    with _opened(path) as archive:
+        with archive.open("names.npy") as names, archive.open("embeddings.npy") as vectors:
+            (count, *_), (rows, width), stored = _array_header(names)[0], _array_header(vectors)[0], archive.getinfo("embeddings.npy").compress_type == 0
+    if count != rows:
+        raise ValueError(f"{count} names and {rows} embeddings")
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with _opened(path) as archive, archive.open("names.npy") as names, archive.open("embeddings.npy") as vectors:
+                    kinds = [_array_header(f)[1] for f in (names, vectors)]
+                    names.seek(first * kinds[0].itemsize, 1)
+                    vectors.seek(first * width * kinds[1].itemsize, 1)
+                    for at in range(first, last, block):
+                        n = min(block, last - at)
+                        who = np.frombuffer(names.read(n * kinds[0].itemsize), kinds[0])
+                        what = np.frombuffer(vectors.read(n * width * kinds[1].itemsize), kinds[1]).astype(np.float64)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(what))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.array([str(x) for x in who.tolist()], pa.string()), lists], names=["place", "name", "embedding"])
+
+    step = block if stored else max(rows, 1)
+    ranges = spark.range(0, rows, step, max(1, -(-rows // step))).select(F.col("id").alias("first"), F.least(F.col("id") + step, F.lit(rows)).alias("last"))
+    found = ranges.mapInArrow(read, "place long, name string, embedding array<double>")
+    return found.groupBy("name").agg(F.max_by("embedding", "place").alias("embedding"))
 
 
 def cluster_file(existing: list[str], threshold: float) -> str | None:
