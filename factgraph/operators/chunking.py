@@ -70,7 +70,8 @@ def _cut(text: str, most: int) -> Iterator[str]:
             end -= 1
         blank = raw.rfind(b" ", 0, end)
         end = blank if blank > 0 else max(end, 1)
-        yield raw[:end].decode("utf-8", "surrogatepass").rstrip()
+        if part := raw[:end].decode("utf-8", "surrogatepass").rstrip():
+            yield part
         raw = raw[end:].lstrip()
     if raw:
         yield raw.decode("utf-8", "surrogatepass")

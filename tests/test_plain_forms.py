@@ -65,7 +65,7 @@ def packed(text, most):
         if paragraph:
             parts.append(paragraph)
     out = []
-    for p in parts:
+    for p in filter(None, parts):
         if out and len(f"{out[-1]}\n\n{p}".encode()) <= most:
             out[-1] += f"\n\n{p}"
         else:
