@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factgraph import schema
 from factgraph.functions import text as T
@@ -107,19 +108,22 @@ class TemporalGraph:
         judge: Judge = Judge(),
         institutions: DataFrame | None = None,
         mark: tuple[str, int] | None = None,
+        excluded_types: list[str] | None = None,
     ) -> Ingested | None:
         """Save episodes with what the extractor finds, as one commit; None if ``mark`` says that it is in already.
 
         Entities are resolved against each other and the graph, within their group; institutions(name, ror_id) gives
         institutions the ids by which they may be told apart. Names of custom edge types are kept only where
         type_map(src_label, dst_label, edge_type) allows them; edges are repointed. A fact that stands in the graph word
-        for word is not written again: its episodes go to the one that stands. Facts that the judge says new ones
+        for word is not written again: its episodes go to the one that stands. Nodes of ``excluded_types`` and facts that
+        end at them are left out, and attributes lose keys that are columns of their table or name embeddings. Facts that the judge says new ones
         contradict are ended; new facts that are over already, by their own end or because they contradict a later one,
         are written as expired. Group, ends and wording tell facts apart; no fact ends for its wording alone.
         """
         lineage = Lineage(self.spark)
         episodes = lineage.cut(episodes)
-        nodes, edges = extract(episodes)
+        nodes, edges = filters.without_excluded(*extract(episodes), excluded_types or [])
+        nodes, edges = (self._own_attributes(df, name) for df, name in ((nodes, "entities"), (edges, "edges")))
         nodes, edges = lineage.cut(filters.named(nodes)), lineage.cut(edges)
 
         def work() -> Ingested:
@@ -136,6 +140,11 @@ class TemporalGraph:
 
         return self.change(work, mark)
 
+    @staticmethod
+    def _own_attributes(df: DataFrame, name: str) -> DataFrame:
+        columns = StructType.fromDDL(schema.TABLES[name]).names
+        return df.withColumn("attributes", filters.strip_attribute_text(F.col("attributes"), columns)) if "attributes" in df.columns else df
+
     def add_triplet(self, source: DataFrame, edge: DataFrame, target: DataFrame, now: str, judge: Judge = Judge()) -> None:
         """Save one fact with its ends: rows of entities, edges and entities. Ends that the graph knows are taken from it,
         and the fact is reused, expired or ends others as in an episode; no episode states it but those it names."""

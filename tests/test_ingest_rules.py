@@ -5,6 +5,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from factgraph.operators import filters
 from factgraph.plans.api import Judge, TemporalGraph
 
 
@@ -112,3 +113,20 @@ def test_dates_first_seen_and_marks(g, spark):
     assert (row.source_node_uuid, str(row.valid_at)[:4], str(row.invalid_at)[:4]) == ("n9", "2018", "2019") and row.expired_at is not None
     before = g.versions.versions()
     assert g.add_episodes(eps, lambda _: (nodes, edge), "2025-01-01", mark=("s", 0)) is None and g.versions.versions() == before
+
+
+def test_excluded_types_and_their_facts_stay_out(g, spark):
+    nodes = [("a", "Alice Smith", "Person"), ("b", "Acme Corp", "Company"), ("c", "Berlin", "Entity")]
+    facts = [("e1", "a", "b", "Alice works at Acme"), ("e2", "a", "c", "Alice lives in Berlin"), ("e3", "b", "c", "Acme is in Berlin")]
+    add(g, spark, "ep1", "g", "2020-01-01", nodes, facts, excluded_types=["Company"])
+    assert {r.uuid for r in g.table("entities").collect()} == {"a", "c"} and {r.uuid for r in g.table("edges").collect()} == {"e2"}
+    rows, none = (spark.createDataFrame([(u, x) for u, x in d], "uuid string, labels array<string>") for d in ([("p", ["Entity"]), ("q", None), ("r", ["Entity", "Person"])], []))
+    ends = spark.createDataFrame([("e", "p", "r"), ("f", "r", "r")], "uuid string, source_node_uuid string, target_node_uuid string")
+    kept, left = filters.without_excluded(rows, ends, ["Entity"])
+    assert [r.uuid for r in kept.collect()] == ["r"] and [r.uuid for r in left.collect()] == ["f"]
+    assert filters.without_excluded(none, ends, ["Entity"])[1].count() == 2
+
+
+def test_attributes_lose_what_columns_say(g, spark):
+    add(g, spark, "ep1", "g", "2020-01-01", [("a", "Alice Smith", "Person", '{"age":7,"uuid":"x","Name_Embedding":[1],"of":{"name":"y"}}'), ("b", "Bob Jones", "Person", "no object")], [])
+    assert {r.uuid: r.attributes for r in g.table("entities").collect()} == {"a": '{"age":7,"of":{"name":"y"}}', "b": "no object"}
