@@ -41,6 +41,7 @@ def signed(names: DataFrame, n: int = 3) -> DataFrame:
     flat = rows.select("fuzzy").distinct().where(T.high_entropy(F.col("fuzzy"))).select("fuzzy", F.explode(T.shingles(F.col("fuzzy"), n)).alias("x"))
     number = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(f"{s}:"), "x")), 1, 15), 16, 10).cast("long")
     hashed = flat.select("x").distinct().select("x", *(number(s).alias(f"h{s}") for s in range(T.SIGNATURE)))
+    hashed = F.broadcast(hashed) if n <= 3 else hashed  # of 37 letters: 50,653 shingles, 13 MB, at most; names are not shuffled with 32 hashes a shingle
     least = flat.join(hashed, "x").groupBy("fuzzy").agg(*(F.min(f"h{s}").cast("string").alias(f"h{s}") for s in range(T.SIGNATURE)))
     bands = least.select(F.col("fuzzy").alias("__f"), T.lsh_bands(F.array(*(f"h{s}" for s in range(T.SIGNATURE)))).alias("bands"))
     out = rows.join(bands, F.col("fuzzy") == F.col("__f"), "left").drop("__f")
@@ -56,13 +57,41 @@ def _shingle_counts(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("shingles").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Shingles that make one key of a pair, by the larger set's size: three up to the first size, two up to the second.
+TRIPLES, COUPLES = 64, 160
+#: Below this similarity the rare shingles are too many to be combined.
+COMBINED = 0.7
+
+
+def _combined(o: Column, k: int) -> Column:
+    """Hashes of all ``k`` of the ordered values ``o``."""
+    rest = lambda i: F.slice(o, i + 2, F.size(o))
+    if k == 1:
+        return F.transform(o, lambda x: F.xxhash64(F.lit(1), x))
+    if k == 2:
+        return F.flatten(F.transform(o, lambda x, i: F.transform(rest(i), lambda y: F.xxhash64(F.lit(2), x, y))))
+    third = lambda x, i: F.flatten(F.transform(rest(i), lambda y, j: F.transform(F.slice(o, i + j + 3, F.size(o)), lambda z: F.xxhash64(F.lit(3), x, y, z))))
+    return F.flatten(F.transform(o, third))
+
+
 def _rarest(sets: DataFrame, key: str, counts: DataFrame, least: float) -> DataFrame:
-    """(key, n, t): the first n - ceil(least * n) + 1 shingles of each set of n in the order of counts(t, df), rare ones
-    first. Two sets of Jaccard similarity ``least`` or more have one of them in common, far fewer others do."""
+    """(key, n, t): keys of which two sets of Jaccard similarity ``least`` or more have one in common, far fewer others do.
+
+    Of a set of n the first n - ceil(least * n) + k shingles in the order of counts(t, df), rare ones first: two such sets
+    share k of them, if they share as many at all. So each k of them make a key. How many k is goes by the larger of two
+    sizes, so a set has the keys of each k that it may need; sets too small to share k shingles meet by single ones."""
     flat = sets.select(key, F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("t")).join(counts, "t", "left")
     ordered = flat.groupBy(key, "set").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
-    first = F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") * F.lit(least) - 1e-9) + 1).cast("int"))
-    return ordered.select(key, F.size("o").alias("n"), F.explode(first).alias("e")).select(key, "n", F.col("e.t").alias("t"))
+    ordered = ordered.select(key, F.size("o").alias("n"), F.transform("o", lambda e: e["t"]).alias("o"))
+    shared = lambda n: F.ceil(n * F.lit(least) - 1e-9).cast("int")
+    first = lambda k: F.slice("o", F.lit(1), F.least(F.size("o"), F.size("o") - shared(F.size("o")) + k))
+    if least < COMBINED:
+        return ordered.select(key, "n", F.explode(_combined(first(1), 1)).alias("t"))
+    each = lambda n: F.when((shared(n) < 3) | (n > COUPLES), 1).when(n > TRIPLES, 2).otherwise(3)
+    largest = F.floor(F.col("n") / F.lit(least) + 1e-9)
+    none = F.array().cast("array<bigint>")
+    needed = [F.when((each(F.col("n")) == k) | (each(largest) == k), _combined(first(k), k)).otherwise(none) for k in (1, 2, 3)]
+    return ordered.select(key, "n", F.explode(F.concat(*needed)).alias("t"))
 
 
 def lsh_pairs(names: DataFrame) -> DataFrame:
@@ -77,7 +106,8 @@ def jaccard_pairs(names: DataFrame, least: float = 0.0, lineage: Lineage | None
     Above 0 pairs are looked for by rare shingles, and bands only held against what is alike: bands of names from few
     words are shared by very many. With a lineage names are signed once and written.
     """
-    signatures = signed(names).select("uuid", F.transform("shingles", lambda x: F.xxhash64(x)).alias("shingles"), "bands").where(F.size("bands") > 0)
+    hashes = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    signatures = signed(names).where(F.size("bands") > 0).select("uuid", hashes("shingles").alias("shingles"), hashes("bands").alias("bands"))
     signatures = lineage.cut(signatures) if lineage else signatures
     if least > 0:
         rows = _rarest(signatures, "uuid", _shingle_counts(signatures), least).withColumnRenamed("t", "at")
@@ -209,23 +239,29 @@ def dedupe_batch(names: DataFrame, lineage: Lineage, least: float = FUZZY, by: s
     """(uuid, canonical) within one batch names(uuid, name): exact keys and alike names, of the same group ``by`` if given,
     make components. Canonical is the first of a component by the column ``order``, or the smallest uuid without one."""
     group = ["grp"] if by else []
-    keys = keyed(names, by)
+    grouped = [_group(by).alias("grp")] if by else []
+    exactly = T.norm_exact(F.col("name")).alias("name")
+    # Copies of a name have all keys in common, so one row of each is linked and the others follow it.
+    first = lineage.cut(names.where("name is not null").groupBy(*grouped, exactly).agg(F.min("uuid").alias("uuid")))
+    keys = keyed(first, "grp" if by else None)
     heads = keys.groupBy(*group, "key").agg(F.min("uuid").alias("b"))
     exact = keys.join(heads, [*group, "key"]).where("uuid <> b").select(F.col("uuid").alias("a"), "b")
-    grouped = [_group(by).alias("grp")] if by else []
-    first = names.groupBy(*grouped, T.norm_exact(F.col("name")).alias("name")).agg(F.min("uuid").alias("uuid"))  # copies are linked by key already
     if by:  # names are compared once, whatever the number of groups that have them
         alike = jaccard_pairs(first.select(F.col("name").alias("uuid"), "name").distinct(), least, lineage)
         side = lambda c: first.select("grp", F.col("name").alias(c), F.col("uuid").alias(f"{c}_uuid"))
         alike = alike.join(side("a"), "a").join(side("b"), ["grp", "b"]).select(F.least("a_uuid", "b_uuid").alias("a"), F.greatest("a_uuid", "b_uuid").alias("b"))
     else:
         alike = jaccard_pairs(first, least, lineage).select("a", "b")
-    found = graph.components(exact.union(alike).distinct(), lineage)
+    copies = names.select("uuid", *grouped, exactly.alias("__n"))
+    torn = copies.join(copies.groupBy("uuid").agg(F.count_distinct("__n").alias("k")).where("k > 1").select("uuid"), "uuid", "left_semi")  # a uuid of several names links them
+    torn = torn.join(first.withColumnsRenamed({"uuid": "b", "name": "__n"}), [*group, "__n"]).select(F.col("uuid").alias("a"), "b")
+    heads = first.join(graph.components(exact.union(alike).union(torn).distinct(), lineage), "uuid", "left").select(*group, F.col("name").alias("__n"), F.coalesce("canonical", "uuid").alias("canonical"))
+    found = copies.join(heads, [*group, "__n"], "left").select("uuid", F.coalesce("canonical", "uuid").alias("canonical"))
     if order:
         place = names.select("uuid", F.struct(F.col(order).alias("at"), F.col("uuid").alias("first")).alias("place"))
         heads = found.join(place, "uuid").groupBy("canonical").agg(F.min("place").alias("place"))
         found = found.join(heads, "canonical").select("uuid", F.col("place.first").alias("canonical"))
-    return names.select("uuid").join(found, "uuid", "left").select("uuid", F.coalesce("canonical", "uuid").alias("canonical"))
+    return found
 
 
 def guard_replies(replies: DataFrame, extracted: DataFrame, candidates: DataFrame) -> DataFrame:
