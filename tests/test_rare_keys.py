@@ -40,3 +40,14 @@ def test_copies_follow_the_first_of_their_name(spark):
     rows = [("b", "Red Rings"), ("a", "red  ring"), ("c", "RED RINGS"), ("n", None), ("o", None), ("d", "green bolt"), ("c", "green bolt"), ("e", "alone")]
     got = resolve.dedupe_batch(spark.createDataFrame(rows, "uuid string, name string"), Lineage(spark))
     assert {(r.uuid, r.canonical) for r in got.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("n", "n"), ("o", "o"), ("e", "e")}
+
+
+def test_only_alike_names_are_signed(spark, monkeypatch):
+    seen, signed = [], resolve.signed
+    monkeypatch.setattr(resolve, "signed", lambda names, *rest: seen.append(names.count()) or signed(names, *rest))
+    number = F.md5(F.col("id").cast("string").cast("binary"))
+    old = spark.range(50).select(F.concat(F.lit("o"), "id").alias("uuid"), number.alias("name")).unionByName(spark.createDataFrame([("ox", "international crisis committee of europe")], "uuid string, name string"))
+    new = spark.range(100, 150).select(F.concat(F.lit("n"), "id").alias("uuid"), number.alias("name")).unionByName(spark.createDataFrame([("nx", "international crisis committee of europa")], "uuid string, name string"))
+    found = {(r.uuid, r.canonical, r.reason) for r in resolve.resolve(new, old, 0.8).collect()}
+    assert found == {("nx", "ox", "fuzzy")}
+    assert sum(seen) == 2
